@@ -192,6 +192,28 @@ def arrow_rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """Arrays as one run of bytes."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), len(a)))], "<i8")
+    return b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+
+
+def unpack_arrays(body: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(body, "<i8", 1)[0])
+    head = np.frombuffer(body, "<i8", 2 * n, 8)
+    out, at = [], 8 + 16 * n
+    for code, size in head.reshape(-1, 2).tolist():
+        out.append(np.frombuffer(body, chr(code), size, at))
+        at += out[-1].nbytes
+    return out
+
+
+def bytes_of(df: DataFrame) -> int:
+    """What the plan's statistics say of the size of df's input files; 0 if they don't know."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 60 else 0
+
+
 def local_path(uri: str) -> tuple["object", str]:
     """(file system, path) of a URI, for reads and writes from tasks: local, HDFS or an object store."""
     from pyarrow import fs
