@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 18
@@ -192,6 +193,11 @@ def arrow_rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
+def schema_with(df: DataFrame, added: dict[str, str]) -> T.StructType:
+    """The schema of df and further columns."""
+    return T.StructType([*df.schema.fields, *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in added.items())).fields])
+
+
 def pack_arrays(*arrays: np.ndarray) -> bytes:
     """Arrays as one run of bytes."""
     head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), len(a)))], "<i8")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import GRAM_POWERS, U64, Words, arrow_rows, as_signed, bytes_of, flat, gram_hash, mix, pack_arrays, per_chunk, read_table, sliding, text_of, unpack_arrays, within
+from sightline.llm.common import GRAM_POWERS, U64, Words, arrow_rows, bytes_of, gram_hash, mix, pack_arrays, per_chunk, read_table, schema_with, sliding, text_of, unpack_arrays, within
 
 WINDOW = 20
 GRAM = 6
@@ -216,10 +216,8 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, b
             columns = [batch.column(c) for c in names] + [pa.array(n_words.astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=names + added)
 
-    fields = base.drop("__id", "__tag").schema
-    for name, kind in zip(added, ("long", "long", "string", "string"), strict=True):
-        fields = fields.add(name, kind)
-    return joined.mapInArrow(finish, fields)
+    kinds = dict(zip(added, ("long", "long", "string", "string"), strict=True))
+    return joined.mapInArrow(finish, schema_with(base.drop("__id", "__tag"), kinds))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
