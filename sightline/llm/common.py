@@ -75,11 +75,11 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
+def written(df: DataFrame, name: str = "table", compression: str = "snappy") -> DataFrame:
     """df written as a Parquet table in the shared folder and read again (compressed, unlike a checkpoint)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/sightline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.parquet(path)
 
 

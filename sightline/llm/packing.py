@@ -52,6 +52,19 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, fill
 
 
+def _packer(level: int, last: bool, capacity: int, nearly_full: float):
+    """Packs the items of one group; groups, levels and bins of the names don't meet."""
+
+    def pack(key, pdf):
+        pdf = pdf.sort_values(["size", "item"], ascending=[False, True], kind="stable")
+        bins, offsets, fill = best_fit(pdf["size"].to_numpy(), capacity)
+        filled = np.array(fill, np.int64)
+        name = -1 - ((level << 56) + (int(key[0]) << 24) + bins)
+        return pd.DataFrame({"item": pdf["item"].to_numpy(), "bin": name, "offset": offsets, "fill": filled[bins], "closed": last | (filled[bins] >= nearly_full * capacity)})
+
+    return pack
+
+
 def pack_items(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, fan_in: int = FAN_IN, nearly_full: float = NEARLY_FULL) -> DataFrame:
     """(item, bin, offset) for items (item long unique, size long from 1 to capacity); bin: any numbers below zero.
 
@@ -63,14 +76,7 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, group_items: int = GR
     while True:
         last = groups == 1
 
-        def pack(key, pdf: pd.DataFrame, level=level, last=last) -> pd.DataFrame:
-            pdf = pdf.sort_values(["size", "item"], ascending=[False, True], kind="stable")
-            bins, offsets, fill = best_fit(pdf["size"].to_numpy(), capacity)
-            filled = np.array(fill, np.int64)
-            name = -1 - ((level << 56) + (int(key[0]) << 24) + bins)
-            return pd.DataFrame({"item": pdf["item"].to_numpy(), "bin": name, "offset": offsets, "fill": filled[bins], "closed": last | (filled[bins] >= nearly_full * capacity)})
-
-        out = written(left.groupBy("g").applyInPandas(pack, "item long, bin long, offset long, fill long, closed boolean"), "pack")
+        out = written(left.groupBy("g").applyInPandas(_packer(level, last, capacity, nearly_full), "item long, bin long, offset long, fill long, closed boolean"), "pack")
         placed.append(out)
         if last:
             break
