@@ -4,7 +4,8 @@ A data file is a run of records; a record is
 
     length   8 bytes, little-endian: bytes of the payload
     check    4 bytes: masked crc32 of the 8 length bytes
-    payload  doc_id as 8 bytes signed, then the ids as 4-byte unsigned integers, all little-endian
+    payload  doc_id as 8 bytes signed, the bytes of an id as 1 byte, then the ids as unsigned integers of so many
+             bytes (2 if all ids of the document are below 2^16, else 4), all little-endian
     check    4 bytes: masked crc32 of the payload
 
 masked(c) = ((c >> 15 | c << 17) + 0xA282EAD8) mod 2^32. The index file beside it has one 8-byte
@@ -38,7 +39,8 @@ def masked(data: bytes) -> int:
 
 
 def frame(doc_id: int, ids: np.ndarray) -> bytes:
-    payload = struct.pack("<q", doc_id) + ids.astype("<u4").tobytes()
+    width = 4 if len(ids) and int(ids.max()) >> 16 else 2
+    payload = struct.pack("<qB", doc_id, width) + ids.astype(f"<u{width}").tobytes()
     length = struct.pack("<Q", len(payload))
     return b"".join((length, struct.pack("<I", masked(length)), payload, struct.pack("<I", masked(payload))))
 
@@ -52,7 +54,8 @@ def unframe(data: bytes | memoryview, at: int) -> tuple[int, np.ndarray, int]:
     payload = bytes(data[at + 12 : at + 12 + n])
     if len(payload) < n or struct.unpack_from("<I", data, at + 12 + n)[0] != masked(payload):
         raise ValueError(f"record at byte {at}: its payload is damaged")
-    return struct.unpack_from("<q", payload)[0], np.frombuffer(payload, "<u4", offset=8), at + 16 + n
+    doc_id, width = struct.unpack_from("<qB", payload)
+    return doc_id, np.frombuffer(payload, f"<u{width}", offset=9).astype("<u4"), at + 16 + n
 
 
 def write_records(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, partitions: int | None = None) -> DataFrame:
@@ -90,7 +93,7 @@ def write_records(docs: DataFrame, path: str, vocabulary: str | None = None, end
         else:
             store.delete_file(file)
 
-    manifest = settled(ordered.mapInArrow(write, "part int, file string, index string, records long, tokens long"))
+    manifest = settled(ordered.mapInArrow(write, "part long, file string, index string, records long, tokens long"))
     # One row for each file.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
