@@ -172,7 +172,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
         first = np.flatnonzero(new)
-        ends = np.append(first[1:], len(doc))
+        ends = np.append(first[1:], len(doc))[: len(first)]
         return pa.table({"__id": doc[first], "__tag": tag[first], "span": pa.array([pairs[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())})
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id"), text_of().alias("text"))
