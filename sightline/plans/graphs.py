@@ -23,11 +23,12 @@ def adjacency(spark: SparkSession, d: str) -> DataFrame:
 
 def hops(adj: DataFrame, limit: int = HOPS) -> DataFrame:
     """(a, b, hops) for all pairs within `limit` steps, the least number of steps; one join for each step, new pairs only."""
+    adj = adj.persist()  # small, and read again by each step
     seen = adj.select("a", "b", F.lit(1).alias("hops"))
     front = seen
     for h in range(2, limit + 1):
         step = front.select("a", F.col("b").alias("via")).join(adj.withColumnRenamed("a", "via"), "via").select("a", "b").where("a <> b").distinct()
-        front = step.join(seen, ["a", "b"], "left_anti").select("a", "b", F.lit(h).alias("hops"))
+        front = step.join(seen, ["a", "b"], "left_anti").select("a", "b", F.lit(h).alias("hops")).persist()
         seen = seen.union(front)
     return seen
 
