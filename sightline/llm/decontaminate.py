@@ -83,10 +83,11 @@ class Items:
     def seeds(self, counts: np.ndarray, rare: int = RARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(gram hash, item, place) of the seeds, by hash."""
         own = counts[self.index]
-        keep = np.zeros(len(own), bool)
-        for i in np.unique(self.item).tolist():
-            of = self.item == i
-            keep |= of & (own <= max(rare, np.median(own[of])))
+        first = np.flatnonzero(np.diff(self.item, prepend=-1))  # self.item is in order
+        size = np.diff(np.append(first, len(own)))
+        ranked = own[np.lexsort((own, self.item))]
+        middle = (ranked[first + (size - 1) // 2] + ranked[first + size // 2]) / 2
+        keep = own <= np.repeat(np.maximum(rare, middle), size)
         order = np.argsort(self.grams[self.index[keep]], kind="stable")
         return self.grams[self.index[keep]][order], self.item[keep][order], self.place[keep][order]
 
@@ -141,10 +142,10 @@ def _passages(place: np.ndarray, anchor: np.ndarray, item_words: int, doc_words:
 
 def _match(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
     seeds, item, anchor = items.seeds(gram_counts(docs, items))
-    shared = docs.sparkSession.sparkContext.broadcast((seeds, item, anchor, items.words))
+    shared = docs.sparkSession.sparkContext.broadcast((seeds, item, anchor, items.words, pa.array(items.ids, pa.int64())))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, item, anchor, item_words = shared.value
+        seeds, item, anchor, item_words, item_ids = shared.value
         lone = np.unique(seeds)
         for batch, data, offsets in per_chunk(batches):
             words = plain_words(data, offsets)
@@ -172,10 +173,10 @@ def _match(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
                         found.append((d, w, score, best[1], best[2]))
             if found:
                 d, w, score, begin, end = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d)), pa.array(w, pa.int64()), pa.array(score), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "item", "score", "first_word", "end_word"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d)), item_ids.take(pa.array(w)), pa.array(score), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "score", "first_word", "end_word"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(align, "doc_id long, item long, score double, first_word long, end_word long")
-    return rows.withColumn("item_id", F.element_at(F.array(*[F.lit(i).cast("long") for i in items.ids]), (F.col("item") + 1).cast("int"))).select("doc_id", "item_id", F.round("score", 6).alias("score"), "first_word", "end_word")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(align, "doc_id long, item_id long, score double, first_word long, end_word long")
+    return rows.withColumn("score", F.round("score", 6))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
