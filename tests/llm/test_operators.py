@@ -211,3 +211,21 @@ def test_licenses(spark, odd, empty):
     got = {(r.doc_id, r.license) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {(i, n) for i, n in enumerate(TEMPLATES)} <= got
     assert scan_licenses(odd).count() == 0 and scan_licenses(empty).count() == 0
+
+
+def test_seeds_match_a_plain_version():
+    import numpy as np
+
+    from sightline.llm.decontaminate import RARE, Items
+
+    items = Items([(3, "a b c d e f a b c"), (1, None), (7, "one two"), (2, "a b c x y z w"), (9, "a b c")])
+    counts = np.array([(i * 7) % 11 for i in range(len(items.grams))])
+    grams, owner, place = items.seeds(counts)
+    plain = []
+    for i in range(5):
+        of = [(int(g), int(p)) for g, p, it in zip(items.index, items.place, items.item, strict=True) if it == i]
+        if of:
+            limit = max(RARE, float(np.median([counts[g] for g, _ in of])))
+            plain += [(int(items.grams[g]), i, p) for g, p in of if counts[g] <= limit]
+    assert sorted(zip(grams.tolist(), owner.tolist(), place.tolist(), strict=True)) == sorted(plain)
+    assert [len(x) for x in Items([(1, ""), (2, None)]).seeds(np.zeros(0, np.int64))] == [0, 0, 0]
