@@ -81,6 +81,14 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+def _steps(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return ids[:1], np.diff(ids, prepend=ids[:1])
+
+
+def _from_steps(first: np.ndarray, step: np.ndarray) -> np.ndarray:
+    return np.cumsum(step) + first[0] if len(first) else first
+
+
 def shared_counts(docs: DataFrame, blocks: int, deals: int) -> DataFrame:
     """(deal, body): for documents, how many of their first shingles others have; deal -1: statistics of a block."""
 
@@ -95,16 +103,33 @@ def shared_counts(docs: DataFrame, blocks: int, deals: int) -> DataFrame:
             doc = np.repeat(np.arange(len(own)), sizes[own])
             token = hashes[_ranges(at[own], sizes[own])]
             block = (token >> U64(TOKEN_BITS)) % U64(blocks)
-            order = np.argsort(block, kind="stable")
-            edge = np.searchsorted(block[order], np.arange(blocks + 1, dtype=U64))
+            _, first, inverse, n = np.unique((block << U64(32)) | (token & U64(0xFFFFFFFF)), return_index=True, return_inverse=True, return_counts=True)
+            # What the run itself shares is counted here, and goes to its block as one number.
+            met = n[inverse] > 1
+            times = np.bincount(doc[met], minlength=len(own))
+            done = np.flatnonzero(times)
+            lone, many = np.flatnonzero(~met), first[n > 1]
+            to = mix(ids[own][done].view(U64)) % U64(blocks)
+            lone, many, done, totals = (x[np.argsort(k, kind="stable")] for x, k in ((lone, block[lone]), (many, block[many]), (done, to), (n[n > 1], block[many])))
+            every = np.arange(blocks + 1, dtype=U64)
+            cuts = [np.searchsorted(k, every) for k in (block[lone], block[many], np.sort(to))]
             names, bodies = [], []
             for b in range(blocks):
-                i = order[edge[b] : edge[b + 1]]
-                if len(i):
-                    docs_here, index = np.unique(doc[i], return_inverse=True)
-                    known = ids[own][docs_here]
+                i, j, k = (slice(c[b], c[b + 1]) for c in cuts)
+                if i.start < i.stop or j.start < j.stop or k.start < k.stop:
+                    docs_here, index = np.unique(doc[lone[i]], return_inverse=True)
                     names.append(b)
-                    bodies.append(pack_arrays(known[:1], np.diff(known, prepend=known[:1]), np.diff(index, prepend=0).astype(np.uint16 if len(known) < 1 << 16 else np.uint32), token[i].astype(np.uint32)))
+                    bodies.append(
+                        pack_arrays(
+                            *_steps(ids[own][docs_here]),
+                            np.diff(index, prepend=0).astype(np.uint16 if len(docs_here) < 1 << 16 else np.uint32),
+                            token[lone[i]].astype(np.uint32),
+                            token[many[j]].astype(np.uint32),
+                            totals[j].astype(np.uint32),
+                            *_steps(ids[own][done[k]]),
+                            times[done[k]].astype(np.uint32),
+                        )
+                    )
             return arrow_rows(block=pa.array(names, pa.int32()), body=pa.array(bodies, pa.binary()))
 
         for batch, data, offsets in per_chunk(batches):
@@ -119,16 +144,20 @@ def shared_counts(docs: DataFrame, blocks: int, deals: int) -> DataFrame:
             yield send()
 
     def count(table: pa.Table) -> pa.Table:
-        ids, tokens = [], []
+        ids, tokens, many, totals, done, known = [], [], [], [], [], []
         for body in table.column("body").to_pylist():
-            first, step, index, token = unpack_arrays(body)
-            if len(first):
-                ids.append((np.cumsum(step) + first[0])[np.cumsum(index.astype(np.int64))])
-                tokens.append(token)
-        ids, tokens = np.concatenate(ids), np.concatenate(tokens)
-        token, inverse, n = np.unique(tokens, return_inverse=True, return_counts=True)
-        shared = n[inverse] > 1
-        doc, times = np.unique(ids[shared], return_counts=True)
+            first, step, index, token, heard, total, first_done, step_done, times = unpack_arrays(body)
+            own = _from_steps(first, step)
+            ids.append(own[np.cumsum(index.astype(np.int64))] if len(index) else own)
+            done.append(_from_steps(first_done, step_done))
+            for to, x in ((tokens, token), (many, heard), (totals, total), (known, times)):
+                to.append(x)
+        ids, tokens, many, totals, done, known = (np.concatenate(x) for x in (ids, tokens, many, totals, done, known))
+        token, inverse = np.unique(np.concatenate([tokens, many]), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([np.ones(len(tokens)), totals])).astype(np.int64)
+        met = ids[n[inverse[: len(ids)]] > 1]
+        doc, inverse = np.unique(np.concatenate([met, done]), return_inverse=True)
+        times = np.bincount(inverse, np.concatenate([np.ones(len(met)), known])).astype(np.int64)
         deal = mix(doc.view(U64)) % U64(deals)
         order = np.argsort(deal, kind="stable")
         edge = np.searchsorted(deal[order], np.arange(deals + 1, dtype=U64))
@@ -140,7 +169,7 @@ def shared_counts(docs: DataFrame, blocks: int, deals: int) -> DataFrame:
             i = order[edge[k] : edge[k + 1]]
             if len(i):
                 names.append(k)
-                bodies.append(pack_arrays(doc[i][:1], np.diff(doc[i], prepend=doc[i][:1]), times[i].astype(np.uint32)))
+                bodies.append(pack_arrays(*_steps(doc[i]), times[i].astype(np.uint32)))
         return pa.table({"deal": pa.array(names, pa.int32()), "body": pa.array(bodies, pa.binary())})
 
     return docs.mapInArrow(cut, "block int, body binary").groupBy("block").applyInArrow(count, "deal int, body binary")
@@ -151,7 +180,7 @@ def _summed(counts: DataFrame) -> DataFrame:
         ids, times = [], []
         for body in table.column("body").to_pylist():
             first, step, n = unpack_arrays(body)
-            ids.append(np.cumsum(step) + first[0])
+            ids.append(_from_steps(first, step))
             times.append(n)
         doc, inverse = np.unique(np.concatenate(ids), return_inverse=True)
         return pa.table({"i": doc, "shared": np.bincount(inverse, np.concatenate(times)).astype(np.int64)})
@@ -251,40 +280,24 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
-def _lists_in_order(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """(id, n, component, place of the list's head) of the entries by list; the head has the least order number."""
-    key, one, n, c = (table.column(x).to_numpy() for x in ("key", "id", "n", "c"))
-    order = np.lexsort((mix(one.view(U64)), key))
-    key, one, n, c = key[order], one[order], n[order], c[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    first = np.flatnonzero(new)
-    return one, n, c, np.repeat(first, np.diff(np.append(first, len(key))))
-
+def with_heads(entries: DataFrame) -> DataFrame:
+    """entries (key, id, n) of lists with several members, with the list's head and its size; the head has the least order number."""
+    order = F.xxhash64("id")
+    heads = entries.groupBy("key").agg(F.count("*").alias("k"), F.min_by("id", order).alias("head"), F.min_by("n", order).alias("head_n")).where("k > 1").drop("k")
+    return entries.join(heads, "key")
 
-def centre_votes(entries: DataFrame, lists: int) -> DataFrame:
-    """(a, b): each member of a list with the list's head, where their sizes allow a link."""
 
-    def work(table: pa.Table) -> pa.Table:
-        one, n, _, head = _lists_in_order(table)
-        ok = (one != one[head]) & (5 * np.minimum(n, n[head]).astype(np.int64) >= 4 * np.maximum(n, n[head]).astype(np.int64))
-        return pa.table({"a": one[ok], "b": one[head[ok]]})
-
-    return entries.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(lists))).groupBy("g").applyInArrow(work, "a long, b long")
+def centre_votes(entries: DataFrame) -> DataFrame:
+    """(a, b, v): in how many lists a set stands with the head b, where their sizes allow a link."""
+    near = 5 * F.least("n", "head_n").cast("long") >= 4 * F.greatest("n", "head_n").cast("long")
+    return entries.where((F.col("id") != F.col("head")) & near).groupBy(F.col("id").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("v"))
 
 
-def unsettled_groups(entries: DataFrame, lists: int) -> DataFrame:
+def unsettled_groups(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """(head, id): the members of all lists with more than one component, lists with one head put together."""
-
-    def work(table: pa.Table) -> pa.Table:
-        one, _, c, head = _lists_in_order(table)
-        mixed = np.zeros(len(one), bool)
-        mixed[head[c != c[head]]] = True
-        open_ = mixed[head]
-        pairs = np.unique(np.column_stack([one[head[open_]], one[open_]]), axis=0)
-        return pa.table({"head": pairs[:, 0].astype(np.int64), "id": pairs[:, 1].astype(np.int64)})
-
-    return entries.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(lists))).groupBy("g").applyInArrow(work, "head long, id long").distinct()
+    placed = entries.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("c"))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
+    return entries.join(mixed, "key", "left_semi").select("head", "id").distinct()
 
 
 def local_links(ids: np.ndarray, bodies: list[bytes]) -> list[tuple[int, int]]:
@@ -359,15 +372,10 @@ def link_classes(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     groups = all_sets.where("n > 0").groupBy("hi", "lo")
     sets = written(groups.agg(F.min("id").alias("id"), F.max("tokens").alias("tokens")).where("tokens is not null").select("id", "tokens"), "representatives")
     lists = max(8, blocks)
-    raw = list_entries(sets, boundary(mean_list), hot)
-    shared = raw.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    entries = written(raw.join(shared, "key", "left_semi"), "lists")
-    votes = centre_votes(entries.withColumn("c", F.col("id")), lists).groupBy("a", "b").agg(F.count("*").alias("v"))
-    best = votes.groupBy("a").agg(F.max_by("b", F.struct("v", "b")).alias("b"))
+    entries = written(with_heads(list_entries(sets, boundary(mean_list), hot)), "lists")
+    best = centre_votes(entries).groupBy("a").agg(F.max_by("b", F.struct("v", "b")).alias("b"))
     first = written(linked_pairs(best, sets), "pairs")
-    labels = components(first)
-    placed = entries.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    rest = written(group_links(unsettled_groups(placed, lists), sets, 4 * lists), "pairs")
+    rest = written(group_links(unsettled_groups(entries, components(first)), sets, 4 * lists), "pairs")
     labels = components(first.union(rest))
     named = groups.agg(F.min("id").alias("rep")).join(labels, F.col("rep") == F.col("node"), "left").select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.coalesce("component", "rep").alias("k"))
     out = all_sets.join(named, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")) & (F.col("n") > 0), "left")
