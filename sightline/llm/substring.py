@@ -10,7 +10,8 @@ and is checked in that one's block; factors that touch are joined for each docum
 at a factor's border. Factors become spans of words, and the spans go back to the documents.
 
 Equal segments of a task are settled there (all but the first are duplicates), so a hot passage reaches its block
-once for each task. Windows are told apart by a 64-bit anchor and 32 further bits.
+once for each task; the settled ones are dealt to all blocks by document. A task that runs again must therefore see
+its rows in the same order, as a table scan gives them. Windows are told apart by a 64-bit anchor and 32 further bits.
 
 Cases: a null or empty text has no words; a null doc_id sorts before all others; rows with one doc_id are
 ordered by crc32 of the text, and wholly equal rows count as one document; further columns are kept as they are."""
@@ -64,6 +65,13 @@ def _take(bits: np.ndarray, count: np.ndarray, which: np.ndarray) -> np.ndarray:
     return bits[np.repeat(begin - ends + own, own) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
+def _fresh(*sorted_: np.ndarray) -> np.ndarray:
+    """Whether each place differs in any column from the one before it."""
+    out = np.ones(len(sorted_[0]), bool)
+    out[1:] = np.any([x[1:] != x[:-1] for x in sorted_], axis=0)
+    return out
+
+
 class _Pending:
     """Segments of a task that have not been sent yet."""
 
@@ -82,10 +90,14 @@ class _Pending:
         doc_id, tag, start, anchor, count, content, bits = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.bytes = [], 0
         order = np.lexsort((start, tag, doc_id))
+        order = order[_fresh(*(x[order] for x in (doc_id, tag, start, content)))]
         _, first = np.unique(content[order], return_index=True)
         keep = np.zeros(len(order), bool)
         keep[first] = True
+        # Settled segments meet nothing: they go by document, so that those of a hot passage spread over all blocks.
+        settled = order[~keep]
         block = (anchor[order] >> U64(20)) % U64(self.blocks)
+        block[~keep] = mix(doc_id[settled].view(U64) + tag[settled].astype(U64) * U64(0x9E3779B97F4A7C15)) % U64(self.blocks)
         sent = np.lexsort((~keep, block))  # by block; in it those to match, in order, then the settled ones
         cut = np.searchsorted(block[sent], np.arange(self.blocks + 1, dtype=U64))
         names, bodies = [], []
@@ -118,6 +130,7 @@ def parse_block(bodies: list[bytes], window: int) -> tuple[np.ndarray, np.ndarra
     seg = np.flatnonzero(live)
     order = np.lexsort((start[seg], tag[seg], doc_id[seg]))
     size = count[seg]
+    order = order[_fresh(*(x[order] for x in (doc_id[seg], tag[seg], start[seg], anchor, size)))]  # rows repeated in other tasks
     bit = _take(bit, size, order)
     seg, anchor, size = seg[order], anchor[order], size[order]
     key = mix(np.repeat(anchor, size) + bit.astype(U64) * U64(0x9E3779B97F4A7C15))

@@ -53,6 +53,30 @@ def test_substrings(spark, odd, empty):
     got = {(r.doc_id, r.n_words, r.n_removed) for r in remove_duplicates(odd).collect()}
     assert {(4, 60, 0), (5, 60, 60), (6, 62, 60), (1, 0, 0), (9, 30_000, 29_999)} <= got
     assert remove_duplicates(empty).count() == 0
+    repeated = spark.createDataFrame([(1, PASSAGE), (1, PASSAGE)], "doc_id long, text string").repartition(2)
+    assert {r.n_removed for r in remove_duplicates(repeated).collect()} == {0}  # one document, given twice
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_substrings_against_brute_force(spark, partitions):
+    rng = np.random.default_rng(5)
+    hot = [f"h{x}" for x in range(45)]
+    rows = []
+    for i in range(60):
+        own = [f"w{x}" for x in rng.integers(0, 300, int(rng.integers(0, 40)))]
+        at = int(rng.integers(0, len(own) + 1))
+        rows.append((i, " ".join(own[:at] + (hot[int(rng.integers(0, 9)) :] if i % 3 else []) + own[at:])))
+    seen, expected = set(), {}
+    for i, text in rows:
+        own = text.split()
+        gone = np.zeros(len(own), bool)
+        for k in range(len(own) - 19):
+            if tuple(own[k : k + 20]) in seen:
+                gone[k : k + 20] = True
+            seen.add(tuple(own[k : k + 20]))
+        expected[i] = (len(own), int(gone.sum()), " ".join(w for w, g in zip(own, gone, strict=True) if not g))
+    got = remove_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == expected
 
 
 def test_jaccard(spark, odd, empty):
