@@ -1,12 +1,14 @@
-"""Operator 1: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Operator 1: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
-1. The n-grams of all test items are counted over all documents (one vector of counts for each task).
-2. Seeds of an item are its rarer n-grams: those whose count is at most its median one, or RARE at most.
-   So every item with n words has seeds, whatever the corpus repeats, and edited copies keep some of them.
-3. Each document place that holds a seed of an item opens a passage around it; overlapping ones of one item join.
+1. Seeds of an item are all its n-grams, however often documents hold them.
+2. Each document place that holds a seed of an item opens a passage around it; overlapping ones of one item join.
+3. A passage that lacks so many of the item's words that no alignment can reach THRESHOLD is left out: a matched word
+   gives 2 of the 2 * item words points, so THRESHOLD of the item's words must stand in it. Nothing else is left out.
 4. The passage is aligned to the item word by word (match +2, else -1, gap -1). Score over 2 * item words is the coverage; at
    THRESHOLD and more the document is contaminated by the item.
 
+A copy that keeps no n words of an item in a row has no seed, whatever its coverage.
+
 The items go to all tasks only while their text is at most MAX_ITEM_BYTES; a larger benchmark is worked in several
 passes of that size. Words are compared in lower case without punctuation at their ends.
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import U64, Words, arrow_rows, gram_hash, per_chunk, read_table, text_of, within
+from sightline.llm.common import U64, Words, gram_hash, per_chunk, read_table, text_of, within
 
 GRAM = 3
 RARE = 3
@@ -80,9 +82,9 @@ class Items:
         self.grams, index = np.unique(hashes, return_inverse=True)
         self.item, self.index = item, index
 
-    def seeds(self, counts: np.ndarray, rare: int = RARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(gram hash, item, place) of the seeds, by hash."""
-        own = counts[self.index]
+    def seeds(self, counts: np.ndarray | None = None, rare: int = RARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(gram hash, item, place) of the seeds, by hash: all grams, or with counts the rarer ones of each item only."""
+        own = np.zeros(len(self.index), np.int64) if counts is None else counts[self.index]
         first = np.flatnonzero(np.diff(self.item, prepend=-1))  # self.item is in order
         size = np.diff(np.append(first, len(own)))
         ranked = own[np.lexsort((own, self.item))]
@@ -105,28 +107,6 @@ def _members(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return hit
 
 
-def gram_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """How often all documents hold each gram of the items."""
-    shared = docs.sparkSession.sparkContext.broadcast(items.grams)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value), np.int64)
-        for _, data, offsets in per_chunk(batches):
-            words = plain_words(data, offsets)
-            ok = within(words.doc, GRAM)
-            grams = gram_hash(words.hash, GRAM)[ok]
-            grams = grams[_members(shared.value, grams)]
-            np.add.at(total, np.searchsorted(shared.value, grams), 1)
-        at = np.flatnonzero(total)
-        yield arrow_rows(gram=at.astype(np.int64), n=total[at])
-
-    rows = docs.select(text_of().alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(len(items.grams), np.int64)
-    for r in rows:
-        counts[r.gram] = r.n
-    return counts
-
-
 def _passages(place: np.ndarray, anchor: np.ndarray, item_words: int, doc_words: int) -> list[tuple[int, int]]:
     """Joined ranges of words around seeds found at `place`, which stand at `anchor` in the item."""
     slack = 4 + item_words // 3
@@ -141,7 +121,7 @@ def _passages(place: np.ndarray, anchor: np.ndarray, item_words: int, doc_words:
 
 
 def _match(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
-    seeds, item, anchor = items.seeds(gram_counts(docs, items))
+    seeds, item, anchor = items.seeds()
     shared = docs.sparkSession.sparkContext.broadcast((seeds, item, anchor, items.words, pa.array(items.ids, pa.int64())))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,9 +144,12 @@ def _match(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
                 for x, y in zip(new.tolist(), np.append(new[1:], len(key)).tolist(), strict=True):
                     d, w = int(doc[x]), int(who[x])
                     first, last = int(words.first[d]), int(words.first[d + 1])
-                    best = (0, 0, 0)
+                    least, best = threshold * len(item_words[w]), (0, 0, 0)
                     for low, high in _passages(at[key[x:y]] - first, anchor[entry[key[x:y]]], len(item_words[w]), last - first):
-                        score, begin, end = alignment(item_words[w], words.hash[first + low : first + high])
+                        passage = words.hash[first + low : first + high]
+                        if np.isin(item_words[w], passage).sum() < least:
+                            continue
+                        score, begin, end = alignment(item_words[w], passage)
                         best = max(best, (score, low + begin, low + end))
                     score = best[0] / (MATCH * len(item_words[w]))
                     if score >= threshold:

@@ -132,6 +132,15 @@ def test_decontamination_finds_edited_copies(spark, odd, empty):
     assert contaminated(empty, bench).count() == 0 and contaminated(odd, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_edited_copies_whatever_repeats(spark):
+    bench = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    edited = " ".join(w if i % 5 else "changed" for i, w in enumerate(PASSAGE.split()))
+    for exact, copies in ((4, 1), (0, 9)):
+        docs = spark.createDataFrame([(i, PASSAGE if i < exact else edited) for i in range(exact + copies)], "doc_id long, text string")
+        got = {r.doc_id: r.score for r in contaminated(docs, bench).collect()}
+        assert sorted(got) == list(range(exact + copies)) and 0.5 <= got[exact] < 0.8
+
+
 def test_automaton_and_language(spark, odd, empty):
     symbols = [1, 2, 1, 3, 1, 2]
     table = suffix_automaton(symbols, 4)
