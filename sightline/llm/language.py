@@ -13,6 +13,7 @@ row all are `und`; a null doc_id is never held out by chance: its remainder is t
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,8 @@ PIECE = 256
 UNKNOWN = "und"
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions (states x width, -1: none) of the automaton of all substrings; state 0 is its start."""
+def automaton_moves(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions (symbol: state) of each state of the automaton of all substrings; state 0 is its start."""
     moves, link, length = [{}], [-1], [0]
     last = 0
     for s in symbols:
@@ -57,51 +58,96 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
+    return moves
+
+
+def move_table(moves: list[dict[int, int]], width: int) -> np.ndarray:
+    """Transitions by symbols below width (states x width, -1: none)."""
     table = np.full((len(moves), width), -1, np.int32)
     for state, own in enumerate(moves):
         for s, to in own.items():
-            table[state, s] = to
+            if s < width:
+                table[state, s] = to
     return table
 
 
+def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
+    """Transitions (states x width, -1: none) of the automaton of all substrings; state 0 is its start."""
+    return move_table(automaton_moves(symbols), width)
+
+
 class CrossParser:
-    """Automata of several languages over one alphabet: the most frequent letters of the training text; other letters are one
-    symbol that no automaton knows, and everything that is no letter is one separator."""
+    """Automata of several languages, each over all letters of its own training text. A letter that a language lacks is one
+    symbol that its automaton doesn't know, and everything that is no letter is one separator.
+
+    The moves by a language's `alphabet` - 2 most frequent letters are a table, those by its other letters a sorted list."""
 
     def __init__(self, texts: dict[str, str], alphabet: int = ALPHABET):
         self.names = sorted(texts)
-        counts: dict[str, int] = {}
-        for text in texts.values():
-            for c in text.lower():
-                if c.isalpha():
-                    counts[c] = counts.get(c, 0) + 1
-        letters = sorted(counts, key=lambda c: (-counts[c], c))[: alphabet - 2]
-        self.symbol = {ord(c): i + 2 for i, c in enumerate(letters)}
-        self.width = len(letters) + 2
-        self.classes: np.ndarray | None = None
-        tables = []
+        own: list[list[str]] = []
         for name in self.names:
-            table = suffix_automaton([s for s in self.symbols(texts[name]).tolist() if s], self.width)
+            counts = Counter(c for c in texts[name].lower() if c.isalpha())
+            own.append(sorted(counts, key=lambda c: (-counts[c], c)))
+        #: 0: a letter of no language; 1: separator.
+        self.symbol = {ord(c): i + 2 for i, c in enumerate(sorted({c for letters in own for c in letters}))}
+        self.kind = np.min_scalar_type(len(self.symbol) + 2)
+        self.classes: np.ndarray | None = None
+        self.tables, self.widths, self.locals, self.rare = [], [], [], []
+        for name, letters in zip(self.names, own, strict=True):
+            local = np.zeros(len(self.symbol) + 2, np.int32)
+            local[1] = 1
+            local[[self.symbol[ord(c)] for c in letters]] = np.arange(len(letters)) + 2
+            width = min(len(letters), alphabet - 2) + 2
+            moves = automaton_moves(local[self.symbols(texts[name])].tolist())
+            table = move_table(moves, width)
             # A state without a move goes on from the start with a new phrase: marked by a bit.
             start = np.where(table[0] >= 0, table[0], 0)
-            tables.append(np.where(table >= 0, table * 2, start[None, :] * 2 + 1).astype(np.int32))
-        self.tables = [t.ravel() for t in tables]
+            self.tables.append(np.where(table >= 0, table * 2, start[None, :] * 2 + 1).astype(np.int32).ravel())
+            self.widths.append(width)
+            self.locals.append(local)
+            self.rare.append(self._rare_moves(moves, width, len(letters) + 2))
+
+    @staticmethod
+    def _rare_moves(moves: list[dict[int, int]], width: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(state * size + symbol in order, state after it, state after each symbol from the start) for the symbols beyond the table."""
+        if size == width:
+            return None
+        found = np.array(sorted((state * size + s, to) for state, own in enumerate(moves) for s, to in own.items() if s >= width), np.int64)
+        return found[:, 0], found[:, 1].astype(np.int32), np.array([moves[0].get(s, 0) for s in range(size)], np.int32)
 
     def symbols(self, text: str) -> np.ndarray:
-        """1: separator; 0: a letter outside the alphabet; others: letters."""
+        """1: separator; 0: a letter of no language; others: letters."""
         if self.classes is None:
-            self.classes = np.zeros(0x3000, np.uint8)
+            self.classes = np.zeros(0x3000, self.kind)
             for i in range(len(self.classes)):
-                self.classes[i] = self.symbol.get(i, 0) if chr(i).isalpha() else 1
+                self.classes[i] = self._class(i)
         codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         out = self.classes[np.minimum(codes, len(self.classes) - 1)]
-        if (codes >= len(self.classes)).any():
-            for i in np.flatnonzero(codes >= len(self.classes)).tolist():
-                out[i] = 0 if chr(codes[i]).isalpha() else 1
+        high = codes >= len(self.classes)
+        if high.any():
+            code, index = np.unique(codes[high], return_inverse=True)
+            out[high] = np.array([self._class(c) for c in code.tolist()], self.kind)[index]
         # Runs of separators count as one.
         gap = out == 1
         return out[~(gap & np.concatenate([[False], gap[:-1]]))] if len(out) else out
 
+    def _class(self, code: int) -> int:
+        return self.symbol.get(code, 0) if chr(code).isalpha() else 1
+
+    def _step(self, k: int, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """2 * state after the symbols in language k, + 1 where a new phrase begins."""
+        local, width = self.locals[k][symbols], self.widths[k]
+        if self.rare[k] is None:
+            return self.tables[k][state * width + local]
+        beyond = np.flatnonzero(local >= width)
+        out = self.tables[k][state * width + np.where(local < width, local, 0)]
+        if len(beyond):
+            keys, after, start = self.rare[k]
+            key = state[beyond].astype(np.int64) * len(start) + local[beyond]
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            out[beyond] = np.where(keys[at] == key, after[at] * 2, start[local[beyond]] * 2 + 1)
+        return out
+
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases of each text by each language, letters of each text)."""
         parts = [self.symbols(t or "") for t in texts]
@@ -112,21 +158,22 @@ class CrossParser:
         out = np.zeros((len(texts), len(self.names)), np.int64)
         if not len(owner):
             return out, letters
-        grid = np.full(len(owner) * PIECE, 255, np.uint8)
+        blank = np.iinfo(self.kind).max
+        grid = np.full(len(owner) * PIECE, blank, self.kind)
         flat, to = np.concatenate(parts), np.repeat((np.cumsum(pieces) - pieces) * PIECE - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
         grid[to] = flat
         grid = grid.reshape(len(owner), PIECE)
-        length = (grid != 255).sum(1)
+        length = (grid != blank).sum(1)
         order = np.argsort(-length, kind="stable")
         columns, owner, length = np.ascontiguousarray(grid[order].T), owner[order], length[order]
         live = np.searchsorted(-length, -np.arange(PIECE), "left")
-        for k, table in enumerate(self.tables):
+        for k in range(len(self.names)):
             state, count = np.zeros(len(owner), np.int32), np.ones(len(owner), np.int32)
             for i in range(PIECE):
                 n = live[i]
                 if not n:
                     break
-                found = table[state[:n] * self.width + columns[i, :n]]
+                found = self._step(k, state[:n], columns[i, :n])
                 count[:n] += found & 1
                 state[:n] = found >> 1
             out[:, k] = np.bincount(owner, count, minlength=len(texts)).astype(np.int64)

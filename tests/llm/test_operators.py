@@ -162,6 +162,21 @@ def test_automaton_and_language(spark, odd, empty):
     assert {r.lang_pred for r in identify(odd, fit(empty)).collect()} == {"und"}
 
 
+def test_languages_of_large_and_of_several_alphabets():
+    rng = np.random.default_rng(8)
+    letters = {"ar": (0x627, 28), "el": (0x3B1, 17), "en": (97, 26), "hi": (0x905, 50), "ja": (0x3041, 80), "ko": (0xAC00, 700), "ru": (0x430, 32), "zh": (0x4E00, 900)}
+    text, probe = {}, {}
+    for name, (first, n) in letters.items():
+        own = ["".join(chr(first + int(c)) for c in rng.integers(0, n, 3)) for _ in range(300)]
+        text[name], probe[name] = (" ".join(own[int(i)] for i in rng.integers(0, 300, size)) for size in (3000, 12))
+    # Two languages of one script, with the same letters in other words.
+    text["z2"], probe["z2"] = text["zh"][::-1], probe["zh"][::-1]
+    parser = CrossParser(text)
+    assert parser.predict([*probe.values()])[0] == [*probe]
+    few = CrossParser(text, alphabet=5)  # how many letters the table holds makes no difference
+    assert all((a == b).all() for a, b in zip(parser.phrases([*probe.values()]), few.phrases([*probe.values()]), strict=True))
+
+
 def test_exchange_finds_two_classes():
     n = np.zeros((8, 8), int)  # members 0-3 and 4-7 follow members of the same half
     n[:4, :4] = n[4:, 4:] = 50
