@@ -19,7 +19,7 @@ from sightline.llm.media import Sniffer, sniff_media, store_text_media, wav_dige
 from sightline.llm.packing import best_fit, pack_documents
 from sightline.llm.records import fetch, frame, read_digests, read_records, unframe, write_records
 from sightline.llm.substring import remove_duplicates
-from sightline.llm.toxicity import fit as fit_toxic, score_toxicity
+from sightline.llm.toxicity import CLASSES, fit as fit_toxic, score_toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_removed string, item string"
 PASSAGE = " ".join(f"word{i}" for i in range(60))
@@ -254,6 +254,21 @@ def test_toxicity(spark, odd, empty):
     assert score_toxicity(odd, fit_toxic(docs, labels.limit(0))).count() == 11
 
 
+def test_toxicity_restores_signs_at_the_ends():
+    from sightline.llm.toxicity import Restorer, suspicious
+
+    def restored(text, plain):
+        seen = np.frombuffer(b" ".join([plain] * 50), np.uint8)
+        kind = CLASSES[seen]
+        counts = np.bincount((kind[:-2] * 64 + kind[1:-1]) * 64 + kind[2:], minlength=1 << 18)
+        raw = np.frombuffer(text, np.uint8)
+        return {Restorer(counts).restore(t) for _, t in suspicious(raw, Words(raw, np.array([0, len(raw)]), hashes=False))}
+
+    for token, word in ((b"a$$", b"ass"), (b"shi7", b"shit"), (b"dumb4$$", b"dumbass"), (b"a$$!", b"ass"), (b"bana!", b"banai"), (b"(razy!", b"crazy"), (b"(1d10t!)", b"idiot"), (b"\"p00,", b"poo")):
+        assert word in restored(b"say " + token + b" now", word), token
+    assert restored(b"a plain line, no more.", b"plain") == set()
+
+
 def test_licenses(spark, odd, empty):
     rows = [(i, f"some text {i} " + t.lower() + " and more words after it") for i, t in enumerate(TEMPLATES.values())]
     got = {(r.doc_id, r.license) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
