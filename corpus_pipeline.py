@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and read again as the next one's input.
 
 1. language ID: documents without a letter (language `und`) go.
-2. near duplicates: of each group of linked documents the one with the least doc_id stays.
+2. near duplicates: of each group of linked documents the one with the least doc_id stays; without a doc_id, one of them.
 3. substring dedup: repeated passages are cut out; a document of which nothing is left goes, others lose no clean word.
 4. benchmark decontamination: documents that hold a test item go.
 5. best-fit packing: what is left, packed into sequences.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm.common import crc_remainder, read_table, shared_dir
 from sightline.llm.decontaminate import contaminated
-from sightline.llm.jaccard import link_classes
+from sightline.llm.jaccard import without_copies
 from sightline.llm.language import UNKNOWN, fit, identify
 from sightline.llm.packing import pack_documents
 from sightline.llm.substring import remove_duplicates
@@ -31,9 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a null doc_id stay: they belong to no group."""
-    extra = link_classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*COLUMNS)
+    return without_copies(docs.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

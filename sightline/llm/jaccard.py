@@ -2,7 +2,7 @@
 
 1. Filter. In hash order, a linked set shares a known share of its first 30 % with its partner's. These shingles
    go to blocks by hash; a document that shares fewer of them than any link needs has no link.
-2. Sets. Those that pass keep their whole set (40-bit hashes). Equal sets become one representative, the least doc_id.
+2. Sets. Those that pass keep their whole set (40-bit hashes). Equal sets become one representative, the least row.
 3. Lists. Shingles known as frequent come last in the order. A small (light) set enumerates the 2-subsets of
    its prefix: two linked sets share at least one. Large (heavy) sets are put on the inverted list of each shingle of their
    prefix. The boundary is where a light set's subsets cost as much as a heavy one's list scans, by the
@@ -14,7 +14,8 @@
    joins two components is missed. Checks are exact set intersections.
 
 Cases: null or empty texts have the empty set and link with nothing; rows with one doc_id are one document;
-a null doc_id is a document of its own with a null component, unless linked; further columns are ignored."""
+a null doc_id is a document of its own; the component is the least doc_id of those linked that have one, else null. Nodes are
+sets, not doc_ids, so rows with one doc_id or none don't link what their texts don't; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -202,7 +203,7 @@ def opened_set(body: bytes) -> np.ndarray:
 
 
 def _sets_of(rows: DataFrame) -> DataFrame:
-    """(id, n, hi, lo, tokens) of rows (id, text, shared); tokens only where a link is possible."""
+    """(id, t1, t2, n, hi, lo, tokens) of rows (id, t1, t2, text, shared); tokens only where a link is possible."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in per_chunk(batches):
@@ -212,9 +213,9 @@ def _sets_of(rows: DataFrame) -> DataFrame:
             shared = batch.column("shared").to_numpy(zero_copy_only=False)
             may = (size > 0) & (shared >= needed(size))
             sets = [packed_set(hashes[at[i] : at[i + 1]]) if may[i] else None for i in range(batch.num_rows)]
-            yield arrow_rows(id=batch.column("id"), n=size.astype(np.int64), hi=as_signed(hi), lo=as_signed(lo), tokens=pa.array(sets, pa.binary()))
+            yield arrow_rows(id=batch.column("id"), t1=batch.column("t1"), t2=batch.column("t2"), n=size.astype(np.int64), hi=as_signed(hi), lo=as_signed(lo), tokens=pa.array(sets, pa.binary()))
 
-    return rows.mapInArrow(build, "id long, n long, hi long, lo long, tokens binary")
+    return rows.mapInArrow(build, "id long, t1 long, t2 long, n long, hi long, lo long, tokens binary")
 
 
 def prefix_length(size: np.ndarray, least: int = 1) -> np.ndarray:
@@ -361,26 +362,59 @@ def group_links(groups: DataFrame, sets: DataFrame, buckets: int, block: int = B
     return rows.groupBy("g").applyInArrow(work, "a long, b long")
 
 
-def link_classes(docs: DataFrame, blocks: int | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
+def text_keys() -> list[F.Column]:
+    """128 bits of the text, as columns t1 and t2."""
+    return [F.xxhash64(text_of()).alias("t1"), F.xxhash64(F.lit(1), text_of()).alias("t2")]
+
+
+def _linked(docs: DataFrame, blocks: int | None = None) -> DataFrame:
+    """(id, t1, t2, n, first) for each row of docs (doc_id, text); id: NO_ID if null. first: (none, id, t1, t2) of the first row that it is
+    linked with, rows that have a doc_id first, or its own."""
     blocks = blocks or int(min(max(bytes_of(docs) // BLOCK_BYTES, 8), 1 << 20))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_of().alias("text"))
-    counts = written(shared_counts(rows, blocks, max(8, blocks // 4)), "shared")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), *text_keys(), text_of().alias("text"))
+    counts = written(shared_counts(rows.select("id", "text"), blocks, max(8, blocks // 4)), "shared")
     mean_list, hot = _statistics(counts.where("deal = -1").select("body"))
     flags = _summed(counts)
-    all_sets = written(_sets_of(rows.join(flags, F.col("id") == F.col("i"), "left").select("id", "text", F.coalesce("shared", F.lit(0)).alias("shared"))), "sets")
+    flagged = rows.join(flags, F.col("id") == F.col("i"), "left").select("id", "t1", "t2", "text", F.coalesce("shared", F.lit(0)).alias("shared"))
+    # Numbered as written, so the numbers stay: a set's node is its least row.
+    all_sets = written(_sets_of(flagged).withColumn("row", F.monotonically_increasing_id()), "sets")
+    own = F.struct((F.col("id") == NO_ID).alias("none"), "id", "t1", "t2")
     groups = all_sets.where("n > 0").groupBy("hi", "lo")
-    sets = written(groups.agg(F.min("id").alias("id"), F.max("tokens").alias("tokens")).where("tokens is not null").select("id", "tokens"), "representatives")
+    first_of = F.min(own).alias("own")
+    named_sets = written(groups.agg(F.min("row").alias("node"), F.max("tokens").alias("tokens"), first_of).where("tokens is not null"), "representatives")
+    sets = named_sets.select(F.col("node").alias("id"), "tokens")
     lists = max(8, blocks)
     entries = written(with_heads(list_entries(sets, boundary(mean_list), hot)), "lists")
     best = centre_votes(entries).groupBy("a").agg(F.max_by("b", F.struct("v", "b")).alias("b"))
     first = written(linked_pairs(best, sets), "pairs")
     rest = written(group_links(unsettled_groups(entries, components(first)), sets, 4 * lists), "pairs")
-    labels = components(first.union(rest))
-    named = groups.agg(F.min("id").alias("rep")).join(labels, F.col("rep") == F.col("node"), "left").select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.coalesce("component", "rep").alias("k"))
+    labels = written(components(first.union(rest)), "labels")
+    least = labels.join(named_sets.select("node", "own"), "node").groupBy("component").agg(F.min("own").alias("least"))
+    found = labels.join(least, "component").select(F.col("node").alias("m"), "least")
+    named = groups.agg(F.min("row").alias("node"), first_of).join(found, F.col("node") == F.col("m"), "left").select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.coalesce("least", "own").alias("least"))
     out = all_sets.join(named, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")) & (F.col("n") > 0), "left")
+    return out.select("id", "t1", "t2", "n", F.coalesce("least", own).alias("first"))
+
+
+def link_classes(docs: DataFrame, blocks: int | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
     none = F.lit(NO_ID)
-    return out.select(F.nullif("id", none).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("k", "id"), none).alias("component_id"))
+    return _linked(docs, blocks).select(F.nullif("id", none).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("first.id", none).alias("component_id"))
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text and others) with one document of each linked group, the first by doc_id, nulls last. Rows of one doc_id
+    and one text are one document and stay together; rows of one text without a doc_id are copies."""
+    linked = _linked(docs.select("doc_id", "text")).where("struct(id = %d, id, t1, t2) <> first" % NO_ID)
+    extra = written(linked.select(F.nullif("id", F.lit(NO_ID)).alias("i"), F.col("t1").alias("x1"), F.col("t2").alias("x2")).distinct(), "copies")
+    t1, t2 = text_keys()
+    keyed = docs.select("*", t1, t2)
+    same = (F.col("t1") == F.col("x1")) & (F.col("t2") == F.col("x2"))
+    by_id = keyed.where("doc_id is not null").join(extra.where("i is not null"), (F.col("doc_id").cast("long") == F.col("i")) & same, "left_anti")
+    nameless = keyed.where("doc_id is null")
+    worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))  # others have the empty set, which links with nothing
+    once = nameless.where(worded).join(extra.where("i is null"), same, "left_anti").dropDuplicates(["t1", "t2"])
+    return by_id.union(once).union(nameless.where(~worded)).select(*docs.columns)
 
 
 def _statistics(stats: DataFrame) -> tuple[float, np.ndarray]:

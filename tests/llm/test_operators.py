@@ -112,6 +112,22 @@ def test_jaccard_against_brute_force(spark):
     assert got == {i: root(i) for i in range(len(rows))}
 
 
+def test_jaccard_takes_rows_apart_that_share_an_id_or_have_none(spark):
+    from corpus_pipeline import near_duplicates
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a + " tail"
+    rows = [(None, a), (None, b), (None, b), (11, a), (12, near), (21, b), (22, b), (30, a), (30, c), (40, c), (None, "lone words"), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id or 0, r.component_id or 0) for r in link_classes(docs).collect()))
+    assert got == sorted([(0, 11), (0, 21), (0, 21), (11, 11), (12, 11), (21, 21), (22, 21), (30, 11), (30, 30), (40, 30), (0, 0), (0, 0), (0, 0)])
+    left = [(r.doc_id, r.text) for r in near_duplicates(spark, docs, "").collect()]
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert sorted(left, key=key) == sorted([(11, a), (21, b), (30, c), (None, "lone words"), (None, ""), (None, None)], key=key)
+    nameless = docs.where("doc_id is null and text like 'b%'").union(docs.where("doc_id = 12").selectExpr("cast(null as long)", "text", "lang", "source", "n_chars"))
+    assert sorted(r.text[0] for r in near_duplicates(spark, nameless, "").collect()) == ["a", "b"]
+
+
 def test_alignment_against_a_plain_matrix():
     rng = np.random.default_rng(4)
     for _ in range(30):
