@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,11 +58,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, from spark.checkpoint.dir; set to a local one only where it is unset."""
+    """The folder that the driver and all executors see, from spark.checkpoint.dir. Only a local session may do without one: it gets
+    a temporary folder; on a cluster that would be another disk for each executor, so it is an error there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sightline-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -198,26 +201,107 @@ def schema_with(df: DataFrame, added: dict[str, str]) -> T.StructType:
     return T.StructType([*df.schema.fields, *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in added.items())).fields])
 
 
-def pack_arrays(*arrays: np.ndarray) -> bytes:
+class Steps:
+    """A column that is packed as its differences, in as few bytes as they need; good where neighbours are close."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    low, high = (int(x.min()), int(x.max())) if len(x) else (0, 0)
+    return x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+def pack_arrays(*arrays: np.ndarray | Steps) -> bytes:
     """Arrays as one run of bytes."""
-    head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), len(a)))], "<i8")
-    return b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+    head, parts = [len(arrays)], []
+    for a in arrays:
+        step, first = isinstance(a, Steps), 0
+        if step:
+            values = a.values.astype(np.int64)
+            first = int(values[0]) if len(values) else 0
+            a = _narrow(np.diff(values, prepend=first))
+        head += [ord(a.dtype.char), len(a), int(step), first]
+        parts.append(np.ascontiguousarray(a).tobytes())
+    return b"".join([np.array(head, "<i8").tobytes(), *parts])
 
 
 def unpack_arrays(body: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(body, "<i8", 1)[0])
-    head = np.frombuffer(body, "<i8", 2 * n, 8)
-    out, at = [], 8 + 16 * n
-    for code, size in head.reshape(-1, 2).tolist():
-        out.append(np.frombuffer(body, chr(code), size, at))
-        at += out[-1].nbytes
+    head = np.frombuffer(body, "<i8", 4 * n, 8)
+    out, at = [], 8 + 32 * n
+    for code, size, step, first in head.reshape(-1, 4).tolist():
+        own = np.frombuffer(body, chr(code), size, at)
+        at += own.nbytes
+        out.append(np.cumsum(own, dtype=np.int64) + first if step else own)
     return out
 
 
-def bytes_of(df: DataFrame) -> int:
-    """What the plan's statistics say of the size of df's input files; 0 if they don't know."""
-    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return found if found < 1 << 60 else 0
+def merged(bodies: list[bytes]) -> list[np.ndarray]:
+    """The arrays of several bodies, each put together."""
+    return [np.concatenate(x) for x in zip(*map(unpack_arrays, bodies), strict=True)]
+
+
+def block_of(key: np.ndarray, blocks: int) -> np.ndarray:
+    return (mix(key + U64(7)) % U64(blocks)).astype(np.int64)
+
+
+def packed_runs(*streams: tuple[np.ndarray, list[np.ndarray | Steps]]) -> pa.RecordBatch:
+    """Rows (block, body), one for each bucket that has entries. A stream is (bucket of each entry, columns); entries keep their order.
+
+    The work is that of sorting the entries and of the buckets that occur; it doesn't grow with the number of blocks."""
+    placed = []
+    for bucket, columns in streams:
+        low = int(bucket.min()) if len(bucket) else 0
+        near = bucket - low
+        order = np.argsort(near.astype(np.uint16) if not len(near) or near.max() < 1 << 16 else near, kind="stable")
+        placed.append((bucket[order], [Steps(c.values[order]) if isinstance(c, Steps) else c[order] for c in columns]))
+    names = np.unique(np.concatenate([b for b, _ in placed]))
+    cuts = [np.searchsorted(b, np.append(names, names[-1:] + 1)).tolist() for b, _ in placed]
+    bodies = []
+    for k in range(len(names)):
+        own = []
+        for (_, columns), cut in zip(placed, cuts, strict=True):
+            own += [Steps(c.values[cut[k] : cut[k + 1]]) if isinstance(c, Steps) else c[cut[k] : cut[k + 1]] for c in columns]
+        bodies.append(pack_arrays(*own))
+    return arrow_rows(block=names.astype(np.int64), body=pa.array(bodies, pa.binary()))
+
+
+FAN = 256
+
+
+def deal_widths(blocks: int, fan: int = FAN) -> list[int]:
+    """How many blocks a bucket of each dealing holds: a run of rows meets about `fan` buckets at each, however many blocks there are."""
+    widths = [1]
+    while -(-blocks // widths[0]) > fan:
+        widths.insert(0, widths[0] * fan)
+    return widths
+
+
+def dealt_on(rows: DataFrame, widths: list[int], streams: Callable[[list[bytes], int], list], flush_bytes: int) -> DataFrame:
+    """Rows (block, body) by buckets of widths[0] blocks, dealt on to single blocks. streams(bodies, width) gives what packed_runs takes."""
+    for width in widths[1:]:
+
+        def deal(batches: Iterator[pa.RecordBatch], width: int = width) -> Iterator[pa.RecordBatch]:
+            held, size, last = [], 0, None
+            for batch in batches:
+                for block, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                    if held and (block != last or size >= flush_bytes):
+                        yield packed_runs(*streams(held, width))
+                        held, size = [], 0
+                    held.append(body)
+                    size, last = size + len(body), block
+            if held:
+                yield packed_runs(*streams(held, width))
+
+        rows = rows.repartition("block").sortWithinPartitions("block").mapInArrow(deal, "block long, body binary")
+    return rows
+
+
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    """Bytes of a text column, counted by a scan of it (plan statistics are unknown or wrong behind most operators)."""
+    return int(df.agg(F.sum(F.octet_length(F.col(column).cast("string")).cast("long"))).first()[0] or 0)
 
 
 def local_path(uri: str) -> tuple["object", str]:
