@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import GRAM_POWERS, U64, Words, arrow_rows, as_signed, bytes_of, gram_hash, mix, pack_arrays, per_chunk, read_table, text_of, unpack_arrays, within, written
+from sightline.llm.common import FAN, GRAM_POWERS, U64, Steps, Words, arrow_rows, as_signed, block_of, deal_widths, dealt_on, gram_hash, merged, mix, pack_arrays, packed_runs, per_chunk, read_table, text_bytes, text_of, unpack_arrays, within, written
 from sightline.llm.graph import components
 
 SHINGLE = 5
 NO_ID = -(1 << 63)
 FLUSH_BYTES = 24 << 20
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 12 << 20
 HOT_TOKENS = 4096
 TOKEN_BITS = 40
 BLOCK_SETS = 2048
@@ -82,16 +82,28 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def _steps(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return ids[:1], np.diff(ids, prepend=ids[:1])
-
-
-def _from_steps(first: np.ndarray, step: np.ndarray) -> np.ndarray:
-    return np.cumsum(step) + first[0] if len(first) else first
-
-
-def shared_counts(docs: DataFrame, blocks: int, deals: int) -> DataFrame:
-    """(deal, body): for documents, how many of their first shingles others have; deal -1: statistics of a block."""
+def shared_counts(docs: DataFrame, blocks: int, fan: int = FAN) -> DataFrame:
+    """(block, body): for documents, how many of their first shingles others have, in blocks of documents; block -1: statistics of the shingles."""
+    widths = deal_widths(blocks, fan)
+
+    def token_streams(width: int, lone: tuple, many: tuple, done: tuple) -> list:
+        """Shingles (block, token, document) that occur once in a run, those (block, token, times) of several of its documents, and
+        documents (id, times) that the run itself has counted."""
+        named = [Steps(x[0]) if width > 1 else np.zeros(0, np.int64) for x in (lone, many)]
+        keep = lambda columns, name: [c for c in columns] + ([name] if width > 1 else [])
+        return [
+            (lone[0] // width, keep([Steps(lone[2]), lone[1].astype(np.uint32)], named[0])),
+            (many[0] // width, keep([many[1].astype(np.uint32), many[2].astype(np.uint32)], named[1])),
+            (block_of(done[0].view(U64), blocks) // width, [Steps(done[0]), done[1].astype(np.uint32)]),
+        ]
+
+    def opened_tokens(bodies: list[bytes], wide: bool) -> tuple[tuple, tuple, tuple]:
+        found = merged(bodies)
+        if wide:
+            ids, token, at, heard, total, where, done, times = found
+        else:
+            (ids, token, heard, total, done, times), at, where = found, np.zeros(0), np.zeros(0)
+        return (at, token, ids), (where, heard, total), (done, times)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -103,35 +115,14 @@ def shared_counts(docs: DataFrame, blocks: int, deals: int) -> DataFrame:
             own = own[np.argsort(ids[own], kind="stable")]
             doc = np.repeat(np.arange(len(own)), sizes[own])
             token = hashes[_ranges(at[own], sizes[own])]
-            block = (token >> U64(TOKEN_BITS)) % U64(blocks)
-            _, first, inverse, n = np.unique((block << U64(32)) | (token & U64(0xFFFFFFFF)), return_index=True, return_inverse=True, return_counts=True)
+            block = ((token >> U64(TOKEN_BITS)) % U64(blocks)).astype(np.int64)
+            _, first, inverse, n = np.unique((block << 32) | (token & U64(0xFFFFFFFF)).astype(np.int64), return_index=True, return_inverse=True, return_counts=True)
             # What the run itself shares is counted here, and goes to its block as one number.
             met = n[inverse] > 1
             times = np.bincount(doc[met], minlength=len(own))
             done = np.flatnonzero(times)
             lone, many = np.flatnonzero(~met), first[n > 1]
-            to = mix(ids[own][done].view(U64)) % U64(blocks)
-            lone, many, done, totals = (x[np.argsort(k, kind="stable")] for x, k in ((lone, block[lone]), (many, block[many]), (done, to), (n[n > 1], block[many])))
-            every = np.arange(blocks + 1, dtype=U64)
-            cuts = [np.searchsorted(k, every) for k in (block[lone], block[many], np.sort(to))]
-            names, bodies = [], []
-            for b in range(blocks):
-                i, j, k = (slice(c[b], c[b + 1]) for c in cuts)
-                if i.start < i.stop or j.start < j.stop or k.start < k.stop:
-                    docs_here, index = np.unique(doc[lone[i]], return_inverse=True)
-                    names.append(b)
-                    bodies.append(
-                        pack_arrays(
-                            *_steps(ids[own][docs_here]),
-                            np.diff(index, prepend=0).astype(np.uint16 if len(docs_here) < 1 << 16 else np.uint32),
-                            token[lone[i]].astype(np.uint32),
-                            token[many[j]].astype(np.uint32),
-                            totals[j].astype(np.uint32),
-                            *_steps(ids[own][done[k]]),
-                            times[done[k]].astype(np.uint32),
-                        )
-                    )
-            return arrow_rows(block=pa.array(names, pa.int32()), body=pa.array(bodies, pa.binary()))
+            return packed_runs(*token_streams(widths[0], (block[lone], token[lone], ids[own][doc[lone]]), (block[many], token[many], n[n > 1]), (ids[own][done], times[done])))
 
         for batch, data, offsets in per_chunk(batches):
             hashes, at = document_sets(Words(data, offsets, lower=True))
@@ -145,48 +136,36 @@ def shared_counts(docs: DataFrame, blocks: int, deals: int) -> DataFrame:
             yield send()
 
     def count(table: pa.Table) -> pa.Table:
-        ids, tokens, many, totals, done, known = [], [], [], [], [], []
-        for body in table.column("body").to_pylist():
-            first, step, index, token, heard, total, first_done, step_done, times = unpack_arrays(body)
-            own = _from_steps(first, step)
-            ids.append(own[np.cumsum(index.astype(np.int64))] if len(index) else own)
-            done.append(_from_steps(first_done, step_done))
-            for to, x in ((tokens, token), (many, heard), (totals, total), (known, times)):
-                to.append(x)
-        ids, tokens, many, totals, done, known = (np.concatenate(x) for x in (ids, tokens, many, totals, done, known))
+        (_, tokens, ids), (_, many, totals), (done, known) = opened_tokens(table.column("body").to_pylist(), False)
         token, inverse = np.unique(np.concatenate([tokens, many]), return_inverse=True)
         n = np.bincount(inverse, np.concatenate([np.ones(len(tokens)), totals])).astype(np.int64)
         met = ids[n[inverse[: len(ids)]] > 1]
         doc, inverse = np.unique(np.concatenate([met, done]), return_inverse=True)
         times = np.bincount(inverse, np.concatenate([np.ones(len(met)), known])).astype(np.int64)
-        deal = mix(doc.view(U64)) % U64(deals)
-        order = np.argsort(deal, kind="stable")
-        edge = np.searchsorted(deal[order], np.arange(deals + 1, dtype=U64))
-        names, bodies = [-1], []
         hot = np.argsort(-n, kind="stable")[:64]
         hot = hot[n[hot] >= 32]
-        bodies.append(pack_arrays(np.array([n[n > 1].sum(), (n > 1).sum()]), token[hot], n[hot]))
-        for k in range(deals):
-            i = order[edge[k] : edge[k + 1]]
-            if len(i):
-                names.append(k)
-                bodies.append(pack_arrays(*_steps(doc[i]), times[i].astype(np.uint32)))
-        return pa.table({"deal": pa.array(names, pa.int32()), "body": pa.array(bodies, pa.binary())})
+        stats = arrow_rows(block=np.array([-1]), body=pa.array([pack_arrays(np.array([n[n > 1].sum(), (n > 1).sum()]), token[hot].astype(np.uint32), n[hot])], pa.binary()))
+        return pa.Table.from_batches([stats, packed_runs(*document_streams([(doc, times)], widths[0]))])
+
+    def document_streams(parts: list[tuple[np.ndarray, np.ndarray]], width: int) -> list:
+        ids, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return [(block_of(ids.view(U64), blocks) // width, [Steps(ids), times.astype(np.uint32)])]
 
-    return docs.mapInArrow(cut, "block int, body binary").groupBy("block").applyInArrow(count, "deal int, body binary")
+    dealt = dealt_on(docs.mapInArrow(cut, "block long, body binary"), widths, lambda bodies, width: token_streams(width, *opened_tokens(bodies, True)), FLUSH_BYTES)
+    counted = written(dealt.groupBy("block").applyInArrow(count, "block long, body binary"), "shared")
+    of_documents = dealt_on(counted.where("block >= 0"), widths, lambda bodies, width: document_streams([tuple(unpack_arrays(b)) for b in bodies], width), FLUSH_BYTES)
+    return of_documents.union(counted.where("block < 0"))
 
 
 def _summed(counts: DataFrame) -> DataFrame:
+    """(i, shared) for each document that shares a shingle."""
+
     def add(table: pa.Table) -> pa.Table:
-        ids, times = [], []
-        for body in table.column("body").to_pylist():
-            first, step, n = unpack_arrays(body)
-            ids.append(_from_steps(first, step))
-            times.append(n)
-        doc, inverse = np.unique(np.concatenate(ids), return_inverse=True)
-        return pa.table({"i": doc, "shared": np.bincount(inverse, np.concatenate(times)).astype(np.int64)})
+        ids, times = merged(table.column("body").to_pylist())
+        doc, inverse = np.unique(ids, return_inverse=True)
+        return pa.table({"i": doc, "shared": np.bincount(inverse, times).astype(np.int64)})
 
-    return counts.where("deal >= 0").groupBy("deal").applyInArrow(add, "i long, shared long")
+    return counts.where("block >= 0").groupBy("block").applyInArrow(add, "i long, shared long")
 
 
 def packed_set(hashes: np.ndarray) -> bytes:
@@ -367,13 +346,13 @@ def text_keys() -> list[F.Column]:
     return [F.xxhash64(text_of()).alias("t1"), F.xxhash64(F.lit(1), text_of()).alias("t2")]
 
 
-def _linked(docs: DataFrame, blocks: int | None = None) -> DataFrame:
+def _linked(docs: DataFrame, blocks: int | None = None, fan: int = FAN) -> DataFrame:
     """(id, t1, t2, n, first) for each row of docs (doc_id, text); id: NO_ID if null. first: (none, id, t1, t2) of the first row that it is
     linked with, rows that have a doc_id first, or its own."""
-    blocks = blocks or int(min(max(bytes_of(docs) // BLOCK_BYTES, 8), 1 << 20))
+    blocks = blocks or max(8, text_bytes(docs) // BLOCK_BYTES)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), *text_keys(), text_of().alias("text"))
-    counts = written(shared_counts(rows.select("id", "text"), blocks, max(8, blocks // 4)), "shared")
-    mean_list, hot = _statistics(counts.where("deal = -1").select("body"))
+    counts = shared_counts(rows.select("id", "text"), blocks, fan)
+    mean_list, hot = _statistics(counts.where("block = -1").select("body"))
     flags = _summed(counts)
     flagged = rows.join(flags, F.col("id") == F.col("i"), "left").select("id", "t1", "t2", "text", F.coalesce("shared", F.lit(0)).alias("shared"))
     # Numbered as written, so the numbers stay: a set's node is its least row.
@@ -396,10 +375,10 @@ def _linked(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     return out.select("id", "t1", "t2", "n", F.coalesce("least", own).alias("first"))
 
 
-def link_classes(docs: DataFrame, blocks: int | None = None) -> DataFrame:
+def link_classes(docs: DataFrame, blocks: int | None = None, fan: int = FAN) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
     none = F.lit(NO_ID)
-    return _linked(docs, blocks).select(F.nullif("id", none).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("first.id", none).alias("component_id"))
+    return _linked(docs, blocks, fan).select(F.nullif("id", none).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("first.id", none).alias("component_id"))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
