@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -46,3 +47,21 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.name)
     spark.sparkContext.addPyFile(str(out))
     sys.modules[__name__]._shipped = spark.sparkContext.applicationId
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see, from spark.checkpoint.dir. Only a local session may do without one, and gets a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="sightline-checkpoint-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, and safe from lost executors. Nothing deletes it: the folder's owner clears it between jobs."""
+    path = f"{shared_folder(df.sparkSession)}/sightline-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -69,3 +69,54 @@ def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CAMERAS = """cameras AS (SELECT n_nationkey AS camera, n_name AS name, n_regionkey AS scene, 42.0::DOUBLE + n_nationkey % 5 * 0.004::DOUBLE AS lat,
  -90.0::DOUBLE + n_nationkey * 0.003::DOUBLE AS lon, CAST(n_nationkey * 45 % 360 AS DOUBLE) AS heading FROM nation)"""
+
+
+def picked(values: list, index: Column) -> Column:
+    """The value at a place of a fixed list."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+
+
+def sql_text(value: str | float | bool | None) -> str:
+    return "NULL" if value is None else f"'{value}'" if isinstance(value, str) else str(value)
+
+
+def picked_sql(values: list, index: str) -> str:
+    return f"list_value({', '.join(map(sql_text, values))})[CAST({index} AS INT) + 1]"
+
+
+#: Query texts as users type them, and endings.
+TEXTS = [
+    "蓝色背包的男人", "白色面包车", "苏E12345 轿车", "黑色越野车", "深色小车", "红色大巴车和电动车", "穿红色衣服的女人", "背红色书包的女人", "浅色大家伙", "戴帽子的人",
+    "黑裤子男人", "一辆重型货车", "小电驴", "suv", "银灰轿车", "金属色客车", "戴墨镜的行人", "白色小货车", "暖色 truck", "由北向南的皮卡", "car 向北", "粉色三轮车", "", "夜里的车", "pickup red 朝东 fast",
+]
+ENDINGS = ["", " 蓝裤子", " 手提包", " 苏F00A1Z", " 白色", " 旧 van", " 冷色公交"]
+
+
+def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text): a query text for each part."""
+    key = F.col("p_partkey")
+    return read(spark, sf_dir, "part").select(key.alias("id"), F.trim(F.concat(picked(TEXTS, key % len(TEXTS)), picked(ENDINGS, F.floor(key / len(TEXTS)) % len(ENDINGS)))).alias("text"))
+
+
+QUERY_TEXTS = f"texts AS (SELECT p_partkey AS id, trim({picked_sql(TEXTS, f'p_partkey % {len(TEXTS)}')} || {picked_sql(ENDINGS, f'p_partkey // {len(TEXTS)} % {len(ENDINGS)}')}) AS text FROM part)"
+
+#: Attributes of made-up instances: each a list whose values go round over the order lines.
+ATTRIBUTES: dict[str, tuple[str, list]] = {
+    "target_type": ("l_partkey % 7", ["vehicle", "vehicle", "vehicle", "non_motor_vehicle", "pedestrian", "vehicle", "non_motor_vehicle"]),
+    "color": ("l_partkey % 11", ["白色", "乳白", "黑色", "深蓝", "红色", "unknown", None, "银灰", "金色", "灰色", "咖啡色"]),
+    "vehicle_type": ("l_suppkey % 13", ["轿车", "两厢车", "SUV", "suv", "重型货车", "卡车", "公交车", "unknown", None, "电动车", "三蹦子", "面包车", "大巴"]),
+    "gender": ("l_orderkey % 5", ["male", "female", None, "unknown", "male"]),
+    "clothing_color": ("l_orderkey % 6", ["红色", "蓝色", None, "unknown", "黑色", "白色"]),
+    "accessory": ("l_linenumber % 4", ["帽子", "眼镜", None, "unknown"]),
+    "bag": ("l_linenumber % 3", [True, False, None]),
+    "plate": ("l_suppkey % 9", ["苏E12345", None, "苏F00A1Z", "苏E12345", None, "苏G99999", "苏E1234", "苏E54321", None]),
+    "lane": ("l_suppkey % 5", ["eastbound", "westbound", "northbound", "southbound", None]),
+}
+
+
+def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, line, attributes...) of made-up instances."""
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), *[picked(values, F.expr(place)).alias(name) for name, (place, values) in ATTRIBUTES.items()])
+
+
+INSTANCES = "inst AS (SELECT l_orderkey AS id, l_linenumber AS line, " + ", ".join(f"{picked_sql(values, place)} AS {name}" for name, (place, values) in ATTRIBUTES.items()) + " FROM lineitem)"
