@@ -6,16 +6,19 @@
 3. Lists. Shingles known as frequent come last in the order. A small (light) set enumerates the 2-subsets of
    its prefix: two linked sets share at least one. Large (heavy) sets are put on the inverted list of each shingle of their
    prefix. The boundary is where a light set's subsets cost as much as a heavy one's list scans, by the
-   mean list length that step 1 counted; sets near it do both, so that pairs across it meet.
+   mean list length that step 1 counted, and where its subsets are MOST_SUBSETS at most; sets near it do both, so that pairs across it meet.
 4. Links. Each member of the lists is first checked against one centre, the list head that most of its lists
    share, and linked sets become components. Lists still in several components are then joined within: lists with one
    head form a group, whose sets meet in one task (in pairs of blocks if they are many), which emits links that
-   span the group's components. So thousands of near copies cost no pair rows, and no link that
-   joins two components is missed. Checks are exact set intersections.
+   span the group's components. A list of more than LONG sets that is still unsettled is first split: linked sets of one list share
+   one shingle more, so each set goes on to a list for each further shingle of a prefix one longer, up to two times. So thousands of near
+   copies cost no pair rows, a frequent shingle costs no pair of blocks unless three shingles are as frequent together, and no
+   link that joins two components is missed. Checks are exact set intersections.
 
 Cases: null or empty texts have the empty set and link with nothing; rows with one doc_id are one document;
 a null doc_id is a document of its own; the component is the least doc_id of those linked that have one, else null. Nodes are
-sets, not doc_ids, so rows with one doc_id or none don't link what their texts don't; further columns are ignored."""
+sets, not doc_ids, so rows with one doc_id or none don't link what their texts don't; of very long texts the whole set is compared, a text in
+the memory of one task; an empty table gives an empty one; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -36,6 +39,9 @@ BLOCK_BYTES = 12 << 20
 HOT_TOKENS = 4096
 TOKEN_BITS = 40
 BLOCK_SETS = 2048
+LONG = 4 * BLOCK_SETS
+REFINEMENTS = 2
+MOST_SUBSETS = 8192
 
 
 def document_sets(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -203,8 +209,31 @@ def prefix_length(size: np.ndarray, least: int = 1) -> np.ndarray:
 
 
 def boundary(mean_list: float) -> int:
-    """The largest size at which the 2-subsets of a prefix, p (p + 1) / 2 of them, cost no more than p lists of mean_list entries."""
-    return int(5 * max(0.0, 2 * mean_list))
+    """The largest size at which the 2-subsets of a prefix, p (p + 1) / 2 of them, cost no more than p lists of mean_list entries, and are no more than
+    MOST_SUBSETS: a list entry costs a row, however long its list."""
+    return int(5 * max(0.0, min(2 * mean_list, (2 * MOST_SUBSETS) ** 0.5 - 1)))
+
+
+def in_order(body: bytes, hot: np.ndarray) -> np.ndarray:
+    """A set's shingles, frequent ones (by their low 32 bits, hot in order) last."""
+    own = opened_set(body).astype(U64)
+    if len(hot):
+        low = own & U64(0xFFFFFFFF)
+        late = hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low
+        own = np.concatenate([own[~late], own[late]])
+    return own
+
+
+def pair_keys(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, place, place) of the 2-subsets of a light set's prefix."""
+    a, b = np.triu_indices(min(len(own), int(prefix_length(np.array(len(own)), 2))), 1)
+    x, y = np.minimum(own[a], own[b]), np.maximum(own[a], own[b])
+    return mix(mix(x) + y + U64(1)), a, b
+
+
+def single_keys(own: np.ndarray) -> np.ndarray:
+    """Keys of the lists of a heavy set's prefix."""
+    return mix(own[: int(prefix_length(np.array(len(own))))] + U64(1 << 63))
 
 
 def list_entries(sets: DataFrame, light: int, hot: np.ndarray) -> DataFrame:
@@ -215,20 +244,13 @@ def list_entries(sets: DataFrame, light: int, hot: np.ndarray) -> DataFrame:
         for batch in batches:
             keys, ids, sizes = [], [], []
             for i, body in zip(batch.column("id").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-                own = opened_set(body).astype(U64)
+                own = in_order(body, hot)
                 n = len(own)
-                if len(hot):
-                    low = own & U64(0xFFFFFFFF)
-                    late = hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low
-                    own = np.concatenate([own[~late], own[late]])
                 found = []
                 if n <= light:
-                    p = min(n, int(prefix_length(np.array(n), 2)))
-                    a, b = np.triu_indices(p, 1)
-                    x, y = np.minimum(own[a], own[b]), np.maximum(own[a], own[b])
-                    found.append(mix(mix(x) + y + U64(1)))
+                    found.append(pair_keys(own)[0])
                 if n >= 0.8 * light:
-                    found.append(mix(own[: int(prefix_length(np.array(n)))] + U64(1 << 63)))
+                    found.append(single_keys(own))
                 found = np.concatenate(found)
                 keys.append(found)
                 ids.append(np.full(len(found), i))
@@ -273,11 +295,57 @@ def centre_votes(entries: DataFrame) -> DataFrame:
     return entries.where((F.col("id") != F.col("head")) & near).groupBy(F.col("id").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("v"))
 
 
-def unsettled_groups(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """(head, id): the members of all lists with more than one component, lists with one head put together."""
+def unsettled_lists(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """entries of all lists with more than one component, with the list's length k."""
     placed = entries.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
-    return entries.join(mixed, "key", "left_semi").select("head", "id").distinct()
+    mixed = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("k")).where("least <> most").select("key", "k")
+    return entries.join(mixed, "key")
+
+
+def refined(entries: DataFrame, sets: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(key, id, n, own) of entries (key, id, maybe own) of long lists: a list for each further shingle of a prefix that is one longer, own being the
+    shingles that name a list. Two linked sets that share the d shingles of a list share d + 1 within the longer prefixes."""
+    hot = np.sort(hot.astype(U64))
+    if "own" not in entries.columns:
+        entries = entries.withColumn("own", F.lit(None).cast("binary"))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, i, named, body in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "own", "tokens")), strict=True):
+                own = in_order(body, hot)
+                if named is not None:
+                    have = np.frombuffer(named, U64)
+                else:
+                    wanted = np.array([key], np.int64).view(U64)[0]
+                    single = np.flatnonzero(single_keys(own) == wanted)
+                    keys, a, b = pair_keys(own) if not len(single) else (np.zeros(0, U64), single, single)
+                    at = np.flatnonzero(keys == wanted)
+                    have = own[single[:1]] if len(single) else np.sort(own[[a[at[0]], b[at[0]]]])
+                more = own[: min(len(own), int(prefix_length(np.array(len(own)), len(have) + 1)))]
+                more = more[~np.isin(more, have)]
+                lists = np.sort(np.column_stack([np.tile(have, (len(more), 1)), more]), axis=1)
+                found = np.full(len(more), U64(lists.shape[1]))
+                for column in lists.T:
+                    found = mix(found * U64(0x9E3779B97F4A7C15) + column)
+                for p in range(0, len(found), 1 << 15):
+                    q = slice(p, p + (1 << 15))
+                    yield arrow_rows(key=as_signed(found[q]), id=np.full(len(found[q]), i), n=np.full(len(found[q]), len(own), np.int32), own=pa.array([x.tobytes() for x in lists[q]], pa.binary()))
+
+    return entries.select("key", "id", "own").join(sets, "id").select("key", "id", "own", "tokens").mapInArrow(build, "key long, id long, n int, own binary").dropDuplicates(["key", "id"])
+
+
+def unsettled_groups(entries: DataFrame, labels: DataFrame, sets: DataFrame, hot: np.ndarray, long: int = LONG, refinements: int = REFINEMENTS) -> DataFrame:
+    """(head, id): the members of all lists with more than one component, lists with one head put together, long lists split."""
+    out, rest = None, unsettled_lists(entries, labels)
+    for turn in range(refinements + 1):
+        rest = written(rest, "unsettled")
+        short = rest if turn == refinements else rest.where(F.col("k") <= long)
+        found = short.select("head", "id")
+        out = found if out is None else out.union(found)
+        if turn == refinements or rest.where(F.col("k") > long).isEmpty():
+            break
+        rest = unsettled_lists(with_heads(refined(rest.where(F.col("k") > long), sets, hot)), labels)
+    return out.distinct()
 
 
 def local_links(ids: np.ndarray, bodies: list[bytes]) -> list[tuple[int, int]]:
@@ -346,7 +414,7 @@ def text_keys() -> list[F.Column]:
     return [F.xxhash64(text_of()).alias("t1"), F.xxhash64(F.lit(1), text_of()).alias("t2")]
 
 
-def _linked(docs: DataFrame, blocks: int | None = None, fan: int = FAN) -> DataFrame:
+def _linked(docs: DataFrame, blocks: int | None = None, fan: int = FAN, long: int = LONG) -> DataFrame:
     """(id, t1, t2, n, first) for each row of docs (doc_id, text); id: NO_ID if null. first: (none, id, t1, t2) of the first row that it is
     linked with, rows that have a doc_id first, or its own."""
     blocks = blocks or max(8, text_bytes(docs) // BLOCK_BYTES)
@@ -366,7 +434,8 @@ def _linked(docs: DataFrame, blocks: int | None = None, fan: int = FAN) -> DataF
     entries = written(with_heads(list_entries(sets, boundary(mean_list), hot)), "lists")
     best = centre_votes(entries).groupBy("a").agg(F.max_by("b", F.struct("v", "b")).alias("b"))
     first = written(linked_pairs(best, sets), "pairs")
-    rest = written(group_links(unsettled_groups(entries, components(first)), sets, 4 * lists), "pairs")
+    groups_left = unsettled_groups(entries, components(first), sets, hot, long)
+    rest = written(group_links(groups_left, sets, 4 * lists), "pairs")
     labels = written(components(first.union(rest)), "labels")
     least = labels.join(named_sets.select("node", "own"), "node").groupBy("component").agg(F.min("own").alias("least"))
     found = labels.join(least, "component").select(F.col("node").alias("m"), "least")
@@ -375,10 +444,10 @@ def _linked(docs: DataFrame, blocks: int | None = None, fan: int = FAN) -> DataF
     return out.select("id", "t1", "t2", "n", F.coalesce("least", own).alias("first"))
 
 
-def link_classes(docs: DataFrame, blocks: int | None = None, fan: int = FAN) -> DataFrame:
+def link_classes(docs: DataFrame, blocks: int | None = None, fan: int = FAN, long: int = LONG) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
     none = F.lit(NO_ID)
-    return _linked(docs, blocks, fan).select(F.nullif("id", none).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("first.id", none).alias("component_id"))
+    return _linked(docs, blocks, fan, long).select(F.nullif("id", none).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("first.id", none).alias("component_id"))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
