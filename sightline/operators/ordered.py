@@ -1,19 +1,40 @@
-"""Operators that depend on an order of rows: constrained merging, optimal assignment, matching over frames.
+"""Operators that depend on an order of rows: constrained merging, optimal assignment, matching within frames.
 
-Each works per scene or sequence. A scene's edges and a sequence's identities are bounded by its cameras and its length, not by the
-number of scenes; scenes are what Spark deals out."""
+Merging and assignment work on connected parts, which are found by Spark first: rows of different parts don't affect one another,
+so the parts, not some fixed number of scenes, are what Spark deals out. Frames are matched each by itself."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sightline.session import written
+
+
+def connected(pairs: DataFrame, a: str, b: str, rounds: int = 30) -> DataFrame:
+    """pairs with `part`: the least node that a pair's nodes reach. Each round the least label goes along the edges and then jumps to
+    its own label, so that a path of n edges takes about log n rounds; every round is a table in the shared folder."""
+    edges = written(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).distinct(), "links")
+    both = edges.union(edges.select("y", "x"))
+    labels = written(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("l")), "labels")
+    for _ in range(rounds):
+        near = both.join(labels.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("l").alias("m"))
+        least = labels.join(near, "x").select("x", F.least("l", "m").alias("l"))
+        jump = least.join(least.select(F.col("x").alias("l"), F.col("l").alias("j")), "l", "left").select("x", F.coalesce("j", "l").alias("l"))
+        after = written(jump, "labels")
+        if after.join(labels.withColumnRenamed("l", "o"), "x").where("l <> o").isEmpty():
+            return pairs.join(after.select(F.col("x").alias(a), F.col("l").alias("part")), a)
+        labels = after
+    raise RuntimeError("connected: not settled")
 
 
 def constrained_union(edges: DataFrame) -> DataFrame:
-    """(scene, node, cluster) of edges (scene, a, camera_a, b, camera_b, score).
+    """(scene, node, cluster) of edges (scene, a, camera_a, b, camera_b, score), nodes being of one scene.
 
-    Edges are taken by score, then ids; a merge that would give a cluster one camera twice is refused. cluster: its least node."""
+    Edges are taken by score, then ids; a merge that would give a cluster one camera twice is refused. cluster: its least node. The
+    groups are the connected parts of the edges; a part is as large as the edges that a score gate has left join together."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         parent: dict[int, int] = {}
@@ -37,7 +58,7 @@ def constrained_union(edges: DataFrame) -> DataFrame:
         nodes = sorted(parent)
         return pd.DataFrame({"scene": pdf["scene"].iloc[0], "node": nodes, "cluster": [root(n) for n in nodes]})
 
-    return edges.groupBy("scene").applyInPandas(merge, "scene long, node long, cluster long")
+    return connected(edges, "a", "b").groupBy("scene", "part").applyInPandas(merge, "scene long, node long, cluster long")
 
 
 def assignment(gain: np.ndarray) -> list[tuple[int, int]]:
@@ -70,15 +91,50 @@ def assignment(gain: np.ndarray) -> list[tuple[int, int]]:
 
 
 def identity_f1(contingency: DataFrame) -> DataFrame:
-    """(scene, idtp, n_gt, n_pred, idf1) of counts (scene, gt, pred, n), by the optimal assignment in each scene."""
+    """(scene, idtp, n_gt, n_pred, idf1) of counts (scene, gt, pred, n); ids are those of one scene.
+
+    The optimal assignment of a scene is that of its connected parts (gt and pred that share frames, directly or not), so each part is one group."""
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         table = pdf.pivot_table(index="gt", columns="pred", values="n", aggfunc="sum", fill_value=0).to_numpy(float)
         hit = sum(table[i, j] for i, j in assignment(table))
-        total = float(table.sum())
-        return pd.DataFrame({"scene": [pdf["scene"].iloc[0]], "idtp": [int(hit)], "n_gt": [int(total)], "n_pred": [int(total)], "idf1": [round(hit / total, 6) if total else 0.0]})
-
-    return contingency.groupBy("scene").applyInPandas(score, "scene long, idtp long, n_gt long, n_pred long, idf1 double")
+        return pd.DataFrame({"scene": [pdf["scene"].iloc[0]], "hit": [int(hit)], "n": [int(table.sum())]})
+
+    named = contingency.select("*", (2 * F.xxhash64("scene", "gt")).alias("__a"), (2 * F.xxhash64(F.lit("pred"), "scene", "pred") + 1).alias("__b"))
+    parts = connected(named, "__a", "__b").groupBy("scene", "part").applyInPandas(score, "scene long, hit long, n long")
+    total = parts.groupBy("scene").agg(F.sum("hit").alias("idtp"), F.sum("n").alias("n_gt"))
+    return total.select("scene", "idtp", "n_gt", F.col("n_gt").alias("n_pred"), F.round(F.coalesce(F.col("idtp") / F.nullif(F.col("n_gt"), F.lit(0).cast("long")), F.lit(0.0)), 6).alias("idf1"))
+
+
+def frame_matches(truth: DataFrame, found: DataFrame, least: float = 0.5, rows: int = 20_000) -> DataFrame:
+    """(camera, frame, part, gt, pred) of boxes (camera, frame, id, x1..y2): the optimal matches of each frame by overlap, and the
+    unmatched of both sides with NULL. Frames are put together in groups of about `rows` boxes."""
+    box = F.struct("id", "x1", "y1", "x2", "y2").alias("b")
+    both = truth.select("camera", "frame", F.lit(0).alias("side"), box).union(found.select("camera", "frame", F.lit(1).alias("side"), box)).select("camera", "frame", "side", "b.*")
+    groups = max(8, both.count() // rows)
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (camera, frame), f in pdf.sort_values(["camera", "frame", "side", "id", "x1", "y1"]).groupby(["camera", "frame"], sort=False):
+            here = f[["x1", "y1", "x2", "y2"]].to_numpy(float)
+            side = f["side"].to_numpy() == 0
+            g, p, ids = here[side], here[~side], f["id"].to_numpy()
+            gt, pred = ids[side], ids[~side]
+            pairs: list[tuple[int, int]] = []
+            if len(g) and len(p):
+                low, high = np.maximum(g[:, None, :2], p[None, :, :2]), np.minimum(g[:, None, 2:], p[None, :, 2:])
+                shared = np.prod(np.maximum(high - low, 0), axis=2)
+                area = lambda x: np.prod(x[:, 2:] - x[:, :2], axis=1)
+                over = shared / (area(g)[:, None] + area(p)[None, :] - shared)
+                over[over < least] = 0
+                pairs = [(i, j) for i, j in assignment(over) if over[i, j] > 0]
+            i_, j_ = {i for i, _ in pairs}, {j for _, j in pairs}
+            rows_ = [(gt[i], pred[j]) for i, j in pairs] + [(gt[i], None) for i in range(len(gt)) if i not in i_] + [(None, pred[j]) for j in range(len(pred)) if j not in j_]
+            out += [(camera, frame, k, a, b) for k, (a, b) in enumerate(rows_)]
+        frame_ = pd.DataFrame(out, columns=["camera", "frame", "part", "gt", "pred"])
+        return frame_.astype({"gt": "Int64", "pred": "Int64"})
+
+    return both.groupBy(F.pmod(F.xxhash64("camera", "frame"), F.lit(groups)).alias("g")).applyInPandas(match, "camera long, frame long, part int, gt long, pred long")
 
 
 def mot_counts(frames: DataFrame, least: float = 0.5) -> DataFrame:

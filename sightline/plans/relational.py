@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.expressions import haversine_m, haversine_sql, iou, iou_sql
+from sightline.functions.expressions import haversine_m, haversine_sql
 from sightline.operators.joins import best, within_seconds
 from sightline.registry import query
-from sightline.sources.tables import BOXES, CAMERAS, DET, TRACKLETS, boxes, cameras, detections, read, tracklets
+from sightline.sources.tables import CAMERAS, DET, TRACKLETS, cameras, detections, read, tracklets
 
 GAP = 600.0
 
@@ -24,18 +24,6 @@ def anti_join_new_keys(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "customer").join(read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
-@query(
-    "J13: best overlap above a threshold with the boxes of the next track in the same frame",
-    f"""WITH {BOXES}, m AS (SELECT a.track, a.frame, b.camera AS other_camera, b.colour, round({iou_sql("a", "b")}, 6) AS iou FROM boxes a JOIN boxes b ON b.track = a.track AND b.frame <> a.frame),
-r AS (SELECT *, row_number() OVER (PARTITION BY track, frame ORDER BY iou DESC, other_camera DESC, colour DESC) AS rn FROM m WHERE iou > 0.05) SELECT track, frame, other_camera, colour, iou FROM r WHERE rn = 1""",
-)
-def best_iou_match(spark: SparkSession, d: str) -> DataFrame:
-    b = boxes(spark, d)
-    m = b.alias("a").join(b.alias("b"), (F.col("a.track") == F.col("b.track")) & (F.col("a.frame") != F.col("b.frame")))
-    m = m.select(F.col("a.track").alias("track"), F.col("a.frame").alias("frame"), F.col("b.camera").alias("other_camera"), F.col("b.colour").alias("colour"), F.round(iou("a", "b"), 6).alias("iou")).where("iou > 0.05")
-    return best(m, ["track", "frame"], F.struct("iou", "other_camera", "colour"), "other_camera", "colour", "iou")
-
-
 @query(
     "J25: for each part the supplier that shares most order lines",
     "SELECT l_partkey, l_suppkey AS supplier, n FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, l_suppkey) AS r FROM (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL)) WHERE r = 1",
@@ -52,10 +40,10 @@ def consecutive_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "J26: nearest earlier purchase of the same vehicle (as-of)",
+    "as-of join: the last purchase up to each click of the same vehicle",
     f"WITH {DET}, c AS (SELECT * FROM det WHERE camera = 'click'), p AS (SELECT * FROM det WHERE camera = 'purchase') SELECT c.event_id, max(p.t) IS NOT NULL AS found, round(c.t - max(p.t), 3) AS wait_s FROM c LEFT JOIN p ON c.vehicle = p.vehicle AND p.t <= c.t GROUP BY c.event_id, c.t",
 )
-def nearest_join(spark: SparkSession, d: str) -> DataFrame:
+def asof_join(spark: SparkSession, d: str) -> DataFrame:
     """One window over both kinds of rows, with no pair of them: the last purchase up to each click."""
     det = detections(spark, d).where(F.col("camera").isin("click", "purchase"))
     rank = F.when(F.col("camera") == "purchase", 0).otherwise(1)

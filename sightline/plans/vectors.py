@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,19 +18,65 @@ _RANKED = f"""sim AS (SELECT q.vec_id AS q, q.label AS ql, g.vec_id AS g, g.labe
 ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, g) AS rank FROM sim)"""
 
 
-def ranked(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
-    """Each query against all vectors of other cameras (vec_id mod 5): q, ql, g, gl, s, rank; k: only the first k of each query.
+BLOCK = 512
+
 
-    The stated queries are the small side; their number is checked before they go to every task."""
+def similarities(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
+    """(q, ql, g, gl, s): each query (vec_id divisible by 100) against the vectors of other cameras (vec_id mod 5); with k only those that
+    can be among its first k.
+
+    Queries go in blocks of BLOCK vectors to every cell of the gallery, as one row each, so the join is an equi-join by cell
+    whatever the number of queries; a block's products are one matrix product, of which each batch keeps the best k of a query."""
     e = read(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("embedding").alias("v"))
-    q = F.broadcast(q) if q.count() <= 10_000 else q
-    g = e.select(F.col("vec_id").alias("g"), F.col("label").alias("gl"), F.col("embedding").alias("u"))
-    sim = q.join(g, (F.col("q") != F.col("g")) & (F.col("q") % 5 != F.col("g") % 5)).select("q", "ql", "g", "gl", F.round(cosine("v", "u"), 9).alias("s"))
-    out = sim.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "g")).cast("long"))
+    cells = max(8, e.rdd.getNumPartitions())
+    q = e.where("vec_id % 100 = 0").select((F.floor(F.col("vec_id") / (100 * BLOCK))).alias("block"), F.struct("vec_id", "label", "embedding").alias("v"))
+    blocks = q.groupBy("block").agg(F.collect_list("v").alias("vs"))  # BLOCK of them at most
+    sent = blocks.select("vs", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+    gallery = e.select(F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int").alias("cell"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.greatest(F.lit(1), F.lit(e.count() // (cells * 4096) + 1))).alias("part"), F.struct("vec_id", "label", "embedding").alias("v"))
+    groups = gallery.groupBy("cell", "part").agg(F.collect_list("v").alias("gs"))  # about 4096 of them
+    both = groups.join(sent, "cell").select("vs", "gs")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def opened(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            m = np.array([r["embedding"] for r in rows], float)
+            n = np.sqrt((m * m).sum(1))
+            return np.array([r["vec_id"] for r in rows]), np.array([r["label"] for r in rows]), m / np.where(n > 0, n, 1)[:, None]
+
+        for batch in batches:
+            for vs, gs in zip(batch.column("vs").to_pylist(), batch.column("gs").to_pylist(), strict=True):
+                (qi, ql, a), (gi, gl, b) = opened(vs), opened(gs)
+                s = np.round(a @ b.T, 9) + 0.0
+                allowed = (qi[:, None] != gi[None, :]) & (qi[:, None] % 5 != gi[None, :] % 5)
+                if k and k < len(gi):
+                    ranked_ = np.where(allowed, s, -2.0)
+                    limit = np.partition(ranked_, len(gi) - k, axis=1)[:, len(gi) - k]
+                    allowed &= ranked_ >= limit[:, None]
+                i, j = np.nonzero(allowed)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qi[i], ql[i].astype(np.int32), gi[j], gl[j].astype(np.int32), s[i, j])], names=["q", "ql", "g", "gl", "s"])
+
+    return both.mapInArrow(compare, "q long, ql int, g long, gl int, s double")
+
+
+def ranked(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
+    """similarities with rank: of each query by similarity, then id; k: only the first k of each query."""
+    out = similarities(spark, d, k).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "g")).cast("long"))
     return out.where(F.col("rank") <= k) if k else out
 
 
+def hit_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """(q, rank, seen) for each hit (a vector of the query's label) in the full ranking, and (q, NULL, NULL) for a query without one.
+
+    Only hits are ordered: a hit's rank is its place among the hits and the number of others above it, which is counted from
+    a table of similarities by query and step of 1/1024, and within its own step from the rows of that step."""
+    s = similarities(spark, d).withColumns({"hit": F.col("ql") == F.col("gl"), "step": F.floor(F.col("s") * 1024)})
+    w = Window.partitionBy("q", "step").orderBy(F.desc("s"), "g")
+    steps = s.groupBy("q", "step").agg(F.count("*").alias("n"))  # 2049 steps of a query at most
+    above = steps.withColumn("above", F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("step"))) - F.col("n"))
+    hits = s.withColumn("within", F.row_number().over(w)).where("hit").join(above, ["q", "step"]).select("q", (F.col("above") + F.col("within")).alias("rank"))
+    seen = hits.withColumn("seen", F.row_number().over(Window.partitionBy("q").orderBy("rank")).cast("long"))
+    return steps.select("q").distinct().join(seen, "q", "left").select("q", "rank", "seen")
+
+
 @query("W1 W3 W4 P17 P18 S20: cosine top k of each query", f"WITH {_RANKED} SELECT q, g, rank FROM ranked WHERE rank <= 20")
 def cosine_top_k(spark: SparkSession, d: str) -> DataFrame:
     return ranked(spark, d, 20).select("q", "g", "rank")
@@ -39,9 +89,7 @@ p AS (SELECT q, min(rank) FILTER (ql = gl) AS first, sum(CASE WHEN ql = gl THEN
 SELECT round(avg((coalesce(first, 1000000) <= 1)::INT), 6) AS rank1, round(avg((coalesce(first, 1000000) <= 5)::INT), 6) AS rank5, round(avg(coalesce(ap, 0)), 6) AS map FROM p""",
 )
 def cross_camera_rank(spark: SparkSession, d: str) -> DataFrame:
-    hit = F.col("ql") == F.col("gl")
-    h = ranked(spark, d).withColumn("hits", F.sum(hit.cast("int")).over(Window.partitionBy("q").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
-    p = h.groupBy("q").agg(F.min(F.when(hit, F.col("rank"))).alias("first"), (F.sum(F.when(hit, F.col("hits") / F.col("rank"))) / F.nullif(F.sum(hit.cast("int")), F.lit(0))).alias("ap"))
+    p = hit_ranks(spark, d).groupBy("q").agg(F.min("rank").alias("first"), F.avg(F.col("seen") / F.col("rank")).alias("ap"))
     within = lambda k: F.round(F.avg((F.coalesce("first", F.lit(1_000_000)) <= k).cast("int")), 6)
     return p.agg(within(1).alias("rank1"), within(5).alias("rank5"), F.round(F.avg(F.coalesce("ap", F.lit(0.0))), 6).alias("map"))
 
