@@ -1,19 +1,22 @@
 """Operator 1: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
-1. Seeds of an item are all its n-grams, however often documents hold them.
-2. Each document place that holds a seed of an item opens a passage around it; overlapping ones of one item join.
-3. A passage that lacks so many of the item's words that no alignment can reach THRESHOLD is left out: a matched word
+1. Seeds of an item are all pairs of neighbouring words, and a document holds one also where a further word stands between the two.
+   The rarest are not picked out: copies would make their own seeds frequent.
+2. An alignment whose score reaches THRESHOLD (one half or more) keeps a third of the item's pairs in this sense, less one; needed_pairs
+   gives the exact number. Documents that hold fewer are left out: no alignment is lost. Items for which no pair is
+   sure (of three words and fewer) have their single words as seeds.
+3. Each place of a seed opens a passage that holds every alignment through it; overlapping ones of one item join.
+4. A passage that lacks so many of the item's words that no alignment can reach THRESHOLD is left out: a matched word
    gives 2 of the 2 * item words points, so THRESHOLD of the item's words must stand in it. Nothing else is left out.
-4. The passage is aligned to the item word by word (match +2, else -1, gap -1). Score over 2 * item words is the coverage; at
-   THRESHOLD and more the document is contaminated by the item.
-
-A copy that keeps no n words of an item in a row has no seed, whatever its coverage.
+5. The passage is aligned to the item word by word (match +2, else -1, gap -1). Score over 2 * item words is the coverage; at
+   THRESHOLD and more the document is contaminated by the item. Items of one or two words must be met in full.
 
 The items go to all tasks only while their text is at most MAX_ITEM_BYTES; a larger benchmark is worked in several
-passes of that size. Words are compared in lower case without punctuation at their ends.
+passes of that size, each of which reads the documents once. Words are compared in lower case; punctuation counts as blank wherever it stands.
 
-Cases: null or empty texts have no seeds, and neither have items of fewer than n words, which match nothing; equal items and
-documents are each reported; nulls in ids are kept; further columns are ignored."""
+Cases: null or empty texts have no seeds, and neither have items without a word, which match nothing; equal items and
+documents are each reported; nulls in ids are kept; of very long texts all passages are aligned, a text in the memory of one task; of
+equally good places the last counts; an empty table on either side gives an empty one; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -24,10 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import U64, Words, gram_hash, per_chunk, read_table, text_of, within
+from sightline.llm.common import U64, Words, mix, per_chunk, read_table, text_of, within
 
-GRAM = 3
-RARE = 3
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 MAX_ITEM_BYTES = 8 << 20
@@ -66,32 +67,43 @@ def alignment(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best, *ends
 
 
+def needed_pairs(n: int) -> int:
+    """How many neighbouring pairs of an item of n words a document holds at least, if it aligns with half of all points or more.
+
+    m words match. Of the m - 1 steps between them, some skip words of the item (x, at most n - m, a point each at least), some cost two points or
+    more without that (y), and the others are such pairs. The points lost are 2 m - n at most."""
+    least = n
+    for m in range(1, n + 1):
+        for x in range(min(n - m, 2 * m - n) + 1):
+            least = min(least, m - 1 - x - min((2 * m - n - x) // 2, max(0, m - 1 - x)))
+    return max(0, least)
+
+
 class Items:
-    """Test items, their words and n-grams."""
+    """Test items, their words and seeds."""
 
-    def __init__(self, rows: list[tuple[object, str | None]], gram: int = GRAM):
+    def __init__(self, rows: list[tuple[object, str | None]]):
         texts = [(t or "").encode() for _, t in rows]
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         words = plain_words(np.frombuffer(b"".join(texts), np.uint8), offsets)
         self.ids = [i for i, _ in rows]
         self.words = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-        self.gram = gram
-        ok = within(words.doc, gram)
-        item, hashes = words.doc[: len(ok)][ok], gram_hash(words.hash, gram)[ok]
-        self.place = (np.flatnonzero(ok) - words.first[item]).astype(np.int64)
-        self.grams, index = np.unique(hashes, return_inverse=True)
-        self.item, self.index = item, index
-
-    def seeds(self, counts: np.ndarray | None = None, rare: int = RARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(gram hash, item, place) of the seeds, by hash: all grams, or with counts the rarer ones of each item only."""
-        own = np.zeros(len(self.index), np.int64) if counts is None else counts[self.index]
-        first = np.flatnonzero(np.diff(self.item, prepend=-1))  # self.item is in order
-        size = np.diff(np.append(first, len(own)))
-        ranked = own[np.lexsort((own, self.item))]
-        middle = (ranked[first + (size - 1) // 2] + ranked[first + size // 2]) / 2
-        keep = own <= np.repeat(np.maximum(rare, middle), size)
-        order = np.argsort(self.grams[self.index[keep]], kind="stable")
-        return self.grams[self.index[keep]][order], self.item[keep][order], self.place[keep][order]
+        self.size = np.diff(words.first)
+        self.needed = np.array([needed_pairs(int(n)) for n in self.size], np.int64)
+
+    def seeds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, item, place) of the seeds, by hash."""
+        found = []
+        for i, words in enumerate(self.words):
+            keys = pair_hash(words[:-1], words[1:]) if self.needed[i] else mix(words + U64(1))
+            found.append((keys, np.full(len(keys), i), np.arange(len(keys))))
+        keys, item, place = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U64), *[np.zeros(0, np.int64)] * 2)
+        order = np.argsort(keys, kind="stable")
+        return keys[order], item[order], place[order]
+
+
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a) + b)
 
 
 def _members(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -109,11 +121,11 @@ def _members(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def _passages(place: np.ndarray, anchor: np.ndarray, item_words: int, doc_words: int) -> list[tuple[int, int]]:
     """Joined ranges of words around seeds found at `place`, which stand at `anchor` in the item."""
-    slack = 4 + item_words // 3
-    low, high = np.maximum(0, place - anchor - slack), np.minimum(doc_words, place - anchor + item_words + slack)
+    # What an alignment loses is at most item_words points, so it begins and ends at most so many words further off.
+    low, high = np.maximum(0, place - anchor - item_words), np.minimum(doc_words, place - anchor + 2 * item_words + 1)
     out: list[list[int]] = []
     for a, b in sorted(zip(low.tolist(), high.tolist(), strict=True)):
-        if out and a <= out[-1][1] and b - out[-1][0] <= 4 * (item_words + 2 * slack):
+        if out and a <= out[-1][1] and b - out[-1][0] <= 12 * item_words:
             out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
@@ -121,38 +133,50 @@ def _passages(place: np.ndarray, anchor: np.ndarray, item_words: int, doc_words:
 
 
 def _match(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
-    seeds, item, anchor = items.seeds()
-    shared = docs.sparkSession.sparkContext.broadcast((seeds, item, anchor, items.words, pa.array(items.ids, pa.int64())))
+    shared = docs.sparkSession.sparkContext.broadcast((items, pa.array(items.ids, pa.int64())))
+    least_share = np.where(items.size < 3, 1.0, threshold)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, item, anchor, item_words, item_ids = shared.value
-        lone = np.unique(seeds)
+        items, item_ids = shared.value
+        seeds, item, anchor = items.seeds()
+        lone, small = np.unique(seeds), bool((items.needed == 0).any())
         for batch, data, offsets in per_chunk(batches):
             words = plain_words(data, offsets)
-            ok = within(words.doc, GRAM)
-            grams = gram_hash(words.hash, GRAM)
-            at = np.flatnonzero(ok)
-            at = at[_members(lone, grams[at])]
-            a, b = np.searchsorted(seeds, grams[at], "left"), np.searchsorted(seeds, grams[at], "right")
+            places, keys = [], []
+            for apart in (1, 2) if len(seeds) else ():
+                at = np.flatnonzero(within(words.doc, apart + 1))
+                places.append(at)
+                keys.append(pair_hash(words.hash[at], words.hash[at + apart]))
+            if small:
+                places.append(np.arange(len(words)))
+                keys.append(mix(words.hash + U64(1)))
+            at, key = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((places, np.int64), (keys, U64)))
+            hit = _members(lone, key)
+            at, key = at[hit], key[hit]
+            a, b = np.searchsorted(seeds, key, "left"), np.searchsorted(seeds, key, "right")
             entry = np.repeat(a - np.cumsum(b - a) + (b - a), b - a) + np.arange(int((b - a).sum()))
             at = np.repeat(at, b - a)
             found = []
             if len(at):
-                key = np.lexsort((at, item[entry], words.doc[at]))
-                doc, who = words.doc[at[key]], item[entry[key]]
-                new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (who[1:] != who[:-1])]))
-                for x, y in zip(new.tolist(), np.append(new[1:], len(key)).tolist(), strict=True):
+                order = np.lexsort((anchor[entry], item[entry], words.doc[at]))
+                at, entry = at[order], entry[order]
+                doc, who, where = words.doc[at], item[entry], anchor[entry]
+                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (who[1:] != who[:-1])]))
+                pairs = np.add.reduceat(np.concatenate([[True], (doc[1:] != doc[:-1]) | (who[1:] != who[:-1]) | (where[1:] != where[:-1])]).astype(np.int64), first)
+                ends = np.append(first[1:], len(at))
+                enough = pairs >= np.maximum(1, items.needed[who[first]])
+                for x, y in zip(first[enough].tolist(), ends[enough].tolist(), strict=True):
                     d, w = int(doc[x]), int(who[x])
-                    first, last = int(words.first[d]), int(words.first[d + 1])
-                    least, best = threshold * len(item_words[w]), (0, 0, 0)
-                    for low, high in _passages(at[key[x:y]] - first, anchor[entry[key[x:y]]], len(item_words[w]), last - first):
-                        passage = words.hash[first + low : first + high]
-                        if np.isin(item_words[w], passage).sum() < least:
+                    low_word, last = int(words.first[d]), int(words.first[d + 1])
+                    own, share, best = items.words[w], float(least_share[w]), (0, 0, 0)
+                    for low, high in _passages(at[x:y] - low_word, where[x:y], len(own), last - low_word):
+                        passage = words.hash[low_word + low : low_word + high]
+                        if np.isin(own, passage).sum() < share * len(own):
                             continue
-                        score, begin, end = alignment(item_words[w], passage)
+                        score, begin, end = alignment(own, passage)
                         best = max(best, (score, low + begin, low + end))
-                    score = best[0] / (MATCH * len(item_words[w]))
-                    if score >= threshold:
+                    score = best[0] / (MATCH * len(own))
+                    if score >= share:
                         found.append((d, w, score, best[1], best[2]))
             if found:
                 d, w, score, begin, end = zip(*found, strict=True)
@@ -163,7 +187,9 @@ def _match(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
-    """(doc_id, item_id, score, first_word, end_word) of every document and test item that align; words are those of plain_words."""
+    """(doc_id, item_id, score, first_word, end_word) of every document and test item that align; words are those of plain_words. threshold is one half or more."""
+    if threshold < THRESHOLD:
+        raise ValueError("below a threshold of one half the seeds don't find every alignment")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-int(size) // max_item_bytes))
