@@ -268,7 +268,7 @@ def packed_runs(*streams: tuple[np.ndarray, list[np.ndarray | Steps]]) -> pa.Rec
     return arrow_rows(block=names.astype(np.int64), body=pa.array(bodies, pa.binary()))
 
 
-FAN = 256
+FAN = 4096
 
 
 def deal_widths(blocks: int, fan: int = FAN) -> list[int]:

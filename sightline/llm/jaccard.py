@@ -35,7 +35,7 @@ from sightline.llm.graph import components
 SHINGLE = 5
 NO_ID = -(1 << 63)
 FLUSH_BYTES = 24 << 20
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 16 << 20
 HOT_TOKENS = 4096
 TOKEN_BITS = 40
 BLOCK_SETS = 2048

@@ -6,7 +6,7 @@
 3. Every other word that occurs LEAST times or more joins the class that an exchange step gives it: the counts of the classes before
    and after it, gathered over all training text in the block of its hash, against the core's class bigrams.
 4. Rarer words and unseen ones belong to one of SHAPES classes by their last two bytes; the end of a text is a class of its own.
-5. Each document becomes its sequence of classes. The TABLE most frequent words are known to every task; for others the
+5. Each document becomes its sequence of classes. The most frequent words, TABLE at most, are known to every task; for others the
    block of their hash answers with class and count. Class bigrams are counted from the sequences of all training documents.
 
     P(w | v) = L * P(class w | class v) * (c(w) + 1) / (N_class + V_class + u) + (1 - L) * (c(w) + 1) / (N + V + 1)
@@ -301,14 +301,24 @@ def fit(docs: DataFrame, blocks: int | None = None, fan: int = FAN, members: int
     rows = docs.select(text_of().alias("text"))
     counted = written(word_counts(rows, blocks, fan), "words")
 
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column("body").to_pylist():
+                n, words_ = np.unique(unpack_arrays(body)[1], return_counts=True)
+                yield arrow_rows(n=n, words=words_)
+
+    # The words of the table are those of the count from which on there are at most `table` of them.
+    tallies = counted.select("body").mapInArrow(tally, "n long, words long").groupBy("n").agg(F.sum("words").alias("words")).toPandas().sort_values("n", ascending=False)
+    enough = tallies[tallies.words.cumsum() <= table]
+    limit = int(enough.n.min()) if len(enough) else 1 << 62
+
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for body in batch.column("body").to_pylist():
                 key, n, _ = unpack_arrays(body)
-                most = np.lexsort((key.view(np.int64), -n))[:table]
-                yield arrow_rows(key=key[most].view(np.int64), n=n[most])
+                yield arrow_rows(key=key[n >= limit].view(np.int64), n=n[n >= limit])
 
-    top = counted.select("body").mapInArrow(frequent, "key long, n long").orderBy(F.desc("n"), "key").limit(table).toPandas()
+    top = counted.select("body").mapInArrow(frequent, "key long, n long").toPandas()
     symbols = Symbols(top.key.to_numpy(np.int64).view(U64), top.n.to_numpy(np.int64), members)
     bigrams = bigram_counts(rows, symbols)
     group = exchange(bigrams, symbols.members)

@@ -38,7 +38,7 @@ from sightline.llm.common import FAN, GRAM_POWERS, U64, Steps, Words, arrow_rows
 WINDOW = 20
 GRAM = 6
 FLUSH_BYTES = 24 << 20
-BLOCK_SEGMENTS = 1 << 16
+BLOCK_SEGMENTS = 1 << 18
 HOT_SEGMENTS = 1 << 14
 HOT_RUN = 4
 NO_ID = -(1 << 63)
