@@ -2,8 +2,14 @@
 
 Documents become pieces of at most `capacity` ids. Full pieces are sequences of their own. The others are
 items: each partition packs its items best-fit (largest first), emits the nearly full bins, and sends the
-underfull ones as items to a level of fewer partitions, where the same is done, until one group is left.
-Only (item, size) rows move between levels; texts and ids don't."""
+underfull ones as items to a level of fewer partitions, where the same is done. A level has as many groups as its items need. Before it,
+bins that not even the least item left can join are emitted too, and the rounds end when one group is left or a level
+brought the number of open bins down by less than a hundredth; so no group grows with the table, whatever the sizes are.
+Only (item, size) rows move between levels; texts and ids don't.
+
+Cases: a null or empty text is the end id alone; equal rows and equal doc_ids are packed each on their own, a null doc_id stays null; of very
+long texts every piece is packed, a text in the memory of one task; ties in size go by item number; an empty table gives an empty one; further
+columns are ignored, whatever their names."""
 
 from __future__ import annotations
 
@@ -23,7 +29,7 @@ from sightline.llm.tokens import encoder, vocabulary_path
 CAPACITY = 1024
 END_ID = 2
 GROUP_ITEMS = 20_000
-FAN_IN = 16
+LEAST_GAIN = 0.01
 NEARLY_FULL = 0.999
 
 
@@ -65,28 +71,31 @@ def _packer(level: int, last: bool, capacity: int, nearly_full: float):
     return pack
 
 
-def pack_items(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, fan_in: int = FAN_IN, nearly_full: float = NEARLY_FULL) -> DataFrame:
+def pack_items(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, nearly_full: float = NEARLY_FULL, least_gain: float = LEAST_GAIN) -> DataFrame:
     """(item, bin, offset) for items (item long unique, size long from 1 to capacity); bin: any numbers below zero.
 
-    A group of the first level has about group_items items, one of a later level what fan_in groups left,
-    so no task's input grows with the table."""
-    n = items.count()
-    groups = max(1, -(-n // group_items))
-    level, placed, left = 0, [], items.select("item", "size").withColumn("g", F.pmod(F.xxhash64("item"), F.lit(groups)))
-    while True:
-        last = groups == 1
-
-        out = written(left.groupBy("g").applyInPandas(_packer(level, last, capacity, nearly_full), "item long, bin long, offset long, fill long, closed boolean"), "pack")
+    A group has about group_items items at every level."""
+    level, placed, left, n = 0, [], items.select("item", "size"), items.count()
+    while n:
+        groups = max(1, -(-n // group_items))
+        dealt = left.withColumn("g", F.pmod(F.xxhash64("item"), F.lit(groups)))
+        out = written(dealt.groupBy("g").applyInPandas(_packer(level, groups == 1, capacity, nearly_full), "item long, bin long, offset long, fill long, closed boolean"), "pack")
         placed.append(out)
-        if last:
+        if groups == 1:
+            break
+        bins = out.where(~F.col("closed")).groupBy("bin").agg(F.max("fill").alias("size"))
+        least = bins.agg(F.min("size")).first()[0] or 0
+        left = bins.where(F.col("size") + least <= capacity).select(F.col("bin").alias("item"), "size")
+        before, n, level = n, left.count(), level + 1
+        if n > (1 - least_gain) * before:
             break
-        groups, level = -(-groups // fan_in), level + 1
-        left = out.where(~F.col("closed")).groupBy("bin").agg(F.max("fill").alias("size")).select(F.col("bin").alias("item"), "size", F.pmod(F.xxhash64("bin"), F.lit(groups)).alias("g"))
-    result = placed[0].select("item", "bin", "offset", "closed")
+    if not placed:
+        return items.select("item", F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("offset"))
+    result = placed[0].select("item", "bin", "offset")
     for later in placed[1:]:
-        up = later.select(F.col("item").alias("bin"), F.col("bin").alias("bin2"), F.col("offset").alias("offset2"), F.col("closed").alias("closed2"))
-        result = result.join(up, "bin", "left").select("item", F.coalesce("bin2", "bin").alias("bin"), (F.col("offset") + F.coalesce("offset2", F.lit(0))).alias("offset"), F.coalesce("closed2", "closed").alias("closed"))
-    return result.select("item", "bin", "offset")
+        up = later.select(F.col("item").alias("bin"), F.col("bin").alias("bin2"), F.col("offset").alias("offset2"))
+        result = result.join(up, "bin", "left").select("item", F.coalesce("bin2", "bin").alias("bin"), (F.col("offset") + F.coalesce("offset2", F.lit(0))).alias("offset"))
+    return result
 
 
 def cut_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
