@@ -1,13 +1,15 @@
 """Operator 10: license scans by MinHash bands over overlapping windows, verified by exact shingle containment.
 
 Words are compared in lower case, bytes of punctuation being blanks; shingles have five words (a shorter template is one shingle).
-Templates of about one size share windows of that many shingles and a quarter more, which overlap so that any place of a template lies wholly in
-a window. A window of Jaccard J with a template agrees with it in a band with probability J: with BANDS one-row bands a window that
-holds 0.8 of a template (J of 0.5 at least) is found with probability 1 - 0.5 ** BANDS. Found places are then verified: the share of the
-template's shingles within the words around must be CONTAINMENT or more.
+Templates of about one size (within a quarter) share windows of the class's size and an eighth more, which overlap so that any place of a template
+lies wholly in a window. A window of Jaccard J with a template agrees with it in a one-row band with probability J, and it is retrieved if one of
+BANDS bands agrees. A window over 0.8 of a template's shingles has a J of 0.8 / (1.25 * 1.125 + 0.2) = 0.49 at least, so it is retrieved with a
+probability of 1 - 0.51 ** BANDS = 0.9988 or more, a whole copy (J of 0.71) with 0.999995. In each document that a retrieved window
+touches, the share of the template's shingles within the words around must then be CONTAINMENT or more.
 
 Cases: null or empty texts have no match; equal templates are each reported; repeated rows give repeated rows; a null doc_id
-is kept; further columns are ignored."""
+is kept; of very long texts every window is looked at, a text in the memory of one task; of equally good places the first counts; an empty
+table gives an empty one; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -38,6 +40,9 @@ TEMPLATES = {
     "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "MIT-full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "BSD-2-Clause-full": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "Zlib-full": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
@@ -65,11 +70,11 @@ class Templates:
             own = grams[a : max(a, b - SHINGLE + 1)]
             self.sets.append(np.unique(own))
         self.salts = _salts(bands)
-        # Templates of one class have from half of its size to all of it.
+        # The largest template that has no class yet begins one, with all that have four fifths of its size or more.
         self.classes: dict[int, list[int]] = {}
-        for i, s in enumerate(self.sets):
-            if len(s):
-                self.classes.setdefault(1 << (len(s) - 1).bit_length(), []).append(i)
+        for i in sorted((i for i, s in enumerate(self.sets) if len(s)), key=lambda i: -len(self.sets[i])):
+            size = next((k for k in self.classes if 5 * len(self.sets[i]) >= 4 * k), len(self.sets[i]))
+            self.classes.setdefault(size, []).append(i)
         self.bands: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for size, members in self.classes.items():
             self.bands[size] = []
@@ -112,7 +117,7 @@ def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None, bands: i
             best: dict[tuple[int, int], list] = {}
             for at, width, t in zip(*(x.tolist() for x in _candidates(grams, templates)), strict=True):
                 own = templates.sets[t]
-                for d in {int(words.doc[at]), int(words.doc[min(at + width - 1, len(words) - 1)])}:
+                for d in range(int(words.doc[at]), int(words.doc[min(at + width - 1, len(words) - 1)]) + 1):
                     low, high = max(int(words.first[d]), at - len(own)), min(int(words.first[d + 1]), at + width + len(own))
                     hit = np.isin(grams[low:high], own)
                     share = len(np.unique(grams[low:high][hit])) / len(own)
