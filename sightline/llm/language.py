@@ -5,11 +5,14 @@ each the longest match in the training text; the language that needs the fewest
 length wins. Texts are parsed in pieces of PIECE characters, all pieces of a batch in step by array
 operations; a piece's border ends a phrase for every language alike.
 
-Training is a bounded sample: of each language the `rows` training documents with the least crc32 of the id, of each
-at most `row_chars` characters, together at most `chars`. Everything else covers all rows and whole texts.
+Training is a bounded sample of rows: of each language the `rows` training documents with the least crc32 of the id, those of `row_chars`
+characters or fewer first, as many as have `chars` characters together (one at least). Their texts are taken whole. Everything else covers all
+rows and whole texts.
 
 Cases: `und` with score 0 for texts without a letter and null texts; ties go to the first language by name; without any labelled
-row all are `und`; a null doc_id is never held out by chance: its remainder is that of the empty text."""
+row all are `und`; a null doc_id is never held out by chance: its remainder is that of the empty text; each row is judged by itself, so
+repeated rows don't matter; of very long texts every piece is parsed, a text in the memory of one task; an empty table gives an empty
+one; further columns are kept, but for lang_pred and lang_score, which are replaced."""
 
 from __future__ import annotations
 
@@ -18,12 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.common import crc_remainder, read_table, schema_with
 
-CHARS = 24_000
+CHARS = 48_000
 ROWS = 96
 ROW_CHARS = 2_000
 ALPHABET = 63
@@ -194,18 +197,19 @@ class CrossParser:
 
 def fit(docs: DataFrame, chars: int = CHARS, rows: int = ROWS, row_chars: int = ROW_CHARS) -> CrossParser:
     """A parser of the languages of docs (doc_id, text, lang), from a bounded sample of each."""
-    order = F.struct(F.crc32(F.concat(F.lit("fit "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"), F.col("doc_id").cast("long").alias("i"))
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    # Least rows of each salt first, then of each language: no task holds more than rows x salts of a language.
-    from pyspark.sql import Window
-
-    picked = labelled.select("lang", order.alias("o"), F.substring("text", 1, row_chars).alias("text"))
+    size = F.length("text")
+    row = F.struct((size > row_chars).alias("long"), F.crc32(F.concat(F.lit("fit "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"), F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("t"))
+    # Only what orders the rows is shuffled. The first rows of each salt, then of each language: no task holds more than rows x salts of a language.
+    picked = labelled.select("lang", row.alias("o"), size.alias("size")).distinct()
     for parts in (["lang", F.pmod(F.col("o.h"), F.lit(64))], ["lang"]):
         picked = picked.withColumn("r", F.row_number().over(Window.partitionBy(*parts).orderBy("o"))).where(F.col("r") <= rows).drop("r")
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy("o"))
+    chosen = picked.withColumn("all", before).where((F.col("all") <= chars) | (F.col("all") == F.col("size"))).select("lang", "o")
     texts: dict[str, list[str]] = {}
-    for row in picked.orderBy("lang", "o").collect():
-        texts.setdefault(row.lang, []).append(row.text)
-    return CrossParser({k: "\n".join(v)[:chars] for k, v in texts.items()})
+    for found in labelled.select("lang", row.alias("o"), "text").join(F.broadcast(chosen), ["lang", "o"]).dropDuplicates(["lang", "o"]).orderBy("lang", "o").collect():  # chars of each language, or one row
+        texts.setdefault(found.lang, []).append(found.text)
+    return CrossParser({k: "\n".join(v) for k, v in texts.items()})
 
 
 def identify(docs: DataFrame, parser: CrossParser) -> DataFrame:
