@@ -44,7 +44,6 @@ FLUSH_BYTES = 24 << 20
 BLOCK_BYTES = 24 << 20
 BIGRAM_BLOCKS = 64
 END = np.uint64(0x452821E638D01377)
-HOLE = 255
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -365,16 +364,17 @@ def class_sequences(docs: DataFrame, model: ClassModel, classed: DataFrame, bloc
             key, shape, doc = tokens(data, offsets)
             at, hit = model.symbols.find(key)
             count = np.where(hit, model.symbols.counts[at], 0) if len(model.symbols.keys) else np.zeros(len(key), np.int64)
-            own = np.where(hit, model.table_class[at], HOLE).astype(np.uint8) if len(model.symbols.keys) else np.full(len(key), HOLE, np.uint8)
-            own[key == END] = model.end
             k = batch.num_rows
             row = at_row + np.arange(k)
             at_row += k
             n = np.bincount(doc, minlength=k).astype(np.int64)
             place = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
-            hole = own == HOLE
+            hole = ~hit
             # What a block cannot tell: the shape class of a word that no training document holds.
-            own = np.where(hole, model.shapes + shape, own).astype(np.uint8)
+            own = np.where(key == END, model.end, model.shapes + shape.astype(np.int64))
+            if len(model.symbols.keys):
+                own = np.where(hit, model.table_class[at], own)
+            own = own.astype(np.uint8)
             return row, batch.column("id").to_numpy(zero_copy_only=False), batch.column("held_out").to_numpy(zero_copy_only=False).astype(np.int8), n, np.bincount(doc, count > 0, minlength=k).astype(np.int64), np.bincount(doc, np.log10(count + 1.0), minlength=k), own, row[doc[hole]], place[hole], key[hole]
 
         def send(parts: list) -> pa.RecordBatch:
