@@ -1,13 +1,16 @@
 """Operator 5: media columns checked by signature sniffing.
 
 An Aho-Corasick automaton finds the magic bytes of all known formats in a binary in one scan; at each hit the format's
-validator walks its structure (chunks, segments, pages, checksums) and says how long it is, or rejects it. The format that
+validator walks its structure (chunks, segments, pages, frames, checksums) and says how long it is, or rejects it. The format that
 validates at byte 0 is the column's real type, whatever was declared; others found inside are carved as (type, offset, length).
 
-`store_text_media` keeps texts as 8-bit mono WAV: the UTF-8 bytes padded with zeros to a multiple of 64 are the samples.
+`store_text_media` keeps texts as 8-bit samples: the UTF-8 bytes padded with zeros to a multiple of 64, as mono WAV, gray BMP or gray PNG
+of 64 pixels a line, by a checksum of the bytes. What is stored is declared as octets; only the sniffed type says how it is read back.
 
 Cases: a null media value has type null and nothing carved; an empty one is `unknown`; truncated or damaged files are not
-of the type that their magic says; declared types are compared in lower case; a null text counts as empty."""
+of the type that their magic says; declared types are compared in lower case; a null text counts as empty, and equal texts are stored
+alike; of very long texts the whole is stored, in the memory of one task; an empty table gives an empty one; further columns are kept by
+sniff_media, but for the added ones (media_type, mismatch, carved), which are replaced."""
 
 from __future__ import annotations
 
@@ -144,7 +147,34 @@ def _gzip(b: bytes, at: int) -> int | None:
     return min(i, len(b)) - len(reader.unused_data) - at if reader.eof else None
 
 
+def _crc_table(bits: int, poly: int) -> list[int]:
+    out, top, mask = [], 1 << (bits - 1), (1 << bits) - 1
+    for i in range(256):
+        c = i << (bits - 8)
+        for _ in range(8):
+            c = (c << 1 ^ poly if c & top else c << 1) & mask
+        out.append(c)
+    return out
+
+
+_CRC8, _CRC16 = _crc_table(8, 0x07), _crc_table(16, 0x8005)
+
+
+def _flac_header(b: bytes, i: int) -> int | None:
+    """The length of the frame header at i, if its checksum holds."""
+    if i + 6 > len(b) or b[i] != 0xFF or b[i + 1] >> 1 != 0x7C or b[i + 3] & 1:
+        return None
+    lead = b[i + 4]
+    n = 4 + (1 if lead < 0x80 else next((k for k in range(2, 8) if lead << k & 0x80 == 0), 8))  # a number in the manner of UTF-8
+    n += {6: 1, 7: 2}.get(b[i + 2] >> 4, 0) + {12: 1, 13: 2, 14: 2}.get(b[i + 2] & 15, 0)
+    c = 0
+    for x in b[i : i + n]:
+        c = _CRC8[c ^ x]
+    return n + 1 if i + n < len(b) and c == b[i + n] else None
+
+
 def _flac(b: bytes, at: int) -> int | None:
+    """Frames follow the metadata: each ends with a checksum, before the next frame's header or what is no part of the file."""
     i, first = at + 4, True
     while i + 4 <= len(b):
         kind, n = b[i], int.from_bytes(b[i + 1 : i + 4], "big")
@@ -152,8 +182,24 @@ def _flac(b: bytes, at: int) -> int | None:
             return None
         i, first = i + 4 + n, False
         if kind & 0x80:
-            return len(b) - at if i < len(b) and b[i] == 0xFF and b[i + 1 : i + 2] and b[i + 1] >> 1 == 0x7C else None
-    return None
+            break
+    else:
+        return None
+    end = None
+    while (n := _flac_header(b, i)) is not None:
+        c, j, last = 0, i, None
+        while j < len(b):
+            c = (c << 8 & 0xFFFF) ^ _CRC16[c >> 8 ^ b[j]]
+            j += 1
+            if c == 0 and j - i > n + 2:  # the checksum over a whole frame and its own two bytes is 0
+                last = last or j
+                if j == len(b) or _flac_header(b, j) is not None:
+                    last = j
+                    break
+        if last is None:
+            break
+        end = i = last
+    return end - at if end else None
 
 
 def _ogg(b: bytes, at: int) -> int | None:
@@ -172,9 +218,18 @@ def _ogg(b: bytes, at: int) -> int | None:
 
 
 def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    start = b.find(b"startxref", at, end) if end > 0 else -1
-    return end + 5 - at if b[at + 5 : at + 6].isdigit() and start > 0 else None
+    """Up to the last end mark before another header whose startxref names a cross-reference table or stream of this file."""
+    stop = b.find(b"%PDF-", at + 5)
+    limit, end, found = stop if stop > 0 else len(b), b.find(b"%%EOF", at), None
+    while 0 < end < limit and b[at + 5 : at + 6].isdigit():
+        start = b.rfind(b"startxref", at, end)
+        number = b[start + 9 : end].strip()
+        if start > 0 and number.isdigit():
+            table = at + int(number)
+            if table < start and (b[table : table + 4] == b"xref" or b" obj" in b[table : table + 24]):
+                found = end + 5 - at
+        end = b.find(b"%%EOF", end + 5)
+    return found
 
 
 def _mp4(b: bytes, at: int) -> int | None:
@@ -233,6 +288,54 @@ def wav_samples(data: bytes) -> bytes:
     raise ValueError("no samples")
 
 
+WIDTH = 64
+GRAYS = b"".join(bytes([i, i, i, 0]) for i in range(256))
+
+
+def bmp_of(payload: bytes) -> bytes:
+    """8-bit gray, lines from the top."""
+    start, lines = 54 + len(GRAYS), len(payload) // WIDTH
+    head = struct.pack("<2sIII", b"BM", start + len(payload), 0, start) + struct.pack("<IiiHHIIiiII", 40, WIDTH, -lines, 1, 8, 0, len(payload), 2835, 2835, 256, 0)
+    return head + GRAYS + payload
+
+
+def bmp_samples(data: bytes) -> bytes:
+    size, _, start = struct.unpack_from("<III", data, 2)
+    return data[start:size]
+
+
+def png_of(payload: bytes) -> bytes:
+    """8-bit gray, no line filtered."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    lines = b"\0" + b"\0".join(payload[i : i + WIDTH] for i in range(0, len(payload), WIDTH))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(payload) // WIDTH, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines, 1)) + chunk(b"IEND", b"")
+
+
+def png_samples(data: bytes) -> bytes:
+    i, packed, width = 8, [], 0
+    while i + 12 <= len(data):
+        n, kind = struct.unpack_from(">I4s", data, i)
+        if kind == b"IHDR":
+            width = struct.unpack_from(">I", data, i + 8)[0]
+        elif kind == b"IDAT":
+            packed.append(data[i + 8 : i + 8 + n])
+        i += 12 + n
+    lines = zlib.decompress(b"".join(packed))
+    if any(lines[:: width + 1]):
+        raise ValueError("filtered lines")
+    return b"".join(lines[j + 1 : j + 1 + width] for j in range(0, len(lines), width + 1))
+
+
+STORES: list[Callable[[bytes], bytes]] = [wav_of, bmp_of, png_of]
+READERS: dict[str, Callable[[bytes], bytes]] = {"audio/wav": wav_samples, "image/bmp": bmp_samples, "image/png": png_samples}
+
+
+def stored(text: bytes) -> bytes:
+    """A text as media."""
+    payload = text + bytes(PAD - len(text) % PAD if len(text) % PAD or not text else 0)
+    return STORES[zlib.crc32(payload) % len(STORES)](payload)
+
+
 def store_text_media(docs: DataFrame, declared: str = "application/octet-stream") -> DataFrame:
     """(doc_id, n_bytes, declared_type, media) of docs (doc_id, text)."""
 
@@ -241,8 +344,7 @@ def store_text_media(docs: DataFrame, declared: str = "application/octet-stream"
             for a in range(0, whole.num_rows, 256):
                 batch = whole.slice(a, 256)
                 texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-                media = [wav_of(t + bytes(PAD - len(t) % PAD if len(t) % PAD or not t else 0)) for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([declared] * len(texts), pa.string()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "declared_type", "media"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([declared] * len(texts), pa.string()), pa.array([stored(t) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "declared_type", "media"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(encode, "doc_id long, n_bytes long, declared_type string, media binary")
 
@@ -272,15 +374,17 @@ def sniff_media(df: DataFrame, media: str = "media", declared: str = "declared_t
     return df.mapInArrow(sniff, schema_with(df, added))
 
 
-def wav_digests(df: DataFrame) -> DataFrame:
+def media_digests(df: DataFrame) -> DataFrame:
     """Digests of stored text media (doc_id, n_bytes, media, media_type, carved, mismatch), from the bytes read back."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for doc, n, data, kind, carved, wrong in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media", "media_type", "carved", "mismatch")), strict=True):
-                payload = wav_samples(data)
-                feature = f"{kind};mono;8bit;{RATE}Hz;samples={len(payload)};corrected={str(bool(wrong)).lower()};carved=" + ",".join(f"{c['type']}@{c['offset']}+{c['length']}" for c in carved)
+                if kind not in READERS:
+                    raise ValueError(f"no reader for {kind}")
+                payload = READERS[kind](data)
+                feature = f"{kind};8bit;samples={len(payload)};mean={sum(payload) / len(payload):.3f};corrected={str(bool(wrong)).lower()};carved=" + ",".join(f"{c['type']}@{c['offset']}+{c['length']}" for c in carved)
                 rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), DIGEST.types, strict=True)] if rows else [pa.array([], k) for k in DIGEST.types], schema=DIGEST)
 
@@ -291,5 +395,5 @@ DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_b
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = written(store_text_media(read_table(spark, sf_dir, "documents")), "media", compression="zstd")
-    return wav_digests(sniff_media(stored))
+    kept = written(store_text_media(read_table(spark, sf_dir, "documents")), "media", compression="zstd")
+    return media_digests(sniff_media(kept))
