@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import itertools
 import re
 import wave
 import zlib
@@ -15,7 +16,7 @@ from sightline.llm.jaccard import link_classes
 from sightline.llm.language import CrossParser, fit, identify, suffix_automaton
 from sightline.llm.language_model import exchange, fit as fit_lm, score as score_lm
 from sightline.llm.licenses import TEMPLATES, scan_licenses
-from sightline.llm.media import Sniffer, sniff_media, store_text_media, wav_digests, wav_of, wav_samples
+from sightline.llm.media import Sniffer, media_digests, sniff_media, store_text_media, wav_of, wav_samples
 from sightline.llm.packing import best_fit, pack_documents
 from sightline.llm.records import fetch, frame, read_digests, read_records, unframe, write_records
 from sightline.llm.substring import remove_duplicates
@@ -254,7 +255,7 @@ def test_media(spark, odd, empty):
     png = b"\x89PNG\r\n\x1a\n" + b"".join(len(x).to_bytes(4, "big") + k + x + zlib.crc32(k + x).to_bytes(4, "big") for k, x in ((b"IHDR", bytes(13)), (b"IEND", b"")))
     found = Sniffer().scan(b"junk" + png + b"GIF89a" + data)
     assert [(k, n) for k, _, n in found] == [("image/png", len(png)), ("audio/wav", len(data))]
-    rows = {r.doc_id: r for r in wav_digests(sniff_media(store_text_media(odd))).collect()}
+    rows = {r.doc_id: r for r in media_digests(sniff_media(store_text_media(odd))).collect()}
     assert rows[1].payload_bytes == 64 and rows[4].payload_sha256 == hashlib.sha256(PASSAGE.encode() + bytes(-len(PASSAGE) % 64)).hexdigest()
     assert sniff_media(store_text_media(empty)).count() == 0
 
@@ -293,18 +294,29 @@ def test_licenses(spark, odd, empty):
 
 
 def test_seeds_match_a_plain_version():
-    import numpy as np
-
-    from sightline.llm.decontaminate import RARE, Items
+    from sightline.llm.decontaminate import Items, needed_pairs, pair_hash
 
     items = Items([(3, "a b c d e f a b c"), (1, None), (7, "one two"), (2, "a b c x y z w"), (9, "a b c")])
-    counts = np.array([(i * 7) % 11 for i in range(len(items.grams))])
-    grams, owner, place = items.seeds(counts)
+    keys, owner, place = items.seeds()
     plain = []
-    for i in range(5):
-        of = [(int(g), int(p)) for g, p, it in zip(items.index, items.place, items.item, strict=True) if it == i]
-        if of:
-            limit = max(RARE, float(np.median([counts[g] for g, _ in of])))
-            plain += [(int(items.grams[g]), i, p) for g, p in of if counts[g] <= limit]
-    assert sorted(zip(grams.tolist(), owner.tolist(), place.tolist(), strict=True)) == sorted(plain)
-    assert [len(x) for x in Items([(1, ""), (2, None)]).seeds(np.zeros(0, np.int64))] == [0, 0, 0]
+    for i, words_ in enumerate(items.words):
+        if needed_pairs(len(words_)):
+            plain += [(int(pair_hash(words_[k : k + 1], words_[k + 1 : k + 2])[0]), i, k) for k in range(len(words_) - 1)]
+    whole = [j for j in range(len(keys)) if items.needed[owner[j]]]
+    assert sorted((int(keys[j]), int(owner[j]), int(place[j])) for j in whole) == sorted(plain)
+    assert np.bincount(owner, minlength=5).tolist() == [8, 0, 1 if needed_pairs(2) else 2, 6, 2 if needed_pairs(3) else 3]
+    assert [len(x) for x in Items([(1, ""), (2, None)]).seeds()] == [0, 0, 0]
+
+
+def test_needed_pairs_is_a_lower_bound():
+    """All alignments of an item of up to six words, as steps between matches: neighbours, one word between, or what costs more."""
+    from sightline.llm.decontaminate import needed_pairs
+
+    for n in range(1, 7):
+        least = n
+        for m in range(1, n + 1):
+            for kinds in itertools.product(("next", "one", "skip", "more"), repeat=m - 1):
+                lost = sum({"next": 0, "one": 1, "skip": 1, "more": 2}[k] for k in kinds)
+                if kinds.count("skip") <= n - m and 2 * m - lost >= n:
+                    least = min(least, sum(k in ("next", "one") for k in kinds))
+        assert needed_pairs(n) == least
