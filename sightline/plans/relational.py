@@ -13,7 +13,7 @@ from sightline.sources.tables import CAMERAS, DET, TRACKLETS, cameras, detection
 GAP = 600.0
 
 
-@query("J1 J16: detections with their track, left outer", "SELECT l_orderkey, l_linenumber, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
+@query("J1: detections with their track, left outer", "SELECT l_orderkey, l_linenumber, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
 def track_left_join(spark: SparkSession, d: str) -> DataFrame:
     orders = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"))
     return read(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("l_orderkey", "l_linenumber", "status")
@@ -56,7 +56,7 @@ _SCENES = TRACKLETS + ", s AS (SELECT *, vehicle % 10 AS scene FROM tracklets)"
 
 
 @query(
-    "J2 J3 J4 J5 J7 J15 J24: candidate edges by scene, order and time range",
+    "candidate pairs by scene, order and time range alone",
     f"""WITH {_SCENES} SELECT a.vehicle AS source, a.camera AS source_camera, b.vehicle AS target, b.camera AS target_camera, a.day, round(b.start - a."end", 3) AS gap_s, a.vehicle = b.vehicle AS same
 FROM s a JOIN s b ON a.scene = b.scene AND a.camera <> b.camera AND b.start > a."end" AND b.start - a."end" <= {GAP}""",
 )
@@ -67,7 +67,7 @@ def range_join_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "J6 J8 J9 J11: edges through attribute, plate and appearance gates; a longer gap asks for more",
+    "J9 J11: edges through plate and appearance gates; a longer gap asks for more",
     f"""WITH {_SCENES}, e AS (SELECT a.vehicle AS source, b.vehicle AS target, a.camera AS source_camera, b.camera AS target_camera, a.day, b.start - a."end" AS gap, nullif(a.k % 4, 0) AS pa, nullif(b.k % 4, 0) AS pb, abs(a.confidence - b.confidence) AS diff
  FROM s a JOIN s b ON a.scene = b.scene AND a.camera <> b.camera AND b.start > a."end" AND b.start - a."end" <= {GAP})
 SELECT source, source_camera, target, target_camera, day, round(1 - diff, 6) AS appearance FROM e WHERE (pa IS NULL OR pb IS NULL OR pa = pb) AND 1 - diff >= CASE WHEN gap > 100 THEN least(0.85, 0.7 + 0.1) ELSE 0.7 END""",
@@ -98,7 +98,7 @@ def having_multi_camera(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "J18 J19 J20: best edge of each unordered pair, either orientation",
+    "J19: best edge of each unordered pair, either orientation",
     "WITH e AS (SELECT o_custkey % 50 AS a, o_orderkey % 50 AS b, o_totalprice AS score FROM orders) SELECT least(a, b) AS low, greatest(a, b) AS high, round(max(score), 2) AS score FROM e WHERE a <> b GROUP BY 1, 2",
 )
 def best_edge_of_pair(spark: SparkSession, d: str) -> DataFrame:

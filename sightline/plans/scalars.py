@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.expressions import angle_diff, clamp, haversine_m, haversine_sql, iou, iou_sql, lookup
 from sightline.registry import query
 from sightline.sources.tables import BOXES, CAMERAS, DET, OFFSETS, boxes, cameras, detections, read
 
-#: Colour aliases and keyword tables.
-COLOURS = {"R": "red", "A": "white", "N": "black"}
-TYPES = {"car": "sedan", "sedan": "sedan", "suv": "suv", "truck": "truck", "pickup truck": "pickup", "bus": "bus"}
-KEYWORDS = {"the": "common", "then": "time", "that": "pointer", "stupid": "abuse", "license": "legal", "licensed under": "legal notice"}
-
-
-@query("S6 F17 P: column pruning, confidence pushdown", f"WITH {DET} SELECT event_id, camera, round(confidence, 6) AS confidence FROM det WHERE confidence >= 0.3")
+@query("S6 F17: column pruning, confidence pushdown", f"WITH {DET} SELECT event_id, camera, round(confidence, 6) AS confidence FROM det WHERE confidence >= 0.3")
 def scan_prune_filter(spark: SparkSession, d: str) -> DataFrame:
     return detections(spark, d).where(F.col("confidence") >= 0.3).select("event_id", "camera", F.round("confidence", 6).alias("confidence"))
 
@@ -67,14 +61,14 @@ def frame_to_ts(spark: SparkSession, d: str) -> DataFrame:
 _OFFSETS_SQL = "offsets(camera, offset_s) AS (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in OFFSETS.items()) + ")"
 
 
-@query("P13 P14 S18: local to global time, alignment flag", f"WITH {DET}, {_OFFSETS_SQL} SELECT event_id, round(t + coalesce(offset_s, 0), 3) AS global_t, offset_s IS NOT NULL AS aligned FROM det LEFT JOIN offsets USING (camera)")
+@query("P13 P14: local to global time, alignment flag", f"WITH {DET}, {_OFFSETS_SQL} SELECT event_id, round(t + coalesce(offset_s, 0), 3) AS global_t, offset_s IS NOT NULL AS aligned FROM det LEFT JOIN offsets USING (camera)")
 def clock_align(spark: SparkSession, d: str) -> DataFrame:
     offset = lookup(F.col("camera"), OFFSETS)
     return detections(spark, d).select("event_id", F.round(F.col("t") + F.coalesce(offset, F.lit(0.0)), 3).alias("global_t"), offset.isNotNull().alias("aligned"))
 
 
 @query(
-    "P15 P16 P50 P51 J17: distances, headings and travel times of camera pairs of a scene",
+    "P15 P16 P50 P51: distances, headings and travel times of camera pairs of a scene",
     f"""WITH {CAMERAS}, p AS (SELECT a.camera AS a, b.camera AS b, {haversine_sql("a.lat", "a.lon", "b.lat", "b.lon")} AS m, least(abs(a.heading - b.heading) % 360, 360 - abs(a.heading - b.heading) % 360) AS turn
  FROM cameras a JOIN cameras b ON a.scene = b.scene AND a.camera <> b.camera)
 SELECT a, b, round(m, 3) AS metres, turn, round(m / (40 / 3.6), 3) AS eta_s, round(m / (80 / 3.6), 3) AS fastest_s, round(m / (20 / 3.6), 3) AS slowest_s FROM p""",
@@ -108,11 +102,11 @@ def bbox_norm(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "P24 P26: movement sector of a track from its first to its last box, P25: side of entry",
+    "P24 P25: movement sector of a track from its first to its last box, sides of entry and exit",
     f"""WITH {BOXES}, e AS (SELECT track, arg_min((x1 + x2) / 2, {{'f': frame, 'x': x1, 'y': y1}}) AS ax, arg_min((y1 + y2) / 2, {{'f': frame, 'x': x1, 'y': y1}}) AS ay, arg_max((x1 + x2) / 2, {{'f': frame, 'x': x1, 'y': y1}}) AS bx, arg_max((y1 + y2) / 2, {{'f': frame, 'x': x1, 'y': y1}}) AS "by" FROM boxes GROUP BY track),
 a AS (SELECT *, degrees(atan2(-("by" - ay), bx - ax)) AS angle FROM e)
 SELECT track, CASE WHEN ax = bx AND ay = "by" THEN 'unknown' WHEN angle >= -45 AND angle < 45 THEN 'east' WHEN angle >= 45 AND angle < 135 THEN 'north' WHEN angle >= -135 AND angle < -45 THEN 'south' ELSE 'west' END AS direction,
- CASE WHEN ax / 1070 < 0.33 THEN 'left' WHEN ax / 1070 < 0.66 THEN 'centre' ELSE 'right' END AS entry FROM a""",
+ CASE WHEN ax / 1070 < 0.33 THEN 'left' WHEN ax / 1070 < 0.66 THEN 'centre' ELSE 'right' END AS entry, CASE WHEN bx / 1070 < 0.33 THEN 'left' WHEN bx / 1070 < 0.66 THEN 'centre' ELSE 'right' END AS exit FROM a""",
 )
 def direction_sector(spark: SparkSession, d: str) -> DataFrame:
     b = boxes(spark, d)
@@ -122,14 +116,8 @@ def direction_sector(spark: SparkSession, d: str) -> DataFrame:
     angle = F.degrees(F.atan2(-(F.col("by") - F.col("ay")), F.col("bx") - F.col("ax")))
     still = (F.col("ax") == F.col("bx")) & (F.col("ay") == F.col("by"))
     sector = F.when(still, "unknown").when((angle >= -45) & (angle < 45), "east").when((angle >= 45) & (angle < 135), "north").when((angle >= -135) & (angle < -45), "south").otherwise("west")
-    share = F.col("ax") / 1070
-    return e.select("track", sector.alias("direction"), F.when(share < 0.33, "left").when(share < 0.66, "centre").otherwise("right").alias("entry"))
-
-
-@query("P28 P29 P30 P31: alias and code lookups with fallbacks", "SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN 'red' WHEN 'A' THEN 'white' WHEN 'N' THEN 'black' ELSE l_returnflag END AS colour, coalesce(CASE l_linestatus WHEN 'O' THEN 'open' END, 'unknown') AS status FROM lineitem")
-def alias_canonical(spark: SparkSession, d: str) -> DataFrame:
-    flag = F.col("l_returnflag")
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(lookup(flag, COLOURS), flag).alias("colour"), F.coalesce(lookup(F.col("l_linestatus"), {"O": "open"}), F.lit("unknown")).alias("status"))
+    side = lambda x: F.when(F.col(x) / 1070 < 0.33, "left").when(F.col(x) / 1070 < 0.66, "centre").otherwise("right")
+    return e.select("track", sector.alias("direction"), side("ax").alias("entry"), side("bx").alias("exit"))
 
 
 @query("P44: argmax over a probability array with a threshold", "SELECT vec_id, CASE WHEN list_max(embedding) >= 0.3 THEN CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) END AS best FROM embeddings")
@@ -139,17 +127,17 @@ def argmax_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "P37 P38 P45: size, aspect and confidence buckets",
-    f"""WITH {BOXES} SELECT track, frame, CASE WHEN a >= 8000 THEN 'large' WHEN a >= 2000 THEN 'medium' ELSE 'small' END AS size, CASE WHEN r >= 2.5 THEN 'bus' WHEN r >= 1.8 THEN 'sedan' WHEN r >= 1.2 THEN 'suv' WHEN r >= 0.8 THEN 'van' ELSE 'other' END AS kind
+    "P38: type by aspect",
+    f"""WITH {BOXES} SELECT track, frame, CASE WHEN r >= 2.5 THEN 'bus' WHEN r >= 1.8 THEN 'sedan' WHEN r >= 1.2 THEN 'suv' WHEN r >= 0.8 THEN 'van' ELSE 'other' END AS kind
 FROM (SELECT *, (x2 - x1) * (y2 - y1) AS a, (x2 - x1) / (y2 - y1) AS r FROM boxes)""",
 )
-def size_bucket(spark: SparkSession, d: str) -> DataFrame:
+def aspect_type(spark: SparkSession, d: str) -> DataFrame:
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    return boxes(spark, d).select("track", "frame", F.when(w * h >= 8000, "large").when(w * h >= 2000, "medium").otherwise("small").alias("size"), F.when(w / h >= 2.5, "bus").when(w / h >= 1.8, "sedan").when(w / h >= 1.2, "suv").when(w / h >= 0.8, "van").otherwise("other").alias("kind"))
+    return boxes(spark, d).select("track", "frame", F.when(w / h >= 2.5, "bus").when(w / h >= 1.8, "sedan").when(w / h >= 1.2, "suv").when(w / h >= 0.8, "van").otherwise("other").alias("kind"))
 
 
 @query(
-    "P33 P34 P35 P36: freshness against a given time, quality fusion",
+    "P33 P34 P36: freshness against a given time, quality fusion",
     f"""WITH {DET} SELECT event_id, round(least(greatest(exp(-abs(t - 1706572800) / 3600), 0), 1), 6) AS freshness,
  round(least(greatest(0.3 / (1 + exp(-(k * 10 - 100) / 80.0)) + 0.3 * confidence + 0.2 * (1 - confidence) + 0.2 * (k % 10) / 10.0, 0), 1), 6) AS quality FROM det""",
 )
@@ -161,7 +149,7 @@ def freshness_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "P42 Q3: plate cleaning and pattern",
+    "P42: plate cleaning and pattern",
     """WITH raw AS (SELECT c_custkey, 'AB' || chr(65 + CAST(c_custkey % 26 AS INT)) || '-' || lpad(CAST(c_custkey AS VARCHAR), CAST(3 + c_custkey % 4 AS INT), '0') || '.' || c_nationkey AS raw FROM customer)
 SELECT c_custkey, nullif(regexp_extract(regexp_replace(raw, '[^A-Z0-9]', '', 'g'), '(AB[E-Z][A-Z0-9]{4,5})$', 1), '') AS plate FROM raw""",
 )
@@ -172,40 +160,19 @@ def plate_clean(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "customer").select("c_custkey", F.nullif(F.regexp_extract(clean, "(AB[E-Z][A-Z0-9]{4,5})$", 1), F.lit("")).alias("plate"))
 
 
-@query(
-    "F1 F2 F4 F5 F6 F8 F9 F12: conjunctive filter, unknown passes, known-attribute order",
-    "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_returnflag = 'R' THEN 100 ELSE 0 END + CASE WHEN l_linestatus = 'F' THEN 100 ELSE 0 END AS INT) AS known FROM lineitem WHERE l_returnflag IN ('R', 'A') AND (l_linestatus = 'F' OR l_linestatus IS NULL) AND l_quantity BETWEEN 5 AND 30",
-)
-def conjunctive_filter(spark: SparkSession, d: str) -> DataFrame:
-    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
-    kept = read(spark, d, "lineitem").where(flag.isin("R", "A") & ((status == "F") | status.isNull()) & F.col("l_quantity").between(5, 30))
-    return kept.select("l_orderkey", "l_linenumber", (F.when(flag == "R", 100).otherwise(0) + F.when(status == "F", 100).otherwise(0)).alias("known")).orderBy(F.desc("known"), "l_orderkey", "l_linenumber")
-
-
-@query("F3 F7 J10: null-tolerant inequality, missing tokens as NULL", f"WITH {DET}, x AS (SELECT event_id, CASE WHEN k % 5 = 0 THEN NULL ELSE k % 3 END AS a, nullif(CASE WHEN k % 4 = 0 THEN 'unknown' ELSE camera END, 'unknown') AS c FROM det) SELECT event_id FROM x WHERE (a IS NULL OR a = 1) AND (c IS NULL OR c <> 'click')")
+@query("J10: null-tolerant inequality, missing tokens as NULL", f"WITH {DET}, x AS (SELECT event_id, CASE WHEN k % 5 = 0 THEN NULL ELSE k % 3 END AS a, nullif(CASE WHEN k % 4 = 0 THEN 'unknown' ELSE camera END, 'unknown') AS c FROM det) SELECT event_id FROM x WHERE (a IS NULL OR a = 1) AND (c IS NULL OR c <> 'click')")
 def null_tolerant_filter(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("k")
     x = detections(spark, d).select("event_id", F.when(k % 5 != 0, k % 3).alias("a"), F.when(k % 4 != 0, F.col("camera")).alias("c"))
     return x.where((F.col("a").isNull() | (F.col("a") == 1)) & (F.col("c").isNull() | (F.col("c") != "click"))).select("event_id")
 
 
-@query("F10: substring search, first 20 and the total", "WITH hit AS (SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '7')) SELECT c_custkey, c_name, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY c_custkey LIMIT 20")
+@query("F10: substring search, first 20 and the total, by one scan", "WITH hit AS (SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '7')) SELECT c_custkey, c_name, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY c_custkey LIMIT 20")
 def substring_search(spark: SparkSession, d: str) -> DataFrame:
+    """Each partition keeps its first 20 and its count; what is put together is 20 rows and a number for each."""
     hit = read(spark, d, "customer").where(F.lower("c_name").contains("7")).select("c_custkey", "c_name")
-    total = hit.agg(F.count("*").alias("total"))
-    return hit.orderBy("c_custkey").limit(20).crossJoin(F.broadcast(total))  # one row
-
+    own = hit.withColumn("p", F.spark_partition_id())
+    part = own.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("c_custkey"))).groupBy("p").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("r") <= 20, F.struct("c_custkey", "c_name"))).alias("first"))
+    both = part.agg(F.sum("n").alias("total"), F.slice(F.sort_array(F.flatten(F.collect_list("first"))), 1, 20).alias("first"))
+    return both.select("total", F.explode("first").alias("x")).select("x.*", "total")
 
-@query(
-    "Q1 Q2 Q4 Q5 Q6 Q7: longest keyword, target type by priority, keyword count",
-    """WITH kw(word, label) AS (VALUES ('the', 'common'), ('then', 'time'), ('that', 'pointer'), ('stupid', 'abuse'), ('license', 'legal'), ('licensed under', 'legal notice')),
-hits AS (SELECT doc_id, arg_max(label, {'n': length(word), 'w': word}) AS label, count(*) AS n FROM documents JOIN kw ON contains(lower(text), word) GROUP BY doc_id)
-SELECT doc_id, label, coalesce(n, 0) AS n_keywords, CASE WHEN contains(lower(text), 'bike') THEN 'non_motor' WHEN contains(lower(text), 'person') THEN 'pedestrian' ELSE 'vehicle' END AS target FROM documents LEFT JOIN hits USING (doc_id)""",
-)
-def longest_keyword_match(spark: SparkSession, d: str) -> DataFrame:
-    low = F.lower("text")
-    by_length = sorted(KEYWORDS, key=lambda w: (-len(w), [-ord(c) for c in w]))
-    label = F.coalesce(*[F.when(low.contains(w), KEYWORDS[w]) for w in by_length])
-    n = sum((low.contains(w).cast("long") for w in by_length), F.lit(0).cast("long"))
-    target = F.when(low.contains("bike"), "non_motor").when(low.contains("person"), "pedestrian").otherwise("vehicle")
-    return read(spark, d, "documents").select("doc_id", label.alias("label"), n.alias("n_keywords"), target.alias("target"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions.expressions import clamp
-from sightline.operators.scores import WEIGHTS, direction_score, plate_score, redistributed, spatial_score, temporal_score
+from sightline.operators.scores import WEIGHTS, plate_score, redistributed, spatial_score, temporal_score
 from sightline.registry import query
 from sightline.sources.tables import DET, TRACKLETS, detections, tracklets
 
@@ -33,7 +33,7 @@ _PLATE = "CASE WHEN pa IS NULL OR pb IS NULL THEN 0.5 WHEN pa = pb THEN 1 ELSE 0
 _TURN = "CASE WHEN least(turn, 360 - turn) < 45 THEN 1 WHEN least(turn, 360 - turn) < 135 THEN 0.5 ELSE 0 END"
 
 
-@query("C7 C8 T5: temporal plausibility of a gap", f"WITH {_EDGES} SELECT vehicle, camera, day, round({_TEMPORAL}, 6) AS score FROM e")
+@query("C8: temporal plausibility of a gap", f"WITH {_EDGES} SELECT vehicle, camera, day, round({_TEMPORAL}, 6) AS score FROM e")
 def temporal_score_query(spark: SparkSession, d: str) -> DataFrame:
     return edges(spark, d).select("vehicle", "camera", "day", F.round(temporal_score(F.col("gap"), F.col("distance")), 6).alias("score"))
 
@@ -44,21 +44,7 @@ def spatial_score_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "C1 C4 C5 C6 C10 C11 C21 F18: edge score of six parts, penalties, validity, reason",
-    f"""WITH {_EDGES}, s AS (SELECT *, {_TEMPORAL} AS temporal, {_SPATIAL} AS spatial, {_PLATE} AS plate, {_TURN} AS direction FROM e)
-SELECT vehicle, camera, day, round(least(greatest(0.35 * plate + 0.40 * temporal + 0.15 * spatial + 0.10 * coalesce(reid, 0.5) + 0.10 * direction - 0.10 * (1 - 1.0 / (1 + vehicle % 3)) - 0.05 * (1 - exp(-0.5 * (vehicle % 4))), 0), 1), 6) AS score,
- plate > 0 AS is_valid, CASE WHEN plate = 1 THEN 'same plate' WHEN plate = 0 THEN 'other plate' ELSE 'no plate' END AS reason FROM s""",
-)
-def edge_score(spark: SparkSession, d: str) -> DataFrame:
-    gap, distance = F.col("gap"), F.col("distance")
-    plate = plate_score(F.col("pa"), F.col("pb"))
-    penalty = 0.10 * (1 - 1.0 / (1 + F.col("vehicle") % 3)) + 0.05 * (1 - F.exp(-0.5 * (F.col("vehicle") % 4)))
-    score = 0.35 * plate + 0.40 * temporal_score(gap, distance) + 0.15 * spatial_score(gap, distance) + 0.10 * F.coalesce("reid", F.lit(0.5)) + 0.10 * direction_score(F.col("turn")) - penalty
-    return edges(spark, d).select("vehicle", "camera", "day", F.round(clamp(score), 6).alias("score"), (plate > 0).alias("is_valid"), F.when(plate == 1, "same plate").when(plate == 0, "other plate").otherwise("no plate").alias("reason"))
-
-
-@query(
-    "C2 C3 C12: weights of missing evidence shared out, dropped parts",
+    "C3: weights of missing evidence shared out, with weights of a caller",
     f"""WITH {_EDGES}, s AS (SELECT *, {_TEMPORAL} AS temporal, {_SPATIAL} AS spatial, {_PLATE} AS plate, pa IS NOT NULL AND pb IS NOT NULL AS has_plate, reid IS NOT NULL AS has_reid FROM e),
 w AS (SELECT *, 0.55 + CASE WHEN has_plate THEN 0.35 ELSE 0 END + CASE WHEN has_reid THEN 0.10 ELSE 0 END AS kept FROM s)
 SELECT vehicle, camera, day, round((CASE WHEN has_plate THEN 0.35 * plate ELSE 0 END + 0.40 * temporal + 0.15 * spatial + CASE WHEN has_reid THEN 0.10 * reid ELSE 0 END) / kept, 9) AS score,
@@ -72,7 +58,7 @@ def reweighted_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "C13 C14: consistency over the dimensions asked for, retrieval score",
+    "C13: consistency over the dimensions asked for, and the score from it",
     f"""WITH {DET}, c AS (SELECT event_id, confidence, (0.4 * CASE WHEN k % 5 = 0 THEN 0.5 WHEN k % 3 = 0 THEN 1 ELSE 0 END + 0.2 * (camera = 'click')::INT) / 0.6 AS consistency FROM det)
 SELECT event_id, round(consistency, 6) AS consistency, round(0.6 * confidence + 0.4 * (0.7 * consistency + 0.3 * confidence), 6) AS score FROM c""",
 )
@@ -83,7 +69,7 @@ def consistency_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "C15 C16: rerank by vector, attributes, quality and freshness, top n",
+    "C15: rerank by vector, attributes, quality and freshness, top n",
     f"""WITH {DET}, s AS (SELECT event_id, 0.4 * confidence + 0.3 * (CASE WHEN k % 2 = 0 THEN 1 WHEN k % 3 = 0 THEN 0.5 ELSE 0 END) + 0.2 * (k % 10) / 10.0 + 0.1 * least(exp(-abs(t - 1706572800) / 3600), 1) AS s FROM det)
 SELECT event_id, round(s, 6) AS score FROM s ORDER BY round(s, 6) DESC, event_id LIMIT 100""",
 )
@@ -105,3 +91,38 @@ def minmax_fusion(spark: SparkSession, d: str) -> DataFrame:
     x = detections(spark, d).withColumn("itm", F.when(F.col("k") % 4 != 0, F.col("k"))).withColumns({"lo": F.min("itm").over(w), "hi": F.max("itm").over(w)})
     scaled = F.when(F.col("itm").isNotNull(), F.when(F.col("hi") == F.col("lo"), 0.5).otherwise((F.col("itm") - F.col("lo")) / (F.col("hi") - F.col("lo"))))
     return x.select("event_id", F.round(F.coalesce(0.5 * F.col("confidence") + 0.5 * scaled, F.col("confidence")), 6).alias("score"))
+
+
+_ASKED = f"""{DET}, q AS (SELECT event_id, confidence, camera, k, CASE WHEN k % 4 <> 3 THEN list_value('click', 'view', NULL)[CAST(k % 3 AS INT) + 1] END AS want_camera, CASE WHEN k % 4 = 3 THEN k % 3 ELSE 0 END AS words, CASE WHEN event_id % 5 <> 0 THEN (k * 13 % 100) / 100.0 END AS clip FROM det)"""
+
+
+@query(
+    "C14: retrieval score by consistency, else by keywords, else by confidence; with vectors if any row has one",
+    f"""WITH {_ASKED}, a AS (SELECT *, CASE WHEN want_camera IS NOT NULL THEN 0.7 * (camera = want_camera)::INT + 0.3 * confidence WHEN words > 0 THEN least(0.5 + 0.15 * words + 0.3 * confidence, 0.99) ELSE confidence END AS attr FROM q)
+SELECT event_id, round(CASE WHEN (SELECT count(clip) FROM q) > 0 THEN 0.6 * coalesce(clip, 0) + 0.4 * attr ELSE attr END, 6) AS score FROM a""",
+)
+def retrieval_score(spark: SparkSession, d: str) -> DataFrame:
+    from sightline.sources.tables import picked
+
+    k, c = F.col("k"), F.col("confidence")
+    q = detections(spark, d).select("event_id", "confidence", "camera", F.when(k % 4 != 3, picked(["click", "view", None], k % 3)).alias("want"), F.when(k % 4 == 3, k % 3).otherwise(0).alias("words"), F.when(F.col("event_id") % 5 != 0, (k * 13 % 100) / 100.0).alias("clip"))
+    attr = F.when(F.col("want").isNotNull(), 0.7 * (F.col("camera") == F.col("want")).cast("int") + 0.3 * c).when(F.col("words") > 0, F.least(0.5 + 0.15 * F.col("words") + 0.3 * c, F.lit(0.99))).otherwise(c)
+    any_clip = q.agg((F.count("clip") > 0).alias("any"))  # one row
+    both = q.withColumn("attr", attr).join(F.broadcast(any_clip), F.lit(True))
+    return both.select("event_id", F.round(F.when(F.col("any"), 0.6 * F.coalesce("clip", F.lit(0.0)) + 0.4 * F.col("attr")).otherwise(F.col("attr")), 6).alias("score"))
+
+
+@query(
+    "C16: share of the attributes asked for that match, half for a part of the word, 1 if none is asked for",
+    """WITH x AS (SELECT p_partkey, lower(p_brand) AS brand, lower(p_type) AS type, CASE WHEN p_partkey % 4 <> 0 THEN lower('Brand#' || (p_partkey % 3 + 1)) END AS want_brand, CASE WHEN p_partkey % 5 <> 0 THEN list_value('tin', 'small', 'x')[CAST(p_partkey % 3 AS INT) + 1] END AS want_type FROM part)
+SELECT p_partkey, round(coalesce((coalesce(CASE WHEN brand = want_brand THEN 1.0 WHEN contains(brand, want_brand) OR contains(want_brand, brand) THEN 0.5 ELSE 0 END * (want_brand IS NOT NULL)::INT, 0) + coalesce(CASE WHEN type = want_type THEN 1.0 WHEN contains(type, want_type) OR contains(want_type, type) THEN 0.5 ELSE 0 END * (want_type IS NOT NULL)::INT, 0)) / nullif((want_brand IS NOT NULL)::INT + (want_type IS NOT NULL)::INT, 0)::DOUBLE, 1.0), 6) AS share FROM x""",
+)
+def attribute_share(spark: SparkSession, d: str) -> DataFrame:
+    from sightline.sources.tables import picked, read
+
+    key = F.col("p_partkey")
+    x = read(spark, d, "part").select("p_partkey", F.lower("p_brand").alias("brand"), F.lower("p_type").alias("type"), F.when(key % 4 != 0, F.concat(F.lit("brand#"), key % 3 + 1)).alias("want_brand"), F.when(key % 5 != 0, picked(["tin", "small", "x"], key % 3)).alias("want_type"))
+    pairs = [(F.col("brand"), F.col("want_brand")), (F.col("type"), F.col("want_type"))]
+    match = lambda own, want: F.when(want.isNull(), 0.0).when(own == want, 1.0).when(own.contains(want) | want.contains(own), 0.5).otherwise(0.0)
+    asked = sum((w.isNotNull().cast("int") for _, w in pairs), F.lit(0))
+    return x.select("p_partkey", F.round(F.coalesce(sum((match(o, w) for o, w in pairs), F.lit(0.0)) / F.nullif(asked, F.lit(0)), F.lit(1.0)), 6).alias("share"))

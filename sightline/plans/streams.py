@@ -54,7 +54,7 @@ def tracker_stream(spark: SparkSession, d: str) -> DataFrame:
     return _drained(track_objects(rows), "append").drop("__batch", "batch")
 
 
-@query("G9 G10 G16: constrained union of similar detections in each scene")
+@query("G16: constrained union of similar detections in each scene")
 def union_find(spark: SparkSession, d: str) -> DataFrame:
     edges = ranked(spark, d, 5).select((F.col("q") % 7).alias("scene"), F.col("q").alias("a"), (F.col("q") % 5).alias("camera_a"), F.col("g").alias("b"), (F.col("g") % 5).alias("camera_b"), F.col("s").alias("score"))
     return constrained_union(edges)

@@ -77,7 +77,7 @@ def hit_ranks(spark: SparkSession, d: str) -> DataFrame:
     return steps.select("q").distinct().join(seen, "q", "left").select("q", "rank", "seen")
 
 
-@query("W1 W3 W4 P17 P18 S20: cosine top k of each query", f"WITH {_RANKED} SELECT q, g, rank FROM ranked WHERE rank <= 20")
+@query("W1 W2 W4 P17: cosine top k of each query", f"WITH {_RANKED} SELECT q, g, rank FROM ranked WHERE rank <= 20")
 def cosine_top_k(spark: SparkSession, d: str) -> DataFrame:
     return ranked(spark, d, 20).select("q", "g", "rank")
 
@@ -95,7 +95,7 @@ def cross_camera_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "A31 A32: hit rate, mean reciprocal rank and discounted gain in the first 20",
+    "A31: hit rate, mean reciprocal rank and discounted gain in the first 20",
     f"""WITH {_RANKED}, t AS (SELECT * FROM ranked WHERE rank <= 20), p AS (SELECT q, min(rank) FILTER (ql = gl) AS first, sum((ql = gl)::INT / log2(rank + 1)) AS dcg FROM t GROUP BY q)
 SELECT round(avg((first IS NOT NULL)::INT), 6) AS hit_rate, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(dcg), 6) AS dcg FROM p""",
 )
@@ -108,7 +108,7 @@ def hit_rate_mrr(spark: SparkSession, d: str) -> DataFrame:
 _CENTROIDS = """c AS (SELECT label, list(x ORDER BY i) AS v FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 65) AS t(i) GROUP BY label, i) GROUP BY label)"""
 
 
-@query("W20 W21: the three nearest other centroids of each label", f"WITH {_CENTROIDS}, s AS (SELECT a.label, b.label AS other, row_number() OVER (PARTITION BY a.label ORDER BY round({_COS.format(a='a.v', b='b.v')}, 9) DESC, b.label) AS rank FROM c a JOIN c b ON a.label <> b.label) SELECT label, other, rank FROM s WHERE rank <= 3")
+@query("W21: the three nearest other centroids of each label", f"WITH {_CENTROIDS}, s AS (SELECT a.label, b.label AS other, row_number() OVER (PARTITION BY a.label ORDER BY round({_COS.format(a='a.v', b='b.v')}, 9) DESC, b.label) AS rank FROM c a JOIN c b ON a.label <> b.label) SELECT label, other, rank FROM s WHERE rank <= 3")
 def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     """Labels are few: their centroids, not the vectors, are compared with one another."""
     mean = read(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
@@ -126,3 +126,9 @@ def contamination(spark: SparkSession, d: str) -> DataFrame:
     c = mean.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
     least = e.join(c, "label").groupBy("label").agg(F.min(cosine("embedding", "v")).alias("m"))
     return least.select("label", F.round("m", 6).alias("least"), (F.col("m") < 0.2).alias("contaminated"))
+
+
+@query("W3 W20: the set of the seven nearest of each query, among vectors that have a label below five", f"WITH {_RANKED.replace('g.vec_id <> q.vec_id', 'g.label < 5 AND g.vec_id <> q.vec_id')} SELECT q, string_agg(CAST(g AS VARCHAR), ',' ORDER BY g) AS near FROM ranked WHERE rank <= 7 GROUP BY q")
+def neighbour_sets(spark: SparkSession, d: str) -> DataFrame:
+    s = similarities(spark, d).where("gl < 5").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "g"))).where("rank <= 7")
+    return s.groupBy("q").agg(F.array_join(F.transform(F.sort_array(F.collect_set("g")), lambda x: x.cast("string")), ",").alias("near"))

@@ -23,7 +23,7 @@ def gap_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "A18 W8 W9 W10 T3 T5 T7: identity timeline, gaps and running cursor",
+    "W9 W10: identity timeline, gaps and running cursor",
     f"""WITH {TRACKLETS} SELECT vehicle, camera, day, n, row_number() OVER w AS pos, round(lead(start) OVER w - "end", 3) AS gap_s,
  round(sum("end" - start) OVER (PARTITION BY vehicle ORDER BY start, camera ROWS UNBOUNDED PRECEDING), 3) AS cursor_s FROM tracklets WINDOW w AS (PARTITION BY vehicle ORDER BY start, camera)""",
 )
@@ -55,7 +55,7 @@ def dedup_top_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "W15 W7: k of n uniform by position in each track, ordered frames",
+    "W15: k of n uniform by position in each track",
     f"WITH {DET}, p AS (SELECT vehicle, event_id, row_number() OVER (PARTITION BY vehicle ORDER BY t, event_id) - 1 AS i, count(*) OVER (PARTITION BY vehicle) AS n FROM det) SELECT vehicle, event_id FROM p WHERE i % greatest(1, n // 5) = 0 AND i // greatest(1, n // 5) < 5",
 )
 def sample_uniform(spark: SparkSession, d: str) -> DataFrame:
@@ -77,19 +77,51 @@ def stay_speed(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("vehicle").agg(F.sum(F.when(F.col("camera") != F.col("before"), 1).otherwise(0)).alias("switches"), F.round(speed, 9).alias("speed"))
 
 
-@query("W16 U6: hold-out of one camera of each identity, leak check", f"WITH {DET}, c AS (SELECT DISTINCT vehicle, camera FROM det) SELECT vehicle, camera, row_number() OVER (PARTITION BY vehicle ORDER BY md5(camera || '_' || vehicle), camera) = 1 AS held_out FROM c")
+SEED = 42
+
+
+@query(
+    "W16: hold-out of one camera of each identity that has several, in an order given by a seed",
+    f"WITH {DET}, c AS (SELECT DISTINCT vehicle, camera FROM det) SELECT vehicle, camera, row_number() OVER (PARTITION BY vehicle ORDER BY md5({SEED} || '_' || camera || '_' || vehicle), camera) = 1 AND count(*) OVER (PARTITION BY vehicle) > 1 AS held_out FROM c",
+)
 def camera_holdout(spark: SparkSession, d: str) -> DataFrame:
-    c = detections(spark, d).select("vehicle", "camera").distinct()
-    w = Window.partitionBy("vehicle").orderBy(F.md5(F.concat_ws("_", "camera", F.col("vehicle").cast("string"))), "camera")
-    return c.select("vehicle", "camera", (F.row_number().over(w) == 1).alias("held_out"))
+    return held_out_cameras(detections(spark, d).select("vehicle", "camera").distinct())
 
 
-@query("U1 U2: union of sources with counts", "SELECT source, count(*) AS n FROM (SELECT 'orders' AS source FROM orders UNION ALL SELECT 'lines' FROM lineitem UNION ALL SELECT 'customers' FROM customer) GROUP BY source")
+def held_out_cameras(c: DataFrame, seed: int = SEED) -> DataFrame:
+    """(vehicle, camera, held_out) of distinct (vehicle, camera)."""
+    own = Window.partitionBy("vehicle")
+    w = own.orderBy(F.md5(F.concat_ws("_", F.lit(str(seed)), "camera", F.col("vehicle").cast("string"))), "camera")
+    return c.select("vehicle", "camera", ((F.row_number().over(w) == 1) & (F.count("*").over(own) > 1)).alias("held_out"))
+
+
+@query(
+    "U6: checks of a split: identities on both sides, cameras of an identity on both sides",
+    f"WITH {DET}, c AS (SELECT DISTINCT vehicle, camera FROM det), h AS (SELECT vehicle, camera, row_number() OVER (PARTITION BY vehicle ORDER BY md5({SEED} || '_' || camera || '_' || vehicle), camera) = 1 AND count(*) OVER (PARTITION BY vehicle) > 1 AS held_out FROM c) SELECT 'identities' AS leak, count(*) AS n FROM (SELECT vehicle FROM h WHERE held_out INTERSECT SELECT vehicle FROM h WHERE NOT held_out) UNION ALL SELECT 'cameras', count(*) FROM (SELECT vehicle, camera FROM h WHERE held_out INTERSECT SELECT vehicle, camera FROM h WHERE NOT held_out)",
+)
+def split_leaks(spark: SparkSession, d: str) -> DataFrame:
+    h = held_out_cameras(detections(spark, d).select("vehicle", "camera").distinct())
+    one, other = h.where("held_out"), h.where("not held_out")
+    count = lambda columns, name: one.select(*columns).intersect(other.select(*columns)).agg(F.count("*").alias("n")).select(F.lit(name).alias("leak"), "n")
+    return count(["vehicle"], "identities").union(count(["vehicle", "camera"], "cameras"))
+
+
+@query("U1: union of sources with counts", "SELECT source, count(*) AS n FROM (SELECT 'orders' AS source FROM orders UNION ALL SELECT 'lines' FROM lineitem UNION ALL SELECT 'customers' FROM customer) GROUP BY source")
 def union_sources(spark: SparkSession, d: str) -> DataFrame:
     parts = [read(spark, d, t).select(F.lit(name).alias("source")) for t, name in (("orders", "orders"), ("lineitem", "lines"), ("customer", "customers"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("source").agg(F.count("*").alias("n"))
 
 
+@query(
+    "U2: what is there, and the new rows whose key is not there yet",
+    "SELECT c_custkey AS key, 'old' AS part FROM customer UNION ALL SELECT DISTINCT o_orderkey % 3000, 'new' FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_orderkey % 3000)",
+)
+def union_new_rows(spark: SparkSession, d: str) -> DataFrame:
+    old = read(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.lit("old").alias("part"))
+    new = read(spark, d, "orders").select((F.col("o_orderkey") % 3000).alias("key")).distinct().join(old, "key", "left_anti")
+    return old.unionByName(new.select("key", F.lit("new").alias("part")))
+
+
 @query("U3 U4: intersect and except of id sets", "SELECT 'both' AS part, count(*) AS n FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders) UNION ALL SELECT 'none', count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)")
 def intersect_except(spark: SparkSession, d: str) -> DataFrame:
     a, b = read(spark, d, "customer").select("c_custkey"), read(spark, d, "orders").select("o_custkey")

@@ -26,7 +26,7 @@ def query(covers: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from sightline.plans import aggregates, candidates, chains, expressions, filters, graphs, metrics, query_text, relational, scalars, scoring, streams, vectors, windows  # noqa: F401
+    from sightline.plans import aggregates, candidates, chains, expressions, filters, graphs, metrics, query_text, relational, scalars, scoring, sources, streams, vectors, windows  # noqa: F401
 
 
 load()

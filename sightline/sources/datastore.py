@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 SCHEMA_VERSION = "1"
 VERSION_KEY = "sightline.schema_version"
@@ -33,12 +32,17 @@ def build(detections: DataFrame, tracks: DataFrame, path: str, mode: str = "over
     stats.withColumn("schema_version", F.lit(SCHEMA_VERSION)).write.mode(mode).parquet(f"{path}/meta")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything stands at a path of any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
+
+
 def available(spark: SparkSession, path: str) -> bool:
     """Whether a store of this version stands at path."""
-    try:
-        row = spark.read.parquet(f"{path}/meta").first()
-    except AnalysisException:
+    if not exists(spark, f"{path}/meta"):
         return False
+    row = spark.read.parquet(f"{path}/meta").first()
     return row is not None and row["schema_version"] == SCHEMA_VERSION
 
 
@@ -46,10 +50,7 @@ def source_label(spark: SparkSession, path: str | None, json_path: str | None =
     """Datastore, json or none."""
     if path and available(spark, path):
         return "datastore"
-    try:
-        return "json" if json_path and spark.read.text(json_path).head(1) else "none"
-    except AnalysisException:
-        return "none"
+    return "json" if json_path and exists(spark, json_path) and spark.read.text(json_path).head(1) else "none"
 
 
 def load_detections(spark: SparkSession, path: str | None, json_path: str | None = None, with_vectors: bool = False) -> DataFrame | None:
@@ -78,10 +79,14 @@ def _struct(ddl: str) -> str:
     return ", ".join(f"{c.split(' ', 1)[0]}: {c.split(' ', 1)[1]}" for c in ddl.split(", "))
 
 
-def read_mot(spark: SparkSession, path: str) -> DataFrame:
-    """MOT ground truth; malformed lines are dropped; boxes as corners."""
+def read_mot(spark: SparkSession, path: str, width: float | None = None, height: float | None = None) -> DataFrame:
+    """MOT ground truth; malformed lines are dropped; boxes as corners, cut at the frame if its size is given; boxes outside of it go."""
     raw = spark.read.schema("frame int, id int, left double, top double, w double, h double, conf double, x double, y double, z double").option("mode", "DROPMALFORMED").csv(path)
-    return raw.where("frame is not null and id is not null").select("frame", "id", F.col("left").alias("x1"), F.col("top").alias("y1"), (F.col("left") + F.col("w")).alias("x2"), (F.col("top") + F.col("h")).alias("y2"))
+    rows = raw.where("frame is not null and id is not null").select("frame", "id", F.col("left").alias("x1"), F.col("top").alias("y1"), (F.col("left") + F.col("w")).alias("x2"), (F.col("top") + F.col("h")).alias("y2"))
+    if width is None or height is None:
+        return rows
+    cut = lambda c, most: F.least(F.greatest(c, F.lit(0.0)), F.lit(float(most))).alias(c)
+    return rows.select("frame", "id", cut("x1", width), cut("y1", height), cut("x2", width), cut("y2", height)).where("x2 > x1 and y2 > y1")
 
 
 def read_global_truth(spark: SparkSession, path: str) -> DataFrame:
@@ -110,6 +115,26 @@ def topology(spark: SparkSession, config: dict) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(cams, "camera string, name string, scene string, lat double, lon double, direction string"), spark.createDataFrame(near, "a string, b string")
 
 
+def offsets_with_fallback(pairs: DataFrame, scenes: DataFrame) -> DataFrame:
+    """(scene, camera, value) for each scene and camera: the scene's own value, else that of the first scene (by name) that has the camera."""
+    first = pairs.groupBy("camera").agg(F.min_by("value", "scene").alias("other"))
+    own = scenes.join(pairs, ["scene", "camera"], "left").join(first, "camera", "left")
+    return own.select("scene", "camera", F.coalesce("value", "other").alias("value"))
+
+
+def decoded(df: DataFrame, column: str = "attributes") -> DataFrame:
+    """JSON text as a map; text that isn't JSON gives NULL."""
+    return df.withColumn(column, F.from_json(column, "map<string, string>"))
+
+
+def verified(index: DataFrame, column: str) -> DataFrame:
+    """One row of checks: rows, rows without a vector, rows whose length is neither 0 nor 1."""
+    from sightline.functions.expressions import dot
+
+    n = F.sqrt(dot(column, column))
+    return index.agg(F.count("*").alias("n"), F.count_if(F.col(column).isNull()).alias("empty"), F.count_if((n > 1e-9) & (F.abs(n - 1) > 1e-6)).alias("bad"))
+
+
 def save_tracklets(df: DataFrame, path: str) -> None:
     """S19 (the reader is spark.read.json)."""
     df.write.mode("overwrite").json(path)
