@@ -69,11 +69,11 @@ def _columns(side: str) -> dict[str, Column]:
     return {c: F.col(f"{side}.{c}") for c in ("node", "vehicle", "camera", "type", "start", "end", "confidence", "angle", "plate", "colour", "lx", "ly")}
 
 
-def candidate_edges_of(spark: SparkSession, s: DataFrame, roads: RoadTopology = ROADS) -> DataFrame:
+def candidate_edges_of(spark: SparkSession, s: DataFrame, roads: RoadTopology = ROADS, left: DataFrame | None = None) -> DataFrame:
     """Ordered pairs of stays (a, b) of a scene and type through all gates, with gap, metres, paths, between and look. The camera
     pairs that are reachable are a small dimension (J6), joined before the pairs are made: each stay looks only at buckets of cameras that it can reach."""
     ways = roads.frame(spark)
-    left = s.join(F.broadcast(ways), F.col("camera") == F.col("source_camera"))  # at most the square of the number of cameras
+    left = (s if left is None else left).join(F.broadcast(ways), F.col("camera") == F.col("source_camera"))  # at most the square of the number of cameras
     pairs = within_seconds(left, s.withColumn("target_camera", F.col("camera")), ["scene", "type", "target_camera"], "end", "start", LONGEST)
     a, b = _columns("a"), _columns("b")
     gap = b["start"] - a["end"]
@@ -95,7 +95,7 @@ cand AS (SELECT * FROM pairs WHERE CASE WHEN metres IS NULL THEN gap <= {GAP} EL
 )
 
 
-@query("J2 J3 J4 J5 J6 J7 J8 J9 J10 J11 J15 J16 J24: candidate edges through all gates in one join", f"WITH {CANDIDATES} SELECT a_node AS source, b_node AS target, round(gap, 3) AS gap_s, a_vehicle = b_vehicle AS same FROM cand")
+@query("J2 J4 J5 J6 J7 J8 J9 J10 J11 J15 J24: candidate edges through all gates in one join", f"WITH {CANDIDATES} SELECT a_node AS source, b_node AS target, round(gap, 3) AS gap_s, a_vehicle = b_vehicle AS same FROM cand")
 def candidate_edges(spark: SparkSession, d: str) -> DataFrame:
     e = candidate_edges_of(spark, stays(spark, d))
     return e.select(F.col("a_node").alias("source"), F.col("b_node").alias("target"), F.round("gap", 3).alias("gap_s"), (F.col("a_vehicle") == F.col("b_vehicle")).alias("same"))
@@ -150,7 +150,7 @@ scored AS (SELECT *, least(greatest(CASE WHEN type = 'pedestrian' THEN {_weights
 
 
 @query(
-    "C1 C2 C3 C4 C5 C6 C7 C10 C11 C12 C21 F18: full edge scores with availability, weights shared out, penalties of paths and cameras between",
+    "A42 C1 C2 C3 C4 C5 C6 C7 C10 C11 C12 C21 F18: full edge scores with availability, weights shared out, penalties of paths and cameras between",
     f"""WITH {SCORED} SELECT a_node AS source, b_node AS target, round(score, 6) AS score, round(attribute, 6) AS attribute, round(reid, 6) AS reid, round(penalty, 6) AS penalty, score > 0 AND plate > 0 AS is_valid,
  concat_ws(',', CASE WHEN type <> 'pedestrian' AND (a_plate IS NULL OR b_plate IS NULL) THEN 'plate' END, CASE WHEN type = 'pedestrian' AND look IS NULL THEN 'reid' END, CASE WHEN type = 'pedestrian' AND (a_colour IS NULL OR b_colour IS NULL) THEN 'attribute' END, CASE WHEN type = 'pedestrian' AND (a_colour IS NULL OR b_colour IS NULL) THEN 'bag' END) AS dropped,
  CASE WHEN plate = 1 THEN 'plate equal' WHEN plate = 0.5 THEN 'plate unknown' ELSE 'plate differs' END || '; ' || CASE WHEN metres IS NULL THEN 'distance unknown' ELSE printf('%.0f m', metres) END || '; ' || paths || ' paths' AS reason FROM scored""",
@@ -162,6 +162,40 @@ def scored_edges(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("a_node").alias("source"), F.col("b_node").alias("target"), *[F.round(n, 6).alias(n) for n in ("score", "attribute", "reid", "penalty")], "is_valid", "dropped", reason.alias("reason"))
 
 
+@query(
+    "J3: the candidate edges of one vehicle's stays, the left side filtered before the join",
+    f"WITH {CANDIDATES} SELECT a_node AS source, b_node AS target, round(gap, 3) AS gap_s FROM cand WHERE a_vehicle % 50 = 7",
+)
+def edges_of_one(spark: SparkSession, d: str) -> DataFrame:
+    s = stays(spark, d)
+    e = candidate_edges_of(spark, s, left=s.where("vehicle % 50 = 7"))
+    return e.select(F.col("a_node").alias("source"), F.col("b_node").alias("target"), F.round("gap", 3).alias("gap_s"))
+
+
+_PARTS = SCORED[len(CANDIDATES) :]
+
+
+@query(
+    "T3: the stays of each identity in order, each step to the next scored",
+    f"""WITH {STAYS}, {_WAYS}, seq AS (SELECT *, lead(node) OVER w AS b_node, lead(camera) OVER w AS b_camera, lead(start) OVER w AS b_start, lead(angle) OVER w AS b_angle, lead(plate) OVER w AS b_plate, lead(colour) OVER w AS b_colour, lead(lx) OVER w AS bx, lead(ly) OVER w AS by_, row_number() OVER w AS pos FROM stays WINDOW w AS (PARTITION BY vehicle ORDER BY start, node)),
+cand AS (SELECT type, pos, vehicle, node AS a_node, b_node, camera AS a_camera, b_camera, angle AS a_angle, b_angle, plate AS a_plate, b_plate, colour AS a_colour, b_colour, b_start - "end" AS gap, CAST(metres AS DOUBLE) AS metres, coalesce(paths, 1) AS paths, coalesce(between, 0) AS between, ((lx * bx + ly * by_) / (sqrt(lx * lx + ly * ly) * sqrt(bx * bx + by_ * by_)) + 1) / 2 AS look
+ FROM seq LEFT JOIN ways ON source_camera = camera AND target_camera = b_camera WHERE b_node IS NOT NULL){_PARTS} SELECT vehicle, pos, a_node AS source, b_node AS target, round(score, 6) AS score FROM scored""",
+)
+def strong_paths(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("vehicle").orderBy("start", "node")
+    s = stays(spark, d)
+    seq = s.withColumns({**{f"b_{n}": F.lead(n).over(w) for n in ("node", "camera", "start", "angle", "plate", "colour", "lx", "ly")}, "pos": F.row_number().over(w).cast("long")}).where("b_node is not null")
+    ways = ROADS.frame(spark).withColumnRenamed("source_camera", "camera").withColumnRenamed("target_camera", "b_camera")
+    both = seq.join(F.broadcast(ways), ["camera", "b_camera"], "left")  # at most the square of the number of cameras
+    c = F.col
+    norm = lambda x, y: F.sqrt(c(x) * c(x) + c(y) * c(y))
+    look = ((c("lx") * c("b_lx") + c("ly") * c("b_ly")) / (norm("lx", "ly") * norm("b_lx", "b_ly")) + 1) / 2
+    e = both.select("type", "vehicle", "pos", *[c(n).alias(f"a_{n}") for n in ("node", "camera", "angle", "plate", "colour")], *[c(f"b_{n}") for n in ("node", "camera", "angle", "plate", "colour")], (c("b_start") - c("end")).alias("gap"), "metres", F.coalesce("paths", F.lit(1)).alias("paths"), F.coalesce("between", F.lit(0)).alias("between"), look.alias("look"))
+    return scored(e).select("vehicle", "pos", F.col("a_node").alias("source"), F.col("b_node").alias("target"), F.round("score", 6).alias("score"))
+
+
 @query(
     "J18 J20: the first segment of each camera, first edge in and out of it",
     "WITH s AS (SELECT o_custkey % 40 AS camera, o_orderkey AS segment, o_custkey % 7 AS head, o_orderkey % 11 AS tail FROM orders), f AS (SELECT camera, min(segment) AS segment FROM s GROUP BY camera) SELECT c.camera, f.segment, i.first AS first_in, o.first AS first_out FROM (SELECT unnest(range(0, 45)) AS camera) c LEFT JOIN f USING (camera) LEFT JOIN (SELECT head AS camera, min(segment) AS first FROM s GROUP BY head) i USING (camera) LEFT JOIN (SELECT tail AS camera, min(segment) AS first FROM s GROUP BY tail) o USING (camera)",

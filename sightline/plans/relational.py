@@ -81,15 +81,27 @@ def gated_edges(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where(gate).select(F.col("a.vehicle").alias("source"), F.col("a.camera").alias("source_camera"), F.col("b.vehicle").alias("target"), F.col("b.camera").alias("target_camera"), F.col("a.day").alias("day"), F.round(look, 6).alias("appearance"))
 
 
-@query("F11 J17: cameras of a box and within a radius, nearest first", f"WITH {CAMERAS}, r AS (SELECT camera, name, {haversine_sql('42.0::DOUBLE', '-90.0::DOUBLE', 'lat', 'lon')} AS m FROM cameras WHERE lat BETWEEN 41.99 AND 42.02) SELECT camera, name, round(m, 3) AS metres FROM r WHERE m <= 4000")
+@query("J17: cameras within a radius, nearest first", f"WITH {CAMERAS}, r AS (SELECT camera, name, {haversine_sql('42.0::DOUBLE', '-90.0::DOUBLE', 'lat', 'lon')} AS m FROM cameras) SELECT camera, name, round(m, 3) AS metres FROM r WHERE m <= 4000")
 def radius_search(spark: SparkSession, d: str) -> DataFrame:
     m = haversine_m(F.lit(42.0), F.lit(-90.0), F.col("lat"), F.col("lon"))
-    return cameras(spark, d).where(F.col("lat").between(41.99, 42.02)).withColumn("m", m).where("m <= 4000").orderBy("m").select("camera", "name", F.round("m", 3).alias("metres"))
+    return cameras(spark, d).withColumn("m", m).where("m <= 4000").orderBy("m").select("camera", "name", F.round("m", 3).alias("metres"))
 
 
-@query("F13: tracklets that overlap an interval", f'WITH {TRACKLETS} SELECT vehicle, camera, day FROM tracklets WHERE "end" >= 1704672000 AND start <= 1704844800')
+@query("F11: cameras by id, direction, scene and box", f"WITH {CAMERAS} SELECT camera, camera IN (3, 7, 12) AS by_id, heading BETWEEN 45 AND 135 AS by_direction, scene = 2 AS by_scene, lat BETWEEN 41.99 AND 42.01 AND lon BETWEEN -89.98 AND -89.94 AS by_box FROM cameras WHERE camera IN (3, 7, 12) OR heading BETWEEN 45 AND 135 OR scene = 2 OR (lat BETWEEN 41.99 AND 42.01 AND lon BETWEEN -89.98 AND -89.94)")
+def camera_filters(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    checks = {"by_id": c("camera").isin(3, 7, 12), "by_direction": c("heading").between(45, 135), "by_scene": c("scene") == 2, "by_box": c("lat").between(41.99, 42.01) & c("lon").between(-89.98, -89.94)}
+    return cameras(spark, d).withColumns(checks).where("by_id or by_direction or by_scene or by_box").select("camera", *checks)
+
+
+@query(
+    "F13: tracklets by identity, camera, plate and type that overlap an interval",
+    f"""WITH {TRACKLETS} SELECT vehicle, camera, day FROM tracklets WHERE "end" >= 1704672000 AND start <= 1704844800 AND vehicle BETWEEN 10 AND 120 AND camera IN ('click', 'view', 'error') AND vehicle % 4 <> 0 AND vehicle % 7 <> 0""",
+)
 def overlap_filter(spark: SparkSession, d: str) -> DataFrame:
-    return tracklets(spark, d).where((F.col("end") >= 1_704_672_000) & (F.col("start") <= 1_704_844_800)).orderBy("start").select("vehicle", "camera", "day")
+    """The plate is known where the vehicle isn't divisible by 4, its type is not that of pedestrians."""
+    t = tracklets(spark, d).where((F.col("end") >= 1_704_672_000) & (F.col("start") <= 1_704_844_800))
+    return t.where(F.col("vehicle").between(10, 120) & F.col("camera").isin("click", "view", "error") & (F.col("vehicle") % 4 != 0) & (F.col("vehicle") % 7 != 0)).orderBy("start").select("vehicle", "camera", "day")
 
 
 @query("F14 F15 F16: identities seen by at least two cameras three times", f"WITH {DET} SELECT vehicle, count(*) AS n, count(DISTINCT camera) AS cameras FROM det WHERE confidence >= 0.5 GROUP BY vehicle HAVING count(DISTINCT camera) >= 2 AND count(*) >= 3")

@@ -41,7 +41,7 @@ def result_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query(
-    "S1 S2 S8 S9 S10 S11 S22: results written to the column store and read back, attributes decoded, vectors by id",
+    "J16 S1 S2 S8 S9 S10 S11 S22: results written to the column store and read back, attributes decoded, vectors by id",
     "SELECT 'D' || event_id AS target_id, 'S0' || user_id % 5 AS scene_id, value AS confidence, CASE WHEN event_id % 3 <> 0 THEN event_type END AS color, CASE WHEN event_id % 3 <> 0 THEN json_extract_string(props, '$.k') END AS k, CASE WHEN event_id % 4 = 0 THEN value END AS vector FROM events",
 )
 def store_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from sightline.operators.ordered import constrained_union, identity_f1
 from sightline.plans.vectors import ranked
 from sightline.registry import query
+from sightline.session import shared_folder
 from sightline.sources.tables import detections, read
 from sightline.streaming.sessions import session_states, track_objects, tracklet_sessions
 
@@ -19,11 +19,10 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(read(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
-def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream has written when its input is used up, in the shared folder."""
+def _drained(stream: DataFrame, mode: str, path: str | None = None) -> DataFrame:
+    """What a stream has written when its input is used up, in the shared folder. With the path of an earlier run it goes on from there."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sightline-stream-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(spark)}/sightline-stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
@@ -32,13 +31,58 @@ def _drained(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows")
 
 
-@query("X2: tracklets by streaming session windows; the last sessions stay open until the watermark passes")
+@query(
+    "X2: tracklets by streaming session windows; at the end of the input the open ones are closed",
+    """WITH e AS (SELECT user_id AS vehicle, event_type AS camera, ts, least(value / 500, 1.0) AS confidence, epoch_us(ts) / 1e6 AS t FROM events), c AS (SELECT *, CASE WHEN t - lag(t) OVER w >= 21600 THEN 1 ELSE 0 END AS cut FROM e WINDOW w AS (PARTITION BY vehicle, camera ORDER BY t)),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY vehicle, camera ORDER BY t ROWS UNBOUNDED PRECEDING) AS seg FROM c) SELECT vehicle, camera, round(min(t), 3) AS start_s, round(max(t) + 21600, 3) AS end_s, count(*) AS n, round(avg(confidence), 9) AS confidence FROM s GROUP BY vehicle, camera, seg""",
+)
 def tracklet_stream(spark: SparkSession, d: str) -> DataFrame:
-    rows = _events(spark, d).select(F.col("user_id").alias("vehicle"), F.col("event_type").alias("camera"), "ts", F.least(F.col("value") / 500, F.lit(1.0)).alias("confidence"))
-    return _drained(tracklet_sessions(rows), "append").drop("__batch", "batch")
-
-
-@query("X3 X4: sessions through the state machine")
+    """A second source has one row after all others once the first is used up: it moves the watermark past every session."""
+    base = f"{shared_folder(spark)}/sightline-stream-{uuid.uuid4().hex}"
+    schema = "vehicle long, camera string, ts timestamp_ntz, confidence double"
+    spark.createDataFrame([], schema).write.parquet(f"{base}/end")
+
+    def sessions() -> DataFrame:
+        rows = _events(spark, d).select(F.col("user_id").alias("vehicle"), F.col("event_type").alias("camera"), "ts", F.least(F.col("value") / 500, F.lit(1.0)).alias("confidence"))
+        return tracklet_sessions(rows.unionByName(spark.readStream.schema(schema).parquet(f"{base}/end")))
+
+    _drained(sessions(), "append", base)
+    spark.sql("select -1L vehicle, '' camera, timestamp_ntz'9000-01-01 00:00:00' ts, 0D confidence").write.mode("append").parquet(f"{base}/end")
+    out = _drained(sessions(), "append", base).where("vehicle >= 0")
+    second = lambda c: F.round(F.unix_micros(c) / F.lit(1e6), 3)
+    return out.select("vehicle", "camera", second("start").alias("start_s"), second("end").alias("end_s"), "n", F.round("confidence", 9).alias("confidence"))
+
+
+@query(
+    "X3: a registry kept by upserts and deletes of a stream",
+    "WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS event, max(event_id) AS seq, arg_max(value, event_id) AS value FROM events GROUP BY user_id) SELECT user_id AS key, seq, round(value, 6) AS value FROM l WHERE event <> 'error'",
+)
+def registry_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """An `error` deletes. Each batch's last row of a key replaces the table's; the table is written anew under the batch's number, so a
+    batch that runs again writes the same."""
+    path = f"{shared_folder(spark)}/sightline-registry-{uuid.uuid4().hex}"
+    schema = "key long, seq long, value double, gone boolean"
+    spark.createDataFrame([], schema).write.parquet(f"{path}/-1")
+    last = [-1]
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        new = batch.groupBy("key").agg(F.max_by(F.struct("seq", "value", "gone"), "seq").alias("x")).select("key", "x.*")
+        old = spark.read.schema(schema).parquet(f"{path}/{last[0]}")
+        kept = old.join(new, "key", "left_anti").unionByName(new).where("not gone")
+        kept.write.mode("overwrite").parquet(f"{path}/{number}")
+        last[0] = number
+
+    ops = _events(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "value", (F.col("event_type") == "error").alias("gone"))
+    ops.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(upsert).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/{last[0]}").select("key", "seq", F.round("value", 6).alias("value"))
+
+
+@query("X4: the sessions that a bound of 100 keeps, by last access", "SELECT user_id AS session, max(event_id) AS last FROM events GROUP BY user_id ORDER BY last DESC LIMIT 100")
+def kept_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").groupBy(F.col("user_id").alias("session")).agg(F.max("event_id").alias("last")).orderBy(F.desc("last")).limit(100)
+
+
+@query("X4: sessions through the state machine")
 def session_fsm(spark: SparkSession, d: str) -> DataFrame:
     name = F.element_at(F.array(*[F.lit(x) for x in ("searched", "confirmed", "traced", "reported")]), (F.col("event_id") % 4 + 1).cast("int"))
     rows = _events(spark, d).select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), name.alias("event"))
@@ -56,7 +100,9 @@ def tracker_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query("G16: constrained union of similar detections in each scene")
 def union_find(spark: SparkSession, d: str) -> DataFrame:
-    edges = ranked(spark, d, 5).select((F.col("q") % 7).alias("scene"), F.col("q").alias("a"), (F.col("q") % 5).alias("camera_a"), F.col("g").alias("b"), (F.col("g") % 5).alias("camera_b"), F.col("s").alias("score"))
+    # Neighbours of one scene only, so that a node has one scene.
+    same = ranked(spark, d, 40).where("q % 7 = g % 7")
+    edges = same.select((F.col("q") % 7).alias("scene"), F.col("q").alias("a"), (F.col("q") % 5).alias("camera_a"), F.col("g").alias("b"), (F.col("g") % 5).alias("camera_b"), F.col("s").alias("score"))
     return constrained_union(edges)
 
 

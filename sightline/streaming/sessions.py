@@ -76,13 +76,17 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def track_objects(stream: DataFrame, least: float = 0.3, max_age: int = 30, min_hits: int = 3) -> DataFrame:
-    """(camera, frame, track, x1..y2) of the confirmed tracks of boxes (camera, frame, x1, y1, x2, y2), frames of a camera in order."""
+    """(camera, frame, track, x1..y2) of the confirmed tracks of boxes (camera, frame, x1, y1, x2, y2). Frames of a camera are taken in order; one
+    that comes after a later frame has been taken is left out, as its tracks have moved on."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, kept = json.loads(state.get[0]) if state.exists else (0, [])
+        number, kept, done = json.loads(state.get[0]) if state.exists else (0, [], -1)
         tracks = [Track(n, [], x, p, age, hits) for n, x, p, age, hits in kept]
         out = []
         for frame, rows in pd.concat(list(batches)).sort_values(["frame", "x1", "y1"]).groupby("frame"):
+            if frame <= done:
+                continue
+            done = int(frame)
             boxes = rows[["x1", "y1", "x2", "y2"]].to_numpy(float)
             for t in tracks:
                 t.predict()
@@ -103,7 +107,7 @@ def track_objects(stream: DataFrame, least: float = 0.3, max_age: int = 30, min_
                 tracks.append(Track(number, boxes[j].tolist()))
             tracks = [t for t in tracks if t.age <= max_age]
             out += [(key[0], int(frame), t.number, *t.box().round(4)) for t in tracks if t.hits >= min_hits]
-        state.update((json.dumps([number, [t.kept() for t in tracks]]),))
+        state.update((json.dumps([number, [t.kept() for t in tracks], done]),))
         yield pd.DataFrame(out, columns=["camera", "frame", "track", "x1", "y1", "x2", "y2"])
 
     return stream.groupBy("camera").applyInPandasWithState(step, "camera string, frame long, track long, x1 double, y1 double, x2 double, y2 double", "body string", "append", GroupStateTimeout.NoTimeout)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from sightline.functions.expressions import angle_diff, haversine_m, iou
 from sightline.operators.joins import within_seconds
-from sightline.operators.ordered import assignment, constrained_union, identity_f1, mot_counts
+from sightline.operators.ordered import assignment, connected, constrained_union, frame_matches, identity_f1
 from sightline.operators.scores import WEIGHTS, direction_score, redistributed, spatial_score, temporal_score
+from sightline.operators.topology import RoadTopology
 from sightline.sources.datastore import available, build, load_detections, load_stats, read_baseline, read_global_truth, read_mot, read_pairs, same_rows
 from sightline.streaming.sessions import TRANSITIONS, Track, overlaps
 
@@ -67,9 +68,40 @@ def test_identity_and_mot(spark):
     counts = spark.createDataFrame([(0, 1, 10, 3), (0, 1, 11, 2), (0, 2, 10, 4)], "scene long, gt long, pred long, n long")
     row = identity_f1(counts).first()
     assert (row.idtp, row.idf1) == (6, round(6 / 9, 6))
-    frames = spark.createDataFrame([(0, 1, 1, 7, 0.9), (0, 2, 1, 8, 0.9), (0, 3, 1, None, None)], "sequence long, frame long, gt long, pred long, iou double")
-    m = mot_counts(frames).first()
-    assert (m.matches, m.misses, m.false_positives, m.switches) == (2, 1, 0, 1)
+
+
+def test_frames_are_matched_each_by_itself(spark):
+    box = "camera long, frame long, id long, x1 double, y1 double, x2 double, y2 double"
+    truth = spark.createDataFrame([(0, 1, 1, 0.0, 0.0, 10.0, 10.0), (0, 1, 2, 20.0, 0.0, 30.0, 10.0), (0, 2, 1, 0.0, 0.0, 10.0, 10.0)], box)
+    found = spark.createDataFrame([(0, 1, 7, 1.0, 0.0, 11.0, 10.0), (0, 3, 8, 0.0, 0.0, 10.0, 10.0)], box)
+    assert {(r.frame, r.gt, r.pred) for r in frame_matches(truth, found).collect()} == {(1, 1, 7), (1, 2, None), (2, 1, None), (3, None, 8)}
+
+
+def test_connected_parts_and_their_merging_against_plain_versions(spark):
+    rng = np.random.default_rng(3)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 60, (50, 2)) if a != b} | {(i, i + 1) for i in range(100, 140)})
+    label = {n: n for e in pairs for n in e}
+    for _ in range(200):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    assert all(r.part == label[r.a] == label[r.b] for r in connected(df, "a", "b").collect())
+    score = {e: float(rng.integers(0, 9)) for e in pairs}
+    edges = spark.createDataFrame([(0, a, a % 5, b, b % 5, score[a, b]) for a, b in pairs], "scene long, a long, camera_a long, b long, camera_b long, score double")
+    group, cameras = {n: n for n in label}, {n: {n % 5} for n in label}
+    for a, b in sorted(pairs, key=lambda e: (-score[e], e)):
+        x, y = sorted((group[a], group[b]))
+        if x != y and not cameras[x] & cameras[y]:
+            cameras[x] |= cameras[y]
+            group = {n: x if g == y else g for n, g in group.items()}
+    assert {r.node: r.cluster for r in constrained_union(edges).collect()} == group
+
+
+def test_road_topology():
+    roads = RoadTopology({("a", "b"): 5.0, ("b", "c"): 5.0, ("a", "c"): 20.0, ("c", "d"): None, ("b", "d"): 9.0})
+    assert roads.hops("a") == {"a": 0, "b": 1, "c": 1, "d": 2} and roads.hops("a", 1) == {"a": 0, "b": 1, "c": 1} and roads.hops("d", 0) == {"d": 0}
+    assert roads.way("a", "c") == ["a", "b", "c"] and roads.metres("a", "c") == 20.0 and roads.metres("a", "d") is None and roads.way("d", "a") is None
+    assert roads.paths("a", "d") == 3 and roads.paths("a", "nowhere") == 1 and roads.paths("d", "a") == 1 and roads.paths("a", "d", most=2) == 2
 
 
 def test_store_round_trip(spark, tmp_path):
@@ -104,3 +136,40 @@ def test_tracker_parts():
     assert abs(t.box()[0] - 4) < 0.7 and t.hits == 4
     assert overlaps(np.array([[0, 0, 10, 10]]), np.array([[5, 5, 15, 15]]))[0, 0] == pytest.approx(25 / 175)
     assert TRANSITIONS["reported"] == set()
+
+
+def test_settings():
+    from sightline.config import Settings
+
+    own = Settings({"a": {"b": 1, "on": False, "names": ["x"]}, "t": "text"}, {"SIGHTLINE_A__B": "7", "SIGHTLINE_A__ON": "true", "SIGHTLINE_A__NAMES": "p, q"})
+    assert (own.get("a.b"), own.get("a.on"), own.get("a.names"), own.get("t"), own.get("a.none", 3), own.get("t.deeper")) == (7, True, ["p", "q"], "text", 3, None)
+
+
+def test_query_parser_on_texts_with_known_answers(spark):
+    from sightline.plans.query_text import parse_queries
+
+    def parsed(text):
+        return parse_queries(spark.createDataFrame([(text,)], "text string").withColumn("own", F.col("text"))).first()
+
+    plate = parsed("找苏E12345这辆车")
+    assert (plate.query_type, plate.plate, plate.target_type, plate.color) == ("plate", "苏E12345", "vehicle", None)
+    bag = parsed("背红色书包的女人")
+    assert (bag.target_type, bag.gender, bag.bag, bag.bag_color) == ("pedestrian", "female", "true", "红色")
+    vague = parsed("深色大车")
+    assert (vague.color, vague.vehicle_type, vague.color_candidates, vague.type_candidates) == ("深色", "大车", ["黑色", "灰色", "棕色", "蓝色"], ["卡车", "公交车"])
+    longest = parsed("白色小轿车旁的电动车")
+    assert (longest.target_type, longest.color, longest.vehicle_type) == ("vehicle", "白色", "轿车")
+    assert parsed("随便").query_type == "general"
+
+
+def test_session_machine_against_a_plain_one(spark, small):
+    from sightline.registry import QUERIES
+    from sightline.sources.tables import read
+
+    rows = read(spark, small, "events").select("user_id", "event_id").collect()
+    names, expected = ("searched", "confirmed", "traced", "reported"), {}
+    for r in sorted(rows, key=lambda r: r.event_id):
+        now, refused = expected.get(r.user_id, ("created", 0))
+        event = names[r.event_id % 4]
+        expected[r.user_id] = (event, refused) if event in TRANSITIONS[now] else (now, refused + 1)
+    assert {r.session: (r.state, r.refused) for r in QUERIES["session_fsm"](spark, small).collect()} == expected
