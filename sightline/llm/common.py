@@ -86,6 +86,15 @@ def written(df: DataFrame, name: str = "table", compression: str = "snappy") ->
     return spark.read.parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a table that `written` gave, when nothing that is still to run reads it. Other tables stay until the owner of the
+    shared folder clears it, as lost executors may need them for as long as a result is not stored."""
+    spark = table.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(file)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def text_of(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
