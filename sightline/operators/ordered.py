@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from sightline.session import written
 
 
-def connected(pairs: DataFrame, a: str, b: str, rounds: int = 30) -> DataFrame:
+def connected(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """pairs with `part`: the least node that a pair's nodes reach. Each round the least label goes along the edges and then jumps to
     its own label, so that a path of n edges takes about log n rounds; every round is a table in the shared folder."""
     edges = written(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).distinct(), "links")
     both = edges.union(edges.select("y", "x"))
     labels = written(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("l")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("l").alias("m"))
         least = labels.join(near, "x").select("x", F.least("l", "m").alias("l"))
         jump = least.join(least.select(F.col("x").alias("l"), F.col("l").alias("j")), "l", "left").select("x", F.coalesce("j", "l").alias("l"))
@@ -27,7 +27,6 @@ def connected(pairs: DataFrame, a: str, b: str, rounds: int = 30) -> DataFrame:
         if after.join(labels.withColumnRenamed("l", "o"), "x").where("l <> o").isEmpty():
             return pairs.join(after.select(F.col("x").alias(a), F.col("l").alias("part")), a)
         labels = after
-    raise RuntimeError("connected: not settled")
 
 
 def constrained_union(edges: DataFrame) -> DataFrame:
@@ -100,7 +99,7 @@ def identity_f1(contingency: DataFrame) -> DataFrame:
         hit = sum(table[i, j] for i, j in assignment(table))
         return pd.DataFrame({"scene": [pdf["scene"].iloc[0]], "hit": [int(hit)], "n": [int(table.sum())]})
 
-    named = contingency.select("*", (2 * F.xxhash64("scene", "gt")).alias("__a"), (2 * F.xxhash64(F.lit("pred"), "scene", "pred") + 1).alias("__b"))
+    named = contingency.select("*", F.shiftleft(F.xxhash64("scene", "gt"), 1).alias("__a"), F.shiftleft(F.xxhash64(F.lit("pred"), "scene", "pred"), 1).bitwiseOR(F.lit(1)).alias("__b"))
     parts = connected(named, "__a", "__b").groupBy("scene", "part").applyInPandas(score, "scene long, hit long, n long")
     total = parts.groupBy("scene").agg(F.sum("hit").alias("idtp"), F.sum("n").alias("n_gt"))
     return total.select("scene", "idtp", "n_gt", F.col("n_gt").alias("n_pred"), F.round(F.coalesce(F.col("idtp") / F.nullif(F.col("n_gt"), F.lit(0).cast("long")), F.lit(0.0)), 6).alias("idf1"))

@@ -18,22 +18,23 @@ _RANKED = f"""sim AS (SELECT q.vec_id AS q, q.label AS ql, g.vec_id AS g, g.labe
 ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, g) AS rank FROM sim)"""
 
 
-BLOCK = 512
+BLOCK, CELL = 512, 4096
 
 
-def similarities(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
-    """(q, ql, g, gl, s): each query (vec_id divisible by 100) against the vectors of other cameras (vec_id mod 5); with k only those that
-    can be among its first k.
+def compared(queries: DataFrame, gallery: DataFrame, k: int | None = None, apart: int | None = None) -> DataFrame:
+    """(q, ql, g, gl, s): each query (vec_id, label, embedding) against the other vectors of the gallery; with `apart` against those whose vec_id differs by that
+    modulus; with k only those that can be among its first k.
 
     Queries go in blocks of BLOCK vectors to every cell of the gallery, as one row each, so the join is an equi-join by cell
     whatever the number of queries; a block's products are one matrix product, of which each batch keeps the best k of a query."""
-    e = read(spark, d, "embeddings")
-    cells = max(8, e.rdd.getNumPartitions())
-    q = e.where("vec_id % 100 = 0").select((F.floor(F.col("vec_id") / (100 * BLOCK))).alias("block"), F.struct("vec_id", "label", "embedding").alias("v"))
-    blocks = q.groupBy("block").agg(F.collect_list("v").alias("vs"))  # BLOCK of them at most
+    n = gallery.count()
+    cells = max(8, n // (64 * CELL))
+    row = F.struct("vec_id", "label", "embedding").alias("v")
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, queries.count() // BLOCK + 1)))
+    blocks = queries.select(block.alias("block"), row).groupBy("block").agg(F.collect_list("v").alias("vs"))  # about BLOCK of them
     sent = blocks.select("vs", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
-    gallery = e.select(F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int").alias("cell"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.greatest(F.lit(1), F.lit(e.count() // (cells * 4096) + 1))).alias("part"), F.struct("vec_id", "label", "embedding").alias("v"))
-    groups = gallery.groupBy("cell", "part").agg(F.collect_list("v").alias("gs"))  # about 4096 of them
+    part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n // (cells * CELL) + 1))
+    groups = gallery.select(F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int").alias("cell"), part.alias("part"), row).groupBy("cell", "part").agg(F.collect_list("v").alias("gs"))  # about CELL of them
     both = groups.join(sent, "cell").select("vs", "gs")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +47,9 @@ def similarities(spark: SparkSession, d: str, k: int | None = None) -> DataFrame
             for vs, gs in zip(batch.column("vs").to_pylist(), batch.column("gs").to_pylist(), strict=True):
                 (qi, ql, a), (gi, gl, b) = opened(vs), opened(gs)
                 s = np.round(a @ b.T, 9) + 0.0
-                allowed = (qi[:, None] != gi[None, :]) & (qi[:, None] % 5 != gi[None, :] % 5)
+                allowed = qi[:, None] != gi[None, :]
+                if apart:
+                    allowed &= qi[:, None] % apart != gi[None, :] % apart
                 if k and k < len(gi):
                     ranked_ = np.where(allowed, s, -2.0)
                     limit = np.partition(ranked_, len(gi) - k, axis=1)[:, len(gi) - k]
@@ -57,6 +60,12 @@ def similarities(spark: SparkSession, d: str, k: int | None = None) -> DataFrame
     return both.mapInArrow(compare, "q long, ql int, g long, gl int, s double")
 
 
+def similarities(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
+    """compared for the stated queries (vec_id divisible by 100) and vectors of other cameras (vec_id mod 5)."""
+    e = read(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    return compared(e.where("vec_id % 100 = 0"), e, k, 5)
+
+
 def ranked(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
     """similarities with rank: of each query by similarity, then id; k: only the first k of each query."""
     out = similarities(spark, d, k).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "g")).cast("long"))
@@ -110,20 +119,22 @@ _CENTROIDS = """c AS (SELECT label, list(x ORDER BY i) AS v FROM (SELECT label,
 
 @query("W21: the three nearest other centroids of each label", f"WITH {_CENTROIDS}, s AS (SELECT a.label, b.label AS other, row_number() OVER (PARTITION BY a.label ORDER BY round({_COS.format(a='a.v', b='b.v')}, 9) DESC, b.label) AS rank FROM c a JOIN c b ON a.label <> b.label) SELECT label, other, rank FROM s WHERE rank <= 3")
 def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
-    """Labels are few: their centroids, not the vectors, are compared with one another."""
+    c = centroids(spark, d).select(F.col("label").cast("long").alias("vec_id"), "label", F.col("v").alias("embedding"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "g")).cast("long")
+    return compared(c, c, 3).select(F.col("ql").alias("label"), F.col("gl").alias("other"), rank.alias("rank")).where("rank <= 3")
+
+
+def centroids(spark: SparkSession, d: str) -> DataFrame:
+    """(label, v): the mean vector of each label."""
     mean = read(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    c = mean.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
-    pairs = c.alias("a").join(c.select(F.col("label").alias("other"), F.col("v").alias("u")).alias("b"), F.col("label") != F.col("other"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc(F.round(cosine("v", "u"), 9)), "other")).cast("long")
-    return pairs.select("label", "other", rank.alias("rank")).where("rank <= 3")
+    return mean.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
 
 
 @query("A36: least similarity of a label's members to its centroid, and whether it is below a limit", f"WITH {_CENTROIDS} SELECT label, round(min({_COS.format(a='e.embedding', b='c.v')}), 6) AS least, min({_COS.format(a='e.embedding', b='c.v')}) < 0.2 AS contaminated FROM embeddings e JOIN c USING (label) GROUP BY label")
 def contamination(spark: SparkSession, d: str) -> DataFrame:
     """Compared with the centroid, so no pair of members is made."""
     e = read(spark, d, "embeddings")
-    mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    c = mean.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
+    c = centroids(spark, d)
     least = e.join(c, "label").groupBy("label").agg(F.min(cosine("embedding", "v")).alias("m"))
     return least.select("label", F.round("m", 6).alias("least"), (F.col("m") < 0.2).alias("contaminated"))
 
