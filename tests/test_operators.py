@@ -173,3 +173,46 @@ def test_session_machine_against_a_plain_one(spark, small):
         event = names[r.event_id % 4]
         expected[r.user_id] = (event, refused) if event in TRANSITIONS[now] else (now, refused + 1)
     assert {r.session: (r.state, r.refused) for r in QUERIES["session_fsm"](spark, small).collect()} == expected
+
+
+def test_tracker_stream_against_a_plain_loop(spark, tmp_path):
+    from sightline.streaming.sessions import track_objects
+
+    rng = np.random.default_rng(7)
+    schema = "camera string, frame long, x1 double, y1 double, x2 double, y2 double"
+    rows = []
+    for camera in ("a", "b"):
+        at = rng.uniform(0, 300, (3, 2))
+        for frame in range(12):
+            at += rng.uniform(-1, 4, (3, 2))
+            rows += [(camera, frame, float(x), float(y), float(x) + 40, float(y) + 30) for x, y in at if rng.uniform() > 0.15]
+    # The second file has later frames and one that comes too late.
+    for part, keep in (("1", lambda r: r[1] < 6), ("2", lambda r: r[1] >= 6)):
+        spark.createDataFrame([r for r in rows if keep(r)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+    late = [("a", 2, 0.0, 0.0, 40.0, 30.0)]
+    spark.createDataFrame(late, schema).coalesce(1).write.parquet(f"{tmp_path}/in/3")
+    out = []
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    track_objects(stream).writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).foreachBatch(lambda b, n: out.extend(tuple(r) for r in b.collect())).start().awaitTermination()
+    expected = []
+    for camera in ("a", "b"):
+        number, tracks = 0, []
+        for frame in sorted({r[1] for r in rows if r[0] == camera}):
+            boxes = sorted([list(r[2:]) for r in rows if r[:2] == (camera, frame)])
+            for t in tracks:
+                t.predict()
+            pairs = sorted(((float(overlaps(t.box()[None], np.array([b]))[0, 0]), -i * len(boxes) - j, i, j) for i, t in enumerate(tracks) for j, b in enumerate(boxes)), reverse=True)
+            met, free = set(), set(range(len(boxes)))
+            for score, _, i, j in pairs:
+                if score >= 0.3 and i not in met and j in free:
+                    met.add(i)
+                    free.discard(j)
+                    tracks[i].update(boxes[j])
+            for j in sorted(free):
+                number += 1
+                tracks.append(Track(number, boxes[j]))
+            tracks = [t for t in tracks if t.age <= 30]
+            expected += [(camera, frame, t.number, *map(float, t.box())) for t in tracks if t.hits >= 3]
+    found, expected = sorted(out), sorted(expected)
+    assert [r[:3] for r in found] == [r[:3] for r in expected] and expected
+    assert np.allclose([r[3:] for r in found], [r[3:] for r in expected], atol=1e-3)
