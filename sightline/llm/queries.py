@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sightline.llm.decontaminate import op1_benchmark_decontamination
+from sightline.llm.importance import op13_importance_resampling
 from sightline.llm.jaccard import op6_ngram_jaccard_join
 from sightline.llm.language import op8_language_id
 from sightline.llm.language_model import op2_class_language_model
@@ -26,9 +27,18 @@ QUERIES = {
         op8_language_id,
         op9_binary_records,
         op10_license_scan,
+        op13_importance_resampling,
     )
 }
 
+#: crc32 of a text in SQL: the table of bytes as column `crc_table` of `crc_bytes`, and its use on an expression.
+_CRC_BYTES = """crc_bytes AS (SELECT list(t ORDER BY i) AS crc_table FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t FROM range(256) AS r(i)))"""
+
+
+def _crc(text: str) -> str:
+    return f"xor(list_reduce(list_concat([4294967295], list_transform(range(octet_length(encode({text}))), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, crc_table[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
 ORACLES: dict[str, str] = {
     "op4_substring_dedup": """
 WITH w AS (
@@ -63,4 +73,22 @@ WITH RECURSIVE w AS (
   SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
 )
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(reach.b) AS component_id FROM n JOIN reach ON n.doc_id = reach.a GROUP BY n.doc_id, n.n""",
+    "op13_importance_resampling": f"""
+WITH {_CRC_BYTES}, w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM documents
+), b AS (
+  SELECT list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM benchmark
+), dw AS (SELECT doc_id, unnest(words) AS word FROM w), bw AS (SELECT unnest(words) AS word FROM b
+), hashed AS MATERIALIZED (
+  SELECT word, {_crc("word")} % 10000 AS bucket FROM (SELECT word FROM dw UNION SELECT word FROM bw), crc_bytes
+), s AS (SELECT bucket, count(*) AS n FROM dw JOIN hashed USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS n FROM bw JOIN hashed USING (word) GROUP BY bucket
+), gain AS (
+  SELECT r.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS g
+  FROM range(10000) AS r(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)
+), sums AS (SELECT doc_id, count(*) AS n_features, sum(g) AS total FROM dw JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT w.doc_id, coalesce(n_features, 0) AS n_features, coalesce(floor(total / n_features::DOUBLE), 0)::BIGINT AS weight, ('0x' || substr(sha256('2024:' || w.doc_id), 1, 8))::BIGINT AS h FROM w LEFT JOIN sums USING (doc_id)
+), final AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM scored
+), ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM final WHERE n_features >= 20)
+SELECT f.doc_id, f.n_features, f.weight, f.score, CASE WHEN rank <= 10 * (SELECT count(*) FROM ranked) // 100 THEN rank END AS rank FROM final f LEFT JOIN ranked USING (doc_id)""",
 }
