@@ -10,9 +10,11 @@ from sightline.llm.language_model import op2_class_language_model
 from sightline.llm.licenses import op10_license_scan
 from sightline.llm.media import op5_media_columns
 from sightline.llm.packing import op3_best_fit_packing
+from sightline.llm.prefix_trie import op12_prefix_trie
 from sightline.llm.records import op9_binary_records
 from sightline.llm.substring import op4_substring_dedup
 from sightline.llm.toxicity import op7_toxicity
+from sightline.llm.warc import op11_warc
 
 QUERIES = {
     f.__name__: f
@@ -27,6 +29,8 @@ QUERIES = {
         op8_language_id,
         op9_binary_records,
         op10_license_scan,
+        op11_warc,
+        op12_prefix_trie,
         op13_importance_resampling,
     )
 }
@@ -73,6 +77,31 @@ WITH RECURSIVE w AS (
   SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
 )
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(reach.b) AS component_id FROM n JOIN reach ON n.doc_id = reach.a GROUP BY n.doc_id, n.n""",
+    "op11_warc": """
+WITH d AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), m AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM m""",
+    "op12_prefix_trie": f"""
+WITH {_CRC_BYTES}, t AS (
+  SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS turn_, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, own, {_crc("conv_id::VARCHAR")} % 9 AS h FROM (SELECT conv_id, list(turn_ ORDER BY i) AS own FROM t GROUP BY conv_id), crc_bytes
+), r AS (
+  SELECT c.conv_id, list_concat(coalesce(p.own[1 : c.h], []), c.own[c.h + 1 :]) AS seq FROM c LEFT JOIN c p ON p.conv_id = c.conv_id - c.conv_id % 5
+), paths AS (
+  SELECT conv_id, depth, seq[1 : depth] AS key, len(seq) AS n FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS depth FROM r)
+), nodes AS (
+  SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = n) AS ends FROM paths GROUP BY depth, key
+), kids AS (
+  SELECT depth - 1 AS depth, key[1 : depth - 1] AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2
+), full_ AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children, CASE WHEN nodes.depth > 0 THEN (n_convs - 1) * octet_length(encode(nodes.key[nodes.depth].text)) ELSE 0 END AS saved FROM nodes LEFT JOIN kids ON nodes.depth = kids.depth AND nodes.key = kids.key
+), rolled AS (
+  SELECT d AS depth, key[1 : d] AS key, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM full_) GROUP BY 1, 2
+)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM full_ f JOIN rolled ON f.depth = rolled.depth AND f.key = rolled.key LEFT JOIN nodes p ON p.depth = f.depth - 1 AND p.key = f.key[1 : f.depth - 1]""",
     "op13_importance_resampling": f"""
 WITH {_CRC_BYTES}, w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM documents
