@@ -136,29 +136,33 @@ def told_apart(turns: DataFrame, bits: int = 64) -> DataFrame:
     cut = lambda h: F.shiftrightunsigned(h, 64 - bits) if bits < 64 else h
     hashed = turns.withColumns({"t1": cut(F.xxhash64("role", "text")), "t2": cut(F.xxhash64(F.lit("turn"), "text", "role"))})
     texts = hashed.groupBy("t1", "t2", "role", "text").agg(F.count("*").alias("n"))
-    several = texts.groupBy("t1", "t2").agg(F.count("*").alias("k")).where("k > 1")
-    fixes = texts.join(several, ["t1", "t2"]).withColumn("t3", (F.row_number().over(Window.partitionBy("t1", "t2").orderBy("role", "text")) - 1).cast("long")).select("t1", "t2", "role", "text", "t3").where("t3 > 0")
-    fixes = written(fixes, "collisions")
-    if fixes.isEmpty():
-        return hashed.withColumn("t3", F.lit(0).cast("long"))
-    return hashed.join(fixes, ["t1", "t2", "role", "text"], "left").withColumn("t3", F.coalesce("t3", F.lit(0).cast("long")))
-
-
-TURN = "t1 long, t2 long, t3 long, size long"
-PATH = f"conv_id long, depth long, f1 long, f2 long, p1 long, p2 long, {TURN}"
+    several = written(texts.groupBy("t1", "t2").agg(F.count("*").alias("k")).where("k > 1"), "collisions")
+    if several.isEmpty():
+        return hashed.withColumn("t3", nothing())
+    number = F.row_number().over(Window.partitionBy("t1", "t2").orderBy("role", "text")) - 1
+    fixes = written(texts.join(several, ["t1", "t2"]).select("t1", "t2", "role", "text", number.cast("long").alias("t3")), "collisions")
+    return hashed.join(fixes, ["t1", "t2", "role", "text"], "left").withColumn("t3", F.coalesce("t3", nothing()))
 
 
 def nothing() -> Column:
     return F.lit(0).cast("long")
 
 
+TURN = "t1 long, t2 long, t3 long, size long"
+PATH = f"conv_id long, depth long, f1 long, f2 long, p1 long, p2 long, {TURN}"
+
+
 def scanned_turns(conversations: DataFrame, bits: int = 64) -> DataFrame:
     """(conv_id, TURN, place, s0, s1): each turn's place in its conversation, from 0, and the fingerprint of the conversation up to it."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role"), text("text")).where("conv_id is not null")
-    named = told_apart(turns, bits).withColumns({"size": F.octet_length("text").cast("long"), "__text": F.substring(F.col("text").cast("binary"), 1, PREFIX_BYTES)})
-    # Ranges by the beginning of the text only, so that their bounds stay small; within a range the whole text orders.
-    ranged = named.repartitionByRange(_tasks(named), "conv_id", "turn", "role", "__text").sortWithinPartitions("conv_id", "turn", "role", "text")
+    named = told_apart(turns, bits).withColumn("size", F.octet_length("text").cast("long"))
+    order = ["conv_id", "turn"]
+    if turns.groupBy(*order).count().where("count > 1").isEmpty():
+        ranged = named.drop("role", "text").repartitionByRange(_tasks(named), *order).sortWithinPartitions(*order)
+    else:  # turns of one place go by their texts: ranges by the beginning only, so that their bounds stay small, and within a range by the whole text
+        begin = named.withColumn("__text", F.substring(F.col("text").cast("binary"), 1, PREFIX_BYTES))
+        ranged = begin.repartitionByRange(_tasks(named), *order, "role", "__text").sortWithinPartitions(*order, "role", "text")
     return scanned(ranged.select("conv_id", "t1", "t2", "t3", "size"), f"conv_id long, {TURN}", turn_value, BASES)
 
 
