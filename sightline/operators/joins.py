@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,17 @@ def within_seconds(left: DataFrame, right: DataFrame, keys: list[str], after: st
 def best(df: DataFrame, keys: list[str], order: Column, *columns: str) -> DataFrame:
     """For each key the columns of the row with the greatest order; aggregates before it shuffles."""
     return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("__b")).select(*keys, "__b.*")
+
+
+def nearest_other(det: DataFrame, kind: str, other: str) -> DataFrame:
+    """(event_id, nearest, apart_s): for each detection of camera `kind` the one of camera `other` of its vehicle that is nearest in time. Both windows only
+    ever grow, so a vehicle's rows are gone through once forwards and once backwards."""
+    det = det.where(F.col("camera").isin(kind, other))
+    met = F.when(F.col("camera") == other, F.struct("t", "event_id"))
+    forwards = Window.partitionBy("vehicle").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    backwards = Window.partitionBy("vehicle").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.max_by(met, F.struct(met["t"], -met["event_id"])).over(forwards)
+    c = det.withColumns({"last": last, "next": F.min(met).over(backwards)}).where(F.col("camera") == kind)
+    before, after = F.col("t") - F.col("last.t"), F.col("next.t") - F.col("t")
+    earlier = F.col("last").isNotNull() & (F.col("next").isNull() | (before <= after))
+    return c.select("event_id", F.when(earlier, F.col("last.event_id")).otherwise(F.col("next.event_id")).alias("nearest"), F.round(F.when(earlier, before).otherwise(after), 3).alias("apart_s"))

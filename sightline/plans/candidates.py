@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions.expressions import angle_diff, clamp
-from sightline.operators.joins import within_seconds
+from sightline.operators.joins import nearest_other, within_seconds
 from sightline.operators.scores import PEDESTRIAN_WEIGHTS, VEHICLE_WEIGHTS, attribute_score, direction_score, effective_weights, plate_score, spatial_score, temporal_score
 from sightline.operators.topology import RoadTopology
 from sightline.registry import query
@@ -214,17 +214,24 @@ def camera_segments(spark: SparkSession, d: str) -> DataFrame:
 SELECT c.event_id, arg_min(p.other, {{'d': abs(c.t - p.t), 't': p.t, 'o': p.other}}) AS nearest, round(min(abs(c.t - p.t)), 3) AS apart_s FROM c LEFT JOIN p ON c.vehicle = p.vehicle GROUP BY c.event_id""",
 )
 def nearest_in_time(spark: SparkSession, d: str) -> DataFrame:
-    """The last purchase up to a click and the first after it, by two windows over both kinds; no pair of rows is made."""
-    from pyspark.sql import Window
-
+    """The last purchase up to a click and the first after it, by two running windows over both kinds; no pair of rows is made."""
     from sightline.sources.tables import detections
 
-    det = detections(spark, d).where(F.col("camera").isin("click", "purchase"))
-    bought = F.when(F.col("camera") == "purchase", F.struct("t", "event_id"))
-    up_to = Window.partitionBy("vehicle").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy("vehicle").orderBy("t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    backwards = F.max_by(bought, F.struct(bought["t"], -bought["event_id"])).over(up_to)
-    c = det.withColumns({"last": backwards, "next": F.min(bought).over(ahead)}).where("camera = 'click'")
-    before, after = F.col("t") - F.col("last.t"), F.col("next.t") - F.col("t")
-    earlier = F.col("last").isNotNull() & (F.col("next").isNull() | (before <= after))
-    return c.select("event_id", F.when(earlier, F.col("last.event_id")).otherwise(F.col("next.event_id")).alias("nearest"), F.round(F.when(earlier, before).otherwise(after), 3).alias("apart_s"))
+    return nearest_other(detections(spark, d), "click", "purchase")
+
+
+#: The evidence that the learned scorer weighs.
+EVIDENCE = ["plate", "temporal", "topology", "reid", "attribute", "direction"]
+
+
+@query("C19: a linear edge scorer learned from four fifths of the candidate edges, by source, positives and negatives of a scene ranked against each other; its area under the curve on the others")
+def learned_edge_scorer(spark: SparkSession, d: str) -> DataFrame:
+    from sightline.operators.learned import area_under_curve, train_edge_scorer
+    from sightline.session import written
+
+    e = scored(candidate_edges_of(spark, stays(spark, d))).select("scene", "a_node", (F.col("a_vehicle") == F.col("b_vehicle")).alias("same"), *EVIDENCE)
+    e = written(e.withColumn("held_out", F.crc32(F.col("a_node").cast("binary")) % 5 == 0), "labelled")
+    model = train_edge_scorer(e.where("not held_out"), "scene", "same", EVIDENCE, epochs=40)
+    auc = area_under_curve(e.where("held_out").withColumn("p", 1 / (1 + F.exp(-model.logit()))), "p", "same")
+    rows = [*zip(EVIDENCE, map(float, model.weights), strict=True), ("bias", model.bias), ("cross entropy", float(model.losses[-1][0])), ("ranking", float(model.losses[-1][1]))]
+    return spark.createDataFrame(rows, "name string, value double").union(auc.select(F.lit("held-out auc"), "auc"))

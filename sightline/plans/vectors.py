@@ -1,15 +1,13 @@
-"""Queries on vectors and retrieval metrics. Queries are the vectors whose id is divisible by 100, or centroids of the few labels."""
+"""Queries on vectors and retrieval metrics, over sightline.operators.vectors. Queries are the vectors whose id is divisible by 100, or centroids of the few labels."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.expressions import cosine
+from sightline.operators import vectors
 from sightline.registry import query
 from sightline.sources.tables import read
 
@@ -18,77 +16,64 @@ _RANKED = f"""sim AS (SELECT q.vec_id AS q, q.label AS ql, g.vec_id AS g, g.labe
 ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, g) AS rank FROM sim)"""
 
 
-BLOCK, CELL = 512, 4096
+def embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "embeddings").select("vec_id", "label", "embedding")
 
 
-def compared(queries: DataFrame, gallery: DataFrame, k: int | None = None, apart: int | None = None) -> DataFrame:
-    """(q, ql, g, gl, s): each query (vec_id, label, embedding) against the other vectors of the gallery; with `apart` against those whose vec_id differs by that
-    modulus; with k only those that can be among its first k.
+def asked(rows: DataFrame) -> DataFrame:
+    """The stated queries."""
+    return rows.where("vec_id % 100 = 0")
 
-    Queries go in blocks of BLOCK vectors to every cell of the gallery, as one row each, so the join is an equi-join by cell
-    whatever the number of queries; a block's products are one matrix product, of which each batch keeps the best k of a query."""
-    n = gallery.count()
-    cells = max(8, n // (64 * CELL))
-    row = F.struct("vec_id", "label", "embedding").alias("v")
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, queries.count() // BLOCK + 1)))
-    blocks = queries.select(block.alias("block"), row).groupBy("block").agg(F.collect_list("v").alias("vs"))  # about BLOCK of them
-    sent = blocks.select("vs", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
-    part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n // (cells * CELL) + 1))
-    groups = gallery.select(F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int").alias("cell"), part.alias("part"), row).groupBy("cell", "part").agg(F.collect_list("v").alias("gs"))  # about CELL of them
-    both = groups.join(sent, "cell").select("vs", "gs")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def opened(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            m = np.array([r["embedding"] for r in rows], float)
-            n = np.sqrt((m * m).sum(1))
-            return np.array([r["vec_id"] for r in rows]), np.array([r["label"] for r in rows]), m / np.where(n > 0, n, 1)[:, None]
+def ranked(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """The first k vectors of other cameras (vec_id mod 5) of each query, from blocks: (q, ql, g, gl, s, rank)."""
+    e = embeddings(spark, d)
+    return vectors.ranked(vectors.compared(asked(e), e, k, 5), k)
 
-        for batch in batches:
-            for vs, gs in zip(batch.column("vs").to_pylist(), batch.column("gs").to_pylist(), strict=True):
-                (qi, ql, a), (gi, gl, b) = opened(vs), opened(gs)
-                s = np.round(a @ b.T, 9) + 0.0
-                allowed = qi[:, None] != gi[None, :]
-                if apart:
-                    allowed &= qi[:, None] % apart != gi[None, :] % apart
-                if k and k < len(gi):
-                    ranked_ = np.where(allowed, s, -2.0)
-                    limit = np.partition(ranked_, len(gi) - k, axis=1)[:, len(gi) - k]
-                    allowed &= ranked_ >= limit[:, None]
-                i, j = np.nonzero(allowed)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qi[i], ql[i].astype(np.int32), gi[j], gl[j].astype(np.int32), s[i, j])], names=["q", "ql", "g", "gl", "s"])
 
-    return both.mapInArrow(compare, "q long, ql int, g long, gl int, s double")
+def hit_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """vectors.hit_ranks of the queries among vectors of other cameras."""
+    e = embeddings(spark, d)
+    return vectors.hit_ranks(asked(e), e, 5)
 
 
-def similarities(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
-    """compared for the stated queries (vec_id divisible by 100) and vectors of other cameras (vec_id mod 5)."""
-    e = read(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    return compared(e.where("vec_id % 100 = 0"), e, k, 5)
+@query("W1 W2 W4 P17: cosine top k of each query", f"WITH {_RANKED} SELECT q, g, rank FROM ranked WHERE rank <= 20")
+def cosine_top_k(spark: SparkSession, d: str) -> DataFrame:
+    return ranked(spark, d, 20).select("q", "g", "rank")
 
 
-def ranked(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
-    """similarities with rank: of each query by similarity, then id; k: only the first k of each query."""
-    out = similarities(spark, d, k).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "g")).cast("long"))
-    return out.where(F.col("rank") <= k) if k else out
+@query("S20 W1 W4: the same first 20 by an index of cells, which skips those that can't hold any", f"WITH {_RANKED} SELECT q, g, round(s, 6) AS s, rank FROM ranked WHERE rank <= 20")
+def indexed_top_k(spark: SparkSession, d: str) -> DataFrame:
+    e = embeddings(spark, d)
+    found, _ = vectors.search_index(vectors.build_index(e), asked(e), 20, 5)
+    return found.select("q", "g", F.round("s", 6).alias("s"), "rank")
 
 
-def hit_ranks(spark: SparkSession, d: str) -> DataFrame:
-    """(q, rank, seen) for each hit (a vector of the query's label) in the full ranking, and (q, NULL, NULL) for a query without one.
+@query(
+    "S20: the cells of a vector index: vectors and bounds of each pivot, pivots being the vectors whose id is divisible by 25",
+    f"""WITH p AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 25 = 0), s AS (SELECT e.vec_id, p.vec_id AS cell, round({_COS.format(a="e.embedding", b="p.embedding")}, 9) AS s FROM embeddings e, p),
+own AS (SELECT vec_id, arg_max(cell, {{'s': s, 'p': -cell}}) AS cell, max(s) AS s FROM s GROUP BY vec_id) SELECT cell, count(*) AS n, round(min(s), 6) AS least, round(max(s), 6) AS most FROM own GROUP BY cell""",
+)
+def vector_index_cells(spark: SparkSession, d: str) -> DataFrame:
+    cells = vectors.build_index(embeddings(spark, d), 25).cells()  # a row for each pivot
+    return spark.createDataFrame([(v, n, round(low, 6), round(high, 6)) for v, n, low, high in cells], "cell long, n long, least double, most double")
 
-    Only hits are ordered: a hit's rank is its place among the hits and the number of others above it, which is counted from
-    a table of similarities by query and step of 1/1024, and within its own step from the rows of that step."""
-    s = similarities(spark, d).withColumns({"hit": F.col("ql") == F.col("gl"), "step": F.floor(F.col("s") * 1024)})
-    w = Window.partitionBy("q", "step").orderBy(F.desc("s"), "g")
-    steps = s.groupBy("q", "step").agg(F.count("*").alias("n"))  # 2049 steps of a query at most
-    above = steps.withColumn("above", F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("step"))) - F.col("n"))
-    hits = s.withColumn("within", F.row_number().over(w)).where("hit").join(above, ["q", "step"]).select("q", (F.col("above") + F.col("within")).alias("rank"))
-    seen = hits.withColumn("seen", F.row_number().over(Window.partitionBy("q").orderBy("rank")).cast("long"))
-    return steps.select("q").distinct().join(seen, "q", "left").select("q", "rank", "seen")
 
+_ALL = f"""sim AS (SELECT q.vec_id AS q, g.vec_id AS g, round({_COS.format(a="q.embedding", b="g.embedding")}, 9) AS s FROM embeddings q JOIN embeddings g ON g.vec_id <> q.vec_id)"""
 
-@query("W1 W2 W4 P17: cosine top k of each query", f"WITH {_RANKED} SELECT q, g, rank FROM ranked WHERE rank <= 20")
-def cosine_top_k(spark: SparkSession, d: str) -> DataFrame:
-    return ranked(spark, d, 20).select("q", "g", "rank")
+
+@query(
+    "C20: k-reciprocal reranking: the expanded neighbour sets of all rows, half cosine and half Jaccard similarity, first 20 of each query",
+    f"""WITH {_ALL}, near AS (SELECT q AS i, list(g ORDER BY s DESC, g)[1:7] AS near FROM sim GROUP BY q),
+theirs AS (SELECT n.i, n.pos, o.near AS other FROM (SELECT i, unnest(near) AS j, generate_subscripts(near, 1) AS pos FROM near) n JOIN near o ON o.i = n.j),
+sets AS (SELECT i, list_reduce(list_concat([any_value(own)], list(other ORDER BY pos)), lambda r, n: CASE WHEN 3 * len(list_intersect(r, n)) >= 2 * len(n) THEN list_distinct(list_concat(r, n)) ELSE r END) AS r FROM (SELECT t.*, near.near AS own FROM theirs t JOIN near USING (i)) GROUP BY i),
+scored AS (SELECT q, g, s, len(list_intersect(a.r, b.r)) / len(list_distinct(list_concat(a.r, b.r)))::DOUBLE AS jaccard FROM sim JOIN sets a ON a.i = q JOIN sets b ON b.i = g WHERE q % 100 = 0),
+r AS (SELECT *, round(0.5::DOUBLE * s + 0.5::DOUBLE * jaccard, 9) AS score FROM scored)
+SELECT q, g, round(jaccard, 6) AS jaccard, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, g) AS rank FROM r) WHERE rank <= 20""",
+)
+def k_reciprocal(spark: SparkSession, d: str) -> DataFrame:
+    e = embeddings(spark, d)
+    return vectors.reranked(asked(e), e, vectors.build_index(e)).select("q", "g", F.round("jaccard", 6).alias("jaccard"), F.round("score", 6).alias("score"), "rank")
 
 
 @query(
@@ -121,7 +106,7 @@ _CENTROIDS = """c AS (SELECT label, list(x ORDER BY i) AS v FROM (SELECT label,
 def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     c = centroids(spark, d).select(F.col("label").cast("long").alias("vec_id"), "label", F.col("v").alias("embedding"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "g")).cast("long")
-    return compared(c, c, 3).select(F.col("ql").alias("label"), F.col("gl").alias("other"), rank.alias("rank")).where("rank <= 3")
+    return vectors.compared(c, c, 3).select(F.col("ql").alias("label"), F.col("gl").alias("other"), rank.alias("rank")).where("rank <= 3")
 
 
 def centroids(spark: SparkSession, d: str) -> DataFrame:
@@ -130,16 +115,31 @@ def centroids(spark: SparkSession, d: str) -> DataFrame:
     return mean.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
 
 
-@query("A36: least similarity of a label's members to its centroid, and whether it is below a limit", f"WITH {_CENTROIDS} SELECT label, round(min({_COS.format(a='e.embedding', b='c.v')}), 6) AS least, min({_COS.format(a='e.embedding', b='c.v')}) < 0.2 AS contaminated FROM embeddings e JOIN c USING (label) GROUP BY label")
+@query(
+    "A36: the least similarity of two members of a label in different cameras, and whether it is below a limit",
+    f"""WITH m AS (SELECT a.label, min(round({_COS.format(a='a.embedding', b='b.embedding')}, 9)) AS least FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 5 <> b.vec_id % 5 GROUP BY a.label)
+SELECT label, round(least, 6) AS least, coalesce(least < 0.5, false) AS contaminated FROM (SELECT DISTINCT label FROM embeddings) LEFT JOIN m USING (label)""",
+)
 def contamination(spark: SparkSession, d: str) -> DataFrame:
-    """Compared with the centroid, so no pair of members is made."""
-    e = read(spark, d, "embeddings")
-    c = centroids(spark, d)
-    least = e.join(c, "label").groupBy("label").agg(F.min(cosine("embedding", "v")).alias("m"))
-    return least.select("label", F.round("m", 6).alias("least"), (F.col("m") < 0.2).alias("contaminated"))
+    """Blocks of a label's members meet as matrices and give one row each. A label whose members are all in one camera has no pair."""
+    e = embeddings(spark, d)
+    sizes = e.groupBy("label").agg((F.count("*") / vectors.CELL + 1).cast("long").alias("parts"))
+    part = F.pmod(F.xxhash64("vec_id"), F.col("parts"))
+    groups = e.join(sizes, "label").groupBy("label", part.alias("part")).agg(F.collect_list(F.struct("vec_id", "label", "embedding")).alias("vs"))  # about CELL of them
+
+    def work(vs: pa.StructArray, gs: pa.StructArray):
+        (qi, ql, a), (gi, _, b) = vectors.unit_rows(vs), vectors.unit_rows(gs)
+        s = vectors.similar(a, b)[vectors.allowed_pairs(qi, gi, 5)]
+        if len(s):
+            yield pa.RecordBatch.from_arrays([pa.array(ql[:1].astype(np.int32)), pa.array([float(s.min())])], names=["label", "s"])
+
+    both = groups.join(groups.select("label", F.col("part").alias("other"), F.col("vs").alias("gs")), "label").where("part <= other").select("vs", "gs")
+    least = both.mapInArrow(vectors._each(work), "label int, s double").groupBy("label").agg(F.min("s").alias("m"))
+    return sizes.select("label").join(least, "label", "left").select("label", F.round("m", 6).alias("least"), F.coalesce(F.col("m") < 0.5, F.lit(False)).alias("contaminated"))
 
 
 @query("W3 W20: the set of the seven nearest of each query, among vectors that have a label below five", f"WITH {_RANKED.replace('g.vec_id <> q.vec_id', 'g.label < 5 AND g.vec_id <> q.vec_id')} SELECT q, string_agg(CAST(g AS VARCHAR), ',' ORDER BY g) AS near FROM ranked WHERE rank <= 7 GROUP BY q")
 def neighbour_sets(spark: SparkSession, d: str) -> DataFrame:
-    s = similarities(spark, d).where("gl < 5").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "g"))).where("rank <= 7")
+    e = embeddings(spark, d)
+    s = vectors.ranked(vectors.compared(asked(e), e.where("label < 5"), 7, 5), 7)
     return s.groupBy("q").agg(F.array_join(F.transform(F.sort_array(F.collect_set("g")), lambda x: x.cast("string")), ",").alias("near"))

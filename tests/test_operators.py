@@ -1,13 +1,14 @@
 """Operators on small fixtures with values worked out by hand."""
 
 import itertools
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sightline.functions.expressions import angle_diff, haversine_m, iou
-from sightline.operators.joins import within_seconds
+from sightline.operators.joins import nearest_other, within_seconds
 from sightline.operators.ordered import assignment, connected, constrained_union, frame_matches, identity_f1
 from sightline.operators.scores import WEIGHTS, direction_score, redistributed, spatial_score, temporal_score
 from sightline.operators.topology import RoadTopology
@@ -216,3 +217,158 @@ def test_tracker_stream_against_a_plain_loop(spark, tmp_path):
     found, expected = sorted(out), sorted(expected)
     assert [r[:3] for r in found] == [r[:3] for r in expected] and expected
     assert np.allclose([r[3:] for r in found], [r[3:] for r in expected], atol=1e-3)
+
+
+def _vectors(spark, n=600, seed=1):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, 16))
+    label = rng.integers(0, 12, n)
+    m = centres[label] + 0.25 * rng.normal(size=(n, 16))
+    m[7] = m[3]  # an equal one
+    m[11] = 0
+    rows = [(i, int(label[i]), [float(x) for x in m[i]]) for i in range(n)]
+    return spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), m, label
+
+
+def _plain_cosines(m):
+    norm = np.sqrt((m * m).sum(1))
+    u = m / np.where(norm > 0, norm, 1)[:, None]
+    return np.round(u @ u.T, 9) + 0.0
+
+
+def test_index_is_exact_and_skips_cells(spark, monkeypatch):
+    from sightline.operators import vectors
+
+    monkeypatch.setattr(vectors, "CELL", 40)
+    e, m, _ = _vectors(spark)
+    s = _plain_cosines(m)
+    index = vectors.build_index(e, 20)
+    assert sum(n for _, n, _, _ in index.cells()) == 600
+    for k, apart in ((5, None), (5, 3), (700, None)):
+        found, visited = vectors.search_index(index, e.where("vec_id % 50 = 0 or vec_id in (3, 11)"), k, apart)
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.q, {})[r.rank] = r.g
+        for q in [*range(0, 600, 50), 3, 11]:
+            others = [g for g in range(600) if (g % apart != q % apart if apart else g != q)]
+            best = sorted(others, key=lambda g: (-s[q, g], g))[:k]
+            assert [got[q][i + 1] for i in range(len(best))] == best
+        looked = {r.q: r.visited for r in visited.collect()}
+        if k == 5:
+            assert sum(looked[q] for q in range(0, 600, 50)) < 0.5 * 12 * len(index.cells())
+    none = e.limit(0)
+    assert vectors.search_index(vectors.build_index(none), e, 3)[0].count() == 0
+    assert vectors.search_index(index, none, 3)[0].count() == 0
+
+
+def test_hit_ranks_by_counting(spark, monkeypatch):
+    from sightline.operators import vectors
+
+    monkeypatch.setattr(vectors, "CELL", 40)
+    e, m, label = _vectors(spark)
+    s = _plain_cosines(m)
+    queries = e.where("vec_id % 40 = 0 or vec_id = 3")
+    for apart in (None, 5):
+        expected = set()
+        for q in [*range(0, 600, 40), 3]:
+            order = sorted((g for g in range(600) if (g % apart != q % apart if apart else g != q)), key=lambda g: (-s[q, g], g))
+            hits = [r + 1 for r, g in enumerate(order) if label[g] == label[q]]
+            expected |= {(q, r, i + 1) for i, r in enumerate(hits)}
+        assert {tuple(r) for r in vectors.hit_ranks(queries, e, apart).collect()} == expected
+    alone = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 2, [0.5, 0.5])], "vec_id long, label int, embedding array<double>")
+    assert {tuple(r) for r in vectors.hit_ranks(alone, alone).collect()} == {(1, None, None), (2, None, None)}
+    assert vectors.hit_ranks(alone.limit(1), alone.limit(1)).count() == 0
+
+
+def test_k_reciprocal_against_a_plain_version(spark):
+    from sightline.operators import vectors
+
+    e, m, _ = _vectors(spark, 200, 4)
+    s, k, n = _plain_cosines(m), 6, 200
+    near = [sorted((g for g in range(n) if g != i), key=lambda g: (-s[i, g], g))[:k] for i in range(n)]
+    sets = []
+    for i in range(n):
+        own = set(near[i])
+        for j in near[i]:
+            if 3 * len(own & set(near[j])) >= 2 * len(near[j]):
+                own |= set(near[j])
+        sets.append(own)
+    expected = {}
+    for q in range(0, n, 25):
+        score = {g: round(0.5 * s[q, g] + 0.5 * len(sets[q] & sets[g]) / len(sets[q] | sets[g]), 9) for g in range(n) if g != q}
+        expected[q] = sorted(score, key=lambda g: (-score[g], g))[:10]
+    got = {}
+    for r in vectors.reranked(e.where("vec_id % 25 = 0"), e, vectors.build_index(e), k, 10).orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append(r.g)
+    assert got == expected
+
+
+def _labelled(spark, n=400, anchors=23, seed=2):
+    rng = np.random.default_rng(seed)
+    label = rng.random(n) < 0.3
+    x = np.round(rng.normal(size=(n, 3)) + label[:, None] * np.array([1.0, 0.3, 0.0]), 2)
+    anchor = rng.integers(0, anchors, n)
+    rows = [(int(a), bool(y), *map(float, v)) for a, y, v in zip(anchor, label, x, strict=True)]
+    return spark.createDataFrame(rows, "anchor long, label boolean, a double, b double, c double"), anchor, label, x
+
+
+def _plain_training(anchor, label, x, epochs, rate, margin, ranking):
+    """Every pair is made, and gradients are taken by hand."""
+    w, m, v = np.zeros(4), np.zeros(4), np.zeros(4)
+    pairs = [(i, j) for i in range(len(label)) for j in range(len(label)) if label[i] and not label[j] and anchor[i] == anchor[j]]
+    for t in range(1, epochs + 1):
+        s = x @ w[:3] + w[3]
+        error = 1 / (1 + np.exp(-s)) - label
+        slope = np.append(error @ x, error.sum()) / len(label)
+        for i, j in pairs:
+            if margin - (s[i] - s[j]) > 0:
+                slope[:3] += ranking * (x[j] - x[i]) / len(pairs)
+        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def test_edge_scorer_against_plain_training(spark):
+    from sightline.operators import learned
+
+    df, anchor, label, x = _labelled(spark)
+    model = learned.train_edge_scorer(df, "anchor", "label", ["a", "b", "c"], epochs=12, rate=0.1, margin=0.5, ranking=0.7)
+    assert np.allclose(np.append(model.weights, model.bias), _plain_training(anchor, label, x, 12, 0.1, 0.5, 0.7), atol=1e-9)
+    assert model.losses[-1][0] < model.losses[0][0] and model.losses[-1][1] < model.losses[0][1]
+    p = 1 / (1 + F.exp(-model.logit()))
+    auc = learned.area_under_curve(df.withColumn("p", p), "p", "label").first().auc
+    s = np.round(1 / (1 + np.exp(-(x @ model.weights + model.bias))), 4)
+    pos, neg = s[label], s[~label]
+    assert auc == pytest.approx(((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg)), abs=1e-3)
+    assert auc > 0.7
+    none = learned.train_edge_scorer(df.limit(0), "anchor", "label", ["a"], epochs=2)
+    assert none.weights.tolist() == [0.0] and learned.area_under_curve(df.limit(0), "a", "label").first().auc is None
+
+
+def test_hinges_without_pairs():
+    from sightline.operators.learned import hinge_counts
+
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        n = int(rng.integers(1, 40))
+        group, label, score = rng.integers(0, 4, n), rng.random(n) < 0.5, rng.integers(-3, 4, n) / 2
+        near, loss, pairs = hinge_counts(group, label, score, 0.5)
+        both = [(i, j) for i in range(n) for j in range(n) if label[i] and not label[j] and group[i] == group[j]]
+        wide = [(i, j) for i, j in both if 0.5 - (score[i] - score[j]) > 0]
+        assert pairs == len(both) and loss == pytest.approx(sum(0.5 - (score[i] - score[j]) for i, j in wide))
+        assert near.tolist() == [sum(k in p for p in wide) for k in range(n)]
+
+
+def test_nearest_other_is_linear_in_one_vehicle(spark):
+    n = 100_000
+    t = (F.col("id") * 7919 % n).cast("double")
+    det = spark.range(n).select(F.col("id").alias("event_id"), F.lit(1).cast("long").alias("vehicle"), F.when(F.col("id") % 3 == 0, "purchase").otherwise("click").alias("camera"), t.alias("t"))
+    began = time.perf_counter()
+    got = {r.event_id: (r.nearest, r.apart_s) for r in nearest_other(det, "click", "purchase").collect()}
+    assert time.perf_counter() - began < 60 and len(got) == n - (n + 2) // 3
+    at = {i * 7919 % n: i for i in range(n)}
+    for i in range(1, 3000, 7):
+        if i % 3:
+            p = i * 7919 % n
+            k = next(k for k in range(n) if any(at.get(x, 1) % 3 == 0 for x in (p - k, p + k)))
+            assert got[i] == (next(at[x] for x in (p - k, p + k) if at.get(x, 1) % 3 == 0), float(k))
