@@ -125,7 +125,10 @@ LANE_WORDS = {
 }
 
 OPPOSITE_LANES = {"eastbound": "westbound", "westbound": "eastbound", "northbound": "southbound", "southbound": "northbound"}
-LANE_ANGLES = {"north": 0.0, "northbound": 0.0, "east": 90.0, "eastbound": 90.0, "south": 180.0, "southbound": 180.0, "west": 270.0, "westbound": 270.0}
+LANE_ANGLES = {
+    "eastbound": 90.0, "westbound": 270.0, "northbound": 0.0, "southbound": 180.0, "east": 90.0, "west": 270.0, "north": 0.0, "south": 180.0, "northeast": 45.0, "northwest": 315.0,
+    "southeast": 135.0, "southwest": 225.0, "east-west": 90.0, "north-south": 0.0, "northeast-southwest": 45.0, "northwest-southeast": 315.0,
+}
 
 #: Class numbers of the detector, and type and colour codes of the data.
 DETECTOR_CLASSES = {0: "pedestrian", 1: "non_motor_vehicle", 2: "vehicle", 3: "non_motor_vehicle", 5: "vehicle", 7: "vehicle"}
@@ -133,3 +136,6 @@ COLOUR_CODES = {0: "黄色", 1: "橙色", 2: "绿色", 3: "灰色", 4: "红色",
 TYPE_CODES = {0: "轿车", 1: "SUV", 2: "面包车", 3: "两厢车", 4: "MPV", 5: "皮卡", 6: "公交车", 7: "卡车", 8: "旅行车", 9: "跑车", 10: "房车"}
 SIZE_WORDS = {"large": "大型", "medium": "中型", "small": "小型"}
 TARGET_NAMES = {"vehicle": "机动车", "pedestrian": "行人", "non_motor_vehicle": "非机动车"}
+
+#: States of a query session as users read them.
+STATE_NAMES = {"searched": "检索", "confirmed": "确认", "backtracked": "回溯", "excluded": "排除", "suspect": "存疑", "idle": "空闲"}

@@ -18,11 +18,17 @@ GAP = 600.0
 SLOW, FAST, TOLERANCE = 20 / 3.6, 80 / 3.6, 0.2
 LONGEST = max([GAP, *(m / SLOW * (1 + TOLERANCE) for *_, m, _, _ in ROADS.pairs() if m)])
 LANES = [0.0, 90.0, 180.0, None, 270.0, 45.0]
-COLOURS = ["red", "white", None, "black"]
+#: What a stay shows, each by its number in turn: colour and kind of vehicles, the others of pedestrians.
+SHOWN = {"colour": ["red", "white", None, "black"], "kind": ["sedan", "Sedan", None, "van", "suv"], "gender": ["male", "female", None], "clothes": ["red", "Red", "blue", None, "black", "red"], "bag": ["true", "false", "true", None, "true"], "bag_colour": [None, "black", "Black", "white", None, "red", "black"]}
+#: The weights of what vehicles and pedestrians show.
+VEHICLE_SHOWN = {"colour": 0.5, "kind": 0.5}
+PEDESTRIAN_SHOWN = {"gender": 0.25, "clothes": 0.30, "bag": 0.20, "bag_colour": 0.25}
+VECTORS = ["lx", "ly", "cx", "cy"]
 
 
 def stays(spark: SparkSession, d: str) -> DataFrame:
-    """Tracklets as stays: node, scene, type, camera, start, end, confidence, angle, plate, colour, look (a vector of two numbers, maybe NULL)."""
+    """Tracklets as stays: node, scene, type, camera, start, end, confidence, angle, plate, what is shown, and two looks (vectors of two numbers, maybe NULL: by
+    identity lx, ly and by image cx, cy)."""
     k, vehicle = F.col("k"), F.col("vehicle")
     t = tracklets(spark, d)
     return t.select(
@@ -37,16 +43,19 @@ def stays(spark: SparkSession, d: str) -> DataFrame:
         "confidence",
         picked(LANES, k % len(LANES)).alias("angle"),
         F.nullif(vehicle % 4, F.lit(0)).alias("plate"),
-        picked(COLOURS, k % len(COLOURS)).alias("colour"),
+        *[picked(values, k % len(values)).alias(n) for n, values in SHOWN.items()],
         F.when(k % 5 != 0, k % 10 / 10.0).alias("lx"),
         F.when(k % 5 != 0, k % 7 / 7.0 + 0.1).alias("ly"),
+        F.when(k % 3 != 0, k % 8 / 8.0).alias("cx"),
+        F.when(k % 3 != 0, k % 6 / 6.0 + 0.2).alias("cy"),
     )
 
 
 STAYS = (
     TRACKLETS
     + f""", stays AS (SELECT vehicle || '_' || camera || '_' || day AS node, vehicle, camera, vehicle % 10 AS scene, CASE WHEN vehicle % 7 = 0 THEN 'pedestrian' ELSE 'vehicle' END AS type, start, "end", n, confidence,
- CAST({picked_sql(LANES, f"k % {len(LANES)}")} AS DOUBLE) AS angle, nullif(vehicle % 4, 0) AS plate, {picked_sql(COLOURS, f"k % {len(COLOURS)}")} AS colour, CASE WHEN k % 5 <> 0 THEN k % 10 / 10.0::DOUBLE END AS lx, CASE WHEN k % 5 <> 0 THEN k % 7 / 7.0::DOUBLE + 0.1::DOUBLE END AS ly FROM tracklets)"""
+ CAST({picked_sql(LANES, f"k % {len(LANES)}")} AS DOUBLE) AS angle, nullif(vehicle % 4, 0) AS plate, {", ".join(f"{picked_sql(x, f'k % {len(x)}')} AS {n}" for n, x in SHOWN.items())},
+ CASE WHEN k % 5 <> 0 THEN k % 10 / 10.0::DOUBLE END AS lx, CASE WHEN k % 5 <> 0 THEN k % 7 / 7.0::DOUBLE + 0.1::DOUBLE END AS ly, CASE WHEN k % 3 <> 0 THEN k % 8 / 8.0::DOUBLE END AS cx, CASE WHEN k % 3 <> 0 THEN k % 6 / 6.0::DOUBLE + 0.2::DOUBLE END AS cy FROM tracklets)"""
 )
 
 
@@ -66,7 +75,23 @@ def look_ok(look: Column, gap: Column) -> Column:
 
 
 def _columns(side: str) -> dict[str, Column]:
-    return {c: F.col(f"{side}.{c}") for c in ("node", "vehicle", "camera", "type", "start", "end", "confidence", "angle", "plate", "colour", "lx", "ly")}
+    return {c: F.col(f"{side}.{c}") for c in ("node", "vehicle", "camera", "type", "start", "end", "confidence", "angle", "plate", *SHOWN, *VECTORS)}
+
+
+def look_of(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """C4: (cosine + 1) / 2 of the vectors by identity if both have them, else of those by image, else NULL."""
+
+    def alike(x: str, y: str) -> Column:
+        norm = lambda side: F.sqrt(side[x] * side[x] + side[y] * side[y])
+        return ((a[x] * b[x] + a[y] * b[y]) / (norm(a) * norm(b)) + 1) / 2
+
+    return F.coalesce(alike("lx", "ly"), alike("cx", "cy"))
+
+
+def look_sql(a: str, b: str) -> str:
+    """The same in SQL; a and b: prefixes of the columns."""
+    alike = lambda x, y: f"(({a}{x} * {b}{x} + {a}{y} * {b}{y}) / (sqrt({a}{x} * {a}{x} + {a}{y} * {a}{y}) * sqrt({b}{x} * {b}{x} + {b}{y} * {b}{y})) + 1) / 2"
+    return f"coalesce({alike('lx', 'ly')}, {alike('cx', 'cy')})"
 
 
 def candidate_edges_of(spark: SparkSession, s: DataFrame, roads: RoadTopology = ROADS, left: DataFrame | None = None) -> DataFrame:
@@ -77,19 +102,19 @@ def candidate_edges_of(spark: SparkSession, s: DataFrame, roads: RoadTopology =
     pairs = within_seconds(left, s.withColumn("target_camera", F.col("camera")), ["scene", "type", "target_camera"], "end", "start", LONGEST)
     a, b = _columns("a"), _columns("b")
     gap = b["start"] - a["end"]
-    norm = lambda x: F.sqrt(x["lx"] * x["lx"] + x["ly"] * x["ly"])
-    look = ((a["lx"] * b["lx"] + a["ly"] * b["ly"]) / (norm(a) * norm(b)) + 1) / 2
+    look = look_of(a, b)
+    source = F.when(a["lx"].isNotNull() & b["lx"].isNotNull(), "reid").when(a["cx"].isNotNull() & b["cx"].isNotNull(), "clip").otherwise("none")
     gates = travel_ok(gap, F.col("a.metres")) & direction_ok(a["type"], a["angle"], b["angle"]) & (a["plate"].isNull() | b["plate"].isNull() | (a["plate"] == b["plate"])) & (a["colour"].isNull() | b["colour"].isNull() | (a["colour"] == b["colour"])) & look_ok(look, gap)
-    named = [x.alias(f"{side}_{n}") for side, columns in (("a", a), ("b", b)) for n, x in columns.items() if n not in ("type", "lx", "ly")]
-    return pairs.where(gates).select(F.col("a.scene").alias("scene"), a["type"].alias("type"), *named, gap.alias("gap"), F.col("a.metres").alias("metres"), F.col("a.paths").alias("paths"), F.col("a.between").alias("between"), look.alias("look"))
+    named = [x.alias(f"{side}_{n}") for side, columns in (("a", a), ("b", b)) for n, x in columns.items() if n not in ("type", *VECTORS)]
+    return pairs.where(gates).select(F.col("a.scene").alias("scene"), a["type"].alias("type"), *named, gap.alias("gap"), F.col("a.metres").alias("metres"), F.col("a.paths").alias("paths"), F.col("a.between").alias("between"), look.alias("look"), source.alias("look_source"))
 
 
 _WAYS = "ways(source_camera, target_camera, hops, metres, paths, between) AS (VALUES " + ", ".join(f"({', '.join(map(sql_text, p))}::INT)" for p in ROADS.pairs()) + ")"
 CANDIDATES = (
     STAYS
-    + f""", {_WAYS}, pairs AS (SELECT a.scene, a.type, a.node AS a_node, a.vehicle AS a_vehicle, a.camera AS a_camera, a.start AS a_start, a."end" AS a_end, a.confidence AS a_confidence, a.angle AS a_angle, a.plate AS a_plate, a.colour AS a_colour,
- b.node AS b_node, b.vehicle AS b_vehicle, b.camera AS b_camera, b.start AS b_start, b."end" AS b_end, b.confidence AS b_confidence, b.angle AS b_angle, b.plate AS b_plate, b.colour AS b_colour, b.start - a."end" AS gap, CAST(metres AS DOUBLE) AS metres, paths, between,
- ((a.lx * b.lx + a.ly * b.ly) / (sqrt(a.lx * a.lx + a.ly * a.ly) * sqrt(b.lx * b.lx + b.ly * b.ly)) + 1) / 2 AS look FROM stays a JOIN stays b ON a.scene = b.scene AND a.type = b.type AND a.camera <> b.camera AND b.start > a."end" JOIN ways ON source_camera = a.camera AND target_camera = b.camera),
+    + f""", {_WAYS}, pairs AS (SELECT a.scene, a.type, a.node AS a_node, a.vehicle AS a_vehicle, a.camera AS a_camera, a.start AS a_start, a."end" AS a_end, a.confidence AS a_confidence, a.angle AS a_angle, a.plate AS a_plate, {", ".join(f"a.{n} AS a_{n}, b.{n} AS b_{n}" for n in SHOWN)},
+ b.node AS b_node, b.vehicle AS b_vehicle, b.camera AS b_camera, b.start AS b_start, b."end" AS b_end, b.confidence AS b_confidence, b.angle AS b_angle, b.plate AS b_plate, b.start - a."end" AS gap, CAST(metres AS DOUBLE) AS metres, paths, between,
+ {look_sql("a.", "b.")} AS look, CASE WHEN a.lx IS NOT NULL AND b.lx IS NOT NULL THEN 'reid' WHEN a.cx IS NOT NULL AND b.cx IS NOT NULL THEN 'clip' ELSE 'none' END AS look_source FROM stays a JOIN stays b ON a.scene = b.scene AND a.type = b.type AND a.camera <> b.camera AND b.start > a."end" JOIN ways ON source_camera = a.camera AND target_camera = b.camera),
 cand AS (SELECT * FROM pairs WHERE CASE WHEN metres IS NULL THEN gap <= {GAP} ELSE gap BETWEEN metres / (80 / 3.6) * 0.8 AND metres / (20 / 3.6) * 1.2 END AND (type = 'pedestrian' OR coalesce(least(abs(a_angle - b_angle) % 360, 360 - abs(a_angle - b_angle) % 360) < 150, true))
  AND (a_plate IS NULL OR b_plate IS NULL OR a_plate = b_plate) AND (a_colour IS NULL OR b_colour IS NULL OR a_colour = b_colour) AND coalesce(look >= CASE WHEN gap > 100 THEN 0.85 ELSE 0.8 END, true))"""
 )
@@ -101,6 +126,15 @@ def candidate_edges(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("a_node").alias("source"), F.col("b_node").alias("target"), F.round("gap", 3).alias("gap_s"), (F.col("a_vehicle") == F.col("b_vehicle")).alias("same"))
 
 
+def evidence(shown: dict[str, float]) -> dict[str, Column]:
+    """Whether both stays of a pair have what a part of the score needs; of what they show one thing is enough."""
+    both = lambda n: F.col(f"a_{n}").isNotNull() & F.col(f"b_{n}").isNotNull()
+    some = F.lit(False)
+    for n in shown:
+        some = some | both(n)
+    return {"plate": both("plate"), "temporal": F.lit(True), "topology": F.lit(True), "reid": F.col("look").isNotNull(), "attribute": some}
+
+
 def scored(e: DataFrame, offsets: dict[str, float] = OFFSETS) -> DataFrame:
     """Candidate edges with their parts, the weights that hold, penalties and score. The gap is aligned to the cameras' clocks."""
     from sightline.functions.expressions import lookup
@@ -109,16 +143,16 @@ def scored(e: DataFrame, offsets: dict[str, float] = OFFSETS) -> DataFrame:
     at = lambda camera: F.coalesce(lookup(c(camera), offsets), F.lit(0.0))
     gap = c("gap") + at("b_camera") - at("a_camera")
     pedestrian = c("type") == "pedestrian"
+    shown = lambda weights: attribute_score([(F.lower(f"a_{n}"), F.lower(f"b_{n}"), w) for n, w in weights.items()])
     parts = {
         "plate": plate_score(c("a_plate"), c("b_plate")),
         "temporal": temporal_score(gap, c("metres")),
         "topology": spatial_score(gap, c("metres")),
         "reid": F.coalesce("look", F.lit(0.5)),
-        "attribute": attribute_score([(c("a_colour"), c("b_colour"), 0.5), (c("a_angle"), c("b_angle"), 0.5)]),
+        "attribute": F.when(pedestrian, shown(PEDESTRIAN_SHOWN)).otherwise(shown(VEHICLE_SHOWN)),
     }
-    there = {"plate": c("a_plate").isNotNull() & c("b_plate").isNotNull(), "temporal": F.lit(True), "topology": F.lit(True), "reid": c("look").isNotNull(), "attribute": c("a_colour").isNotNull() & c("b_colour").isNotNull()}
-    vehicle, dropped = effective_weights(VEHICLE_WEIGHTS, there)
-    person, dropped_person = effective_weights(PEDESTRIAN_WEIGHTS, there)
+    vehicle, dropped = effective_weights(VEHICLE_WEIGHTS, evidence(VEHICLE_SHOWN))
+    person, dropped_person = effective_weights(PEDESTRIAN_WEIGHTS, evidence(PEDESTRIAN_SHOWN))
     total = lambda weights: sum((w * parts["attribute" if n == "bag" else n] for n, w in weights.items()), F.lit(0.0))
     turn = F.when(c("a_angle").isNull() | c("b_angle").isNull(), 0.5).otherwise(direction_score(angle_diff(c("a_angle"), c("b_angle"))))
     turn = F.when(pedestrian, F.greatest(turn, F.lit(0.3))).otherwise(turn)
@@ -127,39 +161,105 @@ def scored(e: DataFrame, offsets: dict[str, float] = OFFSETS) -> DataFrame:
     return e.select("*", *[x.alias(n) for n, x in parts.items()], turn.alias("direction"), penalty.alias("penalty"), score.alias("score"), F.when(pedestrian, dropped_person).otherwise(dropped).alias("dropped"), ((score > 0) & (parts["plate"] > 0)).alias("is_valid"))
 
 
-def _weights_sql(weights: dict[str, float]) -> str:
-    there = {"plate": "a_plate IS NOT NULL AND b_plate IS NOT NULL", "reid": "look IS NOT NULL", "attribute": "a_colour IS NOT NULL AND b_colour IS NOT NULL", "bag": "a_colour IS NOT NULL AND b_colour IS NOT NULL"}
+def _some_sql(shown: dict[str, float]) -> str:
+    return " OR ".join(f"(a_{n} IS NOT NULL AND b_{n} IS NOT NULL)" for n in shown)
+
+
+def _there_sql(shown: dict[str, float]) -> dict[str, str]:
+    return {"plate": "a_plate IS NOT NULL AND b_plate IS NOT NULL", "reid": "look IS NOT NULL", "attribute": _some_sql(shown), "bag": _some_sql(shown)}
+
+
+def _weights_sql(weights: dict[str, float], shown: dict[str, float]) -> str:
+    there = _there_sql(shown)
     positive = {n: w for n, w in weights.items() if w > 0}
     kept = " + ".join(f"CASE WHEN {there.get(n, 'true')} THEN {w} ELSE 0 END" for n, w in positive.items())
     total = " + ".join(f"CASE WHEN {there.get(n, 'true')} THEN {w} * {'attribute' if n == 'bag' else n} ELSE 0 END" for n, w in positive.items())
     return f"({total}) * {sum(positive.values())} / ({kept})"
 
 
+def _shown_sql(shown: dict[str, float]) -> str:
+    return " + ".join(f"{w} * CASE WHEN a_{n} IS NULL OR b_{n} IS NULL THEN 0.5 WHEN lower(a_{n}) = lower(b_{n}) THEN 1 ELSE 0 END" for n, w in shown.items())
+
+
 _T = "metres / (80 / 3.6)", "metres / (20 / 3.6)"
 _TEMPORAL = f"CASE WHEN g < 0 THEN 0 WHEN metres IS NULL THEN exp(-pow(g - 120, 2) / (2 * pow(400.0, 2))) WHEN g < {_T[0]} THEN exp(-pow(g - {_T[0]}, 2) / (2 * pow(greatest(0.3 * {_T[0]}, 10), 2))) WHEN g > {_T[1]} THEN exp(-pow(g - {_T[1]}, 2) / (2 * pow(greatest(0.5 * {_T[1]}, 30), 2))) ELSE 1 END"
 _SPATIAL = "CASE WHEN metres IS NULL THEN 0.5 WHEN g <= 0 THEN 0 WHEN metres / g * 3.6 BETWEEN 20 AND 80 THEN 0.7 + 0.3 * exp(-pow(metres / g * 3.6 - 50, 2) / (2 * pow(15.0, 2))) ELSE 0.7 * exp(-pow(metres / g * 3.6 - 50, 2) / (2 * pow(15.0, 2))) END"
-_MATCH = lambda x: f"0.5 * CASE WHEN a_{x} IS NULL OR b_{x} IS NULL THEN 0.5 WHEN a_{x} = b_{x} THEN 1 ELSE 0 END"
 _OFFSET = lambda x: "coalesce(MAP {" + ", ".join(f"'{k}': {w}::DOUBLE" for k, w in OFFSETS.items()) + f"}}[{x}], 0)"
 _TURN = "least(abs(a_angle - b_angle) % 360, 360 - abs(a_angle - b_angle) % 360)"
 SCORED = (
     CANDIDATES
     + f""", parts0 AS (SELECT *, gap + {_OFFSET("b_camera")} - {_OFFSET("a_camera")} AS g FROM cand), parts AS (SELECT *, CASE WHEN a_plate IS NULL OR b_plate IS NULL THEN 0.5 WHEN a_plate = b_plate THEN 1 ELSE 0 END AS plate, {_TEMPORAL} AS temporal, {_SPATIAL} AS topology, coalesce(look, 0.5) AS reid,
- {_MATCH("colour")} + {_MATCH("angle")} AS attribute, greatest(CASE WHEN {_TURN} IS NULL THEN 0.5 WHEN {_TURN} < 45 THEN 1 WHEN {_TURN} < 135 THEN 0.5 ELSE 0 END, CASE WHEN type = 'pedestrian' THEN 0.3 ELSE 0 END) AS direction, 0.10 * (1 - 1.0 / paths) + 0.05 * (1 - exp(-0.5 * between)) AS penalty FROM parts0),
-scored AS (SELECT *, least(greatest(CASE WHEN type = 'pedestrian' THEN {_weights_sql(PEDESTRIAN_WEIGHTS)} ELSE {_weights_sql(VEHICLE_WEIGHTS)} END + 0.10 * direction - penalty, 0), 1) AS score FROM parts)"""
+ CASE WHEN type = 'pedestrian' THEN {_shown_sql(PEDESTRIAN_SHOWN)} ELSE {_shown_sql(VEHICLE_SHOWN)} END AS attribute, greatest(CASE WHEN {_TURN} IS NULL THEN 0.5 WHEN {_TURN} < 45 THEN 1 WHEN {_TURN} < 135 THEN 0.5 ELSE 0 END, CASE WHEN type = 'pedestrian' THEN 0.3 ELSE 0 END) AS direction, 0.10 * (1 - 1.0 / paths) + 0.05 * (1 - exp(-0.5 * between)) AS penalty FROM parts0),
+scored AS (SELECT *, least(greatest(CASE WHEN type = 'pedestrian' THEN {_weights_sql(PEDESTRIAN_WEIGHTS, PEDESTRIAN_SHOWN)} ELSE {_weights_sql(VEHICLE_WEIGHTS, VEHICLE_SHOWN)} END + 0.10 * direction - penalty, 0), 1) AS score FROM parts)"""
 )
 
 
+_DROPPED = f"""concat_ws(',', CASE WHEN type <> 'pedestrian' AND NOT ({_there_sql(VEHICLE_SHOWN)["plate"]}) THEN 'plate' END, CASE WHEN type = 'pedestrian' AND look IS NULL THEN 'reid' END,
+ CASE WHEN type = 'pedestrian' AND NOT ({_some_sql(PEDESTRIAN_SHOWN)}) THEN 'attribute' END, CASE WHEN type = 'pedestrian' AND NOT ({_some_sql(PEDESTRIAN_SHOWN)}) THEN 'bag' END)"""
+
+
 @query(
-    "A42 C1 C2 C3 C4 C5 C6 C7 C10 C11 C12 C21 F18: full edge scores with availability, weights shared out, penalties of paths and cameras between",
-    f"""WITH {SCORED} SELECT a_node AS source, b_node AS target, round(score, 6) AS score, round(attribute, 6) AS attribute, round(reid, 6) AS reid, round(penalty, 6) AS penalty, score > 0 AND plate > 0 AS is_valid,
- concat_ws(',', CASE WHEN type <> 'pedestrian' AND (a_plate IS NULL OR b_plate IS NULL) THEN 'plate' END, CASE WHEN type = 'pedestrian' AND look IS NULL THEN 'reid' END, CASE WHEN type = 'pedestrian' AND (a_colour IS NULL OR b_colour IS NULL) THEN 'attribute' END, CASE WHEN type = 'pedestrian' AND (a_colour IS NULL OR b_colour IS NULL) THEN 'bag' END) AS dropped,
- CASE WHEN plate = 1 THEN 'plate equal' WHEN plate = 0.5 THEN 'plate unknown' ELSE 'plate differs' END || '; ' || CASE WHEN metres IS NULL THEN 'distance unknown' ELSE printf('%.0f m', metres) END || '; ' || paths || ' paths' AS reason FROM scored""",
+    "A42 C1 C2 C3 C4 C5 C6 C7 C10 C11 F18: full edge scores with availability, weights shared out, penalties of paths and cameras between",
+    f"WITH {SCORED} SELECT a_node AS source, b_node AS target, round(score, 6) AS score, round(attribute, 6) AS attribute, round(reid, 6) AS reid, round(penalty, 6) AS penalty, score > 0 AND plate > 0 AS is_valid, {_DROPPED} AS dropped FROM scored",
 )
 def scored_edges(spark: SparkSession, d: str) -> DataFrame:
     e = scored(candidate_edges_of(spark, stays(spark, d)))
-    plate = F.when(F.col("plate") == 1, "plate equal").when(F.col("plate") == 0.5, "plate unknown").otherwise("plate differs")
-    reason = F.concat_ws("; ", plate, F.when(F.col("metres").isNull(), "distance unknown").otherwise(F.format_string("%.0f m", "metres")), F.concat(F.col("paths").cast("string"), F.lit(" paths")))
-    return e.select(F.col("a_node").alias("source"), F.col("b_node").alias("target"), *[F.round(n, 6).alias(n) for n in ("score", "attribute", "reid", "penalty")], "is_valid", "dropped", reason.alias("reason"))
+    return e.select(F.col("a_node").alias("source"), F.col("b_node").alias("target"), *[F.round(n, 6).alias(n) for n in ("score", "attribute", "reid", "penalty")], "is_valid", "dropped")
+
+
+def explained(e: DataFrame) -> DataFrame:
+    """Scored edges with appearance (where the look comes from), available and effective: text of what has evidence, and of the weights that hold, by name;
+    and time_aligned, whether both cameras have a clock offset."""
+    from sightline.functions.expressions import lookup
+
+    pedestrian = F.col("type") == "pedestrian"
+
+    def told(weights: dict[str, float], shown: dict[str, float]) -> tuple[Column, Column]:
+        there = evidence(shown)
+        used, _ = effective_weights(weights, there)
+        names = F.concat_ws(",", *[F.when(there[n], n) for n in sorted(there)])
+        return names, F.concat_ws(" ", *[F.when(w > 0, F.concat(F.lit(f"{n}="), F.format_string("%.3f", F.round(w, 3)))) for n, w in sorted(used.items())])
+
+    (own, weights), (own_person, weights_person) = told(VEHICLE_WEIGHTS, VEHICLE_SHOWN), told(PEDESTRIAN_WEIGHTS, PEDESTRIAN_SHOWN)
+    known = lambda x: lookup(F.col(x), OFFSETS).isNotNull()
+    return e.withColumns({"appearance": F.col("look_source"), "available": F.when(pedestrian, own_person).otherwise(own), "effective": F.when(pedestrian, weights_person).otherwise(weights), "time_aligned": known("a_camera") & known("b_camera")})
+
+
+def reasons(e: DataFrame) -> Column:
+    """An explained edge in words: its parts, the weights that hold, what was dropped, and the evidence that stands out."""
+    c = F.col
+    number = lambda n: F.concat(F.lit(f"{n}="), F.format_string("%.3f", F.round(n, 3)))
+    plate = F.when(c("plate") == 1, "plate equal").when(c("plate") == 0, "plate differs").when(~F.array_contains(F.split("available", ","), "plate"), "no plates, not counted")
+    look = F.when(c("appearance") == "none", "no look, not counted").when(c("reid") >= 0.8, "very alike").when(c("reid") < 0.4, "unlike")
+    time = F.when(c("temporal") >= 0.9, "time fits").when(c("temporal") < 0.3, "time hardly fits")
+    parts = F.concat_ws(" ", *[number(n) for n in ("reid", "attribute", "plate", "temporal", "topology", "direction", "penalty", "score")])
+    dropped = F.when(c("dropped") == "", "all parts have evidence").otherwise(F.concat(F.lit("dropped: "), c("dropped")))
+    return F.concat_ws("; ", parts, F.concat(F.lit("weights "), c("effective")), dropped, plate, look, time)
+
+
+def _told_sql(weights: dict[str, float], shown: dict[str, float]) -> tuple[str, str]:
+    there = {"temporal": "true", "topology": "true", **_there_sql(shown)}
+    positive = {n: w for n, w in weights.items() if w > 0}
+    kept = " + ".join(f"CASE WHEN {there[n]} THEN {w} ELSE 0 END" for n, w in positive.items())
+    names = ", ".join(f"CASE WHEN {there[n]} THEN '{n}' END" for n in sorted(there) if n != "bag")
+    used = ", ".join(f"CASE WHEN {there[n]} THEN '{n}=' || printf('%.3f', round({w} * {sum(positive.values())} / ({kept}), 3)) END" for n, w in sorted(positive.items()))
+    return f"concat_ws(',', {names})", f"concat_ws(' ', {used})"
+
+
+_TOLD = [f"CASE WHEN type = 'pedestrian' THEN {a} ELSE {b} END" for a, b in zip(_told_sql(PEDESTRIAN_WEIGHTS, PEDESTRIAN_SHOWN), _told_sql(VEHICLE_WEIGHTS, VEHICLE_SHOWN), strict=True)]
+_NUMBERS = " || ' ' || ".join(f"'{n}=' || printf('%.3f', round({n}, 3))" for n in ("reid", "attribute", "plate", "temporal", "topology", "direction", "penalty", "score"))
+
+
+@query(
+    "C12 C21: explained edges: appearance source, available parts, weights that hold, clocks, and the reasons in words",
+    f"""WITH {SCORED}, told AS (SELECT *, {_TOLD[0]} AS available, {_TOLD[1]} AS effective, {_DROPPED} AS dropped FROM scored)
+SELECT a_node AS source, b_node AS target, look_source AS appearance, available, effective, a_camera IN ({", ".join(map(sql_text, OFFSETS))}) AND b_camera IN ({", ".join(map(sql_text, OFFSETS))}) AS time_aligned,
+ concat_ws('; ', {_NUMBERS}, 'weights ' || effective, CASE WHEN dropped = '' THEN 'all parts have evidence' ELSE 'dropped: ' || dropped END, CASE WHEN plate = 1 THEN 'plate equal' WHEN plate = 0 THEN 'plate differs' WHEN a_plate IS NULL OR b_plate IS NULL THEN 'no plates, not counted' END,
+ CASE WHEN look_source = 'none' THEN 'no look, not counted' WHEN reid >= 0.8 THEN 'very alike' WHEN reid < 0.4 THEN 'unlike' END, CASE WHEN temporal >= 0.9 THEN 'time fits' WHEN temporal < 0.3 THEN 'time hardly fits' END) AS reason FROM told""",
+)
+def edge_explanations(spark: SparkSession, d: str) -> DataFrame:
+    e = explained(scored(candidate_edges_of(spark, stays(spark, d))))
+    return e.select(F.col("a_node").alias("source"), F.col("b_node").alias("target"), "appearance", "available", "effective", "time_aligned", reasons(e).alias("reason"))
 
 
 @query(
@@ -177,8 +277,8 @@ _PARTS = SCORED[len(CANDIDATES) :]
 
 @query(
     "T3: the stays of each identity in order, each step to the next scored",
-    f"""WITH {STAYS}, {_WAYS}, seq AS (SELECT *, lead(node) OVER w AS b_node, lead(camera) OVER w AS b_camera, lead(start) OVER w AS b_start, lead(angle) OVER w AS b_angle, lead(plate) OVER w AS b_plate, lead(colour) OVER w AS b_colour, lead(lx) OVER w AS bx, lead(ly) OVER w AS by_, row_number() OVER w AS pos FROM stays WINDOW w AS (PARTITION BY vehicle ORDER BY start, node)),
-cand AS (SELECT type, pos, vehicle, node AS a_node, b_node, camera AS a_camera, b_camera, angle AS a_angle, b_angle, plate AS a_plate, b_plate, colour AS a_colour, b_colour, b_start - "end" AS gap, CAST(metres AS DOUBLE) AS metres, coalesce(paths, 1) AS paths, coalesce(between, 0) AS between, ((lx * bx + ly * by_) / (sqrt(lx * lx + ly * ly) * sqrt(bx * bx + by_ * by_)) + 1) / 2 AS look
+    f"""WITH {STAYS}, {_WAYS}, seq AS (SELECT *, lead(node) OVER w AS b_node, lead(camera) OVER w AS b_camera, lead(start) OVER w AS b_start, lead(angle) OVER w AS b_angle, lead(plate) OVER w AS b_plate, {", ".join(f"lead({n}) OVER w AS b_{n}" for n in (*SHOWN, *VECTORS))}, row_number() OVER w AS pos FROM stays WINDOW w AS (PARTITION BY vehicle ORDER BY start, node)),
+cand AS (SELECT type, pos, vehicle, node AS a_node, b_node, camera AS a_camera, b_camera, angle AS a_angle, b_angle, plate AS a_plate, b_plate, {", ".join(f"{n} AS a_{n}, b_{n}" for n in SHOWN)}, b_start - "end" AS gap, CAST(metres AS DOUBLE) AS metres, coalesce(paths, 1) AS paths, coalesce(between, 0) AS between, {look_sql("", "b_")} AS look
  FROM seq LEFT JOIN ways ON source_camera = camera AND target_camera = b_camera WHERE b_node IS NOT NULL){_PARTS} SELECT vehicle, pos, a_node AS source, b_node AS target, round(score, 6) AS score FROM scored""",
 )
 def strong_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -186,13 +286,13 @@ def strong_paths(spark: SparkSession, d: str) -> DataFrame:
 
     w = Window.partitionBy("vehicle").orderBy("start", "node")
     s = stays(spark, d)
-    seq = s.withColumns({**{f"b_{n}": F.lead(n).over(w) for n in ("node", "camera", "start", "angle", "plate", "colour", "lx", "ly")}, "pos": F.row_number().over(w).cast("long")}).where("b_node is not null")
+    seq = s.withColumns({**{f"b_{n}": F.lead(n).over(w) for n in ("node", "camera", "start", "angle", "plate", *SHOWN, *VECTORS)}, "pos": F.row_number().over(w).cast("long")}).where("b_node is not null")
     ways = ROADS.frame(spark).withColumnRenamed("source_camera", "camera").withColumnRenamed("target_camera", "b_camera")
     both = seq.join(F.broadcast(ways), ["camera", "b_camera"], "left")  # at most the square of the number of cameras
     c = F.col
-    norm = lambda x, y: F.sqrt(c(x) * c(x) + c(y) * c(y))
-    look = ((c("lx") * c("b_lx") + c("ly") * c("b_ly")) / (norm("lx", "ly") * norm("b_lx", "b_ly")) + 1) / 2
-    e = both.select("type", "vehicle", "pos", *[c(n).alias(f"a_{n}") for n in ("node", "camera", "angle", "plate", "colour")], *[c(f"b_{n}") for n in ("node", "camera", "angle", "plate", "colour")], (c("b_start") - c("end")).alias("gap"), "metres", F.coalesce("paths", F.lit(1)).alias("paths"), F.coalesce("between", F.lit(0)).alias("between"), look.alias("look"))
+    look = look_of({n: c(n) for n in VECTORS}, {n: c(f"b_{n}") for n in VECTORS})
+    sides = [c(f"{before}{n}").alias(f"{side}_{n}") for side, before in (("a", ""), ("b", "b_")) for n in ("node", "camera", "angle", "plate", *SHOWN)]
+    e = both.select("type", "vehicle", "pos", *sides, (c("b_start") - c("end")).alias("gap"), "metres", F.coalesce("paths", F.lit(1)).alias("paths"), F.coalesce("between", F.lit(0)).alias("between"), look.alias("look"))
     return scored(e).select("vehicle", "pos", F.col("a_node").alias("source"), F.col("b_node").alias("target"), F.round("score", 6).alias("score"))
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions.expressions import clamp
-from sightline.operators.scores import WEIGHTS, plate_score, redistributed, spatial_score, temporal_score
+from sightline.operators.scores import ASKED_WEIGHTS, WEIGHTS, consistency, plate_score, redistributed, spatial_score, temporal_score
 from sightline.registry import query
-from sightline.sources.tables import DET, TRACKLETS, detections, tracklets
+from sightline.sources.tables import DET, TRACKLETS, detections, picked, picked_sql, tracklets
 
 _EDGES = TRACKLETS + """, o AS (SELECT *, lead(start) OVER w AS next_start, lead(k) OVER w AS next_k, lead(confidence) OVER w AS next_confidence FROM tracklets WINDOW w AS (PARTITION BY vehicle ORDER BY start, camera)),
 e AS (SELECT vehicle, camera, day, next_start - "end" AS gap, CASE WHEN k % 5 = 0 THEN NULL ELSE (k + 1) * 100.0 END AS distance, nullif(k % 4, 0) AS pa, nullif(next_k % 4, 0) AS pb,
@@ -57,15 +57,23 @@ def reweighted_score(spark: SparkSession, d: str) -> DataFrame:
     return edges(spark, d).select("vehicle", "camera", "day", F.round(score, 9).alias("score"), dropped.alias("dropped"))
 
 
+#: What queries ask for and rows show, each in turn.
+_WANTED = {"color": (["red", None, "white", None, ""], 5), "vehicle_type": (["sedan", None, None, "van"], 4), "direction": (["eastbound", None, None], 3)}
+_OWN = {"color": ["red", "white", None, "black"], "vehicle_type": ["sedan", "van", ""], "direction": ["eastbound", "westbound", None, "eastbound", "northbound", None, "eastbound"]}
+
+
 @query(
-    "C13: consistency over the dimensions asked for, and the score from it",
-    f"""WITH {DET}, c AS (SELECT event_id, confidence, (0.4 * CASE WHEN k % 5 = 0 THEN 0.5 WHEN k % 3 = 0 THEN 1 ELSE 0 END + 0.2 * (camera = 'click')::INT) / 0.6 AS consistency FROM det)
-SELECT event_id, round(consistency, 6) AS consistency, round(0.6 * confidence + 0.4 * (0.7 * consistency + 0.3 * confidence), 6) AS score FROM c""",
+    "C13: consistency over the dimensions that each row's query asks for, NULL if none is asked, and the score from it",
+    f"""WITH {DET}, x AS (SELECT event_id, confidence, {", ".join(f"nullif({picked_sql(w, f'event_id % {n}')}, '') AS q_{name}, nullif({picked_sql(_OWN[name], f'k % {len(_OWN[name])}')}, '') AS {name}" for name, (w, n) in _WANTED.items())} FROM det),
+c AS (SELECT *, ({" + ".join(f"CASE WHEN q_{name} IS NULL THEN 0 WHEN {name} IS NULL THEN {w} * 0.5 WHEN {name} = q_{name} THEN {w} ELSE 0 END" for name, w in ASKED_WEIGHTS.items())}) / nullif({" + ".join(f"CASE WHEN q_{name} IS NULL THEN 0 ELSE {w} END" for name, w in ASKED_WEIGHTS.items())}, 0)::DOUBLE AS consistency FROM x)
+SELECT event_id, round(consistency, 6) AS consistency, round(CASE WHEN consistency IS NULL THEN confidence ELSE 0.6 * confidence + 0.4 * (0.7 * consistency + 0.3 * confidence) END, 6) AS score FROM c""",
 )
 def consistency_score(spark: SparkSession, d: str) -> DataFrame:
-    k, c = F.col("k"), F.col("confidence")
-    consistent = (0.4 * F.when(k % 5 == 0, 0.5).when(k % 3 == 0, 1.0).otherwise(0.0) + 0.2 * (F.col("camera") == "click").cast("int")) / 0.6
-    return detections(spark, d).select("event_id", F.round(consistent, 6).alias("consistency"), F.round(0.6 * c + 0.4 * (0.7 * consistent + 0.3 * c), 6).alias("score"))
+    c = F.col("confidence")
+    pairs = {name: (picked(w, F.col("event_id") % n), picked(_OWN[name], F.col("k") % len(_OWN[name]))) for name, (w, n) in _WANTED.items()}
+    own = detections(spark, d).withColumn("consistency", consistency(pairs))
+    score = F.when(F.col("consistency").isNull(), c).otherwise(0.6 * c + 0.4 * (0.7 * F.col("consistency") + 0.3 * c))
+    return own.select("event_id", F.round("consistency", 6).alias("consistency"), F.round(score, 6).alias("score"))
 
 
 @query(

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sightline.functions import vocabulary as v
+from sightline.functions.expressions import lookup
 from sightline.registry import query
-from sightline.sources.tables import DET, TRACKLETS, detections, read, tracklets
+from sightline.sources.tables import DET, TRACKLETS, detections, picked, picked_sql, read, tracklets
 
 
 @query(
@@ -32,11 +34,46 @@ def timeline(spark: SparkSession, d: str) -> DataFrame:
     return tracklets(spark, d).select("vehicle", "camera", "day", "n", F.row_number().over(w).cast("long").alias("pos"), F.round(F.lead("start").over(w) - F.col("end"), 3).alias("gap_s"), F.round(F.sum(F.col("end") - F.col("start")).over(w.rowsBetween(Window.unboundedPreceding, 0)), 3).alias("cursor_s"))
 
 
-@query("W1 W12 W13: top k of all", f"WITH {DET} SELECT event_id, round(confidence, 6) AS confidence FROM det ORDER BY confidence DESC, event_id LIMIT 50")
+@query("W1: top k of all", f"WITH {DET} SELECT event_id, round(confidence, 6) AS confidence FROM det ORDER BY confidence DESC, event_id LIMIT 50")
 def top_k(spark: SparkSession, d: str) -> DataFrame:
     return detections(spark, d).orderBy(F.desc("confidence"), "event_id").limit(50).select("event_id", F.round("confidence", 6).alias("confidence"))
 
 
+@query("W12: the 15 cameras with the most detections", "SELECT l_suppkey AS camera, count(*) AS detections FROM lineitem GROUP BY l_suppkey ORDER BY detections DESC, camera LIMIT 15")
+def busiest_cameras(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("camera")).agg(F.count("*").alias("detections")).orderBy(F.desc("detections"), "camera").limit(15)
+
+
+def recent(sessions: DataFrame, limit: int = 10) -> DataFrame:
+    """The sessions (query_id, query_text, state, candidates, created_at, updated_at: texts) that were changed last, at least 1 and at most 100 of them."""
+    changed = F.coalesce(F.nullif("updated_at", F.lit("")), F.nullif("created_at", F.lit("")), F.lit(""))
+    first = sessions.withColumn("__at", changed).orderBy(F.desc("__at"), "query_id").limit(max(1, min(limit, 100)))
+    updated = F.coalesce("updated_at", F.lit(""))
+    time = F.when(F.length(updated) >= 16, F.substring(updated, 12, 5)).otherwise("")
+    text = F.coalesce(F.nullif("query_text", F.lit("")), F.lit("(无查询词)"))
+    summary = F.concat(text, F.lit(" — 候选 "), F.coalesce("candidates", F.lit(0)).cast("string"), F.lit(" 条"))
+    return first.select("query_id", time.alias("time"), updated.alias("timestamp"), F.coalesce(lookup(F.col("state"), v.STATE_NAMES), "state", F.lit("")).alias("type"), summary.alias("summary"), "state")
+
+
+_STATES = ["searched", "confirmed", "idle", None, "tracing"]
+_WORDS = ["红车", None, "", "白色面包车"]
+_RECENT = f"""s AS (SELECT user_id AS query_id, max(event_id) AS e, count(*) AS n, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last_at, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS created FROM events GROUP BY user_id),
+x AS (SELECT query_id, {picked_sql(_WORDS, "e % 4")} AS query_text, {picked_sql(_STATES, "e % 5")} AS state, CASE WHEN e % 3 <> 0 THEN n END AS candidates, CASE WHEN e % 7 <> 0 THEN last_at END AS updated_at, created AS created_at FROM s)"""
+
+
+@query(
+    "W13: what was changed last, the limit of 500 that is asked for held to 100",
+    f"""WITH {_RECENT} SELECT query_id, CASE WHEN length(coalesce(updated_at, '')) >= 16 THEN updated_at[12:16] ELSE '' END AS time, coalesce(updated_at, '') AS timestamp,
+ coalesce(MAP {{{", ".join(f"'{k}': '{w}'" for k, w in v.STATE_NAMES.items())}}}[state], state, '') AS type, coalesce(nullif(query_text, ''), '(无查询词)') || ' — 候选 ' || coalesce(candidates, 0) || ' 条' AS summary, state
+FROM x ORDER BY coalesce(nullif(updated_at, ''), created_at, '') DESC, query_id LIMIT 100""",
+)
+def recent_activities(spark: SparkSession, d: str) -> DataFrame:
+    text = lambda ts: F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    s = read(spark, d, "events").groupBy(F.col("user_id").alias("query_id")).agg(F.max("event_id").alias("e"), F.count("*").alias("n"), text(F.max("ts")).alias("at"), text(F.min("ts")).alias("created_at"))
+    e = F.col("e")
+    return recent(s.select("query_id", picked(_WORDS, e % 4).alias("query_text"), picked(_STATES, e % 5).alias("state"), F.when(e % 3 != 0, F.col("n")).alias("candidates"), F.when(e % 7 != 0, F.col("at")).alias("updated_at"), "created_at"), 500)
+
+
 @query("W2 W5: top k of each group", f"WITH {DET} SELECT camera, event_id, rank FROM (SELECT camera, event_id, row_number() OVER (PARTITION BY camera ORDER BY confidence DESC, event_id) AS rank FROM det) WHERE rank <= 10")
 def top_k_per_group(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("camera").orderBy(F.desc("confidence"), "event_id")
