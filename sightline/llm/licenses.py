@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import U64, Words, arrow_rows, gram_hash, mix, per_chunk, read_table, sliding, text_of
+from sightline.llm.common import U64, Words, arrow_rows, gram_hash, mix, per_chunk, read_table, sliding, text_of, within
 from sightline.llm.decontaminate import plain_words
 
 SHINGLE = 5
@@ -69,6 +69,11 @@ class Templates:
         for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
             own = grams[a : max(a, b - SHINGLE + 1)]
             self.sets.append(np.unique(own))
+        # A template of fewer words is one shingle: its whole sequence, by its number of words.
+        self.short: dict[int, list[tuple[np.uint64, int]]] = {}
+        for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
+            if 0 < b - a < SHINGLE:
+                self.short.setdefault(b - a, []).append((gram_hash(words.hash[a:b], b - a)[0], i))
         self.salts = _salts(bands)
         # The largest template that has no class yet begins one, with all that have four fifths of its size or more.
         self.classes: dict[int, list[int]] = {}
@@ -105,7 +110,7 @@ def _candidates(grams: np.ndarray, templates: Templates) -> tuple[np.ndarray, np
 
 def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None, bands: int = BANDS, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, license, containment, first_word, windows): each document and template that it holds, at its best place, the first if several."""
-    shared = docs.sparkSession.sparkContext.broadcast(Templates(texts or TEMPLATES, bands))
+    shared = docs.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if texts is None else texts, bands))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = shared.value
@@ -127,6 +132,13 @@ def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None, bands: i
                         old[2] += 1
                         if (share, -place) > (old[0], -old[1]):
                             old[:2] = [share, place]
+            for n, own in templates.short.items():
+                whole = gram_hash(words.hash, n)
+                inside = within(words.doc, n)
+                for key, t in own:
+                    for at in np.flatnonzero(inside & (whole == key)).tolist():
+                        d = int(words.doc[at])
+                        best.setdefault((d, t), [1.0, at - int(words.first[d]), 0])[2] += 1
             if best:
                 keys = sorted(best)
                 yield pa.RecordBatch.from_arrays(

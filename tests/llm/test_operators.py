@@ -396,3 +396,11 @@ def test_needed_pairs_is_a_lower_bound():
                 if kinds.count("skip") <= n - m and 2 * m - lost >= n:
                     least = min(least, sum(k in ("next", "one") for k in kinds))
         assert needed_pairs(n) == least
+
+
+def test_short_templates_are_one_shingle(spark):
+    texts = {"two": "MIT license", "one": "Unlicense", "four": "some, rights (were) reserved", "five": "a b c d e"}
+    rows = [(1, "under the MIT license. Or the mit-license"), (2, "an unlicense"), (3, "Some rights were reserved here"), (4, "mit"), (5, "license mit"), (6, "a b c d e"), (7, "the MIT"), (8, "license alone"), (9, None)]
+    got = {(r.doc_id, r.license, r.containment, r.first_word, r.windows) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), texts).collect()}
+    assert {x for x in got if x[1] != "five"} == {(1, "two", 1.0, 2, 2), (2, "one", 1.0, 1, 1), (3, "four", 1.0, 0, 1)} and {x[0] for x in got if x[1] == "five"} == {6}
+    assert scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), {}).count() == 0
