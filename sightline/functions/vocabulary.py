@@ -62,56 +62,86 @@ NON_MOTOR_TYPES = ["三轮车", "电动车", "自行车", "摩托车"]
 BAG_WORDS = ["背包", "书包", "挎包", "手提包"]
 ACCESSORY_WORDS = {"帽子": ["帽子", "头盔"], "眼镜": ["眼镜", "墨镜"]}
 
-#: Colloquial phrases by target type: each with the attributes that it states.
-PHRASES: dict[str, dict[str, dict[str, str]]] = {
-    "vehicle": {
-        **{w: {"vehicle_type": "轿车"} for w in ("小轿车", "轿车", "两厢车", "私家车", "家用轿车")},
-        **{w: {"vehicle_type": "SUV"} for w in ("越野车", "SUV", "suv", "吉普车", "吉普", "越野")},
-        **{w: {"vehicle_type": "面包车"} for w in ("面包车", "小面", "微面", "小型客车", "面的")},
-        **{w: {"vehicle_type": "卡车"} for w in ("小货车", "货车", "大卡车", "拖头", "大货", "集装箱", "truck")},
-        **{w: {"vehicle_type": "公交车"} for w in ("大巴", "大巴车", "公交车", "中巴", "公交", "bus")},
-        **{w: {"vehicle_type": "出租车"} for w in ("的士", "出租车")},
-        "皮卡": {"vehicle_type": "皮卡"},
-        "房车": {"vehicle_type": "RV"},
-        "car": {},
-        "蓝车": {"color": "蓝色"},
-        "红车": {"color": "红色"},
-        "白车": {"color": "白色"},
-        "黑车": {"color": "黑色"},
-        "蓝色的士": {"color": "蓝色", "vehicle_type": "出租车"},
-        "白色的士": {"color": "白色", "vehicle_type": "出租车"},
-        "白色面包车": {"color": "白色", "vehicle_type": "面包车"},
-        "黑色轿车": {"color": "黑色", "vehicle_type": "轿车"},
-        "蓝色轿车": {"color": "蓝色", "vehicle_type": "轿车"},
-        "白色小轿车": {"color": "白色", "vehicle_type": "轿车"},
-        "红色大巴": {"color": "红色", "vehicle_type": "公交车"},
-        "白色货车": {"color": "白色", "vehicle_type": "卡车"},
-        "红色大车": {"color": "红色", "vehicle_type": "卡车"},
-        "蓝色的SUV": {"color": "蓝色", "vehicle_type": "SUV"},
-        "黑色越野车": {"color": "黑色", "vehicle_type": "SUV"},
-    },
-    "non_motor_vehicle": {
-        **{w: {"vehicle_type": "三轮车"} for w in ("三轮", "三轮车", "三蹦子", "拖拉机")},
-        **{w: {"vehicle_type": "电动车"} for w in ("电驴", "小电驴", "电动车")},
-        **{w: {"vehicle_type": "摩托车"} for w in ("摩托", "摩托车", "摩的")},
-        "自行车": {"vehicle_type": "自行车"},
-    },
-    "pedestrian": {
-        **{w: {"gender": "male"} for w in ("男的", "男士", "男人")},
-        **{w: {"gender": "female"} for w in ("女的", "小姐", "女人")},
-        "蓝衣服": {"clothing_color": "蓝色"},
-        "红衣服": {"clothing_color": "红色"},
-        "白衣服": {"clothing_color": "白色"},
-        "黑衣服": {"clothing_color": "黑色"},
-        "穿蓝色衣服的人": {"clothing_color": "蓝色"},
-        "穿红色衣服的人": {"clothing_color": "红色"},
-        "背红色书包的女人": {"gender": "female", "bag": "true", "bag_color": "红色"},
-        "背书包的人": {"bag": "true"},
-        "戴帽子的人": {"accessory": "帽子"},
-        "戴眼镜的人": {"accessory": "眼镜"},
-        "黑裤子男人": {"gender": "male", "pants_color": "黑色"},
-        "白衣服女人": {"gender": "female", "clothing_color": "白色"},
-    },
+#: Colloquial phrases, each with its target type and the attributes that it states.
+PHRASES: dict[str, tuple[str, dict[str, str]]] = {
+    "小轿车": ("vehicle", {"vehicle_type": "轿车"}),
+    "轿车": ("vehicle", {"vehicle_type": "轿车"}),
+    "两厢车": ("vehicle", {"vehicle_type": "轿车"}),
+    "私家车": ("vehicle", {"vehicle_type": "轿车"}),
+    "家用轿车": ("vehicle", {"vehicle_type": "轿车"}),
+    "越野车": ("vehicle", {"vehicle_type": "SUV"}),
+    "SUV": ("vehicle", {"vehicle_type": "SUV"}),
+    "suv": ("vehicle", {"vehicle_type": "SUV"}),
+    "吉普车": ("vehicle", {"vehicle_type": "SUV"}),
+    "吉普": ("vehicle", {"vehicle_type": "SUV"}),
+    "越野": ("vehicle", {"vehicle_type": "SUV"}),
+    "面包车": ("vehicle", {"vehicle_type": "面包车"}),
+    "小面": ("vehicle", {"vehicle_type": "面包车"}),
+    "微面": ("vehicle", {"vehicle_type": "面包车"}),
+    "小型客车": ("vehicle", {"vehicle_type": "面包车"}),
+    "面的": ("vehicle", {"vehicle_type": "面包车"}),
+    "小货车": ("vehicle", {"vehicle_type": "卡车"}),
+    "货车": ("vehicle", {"vehicle_type": "卡车"}),
+    "大卡车": ("vehicle", {"vehicle_type": "卡车"}),
+    "拖头": ("vehicle", {"vehicle_type": "卡车"}),
+    "大货": ("vehicle", {"vehicle_type": "卡车"}),
+    "集装箱": ("vehicle", {"vehicle_type": "卡车"}),
+    "truck": ("vehicle", {"vehicle_type": "卡车"}),
+    "大巴": ("vehicle", {"vehicle_type": "公交车"}),
+    "大巴车": ("vehicle", {"vehicle_type": "公交车"}),
+    "公交车": ("vehicle", {"vehicle_type": "公交车"}),
+    "中巴": ("vehicle", {"vehicle_type": "公交车"}),
+    "公交": ("vehicle", {"vehicle_type": "公交车"}),
+    "bus": ("vehicle", {"vehicle_type": "公交车"}),
+    "的士": ("vehicle", {"vehicle_type": "出租车"}),
+    "出租车": ("vehicle", {"vehicle_type": "出租车"}),
+    "皮卡": ("vehicle", {"vehicle_type": "皮卡"}),
+    "房车": ("vehicle", {"vehicle_type": "RV"}),
+    "car": ("vehicle", {}),
+    "蓝车": ("vehicle", {"color": "蓝色"}),
+    "红车": ("vehicle", {"color": "红色"}),
+    "白车": ("vehicle", {"color": "白色"}),
+    "黑车": ("vehicle", {"color": "黑色"}),
+    "蓝色的士": ("vehicle", {"color": "蓝色", "vehicle_type": "出租车"}),
+    "白色的士": ("vehicle", {"color": "白色", "vehicle_type": "出租车"}),
+    "白色面包车": ("vehicle", {"color": "白色", "vehicle_type": "面包车"}),
+    "黑色轿车": ("vehicle", {"color": "黑色", "vehicle_type": "轿车"}),
+    "蓝色轿车": ("vehicle", {"color": "蓝色", "vehicle_type": "轿车"}),
+    "白色小轿车": ("vehicle", {"color": "白色", "vehicle_type": "轿车"}),
+    "红色大巴": ("vehicle", {"color": "红色", "vehicle_type": "公交车"}),
+    "白色货车": ("vehicle", {"color": "白色", "vehicle_type": "卡车"}),
+    "红色大车": ("vehicle", {"color": "红色", "vehicle_type": "卡车"}),
+    "蓝色的SUV": ("vehicle", {"color": "蓝色", "vehicle_type": "SUV"}),
+    "黑色越野车": ("vehicle", {"color": "黑色", "vehicle_type": "SUV"}),
+    "三轮": ("non_motor_vehicle", {"vehicle_type": "三轮车"}),
+    "三轮车": ("non_motor_vehicle", {"vehicle_type": "三轮车"}),
+    "三蹦子": ("non_motor_vehicle", {"vehicle_type": "三轮车"}),
+    "拖拉机": ("non_motor_vehicle", {"vehicle_type": "三轮车"}),
+    "电驴": ("non_motor_vehicle", {"vehicle_type": "电动车"}),
+    "小电驴": ("non_motor_vehicle", {"vehicle_type": "电动车"}),
+    "电动车": ("non_motor_vehicle", {"vehicle_type": "电动车"}),
+    "摩托": ("non_motor_vehicle", {"vehicle_type": "摩托车"}),
+    "摩托车": ("non_motor_vehicle", {"vehicle_type": "摩托车"}),
+    "摩的": ("non_motor_vehicle", {"vehicle_type": "摩托车"}),
+    "自行车": ("non_motor_vehicle", {"vehicle_type": "自行车"}),
+    "男的": ("pedestrian", {"gender": "male"}),
+    "男士": ("pedestrian", {"gender": "male"}),
+    "男人": ("pedestrian", {"gender": "male"}),
+    "女的": ("pedestrian", {"gender": "female"}),
+    "小姐": ("pedestrian", {"gender": "female"}),
+    "女人": ("pedestrian", {"gender": "female"}),
+    "蓝衣服": ("pedestrian", {"clothing_color": "蓝色"}),
+    "红衣服": ("pedestrian", {"clothing_color": "红色"}),
+    "白衣服": ("pedestrian", {"clothing_color": "白色"}),
+    "黑衣服": ("pedestrian", {"clothing_color": "黑色"}),
+    "穿蓝色衣服的人": ("pedestrian", {"clothing_color": "蓝色"}),
+    "穿红色衣服的人": ("pedestrian", {"clothing_color": "红色"}),
+    "背红色书包的女人": ("pedestrian", {"gender": "female", "bag": "true", "bag_color": "红色"}),
+    "背书包的人": ("pedestrian", {"bag": "true"}),
+    "戴帽子的人": ("pedestrian", {"accessory": "帽子"}),
+    "戴眼镜的人": ("pedestrian", {"accessory": "眼镜"}),
+    "黑裤子男人": ("pedestrian", {"gender": "male", "pants_color": "黑色"}),
+    "白衣服女人": ("pedestrian", {"gender": "female", "clothing_color": "白色"}),
 }
 
 #: Words of the short parser: colours (the first that holds a word wins), types and lane directions (the longest word wins).

@@ -134,24 +134,3 @@ def frame_matches(truth: DataFrame, found: DataFrame, least: float = 0.5, rows:
         return frame_.astype({"gt": "Int64", "pred": "Int64"})
 
     return both.groupBy(F.pmod(F.xxhash64("camera", "frame"), F.lit(groups)).alias("g")).applyInPandas(match, "camera long, frame long, part int, gt long, pred long")
-
-
-def mot_counts(frames: DataFrame, least: float = 0.5) -> DataFrame:
-    """(sequence, matches, misses, false_positives, switches) of overlaps (sequence, frame, gt, pred, iou); pred or gt may be NULL."""
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        last: dict[int, int] = {}
-        hit = miss = extra = switch = 0
-        for _, f in pdf.sort_values("frame").groupby("frame"):
-            gts, preds = sorted(f["gt"].dropna().unique()), sorted(f["pred"].dropna().unique())
-            table = np.zeros((len(gts), len(preds)))
-            for g, p, x in f[["gt", "pred", "iou"]].dropna().itertuples(index=False):
-                table[gts.index(g), preds.index(p)] = x if x >= least else 0
-            found = [(gts[i], preds[j]) for i, j in assignment(table) if table[i, j] > 0]
-            hit, miss, extra = hit + len(found), miss + len(gts) - len(found), extra + len(preds) - len(found)
-            for g, p in found:
-                switch += g in last and last[g] != p
-                last[g] = p
-        return pd.DataFrame({"sequence": [pdf["sequence"].iloc[0]], "matches": [hit], "misses": [miss], "false_positives": [extra], "switches": [switch]})
-
-    return frames.groupBy("sequence").applyInPandas(score, "sequence long, matches long, misses long, false_positives long, switches long")

@@ -19,11 +19,21 @@ def mode_vote(spark: SparkSession, d: str) -> DataFrame:
     return votes.groupBy("track").agg(F.max_by("colour", F.struct("n", -F.col("first"), "colour")).alias("colour"))
 
 
-@query("A1 A8 A9 A10: tracklets of detections", f'WITH {TRACKLETS} SELECT vehicle, camera, day, round("end" - start, 3) AS duration_s, n, round(confidence, 9) AS confidence, k FROM tracklets')
+@query("A1 A8 A10: tracklets of detections", f'WITH {TRACKLETS} SELECT vehicle, camera, day, round("end" - start, 3) AS duration_s, n, round(confidence, 9) AS confidence, k FROM tracklets')
 def tracklet_agg(spark: SparkSession, d: str) -> DataFrame:
     return tracklets(spark, d).select("vehicle", "camera", "day", F.round(F.col("end") - F.col("start"), 3).alias("duration_s"), "n", F.round("confidence", 9).alias("confidence"), "k")
 
 
+@query(
+    "A9: summary of each camera's tracklet: duration, mean quality to four digits, ids in order of time",
+    f"WITH {DET}, x AS (SELECT *, CAST(floor(t / 86400) AS BIGINT) AS day, (k % 10) / 10.0::DOUBLE AS quality FROM det) SELECT vehicle, camera, day, count(*) AS n, round(avg(quality), 4) AS quality, string_agg(event_id, ',' ORDER BY t, event_id) AS ids FROM x GROUP BY vehicle, camera, day",
+)
+def tracklet_summary(spark: SparkSession, d: str) -> DataFrame:
+    x = detections(spark, d).withColumns({"day": F.floor(F.col("t") / 86400), "quality": F.col("k") % 10 / 10.0})
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("t", "event_id"))), lambda r: r["event_id"].cast("string"))  # those of one day
+    return x.groupBy("vehicle", "camera", "day").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 4).alias("quality"), F.array_join(ids, ",").alias("ids"))
+
+
 @query(
     "A4 A5 A39: centroid of unit vectors, normalised again",
     """WITH u AS (SELECT label, vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
@@ -39,13 +49,13 @@ def centroid_norm(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "A12: confidence histogram, five half-open bins, zero bins kept",
-    f"WITH {DET}, bins(bin) AS (VALUES (0), (1), (2), (3), (4)), b AS (SELECT least(CAST(floor(confidence * 5) AS INT), 4) AS bin FROM det WHERE confidence > 0 AND camera = 'click') SELECT bin, count(b.bin) AS n FROM bins LEFT JOIN b USING (bin) GROUP BY bin",
+    "A12: confidence histogram of each camera, five half-open bins, zero bins kept",
+    f"WITH {DET}, bins(bin) AS (VALUES (0), (1), (2), (3), (4)), b AS (SELECT camera, least(CAST(floor(confidence * 5) AS INT), 4) AS bin FROM det WHERE confidence > 0) SELECT c.camera, bin, count(b.bin) AS n FROM (SELECT DISTINCT camera FROM det) c JOIN bins ON true LEFT JOIN b USING (camera, bin) GROUP BY c.camera, bin",
 )
 def histogram_zero_fill(spark: SparkSession, d: str) -> DataFrame:
-    counts = detections(spark, d).where("confidence > 0 and camera = 'click'").groupBy(F.least(F.floor(F.col("confidence") * 5), F.lit(4)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    bins = spark.range(5).select(F.col("id").cast("int").alias("bin"))
-    return bins.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    bin_ = F.least(F.floor(F.col("confidence") * 5), F.lit(4)).cast("int")
+    counts = detections(spark, d).groupBy("camera").agg(*[F.count_if((F.col("confidence") > 0) & (bin_ == i)).alias(f"n{i}") for i in range(5)])
+    return counts.select("camera", F.posexplode(F.array(*[f"n{i}" for i in range(5)])).alias("bin", "n"))
 
 
 @query("A11 A16: totals and distinct counts", f"WITH {DET} SELECT count(*) AS total, count(*) FILTER (camera = 'click') AS clicks, count(DISTINCT vehicle) AS vehicles, count(DISTINCT camera) AS cameras FROM det")
@@ -59,12 +69,25 @@ def zero_fill_dim(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "customer").select("c_custkey").join(n, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-@query("A14 A44: rows nested under a key, as ordered text", "SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS lines FROM lineitem GROUP BY l_orderkey")
+@query("A14: rows nested under a key, as ordered text", "SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS lines FROM lineitem GROUP BY l_orderkey")
 def nested_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey")))
     return read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["l_linenumber"], r["l_partkey"])), ",").alias("lines"))
 
 
+@query(
+    "A44: positions of the rows of each camera and frame, and how many such pairs there are",
+    "WITH p AS (SELECT l_suppkey % 20 AS camera, l_orderkey % 500 AS frame, string_agg(l_orderkey * 8 + l_linenumber, ',' ORDER BY l_orderkey * 8 + l_linenumber) AS positions FROM lineitem GROUP BY ALL) SELECT *, (SELECT count(*) FROM p) AS pairs FROM p",
+)
+def frame_positions(spark: SparkSession, d: str) -> DataFrame:
+    position = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    keys = [(F.col("l_suppkey") % 20).alias("camera"), (F.col("l_orderkey") % 500).alias("frame")]
+    line = read(spark, d, "lineitem")
+    rows = line.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(position)), lambda x: x.cast("string")), ",").alias("positions"))  # the boxes of one frame
+    pairs = line.select(*keys).distinct().agg(F.count("*").alias("pairs"))  # one row
+    return rows.join(F.broadcast(pairs), F.lit(True))
+
+
 @query("A19: means of sub-scores, NULL if there is none", f"WITH {DET} SELECT vehicle, round(avg(confidence), 9) AS appearance, round(avg(CASE WHEN k % 3 = 0 THEN k / 100.0 END), 9) AS plate FROM det GROUP BY vehicle")
 def evidence_means(spark: SparkSession, d: str) -> DataFrame:
     return detections(spark, d).groupBy("vehicle").agg(F.round(F.avg("confidence"), 9).alias("appearance"), F.round(F.avg(F.when(F.col("k") % 3 == 0, F.col("k") / 100.0)), 9).alias("plate"))
@@ -100,9 +123,14 @@ def set_f1(spark: SparkSession, d: str) -> DataFrame:
     return j.agg(F.round(f1(F.sum("tp"), F.sum("fp"), F.sum("fn")), 6).alias("micro_f1"), F.round(F.avg(f1(c("tp"), c("fp"), c("fn"))), 6).alias("macro_f1"))
 
 
-@query("A40: centre and padded bounds of a track", f"WITH {BOXES} SELECT camera, round(avg((x1 + x2) / 2), 4) AS cx, round(min(x1) - 0.01, 4) AS west, round(max(x2) + 0.01, 4) AS east FROM boxes GROUP BY camera")
+@query(
+    "A40: centre and padded bounds of each camera's track, both ways",
+    f"WITH {BOXES} SELECT camera, round(avg((x1 + x2) / 2), 4) AS cx, round(avg((y1 + y2) / 2), 4) AS cy, round(min(x1) - 0.01, 4) AS west, round(max(x2) + 0.01, 4) AS east, round(min(y1) - 0.01, 4) AS south, round(max(y2) + 0.01, 4) AS north FROM boxes GROUP BY camera",
+)
 def map_bounds(spark: SparkSession, d: str) -> DataFrame:
-    return boxes(spark, d).groupBy("camera").agg(F.round(F.avg((F.col("x1") + F.col("x2")) / 2), 4).alias("cx"), F.round(F.min("x1") - 0.01, 4).alias("west"), F.round(F.max("x2") + 0.01, 4).alias("east"))
+    middle = lambda low, high: F.round(F.avg((F.col(low) + F.col(high)) / 2), 4)
+    edge = lambda x, pad: F.round(x + pad, 4)
+    return boxes(spark, d).groupBy("camera").agg(middle("x1", "x2").alias("cx"), middle("y1", "y2").alias("cy"), edge(F.min("x1"), -0.01).alias("west"), edge(F.max("x2"), 0.01).alias("east"), edge(F.min("y1"), -0.01).alias("south"), edge(F.max("y2"), 0.01).alias("north"))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.expressions import angle_diff, clamp
 from sightline.operators.joins import nearest_other, within_seconds
-from sightline.operators.scores import PEDESTRIAN_WEIGHTS, VEHICLE_WEIGHTS, attribute_score, direction_score, effective_weights, plate_score, spatial_score, temporal_score
+from sightline.operators.scores import PEDESTRIAN_WEIGHTS, VEHICLE_WEIGHTS, attribute_score, direction_score, effective_weights, plate_score, spatial_score, temporal_score, weighted
 from sightline.operators.topology import RoadTopology
 from sightline.registry import query
 from sightline.sources.tables import OFFSETS, TRACKLETS, picked, picked_sql, sql_text, tracklets
@@ -24,6 +24,12 @@ SHOWN = {"colour": ["red", "white", None, "black"], "kind": ["sedan", "Sedan", N
 VEHICLE_SHOWN = {"colour": 0.5, "kind": 0.5}
 PEDESTRIAN_SHOWN = {"gender": 0.25, "clothes": 0.30, "bag": 0.20, "bag_colour": 0.25}
 VECTORS = ["lx", "ly", "cx", "cy"]
+#: Plates as they are read, and as they count: without blanks at the ends, in capitals.
+PLATES = [None, "e1", "E2", "e3", " E1", "E2 ", "E3", None, "e1 "]
+
+
+def plate_key(plate: Column) -> Column:
+    return F.upper(F.trim(plate))
 
 
 def stays(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +48,7 @@ def stays(spark: SparkSession, d: str) -> DataFrame:
         "n",
         "confidence",
         picked(LANES, k % len(LANES)).alias("angle"),
-        F.nullif(vehicle % 4, F.lit(0)).alias("plate"),
+        picked(PLATES, vehicle % len(PLATES)).alias("plate"),
         *[picked(values, k % len(values)).alias(n) for n, values in SHOWN.items()],
         F.when(k % 5 != 0, k % 10 / 10.0).alias("lx"),
         F.when(k % 5 != 0, k % 7 / 7.0 + 0.1).alias("ly"),
@@ -54,7 +60,7 @@ def stays(spark: SparkSession, d: str) -> DataFrame:
 STAYS = (
     TRACKLETS
     + f""", stays AS (SELECT vehicle || '_' || camera || '_' || day AS node, vehicle, camera, vehicle % 10 AS scene, CASE WHEN vehicle % 7 = 0 THEN 'pedestrian' ELSE 'vehicle' END AS type, start, "end", n, confidence,
- CAST({picked_sql(LANES, f"k % {len(LANES)}")} AS DOUBLE) AS angle, nullif(vehicle % 4, 0) AS plate, {", ".join(f"{picked_sql(x, f'k % {len(x)}')} AS {n}" for n, x in SHOWN.items())},
+ CAST({picked_sql(LANES, f"k % {len(LANES)}")} AS DOUBLE) AS angle, {picked_sql(PLATES, f"vehicle % {len(PLATES)}")} AS plate, {", ".join(f"{picked_sql(x, f'k % {len(x)}')} AS {n}" for n, x in SHOWN.items())},
  CASE WHEN k % 5 <> 0 THEN k % 10 / 10.0::DOUBLE END AS lx, CASE WHEN k % 5 <> 0 THEN k % 7 / 7.0::DOUBLE + 0.1::DOUBLE END AS ly, CASE WHEN k % 3 <> 0 THEN k % 8 / 8.0::DOUBLE END AS cx, CASE WHEN k % 3 <> 0 THEN k % 6 / 6.0::DOUBLE + 0.2::DOUBLE END AS cy FROM tracklets)"""
 )
 
@@ -104,7 +110,7 @@ def candidate_edges_of(spark: SparkSession, s: DataFrame, roads: RoadTopology =
     gap = b["start"] - a["end"]
     look = look_of(a, b)
     source = F.when(a["lx"].isNotNull() & b["lx"].isNotNull(), "reid").when(a["cx"].isNotNull() & b["cx"].isNotNull(), "clip").otherwise("none")
-    gates = travel_ok(gap, F.col("a.metres")) & direction_ok(a["type"], a["angle"], b["angle"]) & (a["plate"].isNull() | b["plate"].isNull() | (a["plate"] == b["plate"])) & (a["colour"].isNull() | b["colour"].isNull() | (a["colour"] == b["colour"])) & look_ok(look, gap)
+    gates = travel_ok(gap, F.col("a.metres")) & direction_ok(a["type"], a["angle"], b["angle"]) & (a["plate"].isNull() | b["plate"].isNull() | (plate_key(a["plate"]) == plate_key(b["plate"]))) & (a["colour"].isNull() | b["colour"].isNull() | (a["colour"] == b["colour"])) & look_ok(look, gap)
     named = [x.alias(f"{side}_{n}") for side, columns in (("a", a), ("b", b)) for n, x in columns.items() if n not in ("type", *VECTORS)]
     return pairs.where(gates).select(F.col("a.scene").alias("scene"), a["type"].alias("type"), *named, gap.alias("gap"), F.col("a.metres").alias("metres"), F.col("a.paths").alias("paths"), F.col("a.between").alias("between"), look.alias("look"), source.alias("look_source"))
 
@@ -116,7 +122,7 @@ CANDIDATES = (
  b.node AS b_node, b.vehicle AS b_vehicle, b.camera AS b_camera, b.start AS b_start, b."end" AS b_end, b.confidence AS b_confidence, b.angle AS b_angle, b.plate AS b_plate, b.start - a."end" AS gap, CAST(metres AS DOUBLE) AS metres, paths, between,
  {look_sql("a.", "b.")} AS look, CASE WHEN a.lx IS NOT NULL AND b.lx IS NOT NULL THEN 'reid' WHEN a.cx IS NOT NULL AND b.cx IS NOT NULL THEN 'clip' ELSE 'none' END AS look_source FROM stays a JOIN stays b ON a.scene = b.scene AND a.type = b.type AND a.camera <> b.camera AND b.start > a."end" JOIN ways ON source_camera = a.camera AND target_camera = b.camera),
 cand AS (SELECT * FROM pairs WHERE CASE WHEN metres IS NULL THEN gap <= {GAP} ELSE gap BETWEEN metres / (80 / 3.6) * 0.8 AND metres / (20 / 3.6) * 1.2 END AND (type = 'pedestrian' OR coalesce(least(abs(a_angle - b_angle) % 360, 360 - abs(a_angle - b_angle) % 360) < 150, true))
- AND (a_plate IS NULL OR b_plate IS NULL OR a_plate = b_plate) AND (a_colour IS NULL OR b_colour IS NULL OR a_colour = b_colour) AND coalesce(look >= CASE WHEN gap > 100 THEN 0.85 ELSE 0.8 END, true))"""
+ AND (a_plate IS NULL OR b_plate IS NULL OR upper(trim(a_plate)) = upper(trim(b_plate))) AND (a_colour IS NULL OR b_colour IS NULL OR a_colour = b_colour) AND coalesce(look >= CASE WHEN gap > 100 THEN 0.85 ELSE 0.8 END, true))"""
 )
 
 
@@ -145,20 +151,24 @@ def scored(e: DataFrame, offsets: dict[str, float] = OFFSETS) -> DataFrame:
     pedestrian = c("type") == "pedestrian"
     shown = lambda weights: attribute_score([(F.lower(f"a_{n}"), F.lower(f"b_{n}"), w) for n, w in weights.items()])
     parts = {
-        "plate": plate_score(c("a_plate"), c("b_plate")),
+        "plate": plate_score(plate_key(c("a_plate")), plate_key(c("b_plate"))),
         "temporal": temporal_score(gap, c("metres")),
         "topology": spatial_score(gap, c("metres")),
         "reid": F.coalesce("look", F.lit(0.5)),
         "attribute": F.when(pedestrian, shown(PEDESTRIAN_SHOWN)).otherwise(shown(VEHICLE_SHOWN)),
     }
-    vehicle, dropped = effective_weights(VEHICLE_WEIGHTS, evidence(VEHICLE_SHOWN))
-    person, dropped_person = effective_weights(PEDESTRIAN_WEIGHTS, evidence(PEDESTRIAN_SHOWN))
-    total = lambda weights: sum((w * parts["attribute" if n == "bag" else n] for n, w in weights.items()), F.lit(0.0))
     turn = F.when(c("a_angle").isNull() | c("b_angle").isNull(), 0.5).otherwise(direction_score(angle_diff(c("a_angle"), c("b_angle"))))
     turn = F.when(pedestrian, F.greatest(turn, F.lit(0.3))).otherwise(turn)
     penalty = 0.10 * (1 - 1.0 / c("paths")) + 0.05 * (1 - F.exp(-0.5 * c("between")))
-    score = clamp(F.when(pedestrian, total(person)).otherwise(total(vehicle)) + 0.10 * turn - penalty)
-    return e.select("*", *[x.alias(n) for n, x in parts.items()], turn.alias("direction"), penalty.alias("penalty"), score.alias("score"), F.when(pedestrian, dropped_person).otherwise(dropped).alias("dropped"), ((score > 0) & (parts["plate"] > 0)).alias("is_valid"))
+    # Each part is a column of its own before the weights meet them, which keeps the generated code small.
+    e = e.select("*", *[x.alias(n) for n, x in parts.items()], turn.alias("direction"), penalty.alias("penalty"))
+    kinds = {"vehicle": (VEHICLE_WEIGHTS, evidence(VEHICLE_SHOWN)), "pedestrian": (PEDESTRIAN_WEIGHTS, evidence(PEDESTRIAN_SHOWN))}
+    total, dropped = {}, {}
+    for kind, (weights, there) in kinds.items():
+        total[kind], dropped[kind] = weighted({n: c("attribute" if n == "bag" else n) for n, w in weights.items() if w > 0}, weights, there)
+    e = e.select("*", F.when(pedestrian, total["pedestrian"]).otherwise(total["vehicle"]).alias("__total"), F.when(pedestrian, dropped["pedestrian"]).otherwise(dropped["vehicle"]).alias("dropped"))
+    e = e.withColumn("score", clamp(c("__total") + 0.10 * c("direction") - c("penalty"))).drop("__total")
+    return e.withColumn("is_valid", (c("score") > 0) & (c("plate") > 0))
 
 
 def _some_sql(shown: dict[str, float]) -> str:
@@ -188,7 +198,7 @@ _OFFSET = lambda x: "coalesce(MAP {" + ", ".join(f"'{k}': {w}::DOUBLE" for k, w
 _TURN = "least(abs(a_angle - b_angle) % 360, 360 - abs(a_angle - b_angle) % 360)"
 SCORED = (
     CANDIDATES
-    + f""", parts0 AS (SELECT *, gap + {_OFFSET("b_camera")} - {_OFFSET("a_camera")} AS g FROM cand), parts AS (SELECT *, CASE WHEN a_plate IS NULL OR b_plate IS NULL THEN 0.5 WHEN a_plate = b_plate THEN 1 ELSE 0 END AS plate, {_TEMPORAL} AS temporal, {_SPATIAL} AS topology, coalesce(look, 0.5) AS reid,
+    + f""", parts0 AS (SELECT *, gap + {_OFFSET("b_camera")} - {_OFFSET("a_camera")} AS g FROM cand), parts AS (SELECT *, CASE WHEN a_plate IS NULL OR b_plate IS NULL THEN 0.5 WHEN upper(trim(a_plate)) = upper(trim(b_plate)) THEN 1 ELSE 0 END AS plate, {_TEMPORAL} AS temporal, {_SPATIAL} AS topology, coalesce(look, 0.5) AS reid,
  CASE WHEN type = 'pedestrian' THEN {_shown_sql(PEDESTRIAN_SHOWN)} ELSE {_shown_sql(VEHICLE_SHOWN)} END AS attribute, greatest(CASE WHEN {_TURN} IS NULL THEN 0.5 WHEN {_TURN} < 45 THEN 1 WHEN {_TURN} < 135 THEN 0.5 ELSE 0 END, CASE WHEN type = 'pedestrian' THEN 0.3 ELSE 0 END) AS direction, 0.10 * (1 - 1.0 / paths) + 0.05 * (1 - exp(-0.5 * between)) AS penalty FROM parts0),
 scored AS (SELECT *, least(greatest(CASE WHEN type = 'pedestrian' THEN {_weights_sql(PEDESTRIAN_WEIGHTS, PEDESTRIAN_SHOWN)} ELSE {_weights_sql(VEHICLE_WEIGHTS, VEHICLE_SHOWN)} END + 0.10 * direction - penalty, 0), 1) AS score FROM parts)"""
 )

@@ -12,7 +12,6 @@ from sightline.registry import query
 from sightline.sources.tables import QUERY_TEXTS, query_texts, sql_text
 
 ATTRIBUTE_NAMES = ["color", "vehicle_type", "gender", "clothing_color", "bag", "bag_color", "pants_color", "accessory"]
-_PHRASES = {phrase: (target, own) for target, phrases in v.PHRASES.items() for phrase, own in phrases.items()}
 _COLOURS = sorted(v.COLOUR_WORDS, key=len, reverse=True)
 _VAGUE = sorted(v.VAGUE_COLOURS, key=len, reverse=True)
 _TYPES: dict[str, str | list[str]] = {**v.TYPE_ALIASES, **v.TYPE_GROUPS, **v.TYPE_WORDS}
@@ -27,8 +26,8 @@ def first_word(text: Column, words: list[str], value) -> Column:
 def phrases(text: Column) -> Column:
     """Q4: the phrases found: the longest first, those of one length from left to right, none over another."""
     found, rest = [], text
-    for n in sorted({len(p) for p in _PHRASES}, reverse=True):
-        pattern = "(" + "|".join(re.escape(p) for p in _PHRASES if len(p) == n) + ")"
+    for n in sorted({len(p) for p in v.PHRASES}, reverse=True):
+        pattern = "(" + "|".join(re.escape(p) for p in v.PHRASES if len(p) == n) + ")"
         found.append(F.regexp_extract_all(rest, F.lit(pattern), F.lit(1)))
         rest = F.regexp_replace(rest, pattern, "\x01" * n)
     return F.concat(*found)
@@ -36,7 +35,7 @@ def phrases(text: Column) -> Column:
 
 def _stated(found: Column, name: str) -> Column:
     """What the first of the phrases that says it says of an attribute."""
-    table = {p: own[name] for p, (_, own) in _PHRASES.items() if name in own}
+    table = {p: own[name] for p, (_, own) in v.PHRASES.items() if name in own}
     pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     return F.get(F.filter(F.transform(found, lambda p: F.try_element_at(pairs, p)), lambda x: x.isNotNull()), F.lit(0))
 
@@ -82,7 +81,7 @@ def parse_queries(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumns({"__plate": F.nullif(F.regexp_extract(t, f"({v.PLATE})", 1), F.lit("")), "__found": phrases(t)})
     plated, found = F.col("__plate").isNotNull(), F.col("__found")
     words = extracted(t)
-    said = F.try_element_at(F.create_map(*[F.lit(x) for p, (target, _) in _PHRASES.items() for x in (p, target)]), F.get(found, F.lit(0)))
+    said = F.try_element_at(F.create_map(*[F.lit(x) for p, (target, _) in v.PHRASES.items() for x in (p, target)]), F.get(found, F.lit(0)))
     target = F.when(plated, "vehicle").otherwise(F.coalesce(said, target_type(t)))
     colours, types = candidates(t)
     none = F.array().cast("array<string>")
@@ -103,13 +102,13 @@ def _first_sql(text: str, words: list[str], value) -> str:
 
 def _parse_sql() -> str:
     colour = lambda w: f"'{v.COLOUR_WORDS[w]}'"
-    lengths = sorted({len(p) for p in _PHRASES}, reverse=True)
+    lengths = sorted({len(p) for p in v.PHRASES}, reverse=True)
     steps, last = [], "t0"
     for i, n in enumerate(lengths):
-        pattern = "|".join(p for p in _PHRASES if len(p) == n)
+        pattern = "|".join(p for p in v.PHRASES if len(p) == n)
         steps.append(f"t{i + 1} AS (SELECT *, regexp_extract_all(r{i}, '{pattern}') AS f{i}, regexp_replace(r{i}, '{pattern}', '{'#' * n}', 'g') AS r{i + 1} FROM {last})")
         last = f"t{i + 1}"
-    table = lambda name: "MAP {" + ", ".join(f"'{p}': '{own[name]}'" for p, (_, own) in _PHRASES.items() if name in own) + "}"
+    table = lambda name: "MAP {" + ", ".join(f"'{p}': '{own[name]}'" for p, (_, own) in v.PHRASES.items() if name in own) + "}"
     stated = lambda name: f"list_filter(list_transform(found, lambda p: {table(name)}[p]), lambda x: x IS NOT NULL)[1]"
     any_of = lambda words: "(" + " OR ".join(f"contains(text, '{w}')" for w in words) + ")"
     clothing = "CASE " + " ".join(f"WHEN contains(text, '{w}') AND bag_color IS DISTINCT FROM {colour(w)} THEN {colour(w)}" for w in _COLOURS) + " END"
@@ -123,7 +122,7 @@ def _parse_sql() -> str:
         "pants_color": _first_sql("trousers", _COLOURS, colour),
         "accessory": "CASE " + " ".join(f"WHEN {any_of(w)} THEN '{n}'" for n, w in v.ACCESSORY_WORDS.items()) + " END",
     }
-    target = "MAP {" + ", ".join(f"'{p}': '{t}'" for p, (t, _) in _PHRASES.items()) + "}"
+    target = "MAP {" + ", ".join(f"'{p}': '{t}'" for p, (t, _) in v.PHRASES.items()) + "}"
     inferred = "CASE " + " ".join(f"WHEN {any_of(w)} THEN '{n}'" for n, w in v.TARGET_WORDS.items()) + " END"
     lists = lambda words, table: _first_sql("text", words, lambda w: sql_text(",".join(table[w])) if isinstance(table[w], list) else "''")
     found = " || ".join(f"f{i}" for i in range(len(lengths)))

@@ -105,12 +105,30 @@ def global_truth(spark: SparkSession, d: str) -> DataFrame:
 def clock_offsets(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark, "offsets")
     p = read(spark, d, "nation").where("n_nationkey % 3 <> 0").groupBy(F.col("n_regionkey").alias("scene"), (F.col("n_nationkey") % 8).alias("camera")).agg((F.min("n_nationkey") / 4.0).alias("value"))
-    lines = p.select(F.concat(F.lit("S0"), "scene").alias("scene"), F.concat(F.lit("c00"), "camera", F.lit(" "), "value").alias("value"))
-    lines.write.partitionBy("scene").text(path)
-    # One folder for each scene here; read_pairs takes the scene from a file's name.
-    found = spark.read.text(path).select("scene", F.split("value", " ").alias("x")).select("scene", F.col("x")[0].alias("camera"), F.col("x")[1].cast("double").alias("value"))
+    line = F.concat(F.lit("c00"), "camera", F.lit(" "), "value")
+    lines = p.select(F.concat(F.lit("S0"), "scene").alias("scene"), F.explode(F.array(line, F.concat(F.lit("# "), line), F.concat(line, F.lit(" later")), F.lit("broken"))).alias("value"))
+    lines.where("value not like '% later'").write.partitionBy("scene").text(path)
     scenes = spark.range(45).select(F.concat(F.lit("S0"), F.floor(F.col("id") / 9)).alias("scene"), F.concat(F.lit("c00"), F.col("id") % 9).alias("camera"))
-    return store.offsets_with_fallback(found, scenes)
+    return store.offsets_with_fallback(store.read_pairs(spark, path), scenes)
+
+
+@query(
+    "S15: frame counts of cameras, whole or from first to last frame, and the cameras of each scene, from text files",
+    """WITH f AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey * 3 ELSE s_suppkey * 2 + 1 END AS frames FROM supplier WHERE s_suppkey % 7 <> 0)
+SELECT 'S0' || (k % 5) AS scene, count(*) AS cameras, CAST(sum(frames) AS BIGINT) AS frames, string_agg('c' || k, ',' ORDER BY 'c' || k) AS names FROM f GROUP BY 1""",
+)
+def camera_frames(spark: SparkSession, d: str) -> DataFrame:
+    counts, lists = _folder(spark, "frames"), _folder(spark, "cameras")
+    k = F.col("s_suppkey")
+    s = read(spark, d, "supplier")
+    name = F.concat(F.lit("c"), k)
+    span = F.when(k % 7 == 0, F.concat(name, F.lit(" some"))).when(k % 2 == 0, F.concat_ws(" ", name, k * 3)).otherwise(F.concat_ws(" ", name, k, k * 3))
+    s.select(span.alias("value")).union(spark.sql("select '# a comment'")).write.text(counts)
+    scene = F.concat(F.lit("S0"), k % 5)
+    s.select(F.when(k % 2 == 0, F.concat_ws("  ", name, scene)).otherwise(F.concat_ws(" ", scene, name)).alias("value")).write.text(lists)
+    both = store.read_frame_counts(spark, counts).join(store.read_camera_list(spark, lists), "camera")
+    names = F.array_join(F.sort_array(F.collect_list("camera")), ",")  # the cameras of one scene
+    return both.groupBy("scene").agg(F.count("*").alias("cameras"), F.sum("frames").alias("frames"), names.alias("names"))
 
 
 @query("S16: baseline detections of a CSV file from a confidence on", "SELECT 'c' || l_suppkey AS camera, CAST(l_linenumber AS INT) AS frame, l_quantity::DOUBLE AS x1, l_discount AS confidence FROM lineitem WHERE l_discount >= 0.03")
@@ -127,9 +145,16 @@ def baseline_csv(spark: SparkSession, d: str) -> DataFrame:
     "SELECT a.n_name AS camera_id, a.n_regionkey AS scene, count(b.n_nationkey) AS neighbours FROM nation a LEFT JOIN nation b ON b.n_regionkey = a.n_regionkey AND b.n_nationkey > a.n_nationkey GROUP BY ALL",
 )
 def configured_topology(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "nation").collect()  # stands for a parsed file of at most a few hundred cameras
-    config = {"cameras": [{"camera_id": r.n_name, "scene": str(r.n_regionkey)} for r in rows], "adjacency": {r.n_name: [o.n_name for o in rows if o.n_regionkey == r.n_regionkey and o.n_nationkey > r.n_nationkey] for r in rows}}
-    cams, near = store.topology(spark, config)
+    path = _folder(spark, "topology")
+    n = read(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("scene"), F.col("n_nationkey").alias("key"))
+    later = n.select("scene", F.col("name").alias("b"), F.col("key").alias("other"))
+    near = n.join(later, "scene").where("other > key").groupBy("name").agg(F.sort_array(F.collect_list("b")).alias("near"))
+    # A configuration file of a few hundred cameras: one document in one row.
+    camera = F.struct(F.col("name").alias("camera_id"), F.col("scene").cast("string").alias("scene"))
+    beside = F.struct("name", F.coalesce("near", F.array().cast("array<string>")))
+    document = F.struct(F.collect_list(camera).alias("cameras"), F.map_from_entries(F.collect_list(beside)).alias("adjacency"))
+    n.join(near, "name", "left").agg(F.to_json(document).alias("value")).write.text(path)
+    cams, near = store.topology(store.read_configuration(spark, path))
     n = near.groupBy(F.col("a").alias("camera")).agg(F.count("*").alias("n"))
     return cams.join(n, "camera", "left").select(F.col("camera").alias("camera_id"), F.col("scene").cast("int").alias("scene"), F.coalesce("n", F.lit(0).cast("long")).alias("neighbours"))
 
@@ -141,6 +166,11 @@ def tracklet_json(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("vehicle long, camera string, n long").json(path)
 
 
-@query("S20: a vector index built and verified", "SELECT count(*) AS n, 0::BIGINT AS empty, 0::BIGINT AS bad FROM embeddings")
+@query(
+    "S20: unit vectors verified: how many, how many are missing, how many have another length, with some spoilt on purpose",
+    "SELECT count(*) AS n, count(*) FILTER (vec_id % 50 = 9) AS empty, count(*) FILTER (vec_id % 50 = 7 AND list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) > 0) AS bad FROM embeddings",
+)
 def vector_index_check(spark: SparkSession, d: str) -> DataFrame:
-    return store.verified(store.vector_index(read(spark, d, "embeddings"), "embedding"), "embedding")
+    unit = store.vector_index(read(spark, d, "embeddings"), "embedding")
+    spoilt = F.when(F.col("vec_id") % 50 == 7, F.transform("embedding", lambda x: x * 2)).when(F.col("vec_id") % 50 != 9, F.col("embedding"))
+    return store.verified(unit.withColumn("embedding", spoilt), "embedding")

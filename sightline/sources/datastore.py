@@ -96,11 +96,33 @@ def read_global_truth(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[part[i].cast("int").alias(n) for i, n in enumerate(("camera", "id", "frame"))], *[part[i + 3].cast("double").alias(n) for i, n in enumerate("xywh")])
 
 
+def _parts(spark: SparkSession, path: str) -> DataFrame:
+    """(scene, part): the blank-separated parts of each line that is neither empty nor a comment; scene is that of a folder `scene=...`, else the file's name without ending."""
+    line = F.trim("value")
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "/scene=([^/]+)/", 1)
+    scene = F.when(folder != "", folder).otherwise(F.regexp_extract(F.col("_metadata.file_name"), "^([^.]+)", 1))
+    return spark.read.text(path).select(scene.alias("scene"), line.alias("line")).where("line <> '' and line not like '#%'").select("scene", F.split("line", "\\s+").alias("part"))
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Lines `camera value`, of many files; the scene is the file's name without ending. The first scene's value holds where a scene has none."""
-    part = F.split(F.trim("value"), "\\s+")
-    name = F.regexp_extract(F.col("_metadata.file_name"), "^([^.]+)", 1)
-    return spark.read.text(path).select(name.alias("scene"), "value").where(F.size(part) == 2).select("scene", part[0].alias("camera"), part[1].try_cast("double").alias("value"))
+    """(scene, camera, value) of lines `camera value` of many files; lines whose value isn't a number are left out."""
+    rows = _parts(spark, path).where(F.size("part") >= 2).select("scene", F.col("part")[0].alias("camera"), F.col("part")[1].try_cast("double").alias("value"))
+    return rows.where("value is not null")
+
+
+def read_frame_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(camera, frames) of lines `camera frames` or `camera first last`; others are left out."""
+    p = F.col("part")
+    number = lambda i: F.try_element_at(p, F.lit(i + 1)).try_cast("long")
+    frames = F.when(F.size(p) >= 3, number(2) - number(1) + 1).otherwise(number(1))
+    return _parts(spark, path).where(F.size(p) >= 2).select(p[0].alias("camera"), frames.alias("frames")).where("frames is not null")
+
+
+def read_camera_list(spark: SparkSession, path: str) -> DataFrame:
+    """(scene, camera) of lines `camera scene` or `scene camera`; a scene begins with S, else it is the last part."""
+    p = F.col("part")
+    scenes, others = F.filter(p, lambda x: x.startswith("S")), F.filter(p, lambda x: ~x.startswith("S"))
+    return _parts(spark, path).where(F.size(p) >= 2).select(F.when(F.size(scenes) > 0, scenes[0]).otherwise(F.element_at(p, -1)).alias("scene"), F.when(F.size(others) > 0, F.get(others, F.lit(0))).otherwise(p[0]).alias("camera"))
 
 
 def read_baseline(spark: SparkSession, path: str, least: float = 0.3) -> DataFrame:
@@ -108,11 +130,33 @@ def read_baseline(spark: SparkSession, path: str, least: float = 0.3) -> DataFra
     return spark.read.schema("camera string, frame int, x1 double, y1 double, x2 double, y2 double, label string, confidence double").option("header", True).csv(path).where(F.col("confidence") >= least)
 
 
-def topology(spark: SparkSession, config: dict) -> tuple[DataFrame, DataFrame]:
-    """(cameras, adjacency) of a parsed configuration file."""
-    cams = [(c["camera_id"], c.get("name"), c.get("scene"), c.get("latitude"), c.get("longitude"), c.get("direction")) for c in config.get("cameras", [])]
-    near = [(a, b) for a, bs in config.get("adjacency", {}).items() for b in bs]
-    return spark.createDataFrame(cams, "camera string, name string, scene string, lat double, lon double, direction string"), spark.createDataFrame(near, "a string, b string")
+CONFIGURATION = "cameras array<struct<camera_id: string, name: string, scene: string, latitude: double, longitude: double, direction: string>>, adjacency map<string, array<string>>"
+
+
+def read_configuration(spark: SparkSession, path: str) -> DataFrame:
+    """A row of CONFIGURATION for each YAML (or JSON) file of cameras and adjacency. Files are parsed in tasks, by PyYAML; where it isn't
+    installed, only JSON, which is YAML too, can be read."""
+    import json
+
+    def parse(batches):
+        import pandas as pd
+
+        try:
+            from yaml import safe_load
+        except ImportError:
+            safe_load = json.loads
+        for pdf in batches:
+            yield pd.DataFrame({"body": [json.dumps(safe_load(bytes(x).decode()) or {}, default=str) for x in pdf["content"]]})
+
+    files = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "body string")
+    return files.select(F.from_json("body", CONFIGURATION).alias("c")).select("c.*")
+
+
+def topology(config: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cameras, adjacency) of read_configuration's rows; a camera without an id is left out."""
+    c = config.select(F.explode("cameras").alias("c")).select("c.*").where("camera_id <> ''")
+    cams = c.select(F.col("camera_id").alias("camera"), F.coalesce("name", "camera_id").alias("name"), "scene", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "direction")
+    return cams, config.select(F.explode("adjacency").alias("a", "near")).select("a", F.explode("near").alias("b"))
 
 
 def offsets_with_fallback(pairs: DataFrame, scenes: DataFrame) -> DataFrame:

@@ -41,26 +41,28 @@ class Track:
     """A box under a constant-velocity Kalman filter on (centre x, centre y, width, height)."""
 
     F_ = np.block([[np.eye(4), np.eye(4)], [np.zeros((4, 4)), np.eye(4)]])
+    #: Uncertainty at the start, of a step (velocities more) and of a measurement.
+    START, STEP, MEASURED = 10.0 * np.eye(8), np.diag([1.0] * 4 + [5.0] * 4), 5.0 * np.eye(4)
 
     def __init__(self, number: int, box: list[float], x=None, p=None, age: int = 0, hits: int = 1):
         self.number, self.age, self.hits = number, age, hits
         self.x = np.array(x) if x is not None else np.concatenate([self.measured(box), np.zeros(4)])
-        self.p = np.array(p) if p is not None else np.diag([10.0] * 4 + [1000.0] * 4)
+        self.p = np.array(p) if p is not None else self.START.copy()
 
     @staticmethod
     def measured(box: list[float]) -> np.ndarray:
         return np.array([(box[0] + box[2]) / 2, (box[1] + box[3]) / 2, box[2] - box[0], box[3] - box[1]])
 
     def predict(self) -> None:
-        self.x, self.p, self.age = self.F_ @ self.x, self.F_ @ self.p @ self.F_.T + np.eye(8), self.age + 1
+        self.x, self.p, self.age = self.F_ @ self.x, self.F_ @ self.p @ self.F_.T + self.STEP, self.age + 1
 
     def update(self, box: list[float]) -> None:
-        gain = self.p[:, :4] @ np.linalg.inv(self.p[:4, :4] + np.eye(4))
+        gain = self.p[:, :4] @ np.linalg.inv(self.p[:4, :4] + self.MEASURED)
         self.x, self.p = self.x + gain @ (self.measured(box) - self.x[:4]), self.p - gain @ self.p[:4]
         self.age, self.hits = 0, self.hits + 1
 
     def box(self) -> np.ndarray:
-        c, s = self.x[:2], np.maximum(self.x[2:4], 0) / 2
+        c, s = self.x[:2], np.maximum(self.x[2:4], 1) / 2
         return np.concatenate([c - s, c + s])
 
     def kept(self) -> list:
