@@ -1,7 +1,7 @@
 """Operators that depend on an order of rows: constrained merging, optimal assignment, matching within frames.
 
-Merging and assignment work on connected parts, which are found by Spark first: rows of different parts don't affect one another,
-so the parts, not some fixed number of scenes, are what Spark deals out. Frames are matched each by itself."""
+Merging goes by rounds of joins. Assignment works on connected parts, which are found by Spark first: rows of different parts don't affect one
+another, so the parts are what Spark deals out. Frames are matched each by itself."""
 
 from __future__ import annotations
 
@@ -30,34 +30,45 @@ def connected(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def constrained_union(edges: DataFrame) -> DataFrame:
-    """(scene, node, cluster) of edges (scene, a, camera_a, b, camera_b, score), nodes being of one scene.
-
-    Edges are taken by score, then ids; a merge that would give a cluster one camera twice is refused. cluster: its least node. The
-    groups are the connected parts of the edges; a part is as large as the edges that a score gate has left join together."""
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[int, int] = {}
-        cams: dict[int, set] = {}
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        pdf = pdf.sort_values(["score", "a", "b"], ascending=[False, True, True])
-        for a, ca, b, cb in pdf[["a", "camera_a", "b", "camera_b"]].itertuples(index=False):
-            for n, c in ((a, ca), (b, cb)):
-                if n not in parent:
-                    parent[n], cams[n] = n, {c}
-            x, y = root(a), root(b)
-            if x != y and not cams[x] & cams[y]:
-                low, high = min(x, y), max(x, y)
-                parent[high] = low
-                cams[low] |= cams[high]
-        nodes = sorted(parent)
-        return pd.DataFrame({"scene": pdf["scene"].iloc[0], "node": nodes, "cluster": [root(n) for n in nodes]})
-
-    return connected(edges, "a", "b").groupBy("scene", "part").applyInPandas(merge, "scene long, node long, cluster long")
+    """(scene, node, cluster) of edges (scene, a, camera_a, b, camera_b, score), nodes being of one scene and camera.
+
+    The result is that of taking edges one by one, by score, then ids, and refusing a merge that would give a cluster one camera twice; cluster: its least
+    node. It is reached in rounds: an edge that comes first among those of both its clusters is decided whatever else happens, so all such edges merge at
+    once. Edges between clusters that share a camera can't be taken any more, and of those between the same two only the first matters. Everything is joins
+    and sums over edges, so no task holds a cluster or a connected part; a cluster's cameras go along with its edges. Rounds are written to the shared
+    folder; there are as many as the longest run of edges that wait for one another."""
+    sides = [edges.select("scene", F.col(n).alias("node")) for n in ("a", "b")]
+    nodes = sides[0].union(sides[1]).distinct()
+    key = F.struct((-F.col("score")).alias("s"), F.col("a").alias("u"), F.col("b").alias("v")).alias("key")
+    swap = F.col("a") > F.col("b")
+    first, second = F.array("camera_a"), F.array("camera_b")
+    live = edges.where("a <> b and camera_a <> camera_b").select(key, F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.when(swap, second).otherwise(first).alias("cx"), F.when(swap, first).otherwise(second).alias("cy"))
+    merges = []
+    while True:
+        # The first edge of each pair of clusters.
+        live = written(live.groupBy("x", "y").agg(F.min(F.struct("key", "cx", "cy")).alias("e")).select("e.*", "x", "y"), "edges")
+        if live.isEmpty():
+            break
+        edge = F.struct("key", "x", "y", "cx", "cy").alias("e")
+        both = live.select(F.col("x").alias("c"), edge).union(live.select(F.col("y").alias("c"), edge))
+        agreed = both.groupBy("c").agg(F.min("e").alias("e")).groupBy("e").agg(F.count("*").alias("n")).where("n = 2").select("e.x", "e.y", F.array_union("e.cx", "e.cy").alias("cams"))
+        agreed = written(agreed, "merges")
+        merges.append(agreed.select("x", "y"))
+        now = agreed.select(F.explode(F.array("x", "y")).alias("old"), F.col("x").alias("new"), "cams")
+        ends = live
+        for end in "xy":
+            mine = now.select(F.col("old").alias(end), F.col("new").alias(f"{end}n"), F.col("cams").alias(f"{end}c"))
+            ends = ends.join(mine, end, "left").withColumns({end: F.coalesce(f"{end}n", end), f"c{end}": F.coalesce(f"{end}c", f"c{end}")})
+        turned = F.col("x") > F.col("y")
+        live = ends.where("x <> y and not arrays_overlap(cx, cy)").select("key", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(turned, F.col("cy")).otherwise(F.col("cx")).alias("cx"), F.when(turned, F.col("cx")).otherwise(F.col("cy")).alias("cy"))
+    if not merges:
+        return nodes.select("scene", "node", F.col("node").alias("cluster"))
+    pairs = merges[0]
+    for more in merges[1:]:
+        pairs = pairs.union(more)
+    parts = connected(pairs, "x", "y")
+    own = parts.select(F.col("x").alias("node"), "part").union(parts.select(F.col("y").alias("node"), "part")).distinct()
+    return nodes.join(own, "node", "left").select("scene", "node", F.coalesce("part", "node").alias("cluster"))
 
 
 def assignment(gain: np.ndarray) -> list[tuple[int, int]]:

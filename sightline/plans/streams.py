@@ -12,6 +12,7 @@ from sightline.plans.vectors import ranked
 from sightline.registry import query
 from sightline.session import shared_folder
 from sightline.sources.tables import detections, read
+from sightline.streaming.registry import Registry, kept_by
 from sightline.streaming.sessions import session_states, track_objects, tracklet_sessions
 
 
@@ -58,23 +59,11 @@ def tracklet_stream(spark: SparkSession, d: str) -> DataFrame:
     "WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS event, max(event_id) AS seq, arg_max(value, event_id) AS value FROM events GROUP BY user_id) SELECT user_id AS key, seq, round(value, 6) AS value FROM l WHERE event <> 'error'",
 )
 def registry_upserts(spark: SparkSession, d: str) -> DataFrame:
-    """An `error` deletes. Each batch's last row of a key replaces the table's; the table is written anew under the batch's number, so a
-    batch that runs again writes the same."""
+    """An `error` deletes."""
     path = f"{shared_folder(spark)}/sightline-registry-{uuid.uuid4().hex}"
-    schema = "key long, seq long, value double, gone boolean"
-    spark.createDataFrame([], schema).write.parquet(f"{path}/-1")
-    last = [-1]
-
-    def upsert(batch: DataFrame, number: int) -> None:
-        new = batch.groupBy("key").agg(F.max_by(F.struct("seq", "value", "gone"), "seq").alias("x")).select("key", "x.*")
-        old = spark.read.schema(schema).parquet(f"{path}/{last[0]}")
-        kept = old.join(new, "key", "left_anti").unionByName(new).where("not gone")
-        kept.write.mode("overwrite").parquet(f"{path}/{number}")
-        last[0] = number
-
-    ops = _events(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "value", (F.col("event_type") == "error").alias("gone"))
-    ops.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(upsert).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{path}/{last[0]}").select("key", "seq", F.round("value", 6).alias("value"))
+    registry = Registry(spark, path, ["key"], "seq", "key long, seq long, value double, gone boolean")
+    kept_by(_events(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "value", (F.col("event_type") == "error").alias("gone")), registry)
+    return registry.table().select("key", "seq", F.round("value", 6).alias("value"))
 
 
 @query("X4: the sessions that a bound of 100 keeps, by last access", "SELECT user_id AS session, max(event_id) AS last FROM events GROUP BY user_id ORDER BY last DESC LIMIT 100")

@@ -372,3 +372,91 @@ def test_nearest_other_is_linear_in_one_vehicle(spark):
             p = i * 7919 % n
             k = next(k for k in range(n) if any(at.get(x, 1) % 3 == 0 for x in (p - k, p + k)))
             assert got[i] == (next(at[x] for x in (p - k, p + k) if at.get(x, 1) % 3 == 0), float(k))
+
+
+def test_union_in_rounds_against_taking_edges_one_by_one(spark):
+    rng = np.random.default_rng(9)
+    camera = {n: int(rng.integers(0, 6)) for n in range(80)}
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 60, (260, 2)) if a != b} | {(60, n) for n in range(61, 80)} | {(n, n + 1) for n in range(60, 79)})
+    rows = [(n % 2 * 0, a, camera[a], b, camera[b], float(rng.integers(0, 7)) / 7) for n, (a, b) in enumerate(pairs)]
+    parent, cams = {n: n for n in camera}, {n: {c} for n, c in camera.items()}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for _, a, _, b, _, _ in sorted(rows, key=lambda r: (-r[5], r[1], r[3])):
+        x, y = sorted((root(a), root(b)))
+        if x != y and not cams[x] & cams[y]:
+            parent[y] = x
+            cams[x] |= cams[y]
+    edges = spark.createDataFrame(rows, "scene long, a long, camera_a long, b long, camera_b long, score double").repartition(4)
+    met = {n for r in rows for n in (r[1], r[3])}
+    assert {r.node: r.cluster for r in constrained_union(edges).collect()} == {n: root(n) for n in met}
+    alone = edges.where("a = 60 and camera_a = camera_b")
+    assert all(r.node == r.cluster for r in constrained_union(alone).collect())
+
+
+def test_registry_goes_on_after_a_restart(spark, tmp_path):
+    from sightline.streaming.registry import Registry, kept_by
+
+    schema = "key long, seq long, camera string, gone boolean"
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(0, 40)), i, f"c{int(rng.integers(0, 4))}", bool(rng.random() < 0.2)) for i in range(600)]
+    source, path = f"{tmp_path}/in", f"file://{tmp_path}/registry"
+    fresh = lambda: Registry(spark, path, ["key"], "seq", schema, buckets=3, compact_every=3)
+    assert fresh().table().count() == 0
+    for part in range(7):
+        # Batches come out of order too: a key's greatest seq counts, whenever it comes.
+        spark.createDataFrame(rows[part::7], schema).coalesce(1).write.mode("append").parquet(source)
+        kept_by(spark.readStream.schema(schema).parquet(source), fresh())
+        seen = [r for p in range(part + 1) for r in rows[p::7]]
+        last = {}
+        for r in sorted(seen, key=lambda r: r[1]):
+            last[r[0]] = r
+        expected = {r[:3] for r in last.values() if not r[3]}
+        assert {tuple(r) for r in fresh().table().collect()} == expected
+    assert {tuple(r) for r in fresh().of(camera="c1").collect()} == {r for r in expected if r[2] == "c1"}
+    registry = fresh()
+    assert registry._whole("base") == [2, 5] and len(registry._whole("delta")) == 7
+    registry.upsert(spark.createDataFrame(rows[6::7], schema), 6)  # a batch that runs again
+    assert {tuple(r) for r in registry.table().collect()} == expected
+
+
+def test_counts_and_configurations_of_text_files(spark, tmp_path):
+    from sightline.sources.datastore import read_camera_list, read_configuration, read_frame_counts, topology
+
+    (tmp_path / "n").mkdir()
+    (tmp_path / "n" / "S01.txt").write_text("c001 1955\n# c9 1\n\nc002 11 20\nc003 many\nc004\n")
+    assert {tuple(r) for r in read_frame_counts(spark, f"{tmp_path}/n").collect()} == {("c001", 1955), ("c002", 10)}
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "list_cam.txt").write_text("c001 S01\nS02 c005\nc007 other\n#\nlone\n")
+    assert {tuple(r) for r in read_camera_list(spark, f"{tmp_path}/l").collect()} == {("S01", "c001"), ("S02", "c005"), ("other", "c007")}
+    pytest.importorskip("yaml")
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "cameras.yaml").write_text("cameras:\n- camera_id: c001\n  scene: S01\n  latitude: 42.5\n- name: no id\nadjacency:\n  c001: [c002, c003]\n  c002: []\n")
+    cams, near = topology(read_configuration(spark, f"{tmp_path}/c"))
+    assert [tuple(r) for r in cams.collect()] == [("c001", "c001", "S01", 42.5, None, None)]
+    assert {tuple(r) for r in near.collect()} == {("c001", "c002"), ("c001", "c003")}
+
+
+def test_consistency_over_what_is_asked(spark):
+    from sightline.operators.scores import consistency
+
+    asked = {"color": ("red", "red"), "vehicle_type": (None, "van"), "direction": ("eastbound", None)}
+    lit = lambda x: F.lit(x).cast("string")
+    score = lambda pairs: value(spark, consistency({n: (lit(q), lit(own)) for n, (q, own) in pairs.items()}))
+    assert score(asked) == pytest.approx((0.4 + 0.2 * 0.5) / 0.6)
+    assert score({**asked, "color": ("red", "white")}) == pytest.approx(0.1 / 0.6)
+    assert score({"color": (None, "red"), "vehicle_type": ("", "van"), "direction": (None, None)}) is None
+
+
+def test_recent_sessions_are_held_to_a_hundred(spark):
+    from sightline.plans.windows import recent
+
+    rows = [(i, None if i % 2 else "car", "searched", i, f"2024-01-01T10:{i % 60:02d}:00", f"2024-02-01T{i % 24:02d}:00:00" if i % 3 else "") for i in range(150)]
+    s = spark.createDataFrame(rows, "query_id long, query_text string, state string, candidates int, created_at string, updated_at string")
+    for limit, n in ((500, 100), (0, 1), (-3, 1), (7, 7)):
+        got = recent(s, limit).collect()
+        assert len(got) == n and got[0].timestamp == "2024-02-01T23:00:00" and got[0].time == "23:00" and got[0].type == "检索"
