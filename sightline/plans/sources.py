@@ -41,7 +41,7 @@ def result_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query(
-    "J16 S1 S2 S8 S9 S10 S11 S22: results written to the column store and read back, attributes decoded, vectors by id",
+    "J16 S1 S2 S9 S10 S22: results written to the column store and read back, attributes decoded, vectors by id",
     "SELECT 'D' || event_id AS target_id, 'S0' || user_id % 5 AS scene_id, value AS confidence, CASE WHEN event_id % 3 <> 0 THEN event_type END AS color, CASE WHEN event_id % 3 <> 0 THEN json_extract_string(props, '$.k') END AS k, CASE WHEN event_id % 4 = 0 THEN value END AS vector FROM events",
 )
 def store_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +52,7 @@ def store_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "S4 S5 S7 S12 A16: states of a store and of what stands in its place, counts kept beside the data, equality of what was read",
+    "S4 S5 S12 A16: states of a store and of what stands in its place, counts kept beside the data, equality of what was read",
     "SELECT false AS before, true AS after, 'none' AS source_before, 'datastore' AS source_after, count(*) AS detections, count(DISTINCT user_id) AS tracks, count(DISTINCT event_type) AS cameras, true AS same FROM events",
 )
 def store_states(spark: SparkSession, d: str) -> DataFrame:
@@ -66,6 +66,26 @@ def store_states(spark: SparkSession, d: str) -> DataFrame:
     return stats.select(F.lit(before).alias("before"), F.lit(store.available(spark, path)).alias("after"), F.lit(label).alias("source_before"), F.lit(store.source_label(spark, path)).alias("source_after"), "detections", "tracks", "cameras", F.lit(same).alias("same"))
 
 
+@query("S7: counts and frames of each scene of a store, from the files' footers", "SELECT 'S0' || user_id % 5 AS scene_id, count(*) AS detections, CAST(min(event_id) AS INT) AS first_frame, CAST(max(event_id) AS INT) AS last_frame FROM events GROUP BY 1")
+def store_footers(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "store")
+    store.build(*result_rows(spark, d), path)
+    return store.counts_by_scene(spark, path)
+
+
+@query(
+    "S8 S11: records of mixed types written and read: what is absent, null or a value, and of which type",
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'value' WHEN 1 THEN 'null' ELSE 'absent' END AS color_state, CASE WHEN event_id % 5 = 0 THEN event_type END AS color,
+ CASE event_id % 5 WHEN 0 THEN 'BIGINT' WHEN 1 THEN 'STRING' WHEN 2 THEN 'ARRAY<BIGINT>' END AS size_kind, CASE WHEN event_id % 5 = 0 THEN user_id END AS size FROM events""",
+)
+def mixed_records(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "records")
+    n = F.col("event_id") % 5
+    text = F.when(n == 0, F.format_string('{"color": "%s", "size": %d}', "event_type", "user_id")).when(n == 1, '{"size": "big", "color": null}').when(n == 2, '{"size": [1, 2]}').when(n == 3, "{}").otherwise("no object")
+    store.write_records(read(spark, d, "events").select("event_id", text.alias("record")), path, "event_id")
+    return store.read_records(spark, path).select("event_id", store.state_of("color").alias("color_state"), store.field("color").alias("color"), store.kind_of("size").alias("size_kind"), store.field("size", "long").alias("size"))
+
+
 @query("S3 S5: a JSON document of results, read where no store stands", "SELECT 'N' || n_nationkey AS target_id, n_name AS camera_id, n_regionkey / 10.0 AS confidence, 'json' AS source FROM nation")
 def json_results(spark: SparkSession, d: str) -> DataFrame:
     """The document is that of a dimension, since one JSON document is one task's input."""

@@ -13,7 +13,7 @@ from sightline.registry import query
 from sightline.session import shared_folder
 from sightline.sources.tables import detections, read
 from sightline.streaming.registry import Registry, kept_by
-from sightline.streaming.sessions import session_states, track_objects, tracklet_sessions
+from sightline.streaming.sessions import frame_tracklets, session_states, track_objects, tracklet_sessions
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -33,7 +33,7 @@ def _drained(stream: DataFrame, mode: str, path: str | None = None) -> DataFrame
 
 
 @query(
-    "X2: tracklets by streaming session windows; at the end of the input the open ones are closed",
+    "X2 X6: tracklets by streaming session windows; at the end of the input the open ones are closed",
     """WITH e AS (SELECT user_id AS vehicle, event_type AS camera, ts, least(value / 500, 1.0) AS confidence, epoch_us(ts) / 1e6 AS t FROM events), c AS (SELECT *, CASE WHEN t - lag(t) OVER w >= 21600 THEN 1 ELSE 0 END AS cut FROM e WINDOW w AS (PARTITION BY vehicle, camera ORDER BY t)),
 s AS (SELECT *, sum(cut) OVER (PARTITION BY vehicle, camera ORDER BY t ROWS UNBOUNDED PRECEDING) AS seg FROM c) SELECT vehicle, camera, round(min(t), 3) AS start_s, round(max(t) + 21600, 3) AS end_s, count(*) AS n, round(avg(confidence), 9) AS confidence FROM s GROUP BY vehicle, camera, seg""",
 )
@@ -54,6 +54,30 @@ def tracklet_stream(spark: SparkSession, d: str) -> DataFrame:
     return out.select("vehicle", "camera", second("start").alias("start_s"), second("end").alias("end_s"), "n", F.round("confidence", 9).alias("confidence"))
 
 
+@query(
+    "X2: tracklets by each camera's clock of frames: one ends with the first frame without it",
+    """WITH b AS (SELECT l_suppkey % 20 AS camera, l_orderkey % 500 AS frame, l_partkey % 5 AS track, l_discount AS confidence FROM lineitem), c AS (SELECT camera, frame, dense_rank() OVER (PARTITION BY camera ORDER BY frame) AS step FROM (SELECT DISTINCT camera, frame FROM b)),
+i AS (SELECT camera, track, frame, step, step - row_number() OVER (PARTITION BY camera, track ORDER BY step) AS island FROM (SELECT DISTINCT camera, track, frame, step FROM b JOIN c USING (camera, frame)))
+SELECT camera, track, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n, round(avg(confidence), 9) AS confidence FROM i JOIN b USING (camera, track, frame) GROUP BY camera, track, island""",
+)
+def frame_clock_tracklets(spark: SparkSession, d: str) -> DataFrame:
+    """When the boxes are used up, a second source moves each camera's clock two frames on: an empty one, and one that shows it is whole."""
+    base = f"{shared_folder(spark)}/sightline-stream-{uuid.uuid4().hex}"
+    schema = "camera long, frame long, track long, confidence double"
+    spark.createDataFrame([], schema).write.parquet(f"{base}/end")
+    lines = read(spark, d, "lineitem")
+
+    def tracklets() -> DataFrame:
+        rows = spark.readStream.schema(lines.schema).option("pathGlobFilter", "lineitem.parquet").parquet(d)
+        boxes = rows.select((F.col("l_suppkey") % 20).alias("camera"), (F.col("l_orderkey") % 500).alias("frame"), (F.col("l_partkey") % 5).alias("track"), F.col("l_discount").alias("confidence"))
+        return frame_tracklets(boxes.unionByName(spark.readStream.schema(schema).parquet(f"{base}/end")))
+
+    _drained(tracklets(), "append", base)
+    ends = lines.select((F.col("l_suppkey") % 20).alias("camera")).distinct()
+    ends.select("camera", F.explode(F.array(F.lit(1 << 40), F.lit((1 << 40) + 1))).alias("frame"), F.lit(None).cast("long").alias("track"), F.lit(None).cast("double").alias("confidence")).write.mode("append").parquet(f"{base}/end")
+    return _drained(tracklets(), "append", base).select("camera", "track", "first_frame", "last_frame", "n", F.round("confidence", 9).alias("confidence"))
+
+
 @query(
     "X3: a registry kept by upserts and deletes of a stream",
     "WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS event, max(event_id) AS seq, arg_max(value, event_id) AS value FROM events GROUP BY user_id) SELECT user_id AS key, seq, round(value, 6) AS value FROM l WHERE event <> 'error'",

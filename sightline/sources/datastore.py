@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = "1"
@@ -65,6 +65,44 @@ def load_detections(spark: SparkSession, path: str | None, json_path: str | None
     return None
 
 
+def counts_by_scene(spark: SparkSession, path: str) -> DataFrame:
+    """(scene_id, detections, first_frame, last_frame) from the footers of the data files alone: the aggregate is pushed into the scan, which then reads no row group."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    found = own.read.parquet(f"{path}/detections").groupBy("scene_id")
+    return found.agg(F.count("*").alias("detections"), F.min("frame_id").alias("first_frame"), F.max("frame_id").alias("last_frame"))
+
+
+def write_records(records: DataFrame, path: str, key: str, text: str = "record") -> None:
+    """(key, JSON text of an object) as (key, VARIANT, present keys). Values keep the type that each record gives them, so columns of mixed types need no common one;
+    the keys tell a value of null from one that isn't there. Text that isn't an object has NULL for both."""
+    body = F.try_parse_json(text)
+    keys = F.json_object_keys(text)
+    records.select(key, F.when(keys.isNotNull(), body).alias("record"), F.sort_array(keys).alias("present")).write.parquet(path)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of write_records; field() takes values out of them."""
+    return spark.read.parquet(path)
+
+
+def field(name: str, kind: str = "string") -> Column:
+    """A record's value of a name as a kind (NULL where it isn't of that kind, is null, or isn't there)."""
+    return F.try_variant_get("record", f"$.{name}", kind)
+
+
+def state_of(name: str) -> Column:
+    """`absent`, `null` or `value`, for a name in a record."""
+    there = F.array_contains("present", name)
+    return F.when(~F.coalesce(there, F.lit(False)), "absent").when(F.is_variant_null(F.try_variant_get("record", f"$.{name}", "variant")), "null").otherwise("value")
+
+
+def kind_of(name: str) -> Column:
+    """The type of a record's value as SQL text."""
+    return F.schema_of_variant(F.try_variant_get("record", f"$.{name}", "variant"))
+
+
 def load_stats(spark: SparkSession, path: str) -> DataFrame:
     """The counts kept beside the data; no data file is read."""
     return spark.read.parquet(f"{path}/meta").drop("schema_version")

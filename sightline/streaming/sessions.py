@@ -37,6 +37,36 @@ def session_states(stream: DataFrame) -> DataFrame:
     return stream.groupBy("session").applyInPandasWithState(step, "session long, state string, refused long", "state string, refused long", "update", GroupStateTimeout.NoTimeout)
 
 
+def frame_tracklets(stream: DataFrame) -> DataFrame:
+    """(camera, track, first_frame, last_frame, n, confidence) of tracks in detections (camera, frame, track, confidence), by each camera's own frames: a tracklet
+    ends as soon as a frame of its camera comes without it. A frame is whole when a later one comes, so what a camera's last frame holds stays open; a row
+    with a frame and without a track only moves the clock. Rows of frames before the one that is open are late and are left out."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, seen, active = json.loads(state.get[0]) if state.exists else (None, [], {})
+        seen, out = set(seen), []
+        rows = pd.concat([b[["frame", "track", "confidence"]] for b in batches]).sort_values(["frame", "track", "confidence"])
+        for frame, own in rows.groupby("frame"):
+            if now is not None and frame < now:
+                continue
+            if now is not None and frame > now:
+                for name in sorted(set(active) - seen, key=int):
+                    first, last, n, total = active.pop(name)
+                    out.append((key[0], int(name), first, last, n, total / n))
+                seen = set()
+            now = int(frame)
+            for track, confidence in own[["track", "confidence"]].dropna(subset=["track"]).itertuples(index=False):
+                name = str(int(track))
+                first, _, n, total = active.get(name, (now, now, 0, 0.0))
+                active[name] = (first, now, n + 1, total + float(confidence))
+                seen.add(name)
+        state.update((json.dumps([now, sorted(seen), active]),))
+        if out:
+            yield pd.DataFrame(out, columns=["camera", "track", "first_frame", "last_frame", "n", "confidence"])
+
+    return stream.groupBy("camera").applyInPandasWithState(step, "camera long, track long, first_frame long, last_frame long, n long, confidence double", "body string", "append", GroupStateTimeout.NoTimeout)
+
+
 class Track:
     """A box under a constant-velocity Kalman filter on (centre x, centre y, width, height)."""
 

@@ -460,3 +460,41 @@ def test_recent_sessions_are_held_to_a_hundred(spark):
     for limit, n in ((500, 100), (0, 1), (-3, 1), (7, 7)):
         got = recent(s, limit).collect()
         assert len(got) == n and got[0].timestamp == "2024-02-01T23:00:00" and got[0].time == "23:00" and got[0].type == "检索"
+
+
+def test_counts_come_from_footers(spark, tmp_path):
+    from sightline.sources.datastore import counts_by_scene
+
+    rows = spark.range(1000).select((F.col("id") % 3).cast("string").alias("scene_id"), F.col("id").cast("int").alias("frame_id"))
+    rows.write.partitionBy("scene_id").parquet(f"{tmp_path}/detections")
+    found = counts_by_scene(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)" in plan.replace("PushedAggregation: [COUNT(1)", "PushedAggregation: [COUNT(*)")
+    assert {(str(r.scene_id), r.detections, r.first_frame, r.last_frame) for r in found.collect()} == {("0", 334, 0, 999), ("1", 333, 1, 997), ("2", 333, 2, 998)}
+
+
+def test_records_keep_null_apart_from_absent(spark, tmp_path):
+    from sightline.sources.datastore import field, kind_of, read_records, state_of, write_records
+
+    texts = ['{"a": null, "b": 1}', '{"b": "x"}', '{"a": [1, "y"], "b": {"c": true}}', "{}", "[1]", "not json", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, record string")
+    write_records(rows, f"{tmp_path}/r", "id")
+    got = read_records(spark, f"{tmp_path}/r").select("id", state_of("a").alias("a"), state_of("b").alias("b"), kind_of("b").alias("kind"), field("b", "long").alias("n"), F.to_json("record").alias("text")).orderBy("id").collect()
+    assert [r.a for r in got] == ["null", "absent", "value", "absent", "absent", "absent", "absent"]
+    assert [r.b for r in got] == ["value", "value", "value", "absent", "absent", "absent", "absent"]
+    assert [r.kind for r in got[:3]] == ["BIGINT", "STRING", "OBJECT<c: BOOLEAN>"] and [r.n for r in got[:3]] == [1, None, None]
+    assert got[0].text == '{"a":null,"b":1}' and got[1].text == '{"b":"x"}' and got[4].text is None
+
+
+def test_frame_clock_over_several_batches(spark, tmp_path):
+    from sightline.streaming.sessions import frame_tracklets
+
+    schema = "camera long, frame long, track long, confidence double"
+    batches = [[(1, 1, 7, 0.5), (1, 1, 8, 0.5), (1, 2, 7, 1.0), (2, 5, 7, 0.1)], [(1, 2, 8, 0.7), (1, 4, 7, 0.0), (1, 1, 9, 1.0)], [(1, 9, 8, 0.3), (2, 6, 3, 0.2)], [(c, f, None, None) for c in (1, 2) for f in (99, 100)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = frame_tracklets(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        put = stream.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True)
+        put.foreachBatch(lambda b, n: b.write.mode("append").parquet(f"{tmp_path}/out")).start().awaitTermination()
+    got = {(r.camera, r.track, r.first_frame, r.last_frame, r.n, round(r.confidence, 6)) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(1, 8, 1, 2, 2, 0.6), (1, 7, 1, 4, 3, 0.5), (1, 8, 9, 9, 1, 0.3), (2, 7, 5, 5, 1, 0.1), (2, 3, 6, 6, 1, 0.2)}
