@@ -6,7 +6,11 @@
 4. benchmark decontamination: documents that hold a test item go.
 5. best-fit packing: what is left, packed into sequences.
 
-Stages 3 and later change text only where something is removed; n_chars follows it."""
+Stages 3 and later change text only where something is removed; n_chars follows it.
+
+Cases: null, empty and letterless texts go in stage 1 and pass the others, if these are given them; a null doc_id is a document like others, which no leak or group
+names, except that of a group with no other id one row stays; rows that repeat the doc_id that stays all stay, and go together where it holds a test item; very long
+texts are worked whole; an empty table, of documents or of test items, gives an empty or an unchanged one; further columns of documents are dropped."""
 
 from __future__ import annotations
 
