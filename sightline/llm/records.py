@@ -10,7 +10,10 @@ A data file is a run of records; a record is
 
 masked(c) = ((c >> 15 | c << 17) + 0xA282EAD8) mod 2^32. The index file beside it has one 8-byte
 little-endian byte offset for each record, so a reader can fetch records in any order.
-"""
+
+Cases: null or empty texts are records of the end id alone; a null doc_id is stored as the least 64-bit integer and comes first; repeated rows and
+rows of one doc_id are records of their own, in the order of their texts; a very long text is one record, in the memory of one task; an empty table
+writes no file and gives an empty manifest and no record; further columns are not read."""
 
 from __future__ import annotations
 
