@@ -5,7 +5,8 @@ validator walks its structure (chunks, segments, pages, frames, checksums) and s
 validates at byte 0 is the column's real type, whatever was declared; others found inside are carved as (type, offset, length).
 
 `store_text_media` keeps texts as 8-bit samples: the UTF-8 bytes padded with zeros to a multiple of 64, as mono WAV, gray BMP or gray PNG
-of 64 pixels a line, by a checksum of the bytes. What is stored is declared as octets; only the sniffed type says how it is read back.
+of 64 pixels a line, by a checksum of the bytes. They are declared by another checksum, mostly wrongly, as files in a crawl are; only the sniffed
+type says how they are read back. What texts embed is carved out of the payload that is read back, so it is found whatever holds it.
 
 Cases: a null media value has type null and nothing carved; an empty one is `unknown`; truncated or damaged files are not
 of the type that their magic says; declared types are compared in lower case; a null text counts as empty, and equal texts are stored
@@ -46,17 +47,43 @@ RIFF_FORMS = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/avi"}
 
 
 def _png(b: bytes, at: int) -> int | None:
-    i = at + 8
+    """Chunks with their checksums; what the image data inflate to must be the lines that the head says (of interlaced images, at least one byte each)."""
+    i, packed, lines, exact = at + 8, [], 0, True
     while i + 12 <= len(b):
         n, kind = struct.unpack_from(">I4s", b, i)
         if i + 12 + n > len(b) or zlib.crc32(b[i + 4 : i + 8 + n]) != struct.unpack_from(">I", b, i + 8 + n)[0] or (i == at + 8) != (kind == b"IHDR"):
             return None
+        if kind == b"IHDR":
+            if n != 13:
+                return None
+            width, height, depth, colour, _, _, interlaced = struct.unpack_from(">IIBBBBB", b, i + 8)
+            channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour, 0)
+            if not width or not height or not channels or depth not in (1, 2, 4, 8, 16):
+                return None
+            exact, lines = not interlaced, height * (1 + (width * channels * depth + 7) // 8)
+        elif kind == b"IDAT":
+            packed.append(b[i + 8 : i + 8 + n])
         i += 12 + n
         if kind == b"IEND":
-            return i - at
+            return i - at if _inflates(packed, lines, exact) else None
     return None
 
 
+def _inflates(packed: list[bytes], size: int, exact: bool) -> bool:
+    """Whether a zlib stream in pieces holds size bytes, or with exact off any; no more than 1 MB of it is held."""
+    stream, total = zlib.decompressobj(), 0
+    try:
+        for piece in packed:
+            while piece and total <= size:
+                total += len(stream.decompress(piece, 1 << 20))
+                piece = stream.unconsumed_tail
+        while total <= size and (rest := stream.decompress(stream.unconsumed_tail, 1 << 20)):
+            total += len(rest)
+    except zlib.error:
+        return False
+    return stream.eof and (total == size if exact else total > 0)
+
+
 def _blocks(b: bytes, i: int) -> int | None:
     """The place after a run of GIF sub-blocks."""
     while i < len(b):
@@ -109,10 +136,16 @@ def _jpeg(b: bytes, at: int) -> int | None:
 
 
 def _bmp(b: bytes, at: int) -> int | None:
-    if at + 30 > len(b):
+    if at + 34 > len(b):
         return None
     size, reserved, start, header = struct.unpack_from("<IIII", b, at + 2)
-    return size if not reserved and header in (12, 40, 52, 56, 108, 124) and 14 + header <= start <= size <= len(b) - at else None
+    if reserved or header not in (12, 40, 52, 56, 108, 124) or not 14 + header <= start <= size <= len(b) - at:
+        return None
+    width, height, bits, packed = (*struct.unpack_from("<HH", b, at + 18), struct.unpack_from("<H", b, at + 24)[0], 0) if header == 12 else (*struct.unpack_from("<ii", b, at + 18), *struct.unpack_from("<HI", b, at + 28))
+    if width <= 0 or not height or bits not in (0, 1, 2, 4, 8, 16, 24, 32):
+        return None
+    # Lines that aren't compressed are as long as width and depth say.
+    return size if packed not in (0, 3) or start + (width * bits + 31) // 32 * 4 * abs(height) <= size else None
 
 
 def _riff(b: bytes, at: int) -> int | None:
@@ -326,6 +359,8 @@ def png_samples(data: bytes) -> bytes:
     return b"".join(lines[j + 1 : j + 1 + width] for j in range(0, len(lines), width + 1))
 
 
+#: Types that stored texts are declared as.
+DECLARED = "image/png", "audio/wav", "image/bmp", "application/octet-stream"
 STORES: list[Callable[[bytes], bytes]] = [wav_of, bmp_of, png_of]
 READERS: dict[str, Callable[[bytes], bytes]] = {"audio/wav": wav_samples, "image/bmp": bmp_samples, "image/png": png_samples}
 
@@ -336,15 +371,16 @@ def stored(text: bytes) -> bytes:
     return STORES[zlib.crc32(payload) % len(STORES)](payload)
 
 
-def store_text_media(docs: DataFrame, declared: str = "application/octet-stream") -> DataFrame:
-    """(doc_id, n_bytes, declared_type, media) of docs (doc_id, text)."""
+def store_text_media(docs: DataFrame, declared: tuple[str, ...] = DECLARED) -> DataFrame:
+    """(doc_id, n_bytes, declared_type, media) of docs (doc_id, text); the declared type is one of `declared`, by a checksum of the stored bytes."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 256):
                 batch = whole.slice(a, 256)
                 texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([declared] * len(texts), pa.string()), pa.array([stored(t) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "declared_type", "media"])
+                media = [stored(t) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([declared[zlib.adler32(m) % len(declared)] for m in media], pa.string()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "declared_type", "media"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(encode, "doc_id long, n_bytes long, declared_type string, media binary")
 
@@ -375,16 +411,17 @@ def sniff_media(df: DataFrame, media: str = "media", declared: str = "declared_t
 
 
 def media_digests(df: DataFrame) -> DataFrame:
-    """Digests of stored text media (doc_id, n_bytes, media, media_type, carved, mismatch), from the bytes read back."""
+    """Digests of stored text media (doc_id, n_bytes, media, media_type, mismatch), from the bytes read back; what the payload embeds is named with its place in it."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sniffer = Sniffer()
         for batch in batches:
             rows: list[tuple] = []
-            for doc, n, data, kind, carved, wrong in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media", "media_type", "carved", "mismatch")), strict=True):
+            for doc, n, data, kind, wrong in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media", "media_type", "mismatch")), strict=True):
                 if kind not in READERS:
                     raise ValueError(f"no reader for {kind}")
                 payload = READERS[kind](data)
-                feature = f"{kind};8bit;samples={len(payload)};mean={sum(payload) / len(payload):.3f};corrected={str(bool(wrong)).lower()};carved=" + ",".join(f"{c['type']}@{c['offset']}+{c['length']}" for c in carved)
+                feature = f"{kind};8bit;samples={len(payload)};mean={sum(payload) / len(payload):.3f};corrected={str(bool(wrong)).lower()};carved=" + ",".join(f"{k}@{i}+{size}" for k, i, size in sniffer.scan(payload))
                 rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), DIGEST.types, strict=True)] if rows else [pa.array([], k) for k in DIGEST.types], schema=DIGEST)
 

@@ -253,7 +253,7 @@ def test_media(spark, odd, empty):
     with wave.open(io.BytesIO(data)) as w:
         assert (w.getnchannels(), w.getsampwidth(), w.readframes(99)) == (1, 1, payload)
     assert wav_samples(data) == payload
-    png = b"\x89PNG\r\n\x1a\n" + b"".join(len(x).to_bytes(4, "big") + k + x + zlib.crc32(k + x).to_bytes(4, "big") for k, x in ((b"IHDR", bytes(13)), (b"IEND", b"")))
+    png = _gray_png(2, 1, bytes(3))
     found = Sniffer().scan(b"junk" + png + b"GIF89a" + data)
     assert [(k, n) for k, _, n in found] == [("image/png", len(png)), ("audio/wav", len(data))]
     rows = {r.doc_id: r for r in media_digests(sniff_media(store_text_media(odd))).collect()}
@@ -404,3 +404,44 @@ def test_short_templates_are_one_shingle(spark):
     got = {(r.doc_id, r.license, r.containment, r.first_word, r.windows) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), texts).collect()}
     assert {x for x in got if x[1] != "five"} == {(1, "two", 1.0, 2, 2), (2, "one", 1.0, 1, 1), (3, "four", 1.0, 0, 1)} and {x[0] for x in got if x[1] == "five"} == {6}
     assert scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), {}).count() == 0
+
+
+def _gray_png(width, height, lines):
+    import struct
+
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def test_validators_hold_sizes_against_width_and_height():
+    from sightline.llm.media import bmp_of, png_of
+
+    whole = _gray_png(4, 3, bytes(15))
+    assert Sniffer().scan(whole) == [("image/png", 0, len(whole))]
+    for bad in (_gray_png(4, 3, bytes(14)), _gray_png(4, 3, bytes(16)), _gray_png(5, 3, bytes(15)), _gray_png(0, 3, b""), whole[:40] + b"?" + whole[41:]):
+        assert Sniffer().scan(bad) == []
+    big = png_of(b"ab" * (3 << 20))
+    assert Sniffer().scan(big)[0] == ("image/png", 0, len(big))
+    bmp = bmp_of(bytes(range(64)) * 5)
+    assert Sniffer().scan(bmp)[0] == ("image/bmp", 0, len(bmp))
+    wide, flat_ = bytearray(bmp), bytearray(bmp)
+    wide[18:22] = (65).to_bytes(4, "little")
+    flat_[18:22] = bytes(4)
+    assert Sniffer().scan(bytes(wide)) == [] and Sniffer().scan(bytes(flat_)) == []
+
+
+def test_embedded_files_are_carved_from_every_kind_of_store(spark):
+    """A PDF inside of texts, at the same place whichever format holds the text; declared types are corrected where they are wrong."""
+    pdf = "%PDF-1.4\n1 0 obj\n<< >>\nendobj\nxref\n0 1\ntrailer\n<< >>\nstartxref\n28\n%%EOF"
+    at = pdf.index("xref\n0")
+    pdf = pdf.replace("startxref\n28", f"startxref\n{at}")
+    rows = [(i, f"text {i} before " + pdf + " after") for i in range(40)] + [(100, "no file here"), (101, "%PDF-1.4 broken %%EOF"), (102, None)]
+    sniffed = sniff_media(store_text_media(spark.createDataFrame(rows, "doc_id long, text string")))
+    kinds = {r.doc_id: (r.media_type, r.declared_type, r.mismatch) for r in sniffed.collect()}
+    got = {r.doc_id: r.feature for r in media_digests(sniffed).collect()}
+    assert {k for k, _, _ in kinds.values()} == {"audio/wav", "image/bmp", "image/png"}
+    assert all(wrong == (k != said) for k, said, wrong in kinds.values()) and {w for *_, w in kinds.values()} == {True, False}
+    for i, text in rows:
+        carved = got[i].split("carved=")[1]
+        assert carved == (f"application/pdf@{text.index('%PDF')}+{len(pdf)}" if i < 100 else "")
+        assert f"corrected={str(kinds[i][2]).lower()}" in got[i] and got[i].startswith(kinds[i][0])
