@@ -77,7 +77,7 @@ def gated_edges(spark: SparkSession, d: str) -> DataFrame:
     pairs = within_seconds(s, s, ["scene"], "end", "start", GAP).where(F.col("a.camera") != F.col("b.camera"))
     plate = lambda x: F.nullif(F.col(f"{x}.k") % 4, F.lit(0))
     gap, look = F.col("b.start") - F.col("a.end"), 1 - F.abs(F.col("a.confidence") - F.col("b.confidence"))
-    gate = (plate("a").isNull() | plate("b").isNull() | (plate("a") == plate("b"))) & (look >= F.when(gap > 100, F.least(F.lit(0.85), F.lit(0.7) + 0.1)).otherwise(0.7))
+    gate = (plate("a").isNull() | plate("b").isNull() | (plate("a") == plate("b"))) & (look >= F.when(gap > 100, F.least(F.lit(0.85), F.lit(0.8))).otherwise(0.7))
     return pairs.where(gate).select(F.col("a.vehicle").alias("source"), F.col("a.camera").alias("source_camera"), F.col("b.vehicle").alias("target"), F.col("b.camera").alias("target_camera"), F.col("a.day").alias("day"), F.round(look, 6).alias("appearance"))
 
 
