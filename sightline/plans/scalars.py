@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.expressions import angle_diff, clamp, haversine_m, haversine_sql, iou, iou_sql, lookup
+from sightline.functions.expressions import angle_diff, clamp, degrees_of, haversine_m, haversine_sql, iou, iou_sql, lookup
 from sightline.registry import query
 from sightline.sources.tables import BOXES, CAMERAS, DET, OFFSETS, boxes, cameras, detections, read
 
@@ -113,7 +113,7 @@ def direction_sector(spark: SparkSession, d: str) -> DataFrame:
     cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
     at = F.struct("frame", "x1", "y1")
     e = b.groupBy("track").agg(F.min_by(cx, at).alias("ax"), F.min_by(cy, at).alias("ay"), F.max_by(cx, at).alias("bx"), F.max_by(cy, at).alias("by"))
-    angle = F.degrees(F.atan2(-(F.col("by") - F.col("ay")), F.col("bx") - F.col("ax")))
+    angle = degrees_of(-(F.col("by") - F.col("ay")), F.col("bx") - F.col("ax"))
     still = (F.col("ax") == F.col("bx")) & (F.col("ay") == F.col("by"))
     sector = F.when(still, "unknown").when((angle >= -45) & (angle < 45), "east").when((angle >= 45) & (angle < 135), "north").when((angle >= -135) & (angle < -45), "south").otherwise("west")
     side = lambda x: F.when(F.col(x) / 1070 < 0.33, "left").when(F.col(x) / 1070 < 0.66, "centre").otherwise("right")

@@ -51,9 +51,9 @@ TRACKLETS = (
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as boxes of a track (the order) in frames (line numbers)."""
     x, y = F.col("l_partkey") % 1000, F.col("l_suppkey") % 700
-    w, h = 20 + F.col("l_quantity"), 10 + F.col("l_quantity") * (1 + F.col("l_discount") * 5)
+    w, h = 20 + F.col("l_quantity"), F.col("l_quantity") * (1 + F.col("l_discount") * 5)
     line = read(spark, sf_dir, "lineitem")
-    return line.select(F.col("l_orderkey").alias("track"), F.col("l_linenumber").alias("frame"), F.col("l_linestatus").alias("camera"), F.col("l_returnflag").alias("colour"), x.cast("double").alias("x1"), y.cast("double").alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"))
+    return line.select(F.col("l_orderkey").alias("track"), F.col("l_linenumber").alias("frame"), F.col("l_linestatus").alias("camera"), F.col("l_returnflag").alias("colour"), x.cast("double").alias("x1"), y.cast("double").alias("y1"), (x + w).alias("x2"), (y + 10 + h).alias("y2"))
 
 
 BOXES = """boxes AS (SELECT l_orderkey AS track, l_linenumber AS frame, l_linestatus AS camera, l_returnflag AS colour,
