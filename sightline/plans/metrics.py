@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.expressions import iou, iou_sql
-from sightline.operators.joins import best
+from sightline.operators.joins import best, overlapping
 from sightline.operators.ordered import frame_matches
 from sightline.plans.vectors import _RANKED, hit_ranks
 from sightline.registry import query
@@ -105,7 +105,7 @@ fnd AS (SELECT camera, frame, row AS det, id + CASE WHEN part % 11 = 0 THEN 1000
 )
 def best_iou_match(spark: SparkSession, d: str) -> DataFrame:
     truth, found = truth_and_found(spark, d)
-    pairs = found.alias("b").join(truth.alias("a"), (F.col("a.camera") == F.col("b.camera")) & (F.col("a.frame") == F.col("b.frame")))
+    pairs = overlapping(truth, found, ["camera", "frame"], 0.3)
     m = pairs.select("b.det", "a.row", "a.id", F.round(iou("a", "b"), 6).alias("iou")).where("iou > 0.3")
     return best(m, ["det"], F.struct("iou", "row", "id"), "id", "iou")
 
