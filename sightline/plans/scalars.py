@@ -98,7 +98,7 @@ def bbox_norm(spark: SparkSession, d: str) -> DataFrame:
     size = b.groupBy("camera").agg(F.max(F.floor("x2")).alias("w"), F.max(F.floor("y2")).alias("h"))
     r = lambda x, name: F.round(x, 6).alias(name)
     x1, y1, x2, y2, w, h = (F.col(c) for c in ("x1", "y1", "x2", "y2", "w", "h"))
-    return b.join(size, "camera").select("track", "frame", r((x1 + x2) / 2 / w, "cx"), r((y1 + y2) / 2 / h, "cy"), r((x2 - x1) / w, "nw"), r((y2 - y1) / h, "nh"))
+    return b.join(F.broadcast(size), "camera").select("track", "frame", r((x1 + x2) / 2 / w, "cx"), r((y1 + y2) / 2 / h, "cy"), r((x2 - x1) / w, "nw"), r((y2 - y1) / h, "nh"))
 
 
 @query(
