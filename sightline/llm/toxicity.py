@@ -9,8 +9,8 @@ the lower Wilson bound of the share of toxic documents among the training docume
 A feature counts if chance doesn't explain its toxic documents: n documents of which the share q is toxic, at a base rate of p, must have
 n * KL(q, p) above the logarithm of the number of features looked at.
 
-Model and features are fitted on a bounded sample: the `rows` labelled training documents with the least hash of the
-id, less most of their near copies, so that a copied text counts about once. Scoring covers every row and whole text.
+Model and features are fitted on every labelled training document, less most of their near copies, so that a copied text counts about
+once. Scoring covers every row and whole text.
 
 Cases: null and empty texts get a tenth of the base rate; without labels every score is 0; a document with several labels counts as toxic if one
 says so; null labels are ignored; each row is scored by itself, so repeated rows and equal ids don't matter; of very long texts every word is
@@ -23,18 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import BYTE_POWERS, BYTE_TABLE, LOWER, SPACE, U64, Words, arrow_rows, as_signed, crc_remainder, gram_hash, mix, per_chunk, read_table, schema_with, settled, text_of
+from sightline.llm.common import BYTE_POWERS, BYTE_TABLE, LOWER, SPACE, U64, Words, arrow_rows, as_signed, crc_remainder, gram_hash, mix, per_chunk, read_table, schema_with, settled, text_of, written
 
-ROWS = 24_000
 LEAST_TOXIC = 3
 LEAST_SHARE = 0.3
 WILSON_Z = 3.0
 PREFIXES = (4, 6)
 THRESHOLD = 0.3
 CACHE = 200_000
+#: Features of documents that a task adds up before it passes them on.
+HELD = 1 << 22
 SIGNATURES = 3
 #: What a sign may stand for.
 LEET = {b"0": b"o", b"1": b"il", b"3": b"e", b"4": b"a", b"5": b"s", b"7": b"t", b"8": b"b", b"9": b"g", b"@": b"a", b"$": b"s", b"!": b"i", b"|": b"il", b"+": b"t", b"(": b"c"}
@@ -189,8 +190,8 @@ def beyond_chance(toxic: np.ndarray, clean: np.ndarray, base: float, tried: int)
     return (q > p) & (n * (part(q, p) + part(1 - q, 1 - p)) >= np.log(max(tried, 2)))
 
 
-def distinct_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id) of docs (doc_id, text) without most copies and near copies, whose words would count as often as they do: of
+def distinct_documents(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id) of those of docs (doc_id, text) that are in known (doc_id), without most copies and near copies, whose words would count as often as they do: of
     rows that agree in one of SIGNATURES min-hashes of their 3-word shingles the one with the least id stays."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,22 +207,28 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
             yield arrow_rows(doc_id=batch.column("doc_id"), **{f"s{k}": as_signed(x) for k, x in enumerate(out)})
 
     signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, " + ", ".join(f"s{k} long" for k in range(SIGNATURES)))
-    for k in range(SIGNATURES):
-        signed = signed.withColumn(f"m{k}", F.min("doc_id").over(Window.partitionBy(f"s{k}")))
-    return signed.where(" and ".join(f"m{k} = doc_id" for k in range(SIGNATURES))).select("doc_id").distinct()
+    signed = signed.join(known.select("doc_id"), "doc_id")
+    each = signed.select("doc_id", F.posexplode(F.array(*[f"s{k}" for k in range(SIGNATURES)])).alias("k", "s"))
+    least = each.groupBy("k", "s").agg(F.min("doc_id").alias("doc_id"))  # adds up before the shuffle, so a large group of copies is a row from each task
+    return least.groupBy("doc_id").agg(F.count_distinct("k").alias("n")).where(F.col("n") == SIGNATURES).select("doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> ToxicModel:
-    """A model from docs (doc_id, text) and labels (doc_id, toxic), of at most `rows` labelled documents."""
-    order = F.xxhash64(F.lit("toxic"), "doc_id")
+def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
+    """A model from docs (doc_id, text) and labels (doc_id, toxic), of all labelled documents. Their texts are shuffled once, to meet their labels."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    sample = known.orderBy(order, "doc_id").limit(rows)  # its size is bounded by rows, so it goes to every task
-    chosen = docs.select(F.col("doc_id"), text_of().alias("text")).join(F.broadcast(sample), "doc_id")
-    single = settled(distinct_documents(chosen))
-    train = chosen.join(F.broadcast(single), "doc_id", "left_semi").select("text", "toxic")
+    docs = docs.select("doc_id", text_of().alias("text"))
+    single = written(known.join(distinct_documents(docs, known), "doc_id", "left_semi"), "labelled")
+    train = docs.join(single.hint("merge"), "doc_id").select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, keys, n = np.zeros(1 << 18, np.int64), [], np.zeros(2, np.int64)
+        grams, keys, held, n = np.zeros(1 << 18, np.int64), [], 0, np.zeros(2, np.int64)
+
+        def summed() -> pa.RecordBatch:
+            key, inverse = np.unique(np.concatenate([k for k, _ in keys]), return_inverse=True)
+            is_toxic = np.concatenate([t for _, t in keys])
+            yes, no = np.bincount(inverse[is_toxic], minlength=len(key)), np.bincount(inverse[~is_toxic], minlength=len(key))
+            return arrow_rows(kind=np.ones(len(key), np.int32), key=as_signed(key), toxic=yes.astype(np.int64), clean=no.astype(np.int64))
+
         for batch, data, offsets in per_chunk(batches):
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False) == 1
             n += [toxic.sum(), (~toxic).sum()]
@@ -231,31 +238,36 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> ToxicModel:
             doc, feature = features(data, offsets, None)
             pair = np.unique(np.column_stack([feature, doc.astype(U64)]), axis=0)
             keys.append((pair[:, 0], toxic[pair[:, 1].astype(np.int64)]))
+            held += len(pair)
+            if held >= HELD:
+                yield summed()
+                keys, held = [], 0
         at = np.flatnonzero(grams)
         yield arrow_rows(kind=np.zeros(len(at), np.int32), key=at.astype(np.int64), toxic=grams[at], clean=np.zeros(len(at), np.int64))
         yield arrow_rows(kind=np.array([2], np.int32), key=np.array([0], np.int64), toxic=n[:1], clean=n[1:])
         if keys:
-            key, inverse = np.unique(np.concatenate([k for k, _ in keys]), return_inverse=True)
-            is_toxic = np.concatenate([t for _, t in keys])
-            yes, no = np.bincount(inverse[is_toxic], minlength=len(key)), np.bincount(inverse[~is_toxic], minlength=len(key))
-            yield arrow_rows(kind=np.ones(len(key), np.int32), key=as_signed(key), toxic=yes.astype(np.int64), clean=no.astype(np.int64))
+            yield summed()
 
     counted = train.mapInArrow(count, "kind int, key long, toxic long, clean long").groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     often = settled(counted.where((F.col("kind") != 1) | (F.col("toxic") >= LEAST_TOXIC)))
     tried = often.where("kind = 1").count()
-    found = often.where((F.col("kind") != 1) | (share > LEAST_SHARE)).toPandas()  # bounded by the sample
+    total = often.where("kind = 2").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()  # one row
+    n_toxic, n_all = total.toxic or 0, (total.toxic or 0) + (total.clean or 0)
+    base = n_toxic / max(1, n_all)
+    # What can be in the model goes to the driver: words of which chance doesn't explain the toxic documents; lower_share and beyond_chance decide.
+    p, n = min(max(base, 1e-6), 1 - 1e-6), F.col("toxic") + F.col("clean")
+    q = F.col("toxic") / n
+    apart = F.col("toxic") * F.log(q / p) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    found = often.where((F.col("kind") == 0) | ((F.col("kind") == 1) & (q > LEAST_SHARE) & (apart >= 0.999 * float(np.log(max(tried, 2)))))).toPandas()
     grams = np.zeros(1 << 18, np.int64)
     own = found[found.kind == 0]
     grams[own.key.to_numpy()] = own.toxic.to_numpy()
-    total = found[found.kind == 2]
     words = found[found.kind == 1]
-    n_toxic, n_all = int(total.toxic.sum()), int(total.toxic.sum() + total.clean.sum())
     shares = lower_share(words.toxic.to_numpy(np.float64), words.clean.to_numpy(np.float64)) if len(words) else np.zeros(0)
     keep = shares >= LEAST_SHARE
     if len(words):
-        keep &= beyond_chance(words.toxic.to_numpy(np.float64), words.clean.to_numpy(np.float64), n_toxic / max(1, n_all), tried)
-    return ToxicModel(Restorer(grams), words.key.to_numpy(np.int64)[keep].view(U64), shares[keep], 0.1 * n_toxic / max(1, n_all))
+        keep &= beyond_chance(words.toxic.to_numpy(np.float64), words.clean.to_numpy(np.float64), base, tried)
+    return ToxicModel(Restorer(grams), words.key.to_numpy(np.int64)[keep].view(U64), shares[keep], 0.1 * base)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:
