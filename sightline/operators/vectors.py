@@ -29,6 +29,13 @@ def unit_rows(vectors: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return ids, labels, m / np.where(norm > 0, norm, 1)[:, None]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `rows` rows: a part's matrix against all pivots is some 16 MB, a whole batch's of 10 000 rows more than 300."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(a @ b.T, 9) + 0.0
 
@@ -178,13 +185,12 @@ def build_index(gallery: DataFrame, stride: int | None = None) -> VectorIndex:
     shared = gallery.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                _, _, m = unit_rows(batch.to_struct_array())
-                s = similar(m, shared.value)
-                cell = s.argmax(axis=1)
-                angle = np.arccos(np.clip(s[np.arange(len(cell)), cell], -1, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(angle), *(batch.column(c) for c in ("vec_id", "label", "embedding"))], names=["cell", "angle", "vec_id", "label", "embedding"])
+        for batch in slices(batches):
+            _, _, m = unit_rows(batch.to_struct_array())
+            s = similar(m, shared.value)
+            cell = s.argmax(axis=1)
+            angle = np.arccos(np.clip(s[np.arange(len(cell)), cell], -1, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(angle), *(batch.column(c) for c in ("vec_id", "label", "embedding"))], names=["cell", "angle", "vec_id", "label", "embedding"])
 
     if not rows:
         empty = gallery.select(F.lit(0).alias("cell"), F.lit(0).cast("long").alias("part"), "vec_id", "label", "embedding").limit(0)
@@ -229,10 +235,10 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int, apart: int | No
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "label", "embedding")), cells], names=["vec_id", "label", "embedding", "cells"])
 
     def first_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from (choose(b, None) for b in batches if b.num_rows)
+        yield from (choose(b, None) for b in slices(batches))
 
     def other_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from (choose(b, b.column("bound").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows)
+        yield from (choose(b, b.column("bound").to_numpy(zero_copy_only=False)) for b in slices(batches))
 
     def work(vs: pa.StructArray, gs: pa.StructArray) -> Iterator[pa.RecordBatch]:
         (qi, ql, a), (gi, gl, b) = unit_rows(vs), unit_rows(gs)
