@@ -6,12 +6,14 @@ equi-join, and a pair of blocks is one matrix product over Arrow's buffers. Simi
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.operators.batches import gathered
 from sightline.session import written
 
 #: Queries and gallery vectors of a block, and blocks of the gallery in a cell of the flat search.
@@ -157,6 +159,85 @@ def hit_ranks(queries: DataFrame, gallery: DataFrame, apart: int | None = None)
     return able.where(F.lit(n > 1)).join(found, "q", "left")
 
 
+#: A similarity counts in steps of 1e-9, so twice its distance to 1, and one more for a hit, is a number of 32 bits.
+ONE = 10**9
+#: Vectors of a gallery for each range of similarities whose numbers of a query are sorted at once.
+SORTED = 1 << 22
+
+
+def hit_measures(queries: DataFrame, gallery: DataFrame, apart: int | None = None, k: int = 10) -> DataFrame:
+    """(q, rel, ap, ranks) of each query that has anyone to be compared with: its hits (see hit_ranks) in the full ranking of the gallery, the mean over them of place among hits by rank (NULL without
+    any), and the ranks of the first k of them.
+
+    No pair is a row: a block of the gallery gives a query one array of 4 bytes for each of its vectors, which meet sorted by query, range of similarity and the ids of the block.
+    A task holds one query's numbers of one range at a time. Each pair is made once."""
+    n = gallery.count()
+    ranges = max(1, min(4096, n // SORTED))
+    step = (4 * ONE + 2 + ranges - 1) // ranges
+    kind = gallery.schema["embedding"].dataType.simpleString()
+    v = f"struct<vec_id:long,label:int,embedding:{kind}>"
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in gathered(batches, CELL):
+            whole = table.combine_chunks().to_batches()[0].to_struct_array()
+            yield pa.RecordBatch.from_arrays([whole.field("vec_id").slice(0, 1), pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)], names=["first", "gs"])
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for vs, first, gs in zip(batch.column("vs"), batch.column("first").to_pylist(), batch.column("gs"), strict=True):
+                (qi, ql, a), (gi, gl, b) = unit_rows(vs.values), unit_rows(gs.values)
+                order = np.argsort(gi, kind="stable")
+                gi, gl, b = gi[order], gl[order], b[order]
+                number = (2 * (ONE - np.rint(a @ b.T * ONE).astype(np.int64)) + (ql[:, None] == gl[None, :])).astype(np.uint32)
+                mask = allowed_pairs(qi, gi, apart)
+                found = []
+                for i in range(len(qi)):
+                    own = number[i][mask[i]]
+                    if ranges == 1:
+                        found.append((qi[i], 0, own))
+                    else:
+                        place = own // step
+                        found += [(qi[i], int(r), own[place == r]) for r in np.unique(place)]
+                found = [x for x in found if len(x[2])]
+                columns = [pa.array([int(x[0]) for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int32()), pa.array([first] * len(found), pa.int64()), pa.array([x[2].tobytes() for x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["q", "range", "first", "numbers"])
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in query_runs(batches):
+            above = seen = 0
+            total, ranks = 0.0, []
+            for x in rows[1]:
+                hit = ordered_hits(x)
+                at = np.flatnonzero(hit) + 1 + above
+                total += float((np.arange(seen + 1, seen + len(at) + 1) / at).sum())
+                ranks += at[: k - len(ranks)].tolist()
+                above, seen = above + len(hit), seen + len(at)
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0]]), pa.array([seen]), pa.array([total / seen if seen else None], pa.float64()), pa.array([ranks], pa.list_(pa.int64()))], names=["q", "rel", "ap", "ranks"])
+
+    cells = min(512, max(8, n // (8 * CELL)))
+    sides = [df.select("vec_id", F.col("label").cast("int").alias("label"), "embedding") for df in (queries, gallery)]
+    blocks = sides[1].repartitionByRange("vec_id").sortWithinPartitions("vec_id").mapInArrow(packed, f"first long, gs array<{v}>").withColumn("cell", _dealt(cells, "first").cast("int"))
+    made = sides[0].select(_dealt(queries.count() // BLOCK + 1).alias("block"), _vector()).groupBy("block").agg(F.collect_list("v").alias("vs"))  # about BLOCK of them
+    sent = made.select("vs", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+    pairs = sent.join(blocks, "cell").select("vs", "first", "gs").mapInArrow(numbers, "q long, range int, first long, numbers binary")
+    return pairs.repartition("q").sortWithinPartitions("q", "range", "first").mapInArrow(measured, "q long, rel long, ap double, ranks array<long>")
+
+
+def query_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[np.ndarray]]]:
+    """(q, its numbers, one array for each range) of batches (q, range, numbers) sorted by q and range."""
+    parts = ((q, r, np.frombuffer(x, np.uint32)) for batch in batches for q, r, x in zip(*(batch.column(c).to_pylist() for c in ("q", "range", "numbers")), strict=True))
+    for q, own in groupby(parts, key=lambda x: x[0]):
+        yield q, (np.concatenate([x[2] for x in one]) for _, one in groupby(own, key=lambda x: x[1]))
+
+
+def ordered_hits(numbers: np.ndarray) -> np.ndarray:
+    """Whether each is a hit, from the most similar on. The numbers are given by id, which decides among equal similarities; it is asked for only where a hit and another are equal."""
+    plain = np.sort(numbers)
+    if ((plain[1:] - plain[:-1] == 1) & (plain[:-1] % 2 == 0)).any():
+        plain = numbers[np.argsort(numbers >> 1, kind="stable")]
+    return plain % 2 == 1
+
+
 class VectorIndex:
     """Vectors in the cells of pivots, with the least and greatest angle of a cell's vectors to its pivot.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sightline.functions.expressions import iou, iou_sql
 from sightline.operators.joins import best, overlapping
 from sightline.operators.ordered import frame_matches
-from sightline.plans.vectors import _RANKED, hit_ranks
+from sightline.plans.vectors import _RANKED, hit_measures
 from sightline.registry import query
 from sightline.sources.tables import DET, detections, read
 
@@ -74,9 +74,9 @@ SELECT round(avg(p), 6) AS p10, round(avg(r), 6) AS r10, round(avg(CASE WHEN p +
 )
 def retrieval_measures(spark: SparkSession, d: str) -> DataFrame:
     c, k = F.col, 10
-    h = hit_ranks(spark, d)  # a row for each hit, and one without rank for a query that has none
-    top = c("rank") <= k
-    m = h.groupBy("q").agg(F.count("rank").alias("rel"), F.count_if(top).alias("in"), F.coalesce(F.avg(c("seen") / c("rank")), F.lit(0.0)).alias("ap"), F.coalesce(1.0 / F.min("rank"), F.lit(0.0)).alias("rr"), F.sum(F.when(top, 1 / F.log2(c("rank") + 1))).alias("dcg"))
+    top = F.filter("ranks", lambda x: x <= k)
+    gain = F.aggregate(top, F.lit(0.0), lambda s, x: s + 1 / F.log2(x + 1.0))
+    m = hit_measures(spark, d).select("rel", F.size(top).alias("in"), F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce(1.0 / F.get("ranks", F.lit(0)), F.lit(0.0)).alias("rr"), gain.alias("dcg"))
     ideal = F.aggregate(F.slice(F.array(*[1 / F.log2(F.lit(x + 1.0)) for x in range(1, k + 1)]), 1, F.least(c("rel"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, x: s + x)
     p, r = c("in") / k, F.coalesce(c("in") / F.nullif(c("rel"), F.lit(0).cast("long")), F.lit(0.0))
     mean = lambda x, n: F.round(F.avg(x), 6).alias(n)

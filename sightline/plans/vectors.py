@@ -31,10 +31,10 @@ def ranked(spark: SparkSession, d: str, k: int) -> DataFrame:
     return vectors.ranked(vectors.compared(asked(e), e, k, 5), k)
 
 
-def hit_ranks(spark: SparkSession, d: str) -> DataFrame:
-    """vectors.hit_ranks of the queries among vectors of other cameras."""
+def hit_measures(spark: SparkSession, d: str) -> DataFrame:
+    """vectors.hit_measures of the queries among vectors of other cameras."""
     e = embeddings(spark, d)
-    return vectors.hit_ranks(asked(e), e, 5)
+    return vectors.hit_measures(asked(e), e, 5)
 
 
 @query("W1 W2 W4 P17: cosine top k of each query", f"WITH {_RANKED} SELECT q, g, rank FROM ranked WHERE rank <= 20")
@@ -83,7 +83,7 @@ p AS (SELECT q, min(rank) FILTER (ql = gl) AS first, sum(CASE WHEN ql = gl THEN
 SELECT round(avg((coalesce(first, 1000000) <= 1)::INT), 6) AS rank1, round(avg((coalesce(first, 1000000) <= 5)::INT), 6) AS rank5, round(avg(coalesce(ap, 0)), 6) AS map FROM p""",
 )
 def cross_camera_rank(spark: SparkSession, d: str) -> DataFrame:
-    p = hit_ranks(spark, d).groupBy("q").agg(F.min("rank").alias("first"), F.avg(F.col("seen") / F.col("rank")).alias("ap"))
+    p = hit_measures(spark, d).select(F.get("ranks", F.lit(0)).alias("first"), "ap")
     within = lambda k: F.round(F.avg((F.coalesce("first", F.lit(1_000_000)) <= k).cast("int")), 6)
     return p.agg(within(1).alias("rank1"), within(5).alias("rank5"), F.round(F.avg(F.coalesce("ap", F.lit(0.0))), 6).alias("map"))
 
