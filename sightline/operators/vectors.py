@@ -135,6 +135,86 @@ def above_counts(vs: pa.StructArray, gs: pa.StructArray, apart: int | None) -> I
     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(g), pa.array(above.astype(np.int64))], names=["q", "g", "above"])
 
 
+#: Cells of a gallery in `nearest`, whatever its size: tasks that a block of queries goes to.
+NEAREST_CELLS = 32
+
+
+def nearest(queries: DataFrame, gallery: DataFrame, k: int, apart: int | None = None) -> DataFrame:
+    """(q, ql, g, gl, s, rank): the first k of each query, exactly, each pair made once.
+
+    A block of queries meets all parts of a cell of the gallery one after another and keeps its first k, so a query has k rows a cell, and the number of cells is fixed. Only
+    similarities that reach the last of the first k so far are looked at further."""
+    made = queries.select(_dealt(queries.count() // (4 * BLOCK) + 1).cast("int").alias("block"), _vector()).groupBy("block").agg(F.collect_list("v").alias("vs"))  # about 4 BLOCK of them
+    cells = NEAREST_CELLS
+    sent = made.select("block", "vs", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+    part = _dealt(gallery.count() // (cells * CELL) + 1, seed=1)
+    groups = gallery.select(_dealt(cells).cast("int").alias("cell"), part.alias("part"), _vector()).groupBy("cell", "part").agg(F.collect_list("v").alias("gs"))  # about CELL of them
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first = None, None
+        for batch in batches:
+            for block, cell, vs, gs in zip(batch.column("block").to_pylist(), batch.column("cell").to_pylist(), batch.column("vs"), batch.column("gs"), strict=True):
+                if (block, cell) != at:
+                    if first:
+                        yield first.rows()
+                    at, first = (block, cell), FirstOf(vs.values, k, apart)
+                first.meet(gs.values)
+        if first:
+            yield first.rows()
+
+    # The queries come first: a join goes through its left rows and keeps the right ones of a cell at hand.
+    # Few bytes can be much work, so the number of tasks is given.
+    dealt = lambda df: df.repartition(2 * cells, "cell")
+    pairs = dealt(sent).join(dealt(groups), "cell").select("block", "cell", "vs", "gs").mapInArrow(best, PAIRS)
+    return ranked(pairs, k)
+
+
+class FirstOf:
+    """The first k of a block of queries among all that it has met."""
+
+    def __init__(self, vs: pa.StructArray, k: int, apart: int | None):
+        self.ids, self.labels, self.unit = unit_rows(vs)
+        self.k, self.apart = k, apart
+        self.limit = np.full(len(self.ids), -np.inf)  # what another must reach
+        self.held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)]  # query's place, similarity, id, label
+
+    def meet(self, gs: pa.StructArray) -> None:
+        ids, labels, unit = unit_rows(gs)
+        for start in range(0, len(self.ids), BLOCK):
+            own = slice(start, start + BLOCK)
+            s = self.unit[own] @ unit.T
+            limit = self.limit[own]
+            if not np.isfinite(limit).all():
+                limit = np.maximum(limit, self.reached(self.ids[own], ids, s))
+            i, j = np.nonzero(s >= limit[:, None] - 2e-9)  # rounding moves by half of 1e-9
+            i += start
+            allowed = self.ids[i] % self.apart != ids[j] % self.apart if self.apart else self.ids[i] != ids[j]
+            i, j = i[allowed], j[allowed]
+            if len(i):
+                self.keep(own, i, np.round(s[i - start, j], 9) + 0.0, ids[j], labels[j])
+
+    def reached(self, qi: np.ndarray, gi: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """The k-th similarity of each query among these; none where there are fewer."""
+        if s.shape[1] < self.k:
+            return np.full(len(qi), -np.inf)
+        return np.partition(np.where(allowed_pairs(qi, gi, self.apart), s, -np.inf), s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
+
+    def keep(self, own: slice, i: np.ndarray, s: np.ndarray, g: np.ndarray, label: np.ndarray) -> None:
+        here = (self.held[0] >= own.start) & (self.held[0] < own.stop)
+        i, s, g, label = (np.concatenate([x[here], y]) for x, y in zip(self.held, (i, s, g, label), strict=True))
+        order = np.lexsort((g, -s, i))
+        i, s, g, label = (x[order] for x in (i, s, g, label))
+        starts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+        place = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i))))
+        last = place == self.k - 1
+        self.limit[i[last]] = s[last]
+        self.held = [np.concatenate([x[~here], y[place < self.k]]) for x, y in zip(self.held, (i, s, g, label), strict=True)]
+
+    def rows(self) -> pa.RecordBatch:
+        i, s, g, label = self.held
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (self.ids[i], self.labels[i].astype(np.int32), g, label.astype(np.int32), s)], names=["q", "ql", "g", "gl", "s"])
+
+
 def hit_ranks(queries: DataFrame, gallery: DataFrame, apart: int | None = None) -> DataFrame:
     """(q, rank, seen) for each hit (a vector of the query's label) in the full ranking of the gallery, seen being its place among the hits, and (q, NULL, NULL) for
     a query without one.
@@ -354,17 +434,19 @@ def reciprocal_sets(neighbours: DataFrame) -> DataFrame:
     return lists.join(ordered, "q", "left").select(F.col("q").alias("i"), F.when(F.col("others").isNull(), F.col("near")).otherwise(taken).alias("near"))
 
 
-def reranked(queries: DataFrame, gallery: DataFrame, index: VectorIndex, k: int = 7, first: int = 20) -> DataFrame:
-    """(q, g, s, jaccard, score, rank): the first rows of each query by half the cosine and half the Jaccard similarity of the expanded sets.
+def reranked(queries: DataFrame, gallery: DataFrame, index: VectorIndex | None = None, k: int = 7, first: int = 20) -> DataFrame:
+    """(q, g, s, jaccard, score, rank): the first rows of each query by half the cosine and half the Jaccard similarity of the expanded sets. Neighbours come from the index or, without
+    one, from all pairs in blocks: an index that can rule out few cells sends every vector to nearly all of them, whose number grows.
 
     Sets meet by their members, so only rows that share one are joined; of all others, whose Jaccard similarity is 0, the most similar `first` are enough."""
-    near, _ = search_index(index, gallery, k)
+    search = lambda rows, n: search_index(index, rows, n)[0] if index else nearest(rows, gallery, n)
+    near = search(gallery, k)
     sets = written(reciprocal_sets(near.select("q", "g", "rank")), "sets")
     members = sets.select("i", F.size("near").alias("n"), F.explode("near").alias("m"))
     asked = queries.select(F.col("vec_id").alias("i")).join(members, "i").withColumnsRenamed({"i": "q", "n": "qn"})
     shared = asked.join(members.withColumnsRenamed({"i": "g", "n": "gn"}), "m").where("q <> g").groupBy("q", "g", "qn", "gn").agg(F.count("*").alias("both"))
     overlap = shared.select("q", "g", (F.col("both") / (F.col("qn") + F.col("gn") - F.col("both"))).alias("jaccard"))
-    straight, _ = search_index(index, queries, first)
+    straight = search(queries, first)
     pairs = overlap.unionByName(straight.select("q", "g", F.lit(0.0).alias("jaccard"))).groupBy("q", "g").agg(F.max("jaccard").alias("jaccard"))
     side = lambda df, name: df.select(F.col("vec_id").alias(name), F.col("embedding").alias(f"{name}v"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

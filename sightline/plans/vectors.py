@@ -73,7 +73,7 @@ SELECT q, g, round(jaccard, 6) AS jaccard, round(score, 6) AS score, rank FROM (
 )
 def k_reciprocal(spark: SparkSession, d: str) -> DataFrame:
     e = embeddings(spark, d)
-    return vectors.reranked(asked(e), e, vectors.build_index(e)).select("q", "g", F.round("jaccard", 6).alias("jaccard"), F.round("score", 6).alias("score"), "rank")
+    return vectors.reranked(asked(e), e).select("q", "g", F.round("jaccard", 6).alias("jaccard"), F.round("score", 6).alias("score"), "rank")
 
 
 @query(
