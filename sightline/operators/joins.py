@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ def within_seconds(left: DataFrame, right: DataFrame, keys: list[str], after: st
     """left and right (aliases a, b) with equal keys and 0 < b.before - a.after <= gap.
 
     The range side is cut into buckets of `gap` seconds; each right row stands in its own bucket and in the
-    one before, so the join is an equi-join on keys and bucket, whatever the key's skew in time."""
+    one before, so the join is an equi-join on keys and bucket, whatever the key's skew in time. Both sides are sorted by time within keys and bucket, which the join asks for in part anyway, so that
+    a left row's pairs come one after another by time: files of many pairs are then smaller."""
     a = left.withColumn("__bucket", F.floor(F.col(after) / gap))
     own = F.floor(F.col(before) / gap)
     b = right.withColumn("__bucket", F.explode(F.array(own, own - 1)))
@@ -18,6 +21,9 @@ def within_seconds(left: DataFrame, right: DataFrame, keys: list[str], after: st
     for k in keys:
         on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     wait = F.col(f"b.{before}") - F.col(f"a.{after}")
+    by = ["__bucket", *keys]
+    # Spark drops a sort right under a join; it keeps one whose rows are counted.
+    a, b = (x.repartition(*by).sortWithinPartitions(*by, t).observe(f"sorted {uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows")) for x, t in ((a, after), (b, before)))
     return a.alias("a").join(b.alias("b"), on & (wait > 0) & (wait <= gap))
 
 
