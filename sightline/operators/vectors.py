@@ -137,6 +137,53 @@ def above_counts(vs: pa.StructArray, gs: pa.StructArray, apart: int | None) -> I
 
 #: Cells of a gallery in `nearest`, whatever its size: tasks that a block of queries goes to.
 NEAREST_CELLS = 32
+#: Groups of vectors in `pivot_cells`, whatever their number: tasks that a block of pivots goes to.
+PIVOT_GROUPS = 64
+
+
+def pivot_cells(vectors: DataFrame, stride: int) -> DataFrame:
+    """(cell, vec_id, s): for each vector the most similar of all whose vec_id is divisible by stride, the least id among equals; no row without any such.
+
+    The vectors are dealt to groups, and all pivots, as blocks, to each group: a block of vectors meets them one after another and keeps its best. So neither the driver nor a task holds
+    all pivots, however many there are."""
+    n = vectors.count()
+    block = _dealt(n // (4 * BLOCK) + 1).cast("int")
+    made = vectors.select(block.alias("block"), _vector()).groupBy("block").agg(F.collect_list("v").alias("vs"))  # about 4 BLOCK of them
+    pivots = vectors.where(F.col("vec_id") % stride == 0)
+    part = _dealt(n // (stride * CELL) + 1, seed=1)
+    parts = pivots.select(part.alias("part"), _vector()).groupBy("part").agg(F.collect_list("v").alias("gs"))  # about CELL of them
+    groups = PIVOT_GROUPS
+    sent = parts.select("gs", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, cell, most = None, None, None, None
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (cell, ids, most)], names=["cell", "vec_id", "s"])
+
+        for batch in batches:
+            for block, vs, gs in zip(batch.column("block").to_pylist(), batch.column("vs"), batch.column("gs"), strict=True):
+                if block != at:
+                    if at is not None:
+                        yield rows()
+                    at, (ids, _, unit) = block, unit_rows(vs.values)
+                    most, cell = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
+                names, _, other = unit_rows(gs.values)
+                order = np.argsort(names, kind="stable")
+                for start in range(0, len(ids), BLOCK):
+                    own = slice(start, start + BLOCK)
+                    s = similar(unit[own], other[order])
+                    first = s.argmax(axis=1)  # the first among equals: the least id
+                    found, name = s[np.arange(len(s)), first], names[order][first]
+                    better = (found > most[own]) | (found == most[own]) & (name < cell[own])
+                    most[own], cell[own] = np.where(better, found, most[own]), np.where(better, name, cell[own])
+        if at is not None:
+            yield rows()
+
+    # The vectors come first: a join goes through its left rows and keeps the right ones of a group at hand. Few bytes can be much work, so the number of tasks is given.
+    left = made.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).repartition(groups, "group")
+    met = left.join(sent.repartition(groups, "group").hint("merge"), "group").select("block", "vs", "gs")
+    return met.mapInArrow(best, "cell long, vec_id long, s double")
 
 
 def nearest(queries: DataFrame, gallery: DataFrame, k: int, apart: int | None = None) -> DataFrame:
@@ -333,12 +380,13 @@ class VectorIndex:
 
 
 def build_index(gallery: DataFrame, stride: int | None = None) -> VectorIndex:
-    """Pivots are the vectors whose vec_id is divisible by stride (None: about the square root of all), at most MAX_PIVOTS (without any the 16 of the least hashes); every vector goes to the cell of the most similar
-    pivot, the one with the least id among equals."""
+    """Pivots are all vectors whose vec_id is divisible by stride (without any the 16 of the least hashes); every vector goes to the cell of the most similar pivot, the one with the least id
+    among equals. Without a stride it is about the square root of all and the pivots are MAX_PIVOTS of these at most. As all pivots go to all tasks, a caller who gives a stride answers for their number; pivot_cells has no such bound."""
     n = gallery.count()
-    stride = stride or max(1, n // min(MAX_PIVOTS, int(n**0.5) + 1))
+    step = stride or max(1, n // min(MAX_PIVOTS, int(n**0.5) + 1))
     some = gallery.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"))
-    rows = some.where(F.col("vec_id") % stride == 0).limit(MAX_PIVOTS).collect() or some.limit(16).collect()
+    chosen = some.where(F.col("vec_id") % step == 0)
+    rows = (chosen if stride else chosen.limit(MAX_PIVOTS)).collect() or some.limit(16).collect()
     rows = sorted(rows, key=lambda r: r.vec_id)
     pivots = np.array([r.embedding for r in rows], float) if rows else np.zeros((0, 1))
     norm = np.sqrt((pivots * pivots).sum(axis=1))

@@ -55,8 +55,8 @@ def indexed_top_k(spark: SparkSession, d: str) -> DataFrame:
 own AS (SELECT vec_id, arg_max(cell, {{'s': s, 'p': -cell}}) AS cell, max(s) AS s FROM s GROUP BY vec_id) SELECT cell, count(*) AS n, round(min(s), 6) AS least, round(max(s), 6) AS most FROM own GROUP BY cell""",
 )
 def vector_index_cells(spark: SparkSession, d: str) -> DataFrame:
-    cells = vectors.build_index(embeddings(spark, d), 25).cells()  # a row for each pivot
-    return spark.createDataFrame([(v, n, round(low, 6), round(high, 6)) for v, n, low, high in cells], "cell long, n long, least double, most double")
+    own = vectors.pivot_cells(embeddings(spark, d), 25)
+    return own.groupBy("cell").agg(F.count("*").alias("n"), F.round(F.min("s"), 6).alias("least"), F.round(F.max("s"), 6).alias("most"))
 
 
 _ALL = f"""sim AS (SELECT q.vec_id AS q, g.vec_id AS g, round({_COS.format(a="q.embedding", b="g.embedding")}, 9) AS s FROM embeddings q JOIN embeddings g ON g.vec_id <> q.vec_id)"""
