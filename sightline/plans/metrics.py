@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.expressions import iou, iou_sql
-from sightline.operators.joins import best, overlapping
-from sightline.operators.ordered import frame_matches
+from sightline.functions.expressions import iou_sql
+from sightline.operators.ordered import best_matches, frame_matches
 from sightline.plans.vectors import _RANKED, hit_measures
 from sightline.registry import query
 from sightline.sources.tables import DET, detections, read
@@ -105,9 +104,7 @@ fnd AS (SELECT camera, frame, row AS det, id + CASE WHEN part % 11 = 0 THEN 1000
 )
 def best_iou_match(spark: SparkSession, d: str) -> DataFrame:
     truth, found = truth_and_found(spark, d)
-    pairs = overlapping(truth, found, ["camera", "frame"], 0.3)
-    m = pairs.select("b.det", "a.row", "a.id", F.round(iou("a", "b"), 6).alias("iou")).where("iou > 0.3")
-    return best(m, ["det"], F.struct("iou", "row", "id"), "id", "iou")
+    return best_matches(truth, found, ["camera", "frame"], 0.3)
 
 
 @query("A37: tracking measures of each camera: matches, misses, false positives, switches, fragmentations, mostly tracked and lost")
