@@ -203,7 +203,7 @@ def distinct_documents(docs: DataFrame, known: DataFrame) -> DataFrame:
             for k in range(SIGNATURES):
                 h = np.append(mix(grams + U64(k + 1)), U64(0))
                 own = np.minimum.reduceat(h, np.minimum(at[:-1], len(h) - 1)) if batch.num_rows else h
-                out.append(np.where(np.diff(at) > 0, own, mix(batch.column("doc_id").to_numpy().view(U64))))
+                out.append(np.where(np.diff(at) > 0, own, mix(batch.column("doc_id").fill_null(0).to_numpy().view(U64))))
             yield arrow_rows(doc_id=batch.column("doc_id"), **{f"s{k}": as_signed(x) for k, x in enumerate(out)})
 
     signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, " + ", ".join(f"s{k} long" for k in range(SIGNATURES)))
